@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechreport.llm import chat_snapshots, host_rules, license_join
+from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, packing, range_coder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,14 +20,28 @@ def op3_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word")
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op5_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.collapse_and_render(_table(spark, sf_dir, "conversations"))
 
 
+def op7_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = range_coder.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = host_rules.apply_rules(_table(spark, sf_dir, "documents"), out_keep=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_license_join, op5_chat_snapshots, op8_host_rules)}
+def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget_mix.mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_license_join, op4_packing, op5_chat_snapshots, op7_range_coder, op8_host_rules, op10_budget_mix)}
 ORACLES: dict[str, str] = {}
