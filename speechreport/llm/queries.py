@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, packing, range_coder
+from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, ngram_join, packing, range_coder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op5_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.collapse_and_render(_table(spark, sf_dir, "conversations"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(_table(spark, sf_dir, "documents"))
+
+
 def op7_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = range_coder.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -43,5 +47,5 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_license_join, op4_packing, op5_chat_snapshots, op7_range_coder, op8_host_rules, op10_budget_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_license_join, op4_packing, op5_chat_snapshots, op6_ngram_join, op7_range_coder, op8_host_rules, op10_budget_mix)}
 ORACLES: dict[str, str] = {}
