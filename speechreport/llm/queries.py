@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, ngram_join, packing, range_coder
+from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, mil_quality, ngram_join, packing, range_coder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_license_join, op4_packing, op5_chat_snapshots, op6_ngram_join, op7_range_coder, op8_host_rules, op10_budget_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mil_quality, op3_license_join, op4_packing, op5_chat_snapshots, op6_ngram_join, op7_range_coder, op8_host_rules, op10_budget_mix)}
 ORACLES: dict[str, str] = {}
