@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, mil_quality, ngram_join, packing, range_coder
+from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, mil_quality, ngram_join, packing, range_coder, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op1_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.write_and_read(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(_table(spark, sf_dir, "documents"))
 
@@ -51,5 +56,5 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mil_quality, op3_license_join, op4_packing, op5_chat_snapshots, op6_ngram_join, op7_range_coder, op8_host_rules, op10_budget_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mil_quality, op2_warc, op3_license_join, op4_packing, op5_chat_snapshots, op6_ngram_join, op7_range_coder, op8_host_rules, op10_budget_mix)}
 ORACLES: dict[str, str] = {}
