@@ -3,8 +3,8 @@
 A document's set is its distinct 5-word shingles. For a Jaccard similarity of 0.8, two sets that link
 share a shingle among the first fifth of each, whatever the global order. The first order puts
 shingles that are frequent in the corpus last, so passages that many documents share hardly make
-candidates; candidates must then share prefix shingles under two more orders before their sets are
-compared exactly.
+candidates; candidates must then share enough prefix shingles under two more orders before their sets
+are compared exactly. Texts, not sets, are sent to that comparison, as hashes don't compress.
 
 Equal sets are one node. Frequent prefix shingles would give all pairs of a large group of near
 copies, so candidates come in two steps: first every member of a shingle's group against one hub,
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from speechreport.llm.common import materialize, small
 from speechreport.llm.components import components
-from speechreport.llm.shingles import mixed, shingles
+from speechreport.llm.shingles import all_sets, mixed
 
 PERCENT = 80
 #: Shingles whose frequency class every task knows; the most frequent ones, so 9 MB at most.
@@ -54,7 +54,7 @@ def summarize(df: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(n.astype(np.int64)), none.cast(pa.binary()), pa.array(_signed(tokens))], names)
 
         for batch in batches:
-            sets = [shingles(x.as_py()) for x in batch.column(1)]
+            sets = all_sets(batch.column(1).to_pylist())
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sets)).cast(pa.int64())], names)
             for s in sets:
@@ -108,8 +108,7 @@ def postings(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads, nodes, sizes, places = [], [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(text.as_py())
+            for node, s in zip(batch.column(0).to_pylist(), all_sets(batch.column(1).to_pylist()), strict=True):
                 if len(s):
                     head = in_order(s, known.value, 0)[: prefix_size(len(s), percent)]
                     heads.append(head)
@@ -122,17 +121,35 @@ def postings(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
     return df.mapInArrow(run, "shingle long, node long, n int, place int")
 
 
-def sets(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
-    """(node, shingles, heads) of rows (node, text): the set, and its prefixes in the other orders."""
+def heads(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
+    """(node, n, heads) of rows (node, text): its prefixes in the orders after the first.
+
+    A shingle is cut to 32 bits here. Two that differ may then look equal, which can only let a
+    candidate through to the exact check.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(x.as_py()) for x in batch.column(1)]
-            # 32 bits each: two that differ may look equal, which lets a candidate through to the exact check
-            heads = [[(in_order(s, known.value, k)[: prefix_size(len(s), percent)] >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in range(1, ORDERS)] for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_signed(s) for s in found], pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.list_(pa.int32())))], ["node", "shingles", "heads"])
+            found = all_sets(batch.column(1).to_pylist())
+            cut = [[(in_order(s, known.value, k)[: prefix_size(len(s), percent)] >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in range(1, ORDERS)] for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(cut, pa.list_(pa.list_(pa.int32())))], ["node", "n", "heads"])
+
+    return df.mapInArrow(run, "node long, n int, heads array<array<int>>")
+
 
-    return df.mapInArrow(run, "node long, shingles array<long>, heads array<array<int>>")
+def similar(df: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of rows (a, b, text_a, text_b) whose sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (all_sets(batch.column(i).to_pylist()) for i in (2, 3))
+            links = []
+            for x, y in zip(left, right, strict=True):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                links.append((100 + percent) * shared >= percent * (len(x) + len(y)))
+            yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
+
+    return df.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def enough(a_n: Column, b_n: Column, left: Column, percent: int) -> Column:
@@ -140,23 +157,35 @@ def enough(a_n: Column, b_n: Column, left: Column, percent: int) -> Column:
     return (100 + percent) * left >= percent * (a_n + b_n)
 
 
+def need(a_n: Column, b_n: Column, percent: int) -> Column:
+    """How many prefix shingles two linked sets share at least.
+
+    They share enough() shingles, and at most those beyond the prefix of one of them lie outside both.
+    """
+    beyond = F.greatest(*[F.floor((percent * n + 99) / 100) - 1 for n in (a_n, b_n)])
+    return F.greatest(F.ceil(percent * (a_n + b_n) / (100 + percent)) - beyond, F.lit(1))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, known: Broadcast, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: prefixes in every other order must meet, then the sets decide."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    own = materialize(sets(texts.join(small(ids), "node", "left_semi"), known, percent))
+    """The pairs (a, b) that link: they must share enough of the prefixes in every other order, then the sets decide."""
 
-    def joined(rows: DataFrame, column: str) -> DataFrame:
+    def joined(rows: DataFrame, own: DataFrame, columns: list[str]) -> DataFrame:
         for end in ("a", "b"):
-            rows = rows.join(own.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}")), end)
+            rows = rows.join(own.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
         return rows
 
-    near = joined(pairs, "heads")
-    meet = [F.arrays_overlap(F.get("heads_a", F.lit(k)), F.get("heads_b", F.lit(k))) for k in range(ORDERS - 1)]
-    for m in meet:
-        near = near.filter(m)
-    exact = joined(materialize(near.select("a", "b")), "shingles")
-    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return exact.filter(enough(F.size("shingles_a"), F.size("shingles_b"), shared, percent)).select("a", "b")
+    def among(rows: DataFrame) -> DataFrame:
+        ids = materialize(rows.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        return texts.join(small(ids), "node", "left_semi")
+
+    near = joined(pairs, materialize(heads(among(pairs), known, percent)), ["n", "heads"])
+    least = need(F.col("n_a"), F.col("n_b"), percent)
+    for k in range(ORDERS - 1):
+        x, y = F.get("heads_a", F.lit(k)), F.get("heads_b", F.lit(k))
+        equal = F.size(x) - F.size(F.array_distinct(x))  # shingles that were cut to the same bits count once below
+        near = near.filter(F.size(F.array_intersect(x, y)) + equal >= least)
+    near = materialize(near.select("a", "b"))
+    return similar(joined(near, among(near), ["text"]), percent)
 
 
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -195,12 +224,13 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int =
 
     part = components(first)
     placed = groups.select("shingle", "node", "n", "place").join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    placed = materialize(placed)
     open_groups = materialize(placed.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("shingle"))
     placed = materialize(placed.join(open_groups, "shingle", "left_semi"))
     left, right = (placed.select("shingle", *[F.col(c).alias(f"{side}{c}") for c in ("node", "n", "place", "part")]) for side in ("a_", "b_"))
-    pairs = left.join(right, "shingle").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_part") != F.col("b_part")) & fits("a_", "b_"))
-    pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    sizes = (F.col("a_n"), F.col("b_n"))
+    met = left.join(right, "shingle").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_part") != F.col("b_part")) & enough(*sizes, F.least(*sizes), percent))
+    met = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"), F.max(fits("a_", "b_")).alias("fit"))
+    pairs = met.filter(F.col("fit") & (F.col("shared") >= need(*sizes, percent))).select("a", "b").distinct()
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"))
     second = materialize(verify(pairs, texts, known, percent))
     whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").union(second))

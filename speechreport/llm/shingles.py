@@ -32,17 +32,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a text, A-Z in lower case.
+    return shingle_sets([text], n)[0]
+
+
+def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of the n-word shingles of each text, A-Z in lower case.
 
     A text with fewer words is one shingle; without words there is none. (The bytes methods split at
-    ASCII white space and lower ASCII letters alone.)
+    ASCII white space and lower ASCII letters alone.) A shingle's hash is a sum of its words' hashes,
+    each times a multiplier of its place, and is taken over all texts at once.
     """
-    ws = (text or "").encode().lower().split()
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
-    size = min(n, len(ws))
-    total = np.full(len(ws) - size + 1, size, np.uint64)
-    for k in range(size):
-        total += mixed(h[k : len(ws) - size + 1 + k] * np.uint64(PLACE[k % len(PLACE)]) + np.uint64(k // len(PLACE)))
-    return np.unique(mixed(total))
+    split = [(t or "").encode().lower().split() for t in texts]
+    sizes = np.array([len(ws) for ws in split])
+    ends = np.cumsum(sizes)
+    h = np.fromiter((x for ws in split for x in map(_hashes.__getitem__, ws)), np.uint64, int(sizes.sum()))
+    padded = np.concatenate([h, np.zeros(n, np.uint64)])
+    total = np.full(len(h), n, np.uint64)
+    for k in range(n):
+        total += padded[k : len(h) + k] * np.uint64(PLACE[k % len(PLACE)] + 2 * (k // len(PLACE)))
+    total = mixed(total)
+    found = []
+    for ws, size, end in zip(split, sizes.tolist(), ends.tolist(), strict=True):
+        if size >= n:
+            found.append(np.unique(total[end - size : end - n + 1]))
+        elif size:
+            short = size
+            for k, x in enumerate(h[end - size : end].tolist()):
+                short = (short + x * PLACE[k % len(PLACE)]) % 2**64
+            found.append(mixed(np.array([short], np.uint64)))
+        else:
+            found.append(np.zeros(0, np.uint64))
+    return found
+
+
+def portions(texts: list[str | None], size: int = 1 << 20) -> list[slice]:
+    """Slices of a list of texts with about ``size`` characters each."""
+    found, begin, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= size or i == len(texts) - 1:
+            found.append(slice(begin, i + 1))
+            begin, held = i + 1, 0
+    return found
+
+
+def all_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
+    """shingle_sets() portion by portion, for batches of any size."""
+    return [s for part in portions(texts) for s in shingle_sets(texts[part], n)]
