@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, mil_quality, ngram_join, packing, range_coder, warc
+from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, media, mil_quality, ngram_join, packing, range_coder, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,9 +52,14 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.store_and_resolve(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mil_quality, op2_warc, op3_license_join, op4_packing, op5_chat_snapshots, op6_ngram_join, op7_range_coder, op8_host_rules, op10_budget_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mil_quality, op2_warc, op3_license_join, op4_packing, op5_chat_snapshots, op6_ngram_join, op7_range_coder, op8_host_rules, op9_media, op10_budget_mix)}
 ORACLES: dict[str, str] = {}
