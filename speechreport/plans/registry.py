@@ -1,10 +1,409 @@
-"""Named queries over the given tables and their DuckDB counterparts."""
+"""Named queries over the given tables and their DuckDB counterparts.
+
+There is no audio among the tables, so texts stand for it: slot 1 of a document is its text, slots 2
+and 3 are edits of it by fixed rules, and slot 3 is missing where doc_id is a multiple of 5.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from speechreport.functions import columns as C
+from speechreport.operators import conversations, inference, prompts, quality, replies, slots, validate
+from speechreport.plans import standins
+from speechreport.plans.pipelines import run_pipelines
+from speechreport.sources import recordings, schemas
+from speechreport.streaming.chunks import assemble_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pick(*values: str | None) -> Column:
+    """One of the values by doc_id."""
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("doc_id") % len(values)).cast("int"))
+
+
+MODELS = ("openai:whisper-1", "gemini:flash", "seamless", "whisper-large", "openai:", None, "")
+MODEL_SQL = "['openai:whisper-1','gemini:flash','seamless','whisper-large','openai:',NULL,''][doc_id % 7 + 1]"
+SLOTS_SQL = """slots AS (
+  SELECT doc_id AS recording_id, 1 AS slot_no, text FROM documents
+  UNION ALL SELECT doc_id, 2, replace(text, ' the ', ' zqx ') FROM documents
+  UNION ALL SELECT doc_id, 3, replace(text, ' of ', ' qzf ') FROM documents WHERE doc_id % 5 <> 0)"""
+
+
+def slot_texts() -> list[Column]:
+    text = F.col("text")
+    return [text, F.replace(text, F.lit(" the "), F.lit(" zqx ")), F.when(F.col("doc_id") % 5 != 0, F.replace(text, F.lit(" of "), F.lit(" qzf ")))]
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, slot_no, model, text) of every document's slots."""
+    one, two, three = slot_texts()
+    said = F.array(*[F.struct(F.lit(n).alias("slot_no"), F.lit(m).alias("model"), t.alias("text")) for n, m, t in ((1, "seamless", one), (2, "whisper", two), (3, "mms-all", three))])
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.inline(F.filter(said, lambda s: s["text"].isNotNull())))
+    return rows
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN m LIKE 'openai:%' THEN 'openai' WHEN m LIKE 'gemini:%' THEN 'gemini' ELSE 'local' END AS provider,
+  CASE WHEN m LIKE 'openai:%' THEN 'openai' ELSE 'local' END AS text_route,
+  CASE WHEN m LIKE 'openai:%' OR m LIKE 'gemini:%' THEN substr(m, 8) ELSE m END AS bare_model,
+  CASE WHEN doc_id % 2 = 0 AND NOT coalesce(m LIKE 'gemini:%', false) THEN 'openai:' || m ELSE m END AS qualified,
+  coalesce(m IN ('seamless'), false) AS registered
+FROM (SELECT doc_id, {MODEL_SQL} AS m FROM documents)""")
+def provider_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = validate.routed(table(spark, sf_dir, "documents").select("doc_id", pick(*MODELS).alias("llm_model")))
+    cloud = F.col("doc_id") % 2 == 0
+    asis = F.coalesce(F.col("llm_model").startswith(C.GEMINI_PREFIX), F.lit(False))
+    df = df.withColumn("qualified", C.qualify_model(F.col("llm_model"), cloud & ~asis, "llm"))
+    known, unknown = slots.attach_model(df, schemas.stt_registry(spark), "llm_model")
+    both = known.withColumn("registered", F.lit(True)).unionByName(unknown.withColumn("registered", F.lit(False)), allowMissingColumns=True)
+    return both.select("doc_id", "provider", "text_route", "bare_model", "qualified", "registered")
+
+
+@query("""
+SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'en' END, ''), nullif(lang, ''), 'fa') AS language,
+  coalesce(nullif(CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN source END, ''), nullif(CASE WHEN doc_id % 2 = 0 THEN lang END, ''), '') AS headline
+FROM documents""")
+def override_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    run = F.when(n % 3 == 0, "").when(n % 3 == 1, "en")
+    final = F.when(n % 4 == 0, "").when(n % 4 == 1, F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.resolve(run, F.col("lang"), F.lit("fa")).alias("language"), C.headline(final, F.when(n % 2 == 0, F.col("lang"))).alias("headline"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, ['separate','multimodal','hybrid','other',NULL][o_orderkey % 5 + 1] AS p,
+    ['seamless','openai:x','gemini:x','whisper'][o_custkey % 4 + 1] AS llm, o_custkey % 6 AS n, o_orderkey % 7 = 0 AS none FROM orders),
+v AS (SELECT *, CASE WHEN p IS NULL THEN 409 WHEN p = 'other' THEN 400 WHEN n > 3 THEN 400
+    WHEN p IN ('multimodal','hybrid') AND llm IN ('seamless','whisper') THEN 503
+    WHEN p = 'hybrid' AND (n = 0 OR none) THEN 400
+    WHEN p = 'separate' AND (n = 0 OR none) THEN 400
+    WHEN p = 'separate' AND llm <> 'openai:x' THEN 503 END AS status FROM r)
+SELECT coalesce(p, 'none') AS pipeline, status, count(*) AS n_requests, sum(o_orderkey)::BIGINT AS key_sum FROM v GROUP BY 1, 2""")
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    pipeline = F.get(F.array(*[F.lit(x).cast("string") for x in ("separate", "multimodal", "hybrid", "other", None)]), (F.col("o_orderkey") % 5).cast("int"))
+    llm = F.get(F.array(*map(F.lit, ("seamless", "openai:x", "gemini:x", "whisper"))), (F.col("o_custkey") % 4).cast("int"))
+    slot = F.struct(F.lit("seamless").alias("model"), *[F.lit(None).cast("string").alias(k) for k in ("api_key", "base_url", "language")])
+    n = (F.col("o_custkey") % 6).cast("int")
+    listed = F.transform(F.array_repeat(F.lit(1), n), lambda _: F.when(F.col("o_orderkey") % 7 != 0, slot))
+    asked = orders.select("o_orderkey", pipeline.alias("pipeline"), llm.alias("llm_model"), listed.alias("stt_slots"))
+    checked = validate.validate_requests(asked, stt_engines=["seamless"], llm_engines=[])
+    return checked.groupBy(F.coalesce("pipeline", F.lit("none")).alias("pipeline"), "status").agg(F.count(F.lit(1)).alias("n_requests"), F.sum("o_orderkey").alias("key_sum"))
+
+
+NAMES = ("take.wav", "TAKE.MP3", "take", "take.m4a", "a.b/take.tar.flac", ".wav", "x.Ogg")
+
+
+@query("""
+WITH f AS (SELECT doc_id, ['take.wav','TAKE.MP3','take','take.m4a','a.b/take.tar.flac','.wav','x.Ogg'][doc_id % 7 + 1] AS name,
+    ['openai:x','gemini:x','gemma-4-e4b'][doc_id % 3 + 1] AS model FROM documents),
+e AS (SELECT *, lower(regexp_extract(regexp_extract(name, '([^/]*)$', 1), '^.+\\.([^.]+)$', 1)) AS ext FROM f),
+g AS (SELECT *, CASE WHEN (model LIKE 'openai:%' AND ext IN ('wav','mp3')) OR (model NOT LIKE 'openai:%' AND ext IN ('wav','mp3','aac','ogg','flac','aiff')) THEN ext END AS audio_format FROM e)
+SELECT doc_id, audio_format, 'audio/' || audio_format AS mime_type, CASE WHEN audio_format IS NULL THEN 400 END AS status FROM g""")
+def audio_format_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents").select("doc_id", pick(*NAMES).alias("file_name"), pick("openai:x", "gemini:x", "gemma-4-e4b").alias("llm_model"))
+    checked = validate.check_audio_format(df)
+    return checked.select("doc_id", "audio_format", C.mime_type(F.col("audio_format")).alias("mime_type"), "status")
+
+
+@query("""
+SELECT doc_id, lang AS language, CASE WHEN lang NOT IN ('fa', 'en') THEN 400 END AS status,
+  CASE WHEN lang = 'en' THEN 'english' ELSE lang END AS whisper_code, CASE WHEN lang = 'en' THEN 'eng' ELSE lang END AS seamless_code
+FROM documents""")
+def language_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = validate.check_language(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language")))
+    code = lambda family: C.family_language(F.lit(family), F.col("language"))
+    return df.select("doc_id", "language", "status", code("whisper").alias("whisper_code"), code("seamless_v2").alias("seamless_code"))
+
+
+@query("""
+SELECT c_custkey, 1 AS slot_no, c_name AS model, c_mktsegment AS base_url, NULL::VARCHAR AS api_key FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 2, 'whisper', NULL, NULL FROM customer""")
+def redacted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slot = lambda model, key, url: F.struct(model.alias("model"), key.alias("api_key"), url.alias("base_url"), F.lit(None).cast("string").alias("language"))
+    first = F.when(F.col("c_custkey") % 3 != 0, slot(F.col("c_name"), F.col("c_name"), F.col("c_mktsegment")))
+    second = slot(F.lit("whisper"), F.lit("secret"), F.lit(None).cast("string"))
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.array(first, second).alias("stt_slots"))
+    cleared = df.withColumn("stt_slots", C.redact_slots(F.col("stt_slots")))
+    out = cleared.select("c_custkey", F.posexplode("stt_slots").alias("at", "slot")).filter("slot is not null")
+    keys = [f.name for f in out.schema["slot"].dataType.fields]
+    return out.select("c_custkey", (F.col("at") + 1).alias("slot_no"), "slot.model", "slot.base_url", (F.col("slot.api_key") if "api_key" in keys else F.lit(None).cast("string")).alias("api_key"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'گزارش ' || source ELSE text END, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS n_lines, sum(regexp_matches(line, '[\\x{0590}-\\x{08FF}\\x{FB1D}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]')::INT)::BIGINT AS n_rtl, sum(length(line))::BIGINT AS n_chars FROM l GROUP BY 1""")
+def rtl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit("\nگزارش "), F.col("source"))).otherwise(F.col("text"))
+    lines = recordings.report_lines(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("rtl").cast("long")).alias("n_rtl"), F.sum(F.length("line").cast("long")).alias("n_chars"))
+
+
+@query("""
+WITH u AS (SELECT page_id, url, regexp_extract(url, '([^/]*)$', 1) AS last FROM pages),
+s AS (SELECT page_id, CASE WHEN regexp_matches(last, '^\\.*[^.].*\\.[^.]*$') THEN regexp_replace(last, '\\.[^.]*$', '') ELSE last END AS stem,
+  trim(regexp_replace(CASE WHEN url LIKE 'openai:%' THEN substr(url, 8) ELSE url END, '[\\\\/:*?"<>|]', '-', 'g'), '-_') AS part FROM u)
+SELECT page_id, list_aggregate(list_filter([stem, part, 'gemini-x', 'whisper'], lambda x: x <> ''), 'string_agg', '_') || '.docx' AS name FROM s""")
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = [F.col("url"), F.lit("gemini:x"), F.lit(None).cast("string"), F.lit("openai:whisper")]
+    return table(spark, sf_dir, "pages").select("page_id", C.output_name(F.col("url"), models).alias("name"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A separate request for every document: three slots, the third null where doc_id is a multiple of 5."""
+    slot = lambda model, lang: F.struct(F.lit(model).alias("model"), F.lit(None).cast("string").alias("api_key"), F.lit(None).cast("string").alias("base_url"), F.lit(lang).cast("string").alias("language"))
+    three = F.array(slot("seamless", None), slot("whisper", "en"), F.when(F.col("doc_id") % 5 != 0, slot("mms-all", "")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.lit("separate").alias("pipeline"), F.lit("aya-expanse-8b").alias("llm_model"), F.col("lang").alias("language"), three.alias("stt_slots"), F.lit("audio.wav").alias("file_name"))
+
+
+@query("""
+SELECT doc_id AS recording_id, 1 AS slot_no, 'seamless' AS model, nullif(lang, '') AS language FROM documents
+UNION ALL SELECT doc_id, 2, 'whisper', 'en' FROM documents
+UNION ALL SELECT doc_id, 3, 'mms-all', nullif(lang, '') FROM documents WHERE doc_id % 5 <> 0""")
+def slot_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.fan_out_slots(requests(spark, sf_dir)).select("recording_id", "slot_no", "model", "language")
+
+
+@query(f"""
+WITH {SLOTS_SQL}
+SELECT recording_id, max(text) FILTER (slot_no = 1) AS transcript_1, max(text) FILTER (slot_no = 2) AS transcript_2, max(text) FILTER (slot_no = 3) AS transcript_3,
+  string_agg('transcript_' || slot_no, ',' ORDER BY slot_no) AS keys FROM slots GROUP BY 1""")
+def assembled_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = slots.assemble_transcripts(transcripts(spark, sf_dir))
+    return found.select("recording_id", "transcript_1", "transcript_2", "transcript_3", F.array_join(F.map_keys("transcripts"), ",").alias("keys"))
+
+
+@query(f"""
+WITH {SLOTS_SQL}
+SELECT recording_id, string_agg('STT engine ' || slot_no || ' transcript:' || chr(10) || text, chr(10) || chr(10) ORDER BY slot_no) AS user_text,
+  string_agg('Reference transcript ' || slot_no || ' (from a separate STT engine — may contain errors):' || chr(10) || text, chr(10) || chr(10) ORDER BY slot_no) AS reference_text
+FROM slots GROUP BY 1""")
+def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prompts.build_messages(slots.assemble_transcripts(transcripts(spark, sf_dir)))
+    return found.select("recording_id", F.get("messages", F.lit(1))["content"].alias("user_text"), prompts.reference_sections(F.col("transcripts")).alias("reference_text"))
+
+
+@query()
+def rendered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents")
+    sound, system, user = F.col("text").cast("binary"), F.lit("Listen."), F.col("source")
+    shapes = F.array(*[F.struct(F.lit(s).alias("shape"), prompts.render_request(s, pick("openai:x", "gemini:y", "gemma-4-e4b"), system, user, sound, F.lit("wav")).alias("body")) for s in ("chat", "audio_chat", "inline")])
+    return df.select("doc_id", F.inline(shapes))
+
+
+@query("""
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 3 AS found, 0 AS missing FROM events""")
+def response_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.col("props")
+    bodies = {
+        "local": F.to_json(F.struct(said.alias("reply"))),
+        "chat": F.to_json(F.struct(F.array(F.struct(F.struct(said.alias("content")).alias("message"))).alias("choices"))),
+        "inline": F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(said.alias("text"))).alias("parts")).alias("content"))).alias("candidates"))),
+    }
+    texts = F.array(*[replies.reply_text(b, s) for s, b in bodies.items()])
+    wrong = F.array(replies.reply_text(bodies["chat"], "inline"), replies.reply_text(bodies["local"], "transcription"))
+    number = F.get_json_object(F.get(texts, F.lit(2)), "$.k").cast("long")
+    count = lambda xs: F.size(F.filter(xs, lambda x: x.isNotNull()))
+    return table(spark, sf_dir, "events").select("event_id", number.alias("k"), F.size(F.filter(texts, lambda x: x == said)).alias("found"), count(wrong).alias("missing"))
+
+
+@query("""
+WITH r AS (SELECT event_id, event_id % 6 AS c, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, CASE WHEN c IN (2, 3, 5) THEN 502 END AS status, CASE WHEN c NOT IN (2, 3, 5) THEN k END AS notes,
+  CASE WHEN c IN (2, 3, 5) THEN NULL WHEN c = 4 THEN 'notes,final_text' ELSE 'notes' END AS keys FROM r""")
+def reply_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    good = F.concat(F.lit('{"notes": "'), k, F.lit('"}'))
+    case = (F.col("event_id") % 6).cast("int")
+    reply = (
+        F.when(case == 0, good).when(case == 1, F.concat(F.lit("Sure.\n```json\n"), good, F.lit("\n```\nDone {.")))
+        .when(case == 2, F.concat(good, F.lit(" and "), good)).when(case == 3, F.concat(F.lit("{'notes': "), k, F.lit("}")))
+        .when(case == 4, F.concat(F.lit('so {"notes": "x", "notes": "'), k, F.lit('", "final_text": NaN} ok'))).otherwise(F.lit("no braces"))
+    )
+    found = replies.extract_json(table(spark, sf_dir, "events").select("event_id", reply.alias("reply")))
+    return found.select("event_id", "status", F.col("report.notes").alias("notes"), F.array_join("present_keys", ",").alias("keys"))
+
+
+@query(f"""
+WITH {SLOTS_SQL}, t AS (SELECT recording_id, max(text) FILTER (slot_no = 1) AS t1, max(text) FILTER (slot_no = 2) AS t2, max(text) FILTER (slot_no = 3) AS t3 FROM slots GROUP BY 1)
+SELECT recording_id, CASE WHEN recording_id % 4 = 0 THEN 'replaced' ELSE t1 END AS transcript_1, t2 AS transcript_2, t3 AS transcript_3,
+  'ok ' || recording_id AS final_text, NULL::VARCHAR AS notes FROM t""")
+def merged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = slots.attach_references(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id")), slots.assemble_transcripts(transcripts(spark, sf_dir)))
+    also = F.when(F.col("recording_id") % 4 == 0, ', "transcript_1": "replaced"').otherwise("")
+    reply = F.concat(F.lit('{"final_text": "ok '), F.col("recording_id").cast("string"), F.lit('"'), also, F.lit("}"))
+    parsed = replies.extract_json(found.select("recording_id", "transcript_1", "transcript_2", "transcript_3", reply.alias("reply")))
+    return slots.merge_report(parsed).select("recording_id", "transcript_1", "transcript_2", "transcript_3", "final_text", "notes")
+
+
+@query("""
+SELECT conv_id, max(turn) FILTER (role = 'user') AS turn, arg_max(text, turn) FILTER (role = 'user') AS text FROM conversations GROUP BY 1""")
+def last_user_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.last_user_turn(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")
+
+
+@query("""
+WITH s AS (SELECT * FROM conversations WHERE length(trim(coalesce(text, ''))) > 0),
+h AS (SELECT conv_id, turn, role, string_agg(role || ':' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY (role <> 'system')::INT, turn ROWS UNBOUNDED PRECEDING) AS history,
+  bool_or(role = 'system') OVER (PARTITION BY conv_id) AS has FROM s)
+SELECT conv_id, turn, CASE WHEN has THEN history ELSE 'system:Be brief.' || chr(10) || history END AS history FROM h WHERE role = 'user'""")
+def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.chat_history(table(spark, sf_dir, "conversations"), "Be brief.")
+    said = F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
+    return found.select("conv_id", "turn", F.array_join(said, "\n").alias("history"))
+
+
+@query("""
+WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+l AS (SELECT conv_id, max(i) FILTER (role = 'user') AS last FROM m GROUP BY 1),
+p AS (SELECT m.conv_id, i, role, text, i = last AS heard FROM m JOIN l USING (conv_id))
+SELECT conv_id, i AS message_no, family, part_no, kind, CASE WHEN kind = 'audio' THEN NULL ELSE text END AS text FROM (
+  SELECT conv_id, i, text, 'gemma' AS family, 0 AS part_no, CASE WHEN role = 'system' THEN 'plain' ELSE 'text' END AS kind FROM p
+  UNION ALL SELECT conv_id, i, text, 'gemma', 1, 'audio' FROM p WHERE heard AND role <> 'system'
+  UNION ALL SELECT conv_id, i, text, 'qwen', CASE WHEN heard THEN 1 ELSE 0 END, 'text' FROM p
+  UNION ALL SELECT conv_id, i, text, 'qwen', 0, 'audio' FROM p WHERE heard)""")
+def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    said = turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("m"))
+    users = F.filter(F.transform("m", lambda x, i: F.when(x["role"] == "user", i)), lambda i: i.isNotNull())
+    said = said.withColumn("last", F.array_max(users))
+    rows = [said.select("conv_id", F.lit(f).alias("family"), F.posexplode(prompts.to_parts(F.col("m"), f, F.lit("take.wav"), F.col("last"))).alias("message_no", "p")) for f in ("gemma", "qwen")]
+    parts = rows[0].unionByName(rows[1]).select("conv_id", F.col("message_no").cast("long").alias("message_no"), "family", F.posexplode("p.parts").alias("part_no", "part"))
+    return parts.select("conv_id", "message_no", "family", "part_no", F.col("part.type").alias("kind"), "part.text")
+
+
+@query("""
+SELECT doc_id, m AS model, CASE WHEN doc_id % 3 = 0 THEN 0.0 WHEN doc_id % 3 = 1 THEN 0.3 ELSE 0.9 END > 0.01 AS do_sample FROM
+  (SELECT doc_id, ['gemma-4-e4b','aya-expanse-8b','qwen3-omni-30b','nope'][doc_id % 4 + 1] AS m FROM documents) WHERE m IN ('gemma-4-e4b', 'gemma-4-12b', 'qwen3-omni-30b')""")
+def audio_models_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents").select("doc_id", pick("gemma-4-e4b", "aya-expanse-8b", "qwen3-omni-30b", "nope").alias("model"), F.get(F.array(F.lit(0.0), F.lit(None).cast("double"), F.lit(0.9)), (F.col("doc_id") % 3).cast("int")).alias("t"))
+    able = F.broadcast(slots.audio_models(schemas.llm_registry(spark)))
+    return df.join(able, F.col("model") == F.col("key"), "left_semi").select("doc_id", "model", C.generation_params(F.col("t"))["do_sample"].alias("do_sample"))
+
+
+@query(f"""
+WITH {SLOTS_SQL}, e AS (SELECT CASE slot_no WHEN 1 THEN 'seamless' WHEN 2 THEN 'whisper' ELSE 'mms-all' END AS model, d.lang AS condition,
+    len(regexp_extract_all(d.text, '[^ \\t\\n\\x0B\\f\\r]+')) AS words,
+    CASE slot_no WHEN 1 THEN 0 WHEN 2 THEN (length(d.text) - length(replace(d.text, ' the ', ''))) // 5 ELSE (length(d.text) - length(replace(d.text, ' of ', ''))) // 4 END AS edits
+  FROM slots JOIN documents d ON doc_id = recording_id),
+w AS (SELECT model, condition, sum(edits)::BIGINT AS edits, sum(words)::BIGINT AS ref_words FROM e GROUP BY 1, 2)
+SELECT *, edits / ref_words AS wer, row_number() OVER (PARTITION BY condition ORDER BY edits / ref_words, model)::INT AS rank FROM w""")
+def model_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), "text", F.col("lang").alias("condition"))
+    paired = quality.pair_for_scoring(transcripts(spark, sf_dir).join(truth.select("recording_id", "condition"), "recording_id"), truth)
+    ranked = quality.rank_models(quality.wer_by_model(quality.token_edits(paired)))
+    return ranked.select("model", "condition", "edits", "ref_words", "wer", "rank")
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(replace(text, ' the ', ' zqx ') || ' ' || source), '[^ \\t\\n\\x0B\\f\\r]+')) AS own, regexp_extract_all(lower(text), '[^ \\t\\n\\x0B\\f\\r]+') AS known FROM documents),
+u AS (SELECT doc_id, len(own) AS n_output, list_sort(list_filter(own, lambda x: NOT list_contains(known, x))) AS un FROM w)
+SELECT doc_id, n_output, coalesce(array_to_string(un, ','), '') AS unsupported, len(un) / n_output AS share FROM u""")
+def unsupported_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents")
+    said = F.concat_ws(" ", F.replace(F.col("text"), F.lit(" the "), F.lit(" zqx ")), F.col("source"))
+    found = quality.unsupported_tokens(df.select("doc_id", said.alias("final_text"), F.col("text").alias("transcript_1")), sources=("transcript_1",))
+    return found.select("doc_id", "n_output", F.array_join("unsupported", ",").alias("unsupported"), "share")
+
+
+WORDS_SQL = f"""{SLOTS_SQL}, w AS (SELECT recording_id, slot_no, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM slots),
+t AS (SELECT recording_id, slot_no, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS i FROM w)"""
+
+
+@query(f"""
+WITH {WORDS_SQL}
+SELECT recording_id, 2 * i AS position, string_agg(slot_no || '=' || token, ',' ORDER BY slot_no) AS variants FROM t GROUP BY recording_id, i HAVING min(token) <> max(token)""")
+def transcript_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.discrepancies(transcripts(spark, sf_dir))
+    listed = F.transform(F.map_entries("variants"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
+    return found.select("recording_id", "position", F.array_join(F.array_sort(listed), ",").alias("variants"))
+
+
+@query(f"""
+WITH {WORDS_SQL}, c AS (SELECT recording_id, i, token, count(*) AS n, min(slot_no) AS s FROM t GROUP BY 1, 2, 3),
+b AS (SELECT recording_id, i, token, row_number() OVER (PARTITION BY recording_id, i ORDER BY n DESC, s) AS r FROM c)
+SELECT recording_id, string_agg(token, ' ' ORDER BY i) AS voted_text FROM b WHERE r = 1 GROUP BY 1""")
+def voted_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.vote_transcript(transcripts(spark, sf_dir))
+
+
+@query("""
+WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type FROM events)
+SELECT user_id::VARCHAR AS recording_id, CASE WHEN user_id % 4 = 0 THEN 'incomplete' ELSE 'complete' END AS status, count(*) AS n_chunks, string_agg(event_type, '' ORDER BY seq) AS content FROM c GROUP BY user_id""")
+def chunk_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("user_id")
+    seq = F.row_number().over(own.orderBy("event_id")) - 1
+    last = (seq == F.count(F.lit(1)).over(own) - 1) & (F.col("user_id") % 4 != 0)
+    chunks = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("recording_id"), seq.alias("seq"), F.col("event_type").cast("binary").alias("bytes"), last.alias("is_last"))
+    found = assemble_batch(chunks.unionAll(chunks))
+    return found.select("recording_id", "status", "n_chunks", F.col("content").cast("string").alias("content"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 8 IN (1, 4, 5, 6) THEN 400 END AS status,
+  CASE doc_id % 8 WHEN 0 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 7 THEN 4 END AS n_slots,
+  CASE WHEN doc_id % 8 IN (0, 7) THEN 'whisper' END AS last_model FROM documents""")
+def slots_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ('[null, {"model": "whisper"}]', '{"a": 1}', "{}", "", "3", "[{}]", '[{"model": "a"', '[{"model":"a"},null,{"model":"b"},{"model":"whisper"}]')
+    df = recordings.read_requests(table(spark, sf_dir, "documents").select("doc_id", pick(*texts).alias("stt_slots_json"), F.lit(None).cast(schemas.SLOTS).alias("stt_slots")))
+    n = F.when(F.col("status").isNull(), F.coalesce(F.size("stt_slots"), F.lit(0)))
+    return df.select("doc_id", "status", F.when(n < 0, 0).otherwise(n).alias("n_slots"), F.get("stt_slots", F.size("stt_slots") - 1)["model"].alias("last_model"))
+
+
+@query(f"""
+WITH {SLOTS_SQL}, t AS (SELECT recording_id, max(text) FILTER (slot_no = 1) AS t1, max(text) FILTER (slot_no = 2) AS t2, max(text) FILTER (slot_no = 3) AS t3 FROM slots GROUP BY 1)
+SELECT recording_id, 'separate' AS pipeline, t1 AS transcript_1, t2 AS transcript_2, t3 AS transcript_3, t1 AS raw_transcript, NULL::VARCHAR AS final_text, length(t1)::VARCHAR AS notes, NULL::INT AS status FROM t""")
+def separate_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heard = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), "text")
+    found = run_pipelines(requests(spark, sf_dir), heard.withColumnRenamed("text", "said"), standins.STT, standins.LLM, audio="said")
+    return found.select("recording_id", "pipeline", "transcript_1", "transcript_2", "transcript_3", "raw_transcript", "final_text", "notes", "status")
+
+
+@query("""
+SELECT doc_id AS recording_id, ['multimodal','hybrid','separate','other'][doc_id % 4 + 1] AS pipeline,
+  CASE WHEN doc_id % 4 = 3 THEN 400 WHEN doc_id % 4 IN (0, 1) AND doc_id % 3 = 0 THEN 400 END AS status,
+  CASE WHEN doc_id % 4 = 2 OR (doc_id % 4 IN (0, 1) AND doc_id % 3 <> 0) THEN text END AS raw_transcript FROM documents""")
+def mixed_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, ("multimodal", "hybrid", "separate", "other"))), (F.col("recording_id") % 4).cast("int"))
+    asked = requests(spark, sf_dir).withColumns({"pipeline": kind, "llm_model": F.when(kind == "separate", "aya-expanse-8b").otherwise("gemma-4-e4b"), "file_name": F.when(F.col("recording_id") % 3 == 0, "a.m4a").otherwise("a.wav")})
+    heard = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.col("text").alias("said"))
+    found = run_pipelines(asked, heard, standins.STT, standins.LLM, audio="said")
+    return found.select("recording_id", "pipeline", "status", "raw_transcript")
+
+
+@query()
+def recordings_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each user as samples of a WAV file, decoded as scanned recordings are."""
+    from speechreport.streaming.chunks import to_wav
+
+    @F.pandas_udf("binary")
+    def wav(pcm):  # noqa: ANN001, ANN202
+        return pcm.map(lambda x: to_wav(bytes(x), 8000))
+
+    sample = F.unhex(F.lpad(F.hex(F.pmod(F.col("value").cast("long"), F.lit(65536))), 4, "0"))
+    sound = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", sample.alias("s")))).alias("p"))
+    files = sound.select(F.col("user_id").cast("string").alias("recording_id"), wav(F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["s"]))).alias("content"))
+    found = inference.decode_audio(files)
+    return found.select("recording_id", "status", F.size("samples").alias("n_samples"), "sample_rate")
