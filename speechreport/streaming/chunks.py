@@ -15,7 +15,7 @@ RATE = 16_000
 #: Event time that a recording may wait for its next chunk.
 WAIT_MS = 600_000
 OUTPUT = "recording_id string, status string, n_chunks long, content binary"
-STATE = "seqs array<long>, parts array<binary>, last long"
+STATE = "seqs array<long>, parts array<binary>, last long, newest long"
 
 
 def to_wav(pcm: bytes, rate: int = RATE) -> bytes:
@@ -30,7 +30,7 @@ def to_wav(pcm: bytes, rate: int = RATE) -> bytes:
 
 
 def _assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seqs, held, last = state.get if state.exists else ([], [], -1)
+    seqs, held, last, newest = state.get if state.exists else ([], [], -1, 0)
     known = {int(s): bytes(x) for s, x in zip(seqs, held, strict=True)}
 
     def row(status: str) -> pd.DataFrame:
@@ -42,6 +42,7 @@ def _assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
         yield row("incomplete")
         return
     for part in parts:
+        newest = max(newest, int(part["ms"].max()))
         for seq, data, end in zip(part["seq"], part["bytes"], part["is_last"], strict=True):
             known.setdefault(int(seq), bytes(data) if data is not None else b"")
             last = int(seq) if end else last
@@ -49,8 +50,8 @@ def _assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
     if last >= 0 and len([s for s in known if s <= last]) == last + 1:
         yield row("complete")
         return
-    state.update((list(known), list(known.values()), last))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + WAIT_MS)
+    state.update((list(known), list(known.values()), last, newest))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + WAIT_MS)
 
 
 def assemble_chunks(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -59,7 +60,7 @@ def assemble_chunks(stream: DataFrame, watermark: str = "10 minutes") -> DataFra
     seq counts from 0. Chunks may come in any order; of rows with one (recording_id, seq) the first
     counts. A recording whose last chunk doesn't come within the watermark is given as 'incomplete'.
     """
-    grouped = stream.withWatermark("ts", watermark).groupBy("recording_id")
+    grouped = stream.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", watermark).groupBy("recording_id")
     return grouped.applyInPandasWithState(_assemble, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
