@@ -2,12 +2,15 @@
 
 The library's time goes to merges of words that it has already merged. Texts whose characters all lie
 below U+0100 are cut where the tokenizer's own pre-tokenizer cuts them, and each distinct piece is
-encoded by the library once per worker; other texts go through the library whole.
+encoded once while a worker keeps it, by the library's model, since cutting and normalizing are done;
+other texts go through the library whole.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,25 +25,42 @@ CUTS = {
     "byte": "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+",
     "word": "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+",
 }
-CACHED = 400_000
+#: Pieces in each of the two generations that a worker keeps: about 100 MB each.
+CACHED = 500_000
 LONGEST_CACHED = 64
 
 
 class Pieces(dict):
-    """Little-endian ids of a piece of text; encodes a piece when it is first asked for."""
+    """Little-endian ids of a piece of text; encodes a piece when it is first asked for.
+
+    When the newer generation is full it becomes the older one, so pieces in use stay.
+    """
 
     def __init__(self, encode: Callable[[str], bytes]):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(piece) <= LONGEST_CACHED:
             if len(self) >= CACHED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies, for str.translate on Latin-1.
+
+    Bytes that print stand for themselves, the rest for the letters from U+0100 on, in order.
+    """
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Encoder:
     """encode(text) -> bytes of little-endian unsigned ids, 2 bytes each if the vocabulary allows."""
 
@@ -54,7 +74,15 @@ class Encoder:
         library.encode_special_tokens = True
         self.dtype = "<u2" if library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        self.pieces = Pieces(self.whole)
+        code, letters, merge, swap = "H" if self.dtype == "<u2" else "I", byte_letters(), library.model.tokenize, sys.byteorder != "little"
+
+        def piece(text: str) -> bytes:
+            ids = array(code, [t.id for t in merge(text.encode().decode("latin-1").translate(letters))])
+            if swap:
+                ids.byteswap()
+            return ids.tobytes()
+
+        self.pieces = Pieces(piece)
         self.wide = re.compile("[^\\x00-\\xff]").search
         self.cut = re.compile(CUTS[kind].format(L=LETTERS, N=NUMBERS, S=BLANKS)).findall
         self.lower = kind == "word"
