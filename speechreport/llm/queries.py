@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, media, mil_quality, ngram_join, packing, range_coder, warc
+from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, media, mil_quality, ngram_join, oracles, packing, range_coder, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,4 +62,10 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mil_quality, op2_warc, op3_license_join, op4_packing, op5_chat_snapshots, op6_ngram_join, op7_range_coder, op8_host_rules, op9_media, op10_budget_mix)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": oracles.WARC,
+    "op3_license_join": oracles.license_sql(),
+    "op5_chat_snapshots": oracles.CHAT,
+    "op6_ngram_join": oracles.JACCARD,
+    "op8_host_rules": oracles.HOSTS,
+}
