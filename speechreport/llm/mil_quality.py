@@ -209,13 +209,13 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return fit(np.concatenate(bags).astype(np.float64), np.array([len(b) for b in bags]), np.array([y for _, y, _ in got], float))
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df's columns but for ``text``, with score (double) and predicted (int).
+def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """df's columns (``text`` only if asked for), with score (double) and predicted (int).
 
     Null and empty texts are one passage without words and are scored like others. Columns of df
     named score or predicted are replaced.
     """
-    kept = [c for c in df.columns if c not in (text, "score", "predicted")]
+    kept = [c for c in df.columns if c not in ("score", "predicted") and (keep_text or c != text)]
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = df.select(*kept).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
@@ -226,7 +226,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             own = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
