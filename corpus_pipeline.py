@@ -23,8 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on this stage's labelled documents, holds to be good."""
-    model = mil_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the classifier holds to be good.
+
+    It is fitted on labelled rows of the whole table: the rules have already taken most of the bad
+    ones from docs, and a model that has seen few of them would reject good documents.
+    """
+    model = mil_quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mil_quality.score(docs.select(*COLUMNS), model, keep_text=True).filter("predicted = 1").select(*COLUMNS)
 
 
