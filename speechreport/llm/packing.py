@@ -26,7 +26,7 @@ LENGTH = 4096
 WINDOW = 64 * LENGTH
 
 
-def quanta(sized: DataFrame, weights: dict[str | None, float] | None, window: int) -> DataFrame:
+def quanta(sized: DataFrame, weights: dict[str | None, float] | None, window: int, length: int = LENGTH) -> DataFrame:
     """(source, quantum): tokens that each source earns in a round; shares follow ``weights``.
 
     Without weights a source's share is its share of all tokens, so all queues end together. Sources
@@ -39,7 +39,7 @@ def quanta(sized: DataFrame, weights: dict[str | None, float] | None, window: in
         for name, w in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(share)
     shares = totals.select("source", share.alias("share"))
-    whole = shares.agg(F.sum("share").alias("whole"), F.greatest(F.lit(window), F.count(F.lit(1)) * LENGTH).alias("window"))
+    whole = shares.agg(F.sum("share").alias("whole"), F.greatest(F.lit(window), F.count(F.lit(1)) * length).alias("window"))
     # one row joins every source
     found = shares.join(F.broadcast(whole.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
     return found.select("source", (F.col("window") * F.col("share") / F.col("whole")).alias("quantum"))
@@ -51,7 +51,7 @@ def schedule(sized: DataFrame, length: int = LENGTH, weights: dict[str | None, f
     ``row`` identifies a row. A document's packets have at most ``length`` tokens.
     """
     queued = with_starts(sized, ["doc_id", "row"], "size", by="source", start="queued")
-    earned = materialize(quanta(sized, weights, window))
+    earned = materialize(quanta(sized, weights, window, length))
     packets = queued.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(length).cast("long"))).alias("begin"))
     packets = packets.withColumn("span", F.least(F.lit(length), F.col("size") - F.col("begin")))
     packets = packets.withColumnRenamed("source", "_source").join(small(earned), F.col("_source").eqNullSafe(F.col("source")))

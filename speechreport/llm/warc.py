@@ -10,6 +10,7 @@ enters, so no task follows a whole file's chain.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,7 +85,7 @@ def reachable(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
         end, leave = (int(group["block"].iloc[0]) + 1) * block, {}
         for a, n in sorted(zip(at.tolist(), step.tolist(), strict=True), reverse=True):
             leave[a] = n if n < 0 or n >= end else leave.get(n, -1)
-        return pd.DataFrame({"file": group["file"], "at": at, "out": [leave[a] for a in at.tolist()]})
+        return pd.DataFrame({"file": group["file"].astype(object), "at": at, "out": np.array([leave[a] for a in at.tolist()], np.int64)})
 
     jumps = materialize(nodes.groupBy("file", "block").applyInPandas(exits, "file string, at long, out long"))
     # only candidates that an exit points at can be entries of blocks
@@ -108,7 +109,7 @@ def reachable(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
             while a in pointer and pointer[a] >= 0:
                 found.append(a)
                 a = pointer.pop(a)
-        return pd.DataFrame({"file": [group["file"].iloc[0]] * len(found), "at": found})
+        return pd.DataFrame({"file": pd.Series([group["file"].iloc[0]] * len(found), dtype=object), "at": np.array(found, np.int64)})
 
     marked = nodes.join(reached.withColumn("entry", F.lit(True)), ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     return marked.groupBy("file", "block").applyInPandas(follow, "file string, at long")
