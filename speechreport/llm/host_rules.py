@@ -18,6 +18,8 @@ WINDOW = 8
 MIN_WORDS = 20
 #: Per cent of words in repeated windows, of symbols among characters of words, of lines that repeat.
 REPEAT_LIMIT, SYMBOL_LIMIT, LINE_LIMIT = 30, 10, 30
+#: Lines without repeats that are added to each text's, so that one repeat among few lines tells little.
+LINE_PRIOR = 6
 #: How far a host's verdict moves a limit, and the prior's least weight in documents.
 STRICT, LENIENT, LEAST_PRIOR = 0.5, 2.0, 2.0
 
@@ -92,7 +94,7 @@ def apply_rules(df: DataFrame, text: str = "text", host: str = "source", out_kee
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_LIMIT * F.col("n_words"))
     found = found.withColumn("base_failed", base_failed)
     found = found.withColumn("_symbols", 100.0 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)))
-    found = found.withColumn("_lines", 100.0 * F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)))
+    found = found.withColumn("_lines", 100.0 * F.col("n_dup_lines") / (F.col("_n_lines") + LINE_PRIOR))
     found = found.withColumn("_fails", F.col("base_failed") | (F.col("_symbols") > SYMBOL_LIMIT) | (F.col("_lines") > LINE_LIMIT))
     found = materialize(found.select(*keep, *[c for c in found.columns if c not in {*keep, text, host}]))
     verdicts = materialize(host_verdicts(found, host))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from speechreport.llm.host_rules import LENIENT, LEAST_PRIOR, LINE_LIMIT, MIN_WORDS, REPEAT_LIMIT, STRICT, SYMBOL_LIMIT
+from speechreport.llm.host_rules import LENIENT, LEAST_PRIOR, LINE_LIMIT, LINE_PRIOR, MIN_WORDS, REPEAT_LIMIT, STRICT, SYMBOL_LIMIT
 from speechreport.llm.license_join import BLOCK, PHRASES, STEP, TEMPLATES, THRESHOLD
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,7 +69,7 @@ m AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_strin
     coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_LIMIT} * n_words AS base_failed,
-    100.0::DOUBLE * n_symbols / greatest(word_chars, 1) AS sym, 100.0::DOUBLE * n_dup_lines / greatest(n_lines, 1) AS lin FROM m),
+    100.0::DOUBLE * n_symbols / greatest(word_chars, 1) AS sym, 100.0::DOUBLE * n_dup_lines / (n_lines + {LINE_PRIOR}) AS lin FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR sym > {SYMBOL_LIMIT} OR lin > {LINE_LIMIT}) AS k FROM f GROUP BY 1),
 q AS (SELECT sum(k)::DOUBLE / sum(n) AS mean, sum(k * k / n::DOUBLE) / sum(n) AS squares FROM h),
 p AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(squares - mean * mean, 1e-9) - 1, {LEAST_PRIOR}), 1e6) AS weight FROM q),
