@@ -57,7 +57,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     return hashed.withColumn("n_repeat_words", covered.cast("long")).drop("_twice", "_some")
 
 
-def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
+def host_verdicts(measured: DataFrame) -> DataFrame:
     """One row for each host: _key, n documents, k failures, shrunk rate and scale of its limits.
 
     The beta prior comes from the mean and the variance of the hosts' rates (method of moments,
@@ -66,16 +66,13 @@ def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
     rates = measured.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_fails").cast("long")).alias("k"))
     rates = materialize(rates)
     square = F.col("k") * F.col("k") / F.col("n").cast("double")
-    prior = rates.agg(F.sum("n").alias("docs"), F.sum("k").alias("failed"), F.sum(square).alias("squares"))
-    mean = F.col("failed") / F.col("docs").cast("double")
-    spread = F.greatest(F.col("squares") / F.col("docs").cast("double") - mean * mean, F.lit(1e-9))
-    weight = F.least(F.greatest(mean * (1 - mean) / spread - 1, F.lit(LEAST_PRIOR)), F.lit(1e6))
-    prior = prior.select(mean.alias("mean"), weight.alias("weight"))
-    # the prior is one row
-    found = rates.join(F.broadcast(prior.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
-    rate = (F.col("k") + F.col("weight") * F.col("mean")) / (F.col("n") + F.col("weight"))
-    scale = F.least(F.greatest(F.col("mean") / F.greatest(rate, F.lit(1e-9)), F.lit(STRICT)), F.lit(LENIENT))
-    return found.select("_key", F.col("n").alias("host_docs"), F.col("k").alias("host_fails"), rate.alias("host_rate"), F.when(F.col("k") == 0, F.lit(LENIENT)).otherwise(scale).alias("host_scale"))
+    docs, failed, squares = rates.agg(F.sum("n"), F.sum("k"), F.sum(square)).first()  # three numbers
+    mean = failed / docs if docs else 0.0
+    spread = max(squares / docs - mean * mean, 1e-9) if docs else 1e-9
+    weight = min(max(mean * (1 - mean) / spread - 1, LEAST_PRIOR), 1e6)
+    rate = (F.col("k") + F.lit(weight * mean)) / (F.col("n") + F.lit(weight))
+    scale = F.least(F.greatest(F.lit(mean) / F.greatest(rate, F.lit(1e-9)), F.lit(STRICT)), F.lit(LENIENT))
+    return rates.select("_key", F.col("n").alias("host_docs"), F.col("k").alias("host_fails"), rate.alias("host_rate"), F.when(F.col("k") == 0, F.lit(LENIENT)).otherwise(scale).alias("host_scale"))
 
 
 def apply_rules(df: DataFrame, text: str = "text", host: str = "source", out_keep: list[str] | None = None) -> DataFrame:
@@ -97,7 +94,7 @@ def apply_rules(df: DataFrame, text: str = "text", host: str = "source", out_kee
     found = found.withColumn("_lines", 100.0 * F.col("n_dup_lines") / (F.col("_n_lines") + LINE_PRIOR))
     found = found.withColumn("_fails", F.col("base_failed") | (F.col("_symbols") > SYMBOL_LIMIT) | (F.col("_lines") > LINE_LIMIT))
     found = materialize(found.select(*keep, *[c for c in found.columns if c not in {*keep, text, host}]))
-    verdicts = materialize(host_verdicts(found, host))
+    verdicts = materialize(host_verdicts(found))
     found = found.join(verdicts, "_key", "left")
     soft = (F.col("_symbols") > F.lit(SYMBOL_LIMIT) * F.col("host_scale")) | (F.col("_lines") > F.lit(LINE_LIMIT) * F.col("host_scale"))
     kept = ~F.col("base_failed") & ~soft

@@ -39,10 +39,9 @@ def quanta(sized: DataFrame, weights: dict[str | None, float] | None, window: in
         for name, w in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(share)
     shares = totals.select("source", share.alias("share"))
-    whole = shares.agg(F.sum("share").alias("whole"), F.greatest(F.lit(window), F.count(F.lit(1)) * length).alias("window"))
-    # one row joins every source
-    found = shares.join(F.broadcast(whole.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
-    return found.select("source", (F.col("window") * F.col("share") / F.col("whole")).alias("quantum"))
+    whole, sources = shares.agg(F.sum("share"), F.count(F.lit(1))).first()  # two numbers
+    earned = F.lit(float(max(window, sources * length))) * F.col("share") / F.lit(whole or 1.0)
+    return shares.select("source", earned.alias("quantum"))
 
 
 def schedule(sized: DataFrame, length: int = LENGTH, weights: dict[str | None, float] | None = None, window: int = WINDOW) -> DataFrame:
