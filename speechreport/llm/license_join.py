@@ -108,8 +108,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[s
 
     def places(phrase: str) -> Column:
         parts = phrase.split()
-        here = lambda i: F.lit(True) if not parts else _all([F.get("_words", i + k) == p for k, p in enumerate(parts)])
-        found = F.filter(F.sequence(F.lit(0), F.size("_words") - len(parts)), here)
+        found = F.filter(F.sequence(F.lit(0), F.size("_words") - len(parts)), lambda i: _all([F.get("_words", i + k) == p for k, p in enumerate(parts)]))
         return F.when(F.contains("_joined", F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
 
     base = worded.withColumn("_joined", joined)

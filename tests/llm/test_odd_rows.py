@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, media, mil_quality, ngram_join, packing, range_coder, warc
+from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, media, mil_quality, ngram_join, packing, range_coder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
