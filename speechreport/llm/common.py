@@ -32,12 +32,12 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most ``rows`` rows, else df, which Spark then shuffles.
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has at most BROADCAST_ROWS rows, else df, which Spark then shuffles.
 
     df should be a written table: it is counted here and read again later.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def words(text: Column) -> Column:

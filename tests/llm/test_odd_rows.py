@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, media, mil_quality, ngram_join, packing, range_coder
+from speechreport.llm import budget_mix, chat_snapshots, common, host_rules, license_join, media, mil_quality, ngram_join, packing, range_coder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -138,7 +138,9 @@ def test_ngram_join(spark, odd):
     assert ngram_join.link(odd.limit(0)).collect() == []
 
 
-def test_ngram_join_matches_brute_force_in_groups_of_near_copies(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
+def test_ngram_join_matches_brute_force_in_groups_of_near_copies(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
     rng = np.random.default_rng(3)
     docs, passage = [], [f"p{i}" for i in range(60)]
     for g in range(6):
