@@ -56,11 +56,12 @@ def write(pages: DataFrame, path: str) -> None:
 def pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(file, split, id, body, n) of what stands between version lines, and (file, id, at, next) of it.
 
+    ``file`` is a hash of the path, which is shorter to carry along.
     ``at`` is the offset of the piece's version line. ids ascend along a file's splits. ``next`` is
     null where no header with a length follows the line.
     """
     raw = spark.read.option("lineSep", VERSION).text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("body"), F.octet_length("value").cast("long").alias("n"))
+    raw = raw.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("body"), F.octet_length("value").cast("long").alias("n"))
     raw = materialize(raw)
     before = Window.partitionBy("file").orderBy("split", "id").rowsBetween(Window.unboundedPreceding, -1)
     order = Window.partitionBy("file").orderBy("split", "id")
@@ -77,6 +78,7 @@ def pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def reachable(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
     """The (file, at) of candidates (file, at, next) that pointers reach from offset 0."""
+    kind = candidates.schema["file"].dataType.simpleString()
     nodes = candidates.select("file", "at", F.coalesce("next", F.lit(-1)).alias("next"), F.floor(F.col("at") / block).alias("block"))
 
     def exits(group: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +89,7 @@ def reachable(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
             leave[a] = n if n < 0 or n >= end else leave.get(n, -1)
         return pd.DataFrame({"file": group["file"].astype(object), "at": at, "out": np.array([leave[a] for a in at.tolist()], np.int64)})
 
-    jumps = materialize(nodes.groupBy("file", "block").applyInPandas(exits, "file string, at long, out long"))
+    jumps = materialize(nodes.groupBy("file", "block").applyInPandas(exits, f"file {kind}, at long, out long"))
     # only candidates that an exit points at can be entries of blocks
     targets = jumps.filter("out >= 0").select("file", F.col("out").alias("at")).distinct()
     entries = materialize(jumps.join(targets, ["file", "at"], "left_semi").union(jumps.filter("at = 0")).distinct())
@@ -112,7 +114,7 @@ def reachable(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
         return pd.DataFrame({"file": pd.Series([group["file"].iloc[0]] * len(found), dtype=object), "at": np.array(found, np.int64)})
 
     marked = nodes.join(reached.withColumn("entry", F.lit(True)), ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
-    return marked.groupBy("file", "block").applyInPandas(follow, "file string, at long")
+    return marked.groupBy("file", "block").applyInPandas(follow, f"file {kind}, at long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
