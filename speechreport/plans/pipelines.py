@@ -9,6 +9,7 @@ from speechreport.functions.columns import DEFAULT_LANGUAGE, resolve
 from speechreport.operators import inference, prompts, replies, slots
 from speechreport.operators.inference import Engines
 from speechreport.operators.validate import check_audio_format, split_valid, validate_requests
+from speechreport.sources.scratch import written
 
 REJECT = ("recording_id", "pipeline", "status", "error")
 
@@ -17,7 +18,7 @@ def transcripts_of(requests: DataFrame, recordings: DataFrame, engines: Engines,
     """(assembled transcripts, rejects) of requests with slots."""
     fanned = slots.fan_out_slots(requests.select("recording_id", "language", "stt_slots"))
     heard = fanned.withColumn("language", resolve(F.col("language"), F.lit(DEFAULT_LANGUAGE))).join(recordings.select("recording_id", audio), "recording_id")
-    rows = inference.transcribe(heard, engines, audio).drop(audio)
+    rows = written(inference.transcribe(heard, engines, audio).drop(audio))
     good, rejects = inference.fail_recordings(rows, on_slot_error=on_slot_error)
     return slots.assemble_transcripts(good), rejects
 
@@ -32,6 +33,8 @@ def finish(asked: DataFrame) -> DataFrame:
 def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm: Engines, audio: str = "samples", on_slot_error: str = "fail") -> DataFrame:
     """One row for each request: its report, or a status and an error.
 
+    Transcripts and replies are written once each, as several branches read them.
+
     requests: recording_id, pipeline, llm_model, language, stt_slots, file_name. recordings:
     recording_id and a column of audio. A request whose recording is missing gets status 404.
     """
@@ -61,4 +64,4 @@ def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm:
     user = F.coalesce(prompts.reference_sections(transcripts), F.lit(""))
     listening = listening.withColumn("messages", prompts.messages(F.lit(prompts.system_prompt(prompts.LISTEN)), user))
     sound = inference.chat_audio(listening.drop("transcripts").join(recordings.select("recording_id", audio), "recording_id"), llm, audio).drop(audio)
-    return finish(text.unionByName(sound)).unionByName(rejects, allowMissingColumns=True)
+    return finish(written(text.unionByName(sound))).unionByName(rejects, allowMissingColumns=True)
