@@ -31,11 +31,8 @@ from speechreport.llm.shingles import all_sets, mixed
 PERCENT = 80
 #: Shingles whose frequency class every task knows; the most frequent ones, so 9 MB at most.
 KNOWN = 1 << 20
-#: Hashes below this, a quarter of all, are counted. The first order goes by hash among rare shingles, so
-#: the fifth of a set that makes its prefix lies among them unless most of the set is frequent.
-COUNTED = 1 << 62
-#: Shingles that a task counts at a time, and rows of a batch that it gives back.
-PORTION, ROWS = 1 << 21, 1 << 16
+#: Shingles that a task counts at a time. What occurs once in each such share is not counted.
+COUNTED = 1 << 22
 ORDERS = 3
 
 
@@ -44,30 +41,30 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def summarize(df: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, set_key) of documents and rows (shingle, n) of counts by portion, in one pass."""
+    """Rows (doc_id, n, set_key) of documents and rows (shingle, n) of partial counts, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
-        def counts() -> Iterator[pa.RecordBatch]:
+        def counts() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            for i in range(0, len(n), ROWS):
-                none = pa.nulls(len(n[i : i + ROWS]))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(n[i : i + ROWS].astype(np.int64)), none.cast(pa.binary()), pa.array(_signed(tokens[i : i + ROWS]))], names)
+            tokens, n = tokens[n > 1], n[n > 1]
+            none = pa.nulls(len(n))
+            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(n.astype(np.int64)), none.cast(pa.binary()), pa.array(_signed(tokens))], names)
 
         for batch in batches:
             sets = all_sets(batch.column(1).to_pylist())
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sets)).cast(pa.int64())], names)
             for s in sets:
-                held.append(s[: np.searchsorted(s, np.uint64(COUNTED))])
-                size += len(held[-1])
-                if size >= PORTION:
-                    yield from counts()
+                held.append(s)
+                size += len(s)
+                if size >= COUNTED:
+                    yield counts()
                     held, size = [], 0
         if size:
-            yield from counts()
+            yield counts()
 
     names = ["doc_id", "n", "set_key", "shingle"]
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, shingle long")
@@ -78,8 +75,7 @@ def frequent(partial: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     At most KNOWN rows reach the driver: the least class is the first from which that many are left.
     """
-    counts = partial.groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
-    counts = materialize(counts.select("shingle", F.floor(F.log2("n")).cast("int").alias("rank")))
+    counts = materialize(partial.groupBy("shingle").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("rank")))
     by_class = {r["rank"]: r["count"] for r in counts.groupBy("rank").count().collect()}
     least, found = max(by_class, default=0) + 1, 0
     for rank in sorted(by_class, reverse=True):
@@ -98,9 +94,8 @@ def in_order(s: np.ndarray, known: tuple[np.ndarray, np.ndarray], order: int) ->
     tokens, ranks = known
     rank = np.zeros(len(s), np.uint8)
     if len(tokens):
-        counted = s[: np.searchsorted(s, np.uint64(COUNTED))]
-        at = np.minimum(np.searchsorted(tokens, counted), len(tokens) - 1)
-        hit = np.flatnonzero(tokens[at] == counted)
+        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+        hit = tokens[at] == s
         rank[hit] = ranks[at[hit]]
     return s[np.lexsort((mixed(s + np.uint64(order)) if order else s, rank))]
 
