@@ -2,12 +2,14 @@
 
 Targets share the corpus by weight, capped at a number of passes over each source. A source gives as
 many whole passes as its target holds; the rest of the budget is filled from counts of documents by
-exact length: first the same share of every length, then a bounded-knapsack program over what is left.
+exact length: first the same share of every length, then a bounded-knapsack program that takes back and
+adds documents until no sum is nearer to the budget.
 The counts chosen for each length are turned into documents by seeded order.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 import pandas as pd
@@ -18,7 +20,7 @@ from speechreport.llm.common import materialize, words
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
-#: Words that the exact program may place in a source; sums are bits of one integer of that length.
+#: Words that the exact program takes back in its first try; sums are bits of one integer of about twice that length.
 PROGRAM = 1 << 16
 #: High bits of the seeded order that tell its bucket, so 1024 buckets.
 BUCKET_SHIFT = 54
@@ -49,10 +51,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
 
 
 def fill(counts: dict[int, int], budget: int, seed: int, program: int = PROGRAM) -> dict[int, int]:
-    """How many documents of each length to take: their sum is the largest found up to ``budget``.
+    """How many documents of each length to take: their sum is the largest up to ``budget``.
 
-    counts: documents by length, lengths over 0. Exact among the sums that the last ``program``
-    words of the budget allow.
+    counts: documents by length, lengths over 0. The same share of every length is taken first, short
+    of the budget by less than the longest length m; documents are then taken back and added. Ordered
+    to stay within m of the start, 2m exchanges would repeat a sum, and what lies between could be left
+    out: so some best choice takes back at most m * m words. ``program`` words are tried first and more
+    only while the budget isn't met. Lengths count in units of their common divisor.
     """
     total = sum(n * c for n, c in counts.items())
     if budget >= total:
@@ -61,42 +66,50 @@ def fill(counts: dict[int, int], budget: int, seed: int, program: int = PROGRAM)
     rest = budget - sum(n * c for n, c in taken.items())
     order = sorted(counts)
     random.Random(seed).shuffle(order)
-    while rest > program:
-        before = rest
-        for n in order:
-            if n <= rest - program // 2 and taken[n] < counts[n]:
-                taken[n] += 1
-                rest -= n
-            if rest <= program:
-                break
-        if rest == before:  # only documents longer than what may be placed are left
-            break
-    if rest > program:
-        for n in sorted(order, reverse=True):
-            more = min(counts[n] - taken[n], rest // n)
-            taken[n] += more
-            rest -= more * n
-    # bounded knapsack: reach has bit s if some choice sums to s; each step keeps the bits it adds
-    limit = min(rest, program)
-    mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
-    for n in order:
-        left, k = min(counts[n] - taken[n], limit // n), 1
-        while left and not reach >> limit & 1:
-            k = min(k, left)
-            new = (reach << (n * k)) & mask & ~reach
-            if new:
-                steps.append((n, k, new))
-                reach |= new
-            left -= k
-            k *= 2
-        if reach >> limit & 1:
+    for n in order:  # each length has a document left
+        if n <= rest:
+            taken[n] += 1
+            rest -= n
+    unit = math.gcd(*order)
+    rest //= unit
+    most = min((max(order) // unit) ** 2, sum(n * c for n, c in taken.items()) // unit, sum(n * (counts[n] - c) for n, c in taken.items()) // unit)
+    back = min(max(1, program), most)
+    while True:
+        changes, left = exchange({n: (n // unit, taken[n], counts[n] - taken[n]) for n in order}, back, rest)
+        if left == 0 or back == most:
+            return {n: c + changes.get(n, 0) for n, c in taken.items()}
+        back = min(8 * back, most)
+
+
+def exchange(lengths: dict[int, tuple[int, int, int]], back: int, rest: int) -> tuple[dict[int, int], int]:
+    """(changes by key, what is left of rest) of the best choice that takes back at most ``back``.
+
+    lengths: key to (size, documents taken, documents that can be added).
+    """
+    # bounded knapsack: reach has bit back + s if some choice changes the sum by s; each step keeps
+    # the bits it adds
+    goal = back + rest
+    mask, reach, steps = (1 << (goal + back + 1)) - 1, 1 << back, []
+    for key, (size, taken, free) in lengths.items():
+        for sign, docs in ((1, free), (-1, taken)):
+            left, k = min(docs, (goal + back) // size), 1
+            while left and not reach >> goal & 1:
+                k = min(k, left)
+                new = (reach << (size * k) & mask if sign > 0 else reach >> (size * k)) & ~reach
+                if new:
+                    steps.append((key, sign * k, sign * k * size, new))
+                    reach |= new
+                left -= k
+                k *= 2
+        if reach >> goal & 1:
             break
-    goal = reach.bit_length() - 1
-    for n, k, new in reversed(steps):
-        if new >> goal & 1:
-            taken[n] += k
-            goal -= n * k
-    return taken
+    at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    changes, left = {}, goal - at
+    for key, k, moved, new in reversed(steps):
+        if new >> at & 1:
+            changes[key] = changes.get(key, 0) + k
+            at -= moved
+    return changes, left
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, seed: int = 17, keep: list[str] | None = None) -> DataFrame:

@@ -70,6 +70,19 @@ def test_large_budgets_leave_the_exact_program_little():
     assert sum(n * k for n, k in got.items()) == budget
 
 
+def test_budgets_are_met_exactly():
+    assert budget_mix.fill({5000: 3, 4000: 4}, 16_000, seed=1) == {5000: 0, 4000: 4}
+    rnd = random.Random(10)
+    for longest, docs, lengths, program in ((60, 6, 8, 1 << 16), (60, 6, 8, 4), (50_000, 3, 5, 1 << 16), (40, 30, 3, 0)):
+        for unit in (1, 7):
+            for _ in range(40):
+                counts = {unit * rnd.randint(1, longest): rnd.randint(1, docs) for _ in range(rnd.randint(1, lengths))}
+                budget = rnd.randint(0, sum(n * c for n, c in counts.items()) + 5)
+                got = budget_mix.fill(counts, budget, seed=1, program=program)
+                assert all(0 <= got[n] <= counts[n] for n in counts)
+                assert sum(n * k for n, k in got.items()) == best_sum(counts, budget)
+
+
 def plain_targets(sizes, weights=(5, 2, 1)):
     names = sorted([s for s in sizes if s is not None], key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
