@@ -93,65 +93,102 @@ def features(stored: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(*[F.first(c).alias(c) for c in names[1:]])
 
 
+def squeezed(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
+class Figure:
+    """An open figure: its media, its captions as (item that holds the place, parts), and whether the last is open."""
+
+    def __init__(self) -> None:
+        self.media: list[list] = []
+        self.captions: list[tuple[list, list[str]]] = []
+        self.open = False
+
+    def settle(self) -> None:
+        """Gives the captions to all media, and without media makes them text items."""
+        caption = " ".join(filter(None, (squeezed(parts) for _, parts in self.captions)))
+        for item in self.media:
+            item[3] = caption or item[3]
+        if not self.media:
+            for item, parts in self.captions:
+                item[1] = squeezed(parts) or None
+
+
 class Sequence(HTMLParser):
-    """Ordered items of one page: ("text", text, None, None, None) and (kind, None, ref, caption, bytes)."""
+    """Ordered items of one page: ("text", text, None, None, None) and (kind, None, ref, caption, bytes).
+
+    A figure's caption is kept until the figure or the page ends. Text items without text only hold
+    the place of a caption. Outside a figure a caption is text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[list] = []
         self.held: list[str] = []
         self.silent = 0
-        self.figure: list[int] | None = None
-        self.caption: list[str] | None = None
+        self.figures: list[Figure] = []
 
     def flush(self) -> None:
-        if text := " ".join("".join(self.held).split()):
+        if text := squeezed(self.held):
             self.items.append(["text", text, None, None, None])
         self.held = []
 
+    def captioning(self) -> bool:
+        return bool(self.figures) and self.figures[-1].open
+
+    def finish(self) -> list[list]:
+        self.close()
+        self.flush()
+        while self.figures:
+            self.figures.pop().settle()
+        return [i for i in self.items if i[0] != "text" or i[1]]
+
+    def block(self) -> None:
+        self.flush()
+        if self.captioning():
+            self.figures[-1].captions[-1][1].append(" ")
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SILENT:
             self.silent += 1
         if tag in BLOCKS:
-            self.flush()
+            self.block()
         if tag == "figure":
-            self.figure = []
-        if tag == "figcaption":
-            self.caption = []
+            self.figures.append(Figure())
+        if tag == "figcaption" and self.figures:
+            self.items.append(["text", None, None, None, None])
+            self.figures[-1].captions.append((self.items[-1], []))
+            self.figures[-1].open = True
         if tag in MEDIA:
             own = dict(attrs)
             if own.get("src"):
                 self.flush()
                 size = own.get("data-bytes") or ""
                 self.items.append([MEDIA[tag], None, own["src"], own.get("alt") or None, int(size) if size.isdecimal() else None])
-                if self.figure is not None:
-                    self.figure.append(len(self.items) - 1)
+                if self.figures:
+                    self.figures[-1].media.append(self.items[-1])
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for i in self.figure or ():
-                self.items[i][3] = text or self.items[i][3]
-            self.caption = None
+        if tag == "figcaption" and self.figures:
+            self.figures[-1].open = False
         if tag in BLOCKS:
-            self.flush()
-        if tag == "figure":
-            self.figure = None
+            self.block()
+        if tag == "figure" and self.figures:
+            self.figures.pop().settle()
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
-            (self.held if self.caption is None else self.caption).append(data)
+            (self.figures[-1].captions[-1][1] if self.captioning() else self.held).append(data)
 
 
 def parse(html: str | None) -> list[list]:
     """Items of a page in order; null and empty pages have none."""
     page = Sequence()
     page.feed(html or "")
-    page.close()
-    page.flush()
-    return page.items
+    return page.finish()
 
 
 def sequences(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

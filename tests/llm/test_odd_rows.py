@@ -229,6 +229,24 @@ def test_sequences_keep_positions_and_captions(spark):
     assert {r["page_id"] for r in rows} == {1, 4}
 
 
+def test_captions_are_not_lost():
+    text, image = (lambda t: ["text", t, None, None, None]), (lambda r, c=None: ["image", None, r, c, None])
+    pages = {
+        "<figure><figcaption>x</figcaption><img src=a><img src=b alt=y></figure>z": [image("a", "x"), image("b", "x"), text("z")],
+        "a<figcaption>x</figcaption>b": [text("a"), text("x"), text("b")],
+        "a<figcaption>x<p>b": [text("a"), text("x"), text("b")],
+        "<figure><figcaption>x</figcaption><pre>code</pre></figure>z": [text("x"), text("code"), text("z")],
+        "<figure><img src=a><figcaption>x</figure>z": [image("a", "x"), text("z")],
+        "<figure><figcaption>x<p>y": [text("x y")],
+        "<figure><figcaption>x</figcaption><p>y<img src=a>": [text("y"), image("a", "x")],
+        "<figure><img src=a><figcaption>x</figcaption>y": [image("a", "x"), text("y")],
+        "<figure><figure><figcaption>x</figcaption><img src=a></figure><figcaption>y</figcaption></figure>z": [image("a", "x"), text("y"), text("z")],
+        "<figure><img src=a><figcaption>x</figcaption><figcaption>y</figcaption></figure>": [image("a", "x y")],
+        "<figure><img src=a alt=y><figcaption> </figcaption></figure>": [image("a", "y")],
+    }
+    assert {html: media.parse(html) for html in pages} == pages
+
+
 def test_mix(odd):
     rows = budget_mix.mix(odd.withColumnRenamed("size", "other")).collect()
     again = budget_mix.mix(odd).collect()
