@@ -50,7 +50,9 @@ def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm:
     assembled, failed = transcripts_of(with_slots, recordings, stt, audio, on_slot_error)
     rejects = rejects.unionByName(failed.join(valid.select("recording_id", "pipeline"), "recording_id").select(*REJECT))
 
-    separate = heard.filter("pipeline = 'separate'").select("recording_id", "pipeline", "llm_model").join(assembled, "recording_id")
+    # with 'skip' a request whose slots all failed has no transcripts, which build_messages rejects
+    separate = heard.filter("pipeline = 'separate'").join(failed.select("recording_id"), "recording_id", "left_anti")
+    separate = slots.attach_references(separate.select("recording_id", "pipeline", "llm_model"), assembled)
     built = prompts.build_messages(separate)
     ready, unusable = split_valid(built)
     rejects = rejects.unionByName(unusable.select(*REJECT))

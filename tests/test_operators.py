@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from speechreport.functions import columns as C
 from speechreport.operators import conversations, inference, prompts, quality, replies, slots, validate
 from speechreport.plans import standins
+from speechreport.plans.pipelines import run_pipelines
 from speechreport.sources import recordings, schemas
 from speechreport.streaming import chunks, intake
 
@@ -233,3 +234,24 @@ def test_stream_of_chunks(spark, tmp_path):
     found = {r["recording_id"]: (r["status"], r["n_chunks"], bytes(r["content"])) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found["a"] == ("complete", 3, chunks.to_wav(b"bbccdd")) and found["c"][0] == "complete"
     assert found["b"][:2] == ("incomplete", 1)
+
+
+class Deaf:
+    def transcribe(self, audio, rate, language):
+        raise RuntimeError("deaf")
+
+
+def asked(spark, rows):
+    """Requests and recordings for rows (recording_id, pipeline, language, models of slots)."""
+    told = [(i, p, "aya-expanse-8b" if p == "separate" else "gemma-4-e4b", lang, [(m, None, None, None) for m in models], "a.wav") for i, p, lang, models in rows]
+    requests = spark.createDataFrame(told, f"recording_id long, pipeline string, llm_model string, language string, stt_slots {schemas.SLOTS.simpleString()}, file_name string")
+    return requests, spark.createDataFrame([(i, f"said {i}") for i, *_ in rows], "recording_id long, said string")
+
+
+def test_requests_whose_slots_all_failed_keep_a_row(spark):
+    requests, heard = asked(spark, [(1, "separate", "fa", ["deaf", "deaf"]), (2, "separate", "fa", ["deaf", "seamless"]), (3, "hybrid", "fa", ["deaf"])])
+    stt = standins.STT | {"deaf": Deaf}
+    skipped = {r["recording_id"]: (r["status"], r["error"], r["raw_transcript"]) for r in run_pipelines(requests, heard, stt, standins.LLM, "said", on_slot_error="skip").collect()}
+    assert skipped == {1: (400, "no usable transcript", None), 2: (None, None, "said 2"), 3: (None, None, "said 3")}
+    failed = sorted((r["recording_id"], r["status"]) for r in run_pipelines(requests, heard, stt, standins.LLM, "said").collect())
+    assert failed == [(1, 502), (2, 502), (3, 502)]
