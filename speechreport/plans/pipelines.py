@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechreport.functions.columns import DEFAULT_LANGUAGE, resolve
+from speechreport.functions.columns import DEFAULT_LANGUAGE, text_route
 from speechreport.operators import inference, prompts, replies, slots
 from speechreport.operators.inference import Engines
-from speechreport.operators.validate import check_audio_format, split_valid, validate_requests
+from speechreport.operators.validate import check_audio_format, check_language, split_valid, validate_requests
 from speechreport.sources.scratch import written
 
 REJECT = ("recording_id", "pipeline", "status", "error")
 
 
-def transcripts_of(requests: DataFrame, recordings: DataFrame, engines: Engines, audio: str, on_slot_error: str) -> tuple[DataFrame, DataFrame]:
+def transcripts_of(requests: DataFrame, recordings: DataFrame, engines: Engines, audio: str, on_slot_error: str, check_languages: bool = False) -> tuple[DataFrame, DataFrame]:
     """(assembled transcripts, rejects) of requests with slots."""
     fanned = slots.fan_out_slots(requests.select("recording_id", "language", "stt_slots"))
-    heard = fanned.withColumn("language", resolve(F.col("language"), F.lit(DEFAULT_LANGUAGE))).join(recordings.select("recording_id", audio), "recording_id")
-    rows = written(inference.transcribe(heard, engines, audio).drop(audio))
+    asked = check_language(fanned, default=DEFAULT_LANGUAGE)
+    # only the local speech service checks languages; its 400 is the slot's 502
+    unknown = F.lit(check_languages) & F.col("status").isNotNull() & (text_route(F.col("model")) == "local")
+    heard = asked.filter(~unknown).drop("status").join(recordings.select("recording_id", audio), "recording_id")
+    rows = inference.transcribe(heard, engines, audio).drop(audio)
+    if check_languages:
+        error = F.concat(F.lit("unknown language: "), F.col("language"))
+        rows = rows.unionByName(asked.filter(unknown).withColumns({"text": F.lit(None).cast("string"), "status": F.lit(502), "error": error}))
+    rows = written(rows)
     good, rejects = inference.fail_recordings(rows, on_slot_error=on_slot_error)
     return slots.assemble_transcripts(good), rejects
 
@@ -30,13 +37,15 @@ def finish(asked: DataFrame) -> DataFrame:
     return slots.merge_report(parsed).drop("reply").unionByName(failed, allowMissingColumns=True)
 
 
-def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm: Engines, audio: str = "samples", on_slot_error: str = "fail") -> DataFrame:
+def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm: Engines, audio: str = "samples", on_slot_error: str = "fail", check_languages: bool = False) -> DataFrame:
     """One row for each request: its report, or a status and an error.
 
     Transcripts and replies are written once each, as several branches read them.
 
     requests: recording_id, pipeline, llm_model, language, stt_slots, file_name. recordings:
     recording_id and a column of audio. A request whose recording is missing gets status 404.
+    With ``check_languages`` slots of the local speech service fail with 502 where it does not support
+    their language.
     """
     checked = validate_requests(requests, list(stt), list(llm))
     valid, rejects = split_valid(checked)
@@ -47,7 +56,7 @@ def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm:
     rejects = rejects.select(*REJECT).unionByName(missing.select(*REJECT)).unionByName(bad_format.select(*REJECT))
 
     with_slots = heard.filter("pipeline = 'separate'").unionByName(direct.filter("pipeline = 'hybrid'").drop("audio_format"))
-    assembled, failed = transcripts_of(with_slots, recordings, stt, audio, on_slot_error)
+    assembled, failed = transcripts_of(with_slots, recordings, stt, audio, on_slot_error, check_languages)
     rejects = rejects.unionByName(failed.join(valid.select("recording_id", "pipeline"), "recording_id").select(*REJECT))
 
     # with 'skip' a request whose slots all failed has no transcripts, which build_messages rejects

@@ -255,3 +255,11 @@ def test_requests_whose_slots_all_failed_keep_a_row(spark):
     assert skipped == {1: (400, "no usable transcript", None), 2: (None, None, "said 2"), 3: (None, None, "said 3")}
     failed = sorted((r["recording_id"], r["status"]) for r in run_pipelines(requests, heard, stt, standins.LLM, "said").collect())
     assert failed == [(1, 502), (2, 502), (3, 502)]
+
+
+def test_local_slots_with_unsupported_languages_fail(spark):
+    rows = [(1, "separate", "fr", ["seamless"]), (2, "separate", "en", ["seamless"]), (3, "separate", "", ["seamless"]), (4, "separate", "fr", ["openai:x"]), (5, "hybrid", "de", ["openai:x", "seamless"])]
+    requests, heard = asked(spark, rows)
+    found = run_pipelines(requests, heard, standins.STT | {"openai:x": standins.EchoSpeech}, standins.LLM, "said", check_languages=True).collect()
+    got = {r["recording_id"]: (r["status"], r["error"], r["raw_transcript"]) for r in found}
+    assert len(found) == 5 and got == {1: (502, "unknown language: fr", None), 2: (None, None, "said 2"), 3: (None, None, "said 3"), 4: (None, None, "said 4"), 5: (502, "unknown language: de", None)}
