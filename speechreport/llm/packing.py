@@ -5,7 +5,8 @@ quantum, its share of a window of tokens; a packet leaves in the first round in
 earned so far cover it, and what is left over is carried to the next window. A queue that is never
 empty serves the packet that ends at token e of its source in round ceil(e / quantum), so the schedule
 is a formula over running totals: no task follows the rounds one by one, and deficits cross windows
-and partitions by themselves. Packets in order of rounds form one stream, cut every 4096 tokens.
+and partitions by themselves. Packets in order of e / quantum, which is the order of rounds and holds the
+shares inside a round as well, form one stream, cut every 4096 tokens.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from speechreport.llm import tokens
 from speechreport.llm.common import materialize, small, with_starts
 
 LENGTH = 4096
-#: Tokens of a window: a round of all queues. Grows with the number of sources to one packet each.
+#: Tokens of a window: a round of all queues. It numbers the rounds and doesn't change the order.
 WINDOW = 64 * LENGTH
 
 
-def quanta(sized: DataFrame, weights: dict[str | None, float] | None, window: int, length: int = LENGTH) -> DataFrame:
+def quanta(sized: DataFrame, weights: dict[str | None, float] | None, window: int) -> DataFrame:
     """(source, quantum): tokens that each source earns in a round; shares follow ``weights``.
 
     Without weights a source's share is its share of all tokens, so all queues end together. Sources
@@ -39,8 +40,8 @@ def quanta(sized: DataFrame, weights: dict[str | None, float] | None, window: in
         for name, w in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(share)
     shares = totals.select("source", share.alias("share"))
-    whole, sources = shares.agg(F.sum("share"), F.count(F.lit(1))).first()  # two numbers
-    earned = F.lit(float(max(window, sources * length))) * F.col("share") / F.lit(whole or 1.0)
+    whole = shares.agg(F.sum("share")).first()[0]  # one number
+    earned = F.lit(float(window)) * F.col("share") / F.lit(whole or 1.0)
     return shares.select("source", earned.alias("quantum"))
 
 
@@ -50,13 +51,13 @@ def schedule(sized: DataFrame, length: int = LENGTH, weights: dict[str | None, f
     ``row`` identifies a row. A document's packets have at most ``length`` tokens.
     """
     queued = with_starts(sized, ["doc_id", "row"], "size", by="source", start="queued")
-    earned = materialize(quanta(sized, weights, window, length))
+    earned = materialize(quanta(sized, weights, window))
     packets = queued.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(length).cast("long"))).alias("begin"))
     packets = packets.withColumn("span", F.least(F.lit(length), F.col("size") - F.col("begin")))
     packets = packets.withColumnRenamed("source", "_source").join(small(earned), F.col("_source").eqNullSafe(F.col("source")))
     ends = F.col("queued") + F.col("begin") + F.col("span")
-    packets = packets.select("row", "source", "begin", "span", (ends - F.col("span")).alias("place"), F.ceil(ends / F.col("quantum")).alias("round"))
-    streamed = with_starts(packets, ["round", "source", "place"], "span", start="at")
+    packets = packets.select("row", "source", "begin", "span", (ends - F.col("span")).alias("place"), (ends / F.col("quantum")).alias("due"))
+    streamed = with_starts(packets, ["due", "source", "place"], "span", start="at").withColumn("round", F.ceil("due"))
     first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("span") - 1) / length)
     cut = streamed.select("*", F.explode(F.sequence(first, last)).alias("sequence_id"))
     lo = F.greatest(F.col("at"), F.col("sequence_id") * length)

@@ -229,6 +229,21 @@ def test_sequences_keep_positions_and_captions(spark):
     assert {r["page_id"] for r in rows} == {1, 4}
 
 
+def test_packing_holds_shares_in_every_sequence(spark):
+    sources = 20
+    sized = spark.createDataFrame([(i, i, f"s{i % sources}", 20 + i % 30) for i in range(6000)], "row long, doc_id long, source string, size long")
+    found = packing.schedule(sized, length=1024, weights={f"s{i}": 1 for i in range(sources)}, window=4096).collect()
+    served, last = [0] * sources, max(r["sequence_id"] for r in found)
+    pieces = {}
+    for r in found:
+        pieces.setdefault(r["sequence_id"], []).append((r["row"] % sources, r["span"]))
+    for number in range(last // 2):
+        for source, span in pieces[number]:
+            served[source] += span
+        assert max(served) - min(served) < 2 * 50  # a packet behind and a packet cut by the sequence's end
+    assert abs(max(r["round"] for r in found) * 4096 / sum(r["span"] for r in found) - 1) < 0.3
+
+
 def test_captions_are_not_lost():
     text, image = (lambda t: ["text", t, None, None, None]), (lambda r, c=None: ["image", None, r, c, None])
     pages = {
