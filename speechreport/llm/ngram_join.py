@@ -3,14 +3,21 @@
 A document's set is its distinct 5-word shingles. For a Jaccard similarity of 0.8, two sets that link
 share a shingle among the first fifth of each, whatever the global order. The first order puts
 shingles that are frequent in the corpus last, so passages that many documents share hardly make
-candidates; candidates must then share enough prefix shingles under two more orders before their sets
-are compared exactly. Texts, not sets, are sent to that comparison, as hashes don't compress.
+candidates; candidates must then share enough prefix shingles under every one of the orders before
+their sets are compared exactly. Texts, not sets, are sent to that comparison, as hashes don't compress.
 
 Equal sets are one node. Frequent prefix shingles would give all pairs of a large group of near
-copies, so candidates come in two steps: first every member of a shingle's group against one hub,
-the member in which the shingle stands earliest; then, between members that are still in different
-components, every pair that the length and position filters leave. Links inside a component that is
-already connected don't change the result and aren't compared.
+copies, so candidates come in two steps. First every member of a shingle's group meets one hub, the
+member with the fewest rare shingles. Then members that are still in different components meet:
+
+* in groups of at most PAIRED members, every pair that the length and position filters leave;
+* in larger groups, by what sets them apart from the hub. With X the symmetric difference of a set x
+  and the hub h, the difference of x and y is that of X and Y, so x and y link if X and Y overlap
+  enough, and two members that are not near the hub must share some of the little that they don't have
+  in common with it. These differences are joined by a prefix filter of their own, rare shingles
+  first; independent edits of one text share none, however large their group is.
+
+Links inside a component that is already connected don't change the result and aren't compared.
 """
 
 from __future__ import annotations
@@ -34,6 +41,12 @@ KNOWN = 1 << 20
 #: Shingles that a task counts at a time. What occurs once in each such share is not counted.
 COUNTED = 1 << 22
 ORDERS = 3
+#: Members of a group that are compared in pairs at most; members of larger groups meet by their difference to the hub.
+PAIRED = 32
+#: Shingles with 2**HOT counted occurrences and more have their postings dealt over SALTS tasks.
+HOT, SALTS = 13, 64
+#: Rows that a task puts into one batch.
+ROWS = 1 << 19
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -89,15 +102,36 @@ def frequent(partial: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], ranks[order]
 
 
-def in_order(s: np.ndarray, known: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
-    """The shingles in global order number ``order``: by frequency class, then by a hash of their own."""
+def classes(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The frequency class of each shingle; 0 for those that aren't known to be frequent."""
     tokens, ranks = known
     rank = np.zeros(len(s), np.uint8)
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
         hit = tokens[at] == s
         rank[hit] = ranks[at[hit]]
-    return s[np.lexsort((mixed(s + np.uint64(order)) if order else s, rank))]
+    return rank
+
+
+def in_order(s: np.ndarray, known: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """The shingles in global order number ``order``: by frequency class, then by a hash of their own."""
+    return s[np.lexsort((mixed(s + np.uint64(order)) if order else s, classes(s, known)))]
+
+
+class Rows:
+    """Columns of numbers that are gathered and given as batches of about ROWS rows."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.held, self.size = names, [], 0
+
+    def add(self, n: int, *columns: object) -> None:
+        self.held.append([np.full(n, c) if np.isscalar(c) else c for c in columns])
+        self.size += n
+
+    def batch(self) -> pa.RecordBatch:
+        found = [pa.array(np.concatenate(c)) for c in zip(*self.held, strict=True)]
+        self.held, self.size = [], 0
+        return pa.RecordBatch.from_arrays(found, self.names)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -105,26 +139,79 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def postings(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
-    """(shingle, node, n, place) for the prefix of every row (node, text) in the first order."""
+    """(shingle, salt, node, n, place, rare) for the prefix of every row (node, text) in the first order.
+
+    rare: the set's shingles that aren't known to be frequent. salt: -1, or for hot shingles a number by node.
+    """
+
+    hot = HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows(["shingle", "salt", "node", "n", "place", "rare"])
         for batch in batches:
-            heads, nodes, sizes, places = [], [], [], []
             for node, s in zip(batch.column(0).to_pylist(), all_sets(batch.column(1).to_pylist()), strict=True):
                 if len(s):
-                    head = in_order(s, known.value, 0)[: prefix_size(len(s), percent)]
-                    heads.append(head)
-                    nodes.append(np.full(len(head), node, np.int64))
-                    sizes.append(np.full(len(head), len(s), np.int32))
-                    places.append(np.arange(len(head), dtype=np.int32))
-            if heads:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(heads))), *(pa.array(np.concatenate(x)) for x in (nodes, sizes, places))], ["shingle", "node", "n", "place"])
+                    own = in_order(s, known.value, 0)
+                    rank = classes(own, known.value)
+                    k = prefix_size(len(s), percent)
+                    salt = int(mixed(np.array([node], np.int64).view(np.uint64))[0] % np.uint64(SALTS))
+                    rows.add(k, _signed(own[:k]), np.where(rank[:k] >= hot, salt, -1).astype(np.int32), np.int64(node), np.int32(len(s)), np.arange(k, dtype=np.int32), np.int32((rank == 0).sum()))
+                if rows.size >= ROWS:
+                    yield rows.batch()
+        if rows.size:
+            yield rows.batch()
+
+    return df.mapInArrow(run, "shingle long, salt int, node long, n int, place int, rare int")
+
+
+def differences(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
+    """What sets rows (node, part, hub, text, hub_text) apart from their hub: base, token, node, part, hub,
+    n, d, place, near, core.
+
+    base stands for the hub's set, token for a shingle that one of both has (place -1: none, one such row
+    for each row of df), d for how many there are, near for whether row and hub link. With u = 100 + percent
+    and v = 100 - percent, x and y link if u * |X - Y| <= v * (|x| + |y|), that is, if X and Y share
+    o >= (W(x) + W(y)) / 2u with W(x) = u * |X| - v * |x|. The size of y is at most 100 / percent that of x,
+    so o >= |X| - v * |x| / percent for any y. For y of no smaller W, and for y that aren't near (W(y) > v * |h|),
+    the first bound gives more, and it is never below 1. Given are the |X| - o + 1 first shingles for any y;
+    core tells which of them are enough for the others. Shingles that the hub lacks come first, then those that
+    it has, the frequent ones first: what few texts share with the hub is what most of its group lack.
+    """
 
-    return df.mapInArrow(run, "shingle long, node long, n int, place int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows(["base", "token", "node", "part", "hub", "n", "d", "place", "near", "core"])
+        u, v = 100 + percent, 100 - percent
+        for batch in batches:
+            nodes, parts, hubs, texts, hub_texts = (c.to_pylist() for c in batch.columns)
+            named = list(dict.fromkeys(hub_texts))
+            bases = dict(zip(named, all_sets(named), strict=True))
+            for node, part, hub, x, told in zip(nodes, parts, hubs, all_sets(texts), hub_texts, strict=True):
+                h = bases[told]
+                if not len(x) or not len(h):  # another text of the same key
+                    continue
+                own, gone = np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)
+                gone = gone[np.lexsort((gone, -classes(gone, known.value).astype(int)))]
+                more = np.concatenate([in_order(own, known.value, 0), gone])
+                d, n = len(more), len(x)
+                near = u * d <= v * (n + len(h))
+                long = d - max(1, d - v * n // percent) + 1
+                w = u * d - v * n
+                core = min(long, d - max(1, -(-(w + max(w, v * len(h) + 1)) // (2 * u))) + 1)
+                k = core if near else long
+                base = np.int64(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
+                fixed = (np.int64(node), np.int64(part), np.int64(hub), np.int32(n), np.int32(d))
+                rows.add(1, base, np.int64(0), *fixed, np.int32(-1), np.bool_(near), np.bool_(False))
+                rows.add(k, base, _signed(more[:k]), *fixed, np.arange(k, dtype=np.int32), np.bool_(near), np.arange(k) < core)
+                if rows.size >= ROWS:
+                    yield rows.batch()
+        if rows.size:
+            yield rows.batch()
+
+    return df.select("node", "part", "hub", "text", "hub_text").mapInArrow(run, "base long, token long, node long, part long, hub long, n int, d int, place int, near boolean, core boolean")
 
 
 def heads(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
-    """(node, n, heads) of rows (node, text): its prefixes in the orders after the first.
+    """(node, n, heads) of rows (node, text): its prefixes in every order.
 
     A shingle is cut to 32 bits here. Two that differ may then look equal, which can only let a
     candidate through to the exact check.
@@ -133,7 +220,7 @@ def heads(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = all_sets(batch.column(1).to_pylist())
-            cut = [[(in_order(s, known.value, k)[: prefix_size(len(s), percent)] >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in range(1, ORDERS)] for s in found]
+            cut = [[(in_order(s, known.value, k)[: prefix_size(len(s), percent)] >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in range(ORDERS)] for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(cut, pa.list_(pa.list_(pa.int32())))], ["node", "n", "heads"])
 
     return df.mapInArrow(run, "node long, n int, heads array<array<int>>")
@@ -148,7 +235,7 @@ def similar(df: DataFrame, percent: int) -> DataFrame:
             links = []
             for x, y in zip(left, right, strict=True):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                links.append((100 + percent) * shared >= percent * (len(x) + len(y)))
+                links.append(len(x) > 0 and (100 + percent) * shared >= percent * (len(x) + len(y)))
             yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
 
     return df.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -168,35 +255,79 @@ def need(a_n: Column, b_n: Column, percent: int) -> Column:
     return F.greatest(F.ceil(percent * (a_n + b_n) / (100 + percent)) - beyond, F.lit(1))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, known: Broadcast, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: they must share enough of the prefixes in every other order, then the sets decide."""
+def with_texts(rows: DataFrame, own: DataFrame, **ends: str) -> DataFrame:
+    """rows with the columns of ``own`` for each end: name of the end's node, and suffix of the columns."""
+    for end, suffix in ends.items():
+        rows = rows.join(own.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}{suffix}") for c in own.columns if c != "node"]), end)
+    return rows
 
-    def joined(rows: DataFrame, own: DataFrame, columns: list[str]) -> DataFrame:
-        for end in ("a", "b"):
-            rows = rows.join(own.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
-        return rows
 
-    def among(rows: DataFrame) -> DataFrame:
-        ids = materialize(rows.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        return texts.join(small(ids), "node", "left_semi")
+def among(texts: DataFrame, rows: DataFrame, *ends: str) -> DataFrame:
+    """The texts of the nodes at these ends of rows."""
+    ids = materialize(rows.select(F.explode(F.array(*ends)).alias("node")).distinct())
+    return texts.join(small(ids), "node", "left_semi")
 
-    near = joined(pairs, materialize(heads(among(pairs), known, percent)), ["n", "heads"])
+
+def verify(pairs: DataFrame, texts: DataFrame, known: Broadcast, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: they must share enough of the prefixes in every order, then the sets decide."""
+    near = with_texts(pairs, materialize(heads(among(texts, pairs, "a", "b"), known, percent)), a="_a", b="_b")
     least = need(F.col("n_a"), F.col("n_b"), percent)
-    for k in range(ORDERS - 1):
+    for k in range(ORDERS):
         x, y = F.get("heads_a", F.lit(k)), F.get("heads_b", F.lit(k))
         equal = F.size(x) - F.size(F.array_distinct(x))  # shingles that were cut to the same bits count once below
         near = near.filter(F.size(F.array_intersect(x, y)) + equal >= least)
     near = materialize(near.select("a", "b"))
-    return similar(joined(near, among(near), ["text"]), percent)
+    return similar(with_texts(near, among(texts, near, "a", "b"), a="_a", b="_b"), percent)
+
+
+def grouped(listed: DataFrame) -> DataFrame:
+    """Postings of the shingles that more than one row has, with hub (node, n, place) and size of the group.
+
+    The postings are shuffled once. Those of hot shingles are dealt by salt, and their groups put
+    together from one row for each salt.
+    """
+    listed = listed.repartition("shingle", "salt")
+    dealt = listed.groupBy("shingle", "salt").agg(F.min(F.struct("rare", "node", "n", "place")).alias("hub"), F.count(F.lit(1)).alias("size"))
+    dealt = dealt.filter("size > 1 or salt >= 0")
+    hubs = dealt.groupBy("shingle").agg(F.min("hub").alias("hub"), F.sum("size").alias("size"), F.collect_list("salt").alias("salts")).filter("size > 1")
+    hubs = hubs.select("shingle", "hub", "size", F.explode("salts").alias("salt"))
+    return listed.join(hubs.hint("shuffle_hash"), ["shingle", "salt"]).select("shingle", "node", "n", "place", "hub", "size")
+
+
+def fits(a: str, b: str, percent: int) -> Column:
+    """Whether enough is left of both prefixes' sets from a shared shingle on, which holds for the first one of linked sets."""
+    n = [F.col(f"{x}n") for x in (a, b)]
+    left = F.least(n[0] - F.col(f"{a}place"), n[1] - F.col(f"{b}place"))
+    return enough(n[0], n[1], left, percent)
+
+
+def paired(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members of a group that are in different parts; groups have at most PAIRED members."""
+    left, right = (placed.select("shingle", *[F.col(c).alias(f"{side}{c}") for c in ("node", "n", "place", "part")]) for side in ("a_", "b_"))
+    met = left.join(right, "shingle").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_part") != F.col("b_part")) & fits("a_", "b_", percent))
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def apart(told: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows of differences() to one hub that are in different parts and not both near it."""
+    u, v = 100 + percent, 100 - percent
+    shared = told.filter("place >= 0").withColumn("w", u * F.col("d") - v * F.col("n"))
+    left, right = (df.select("base", "token", *[F.col(c).alias(f"{side}{c}") for c in ("node", "n", "d", "w", "place", "part", "near")]) for df, side in ((shared.filter("core"), "a_"), (shared.filter("not near"), "b_")))
+    once = F.col("a_near") | (F.col("a_w") < F.col("b_w")) | ((F.col("a_w") == F.col("b_w")) & (F.col("a_node") < F.col("b_node")))
+    sizes = enough(F.col("a_n"), F.col("b_n"), F.least("a_n", "b_n"), percent)
+    rest = F.least(F.col("a_d") - F.col("a_place"), F.col("b_d") - F.col("b_place"))
+    met = left.join(right, ["base", "token"]).filter(once & (F.col("a_part") != F.col("b_part")) & sizes & (2 * u * rest >= F.col("a_w") + F.col("b_w")))
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
 
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each row of df: key, n_shingles, component_id.
 
     component_id is the smallest key that links reach, equal sets being linked. Null texts and texts
-    without words have no shingles and link to nothing. Rows without a key have no component and take
-    no part; rows that share a key are one document, whose texts are all compared. Other columns are
-    not read. A result depends neither on partitions nor on the counts, which only steer the order.
+    without words have no shingles and link to nothing; very long texts are compared whole. Rows without
+    a key have no component and take no part; rows that share a key are one document, whose texts are all
+    compared, and repeated rows give a row each. An empty table gives no rows. Other columns are not
+    read. A result depends neither on partitions nor on the counts, which only steer the order.
     """
     spark = df.sparkSession
     own = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -208,33 +339,25 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int =
     member = materialize(some.select("doc_id", "set_key").distinct().join(nodes, "set_key").select("doc_id", "node"))
     copies = materialize(member.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter((F.col("low") < F.col("doc_id")) & (F.col("high") < F.col("doc_id"))).select(F.col("doc_id").alias("node")))
     texts = own.filter(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node")
-
-    listed = postings(texts.join(small(copies), "node", "left_anti"), known, percent).repartition("shingle")
-    hubs = listed.groupBy("shingle").agg(F.min(F.struct("place", "n", "node")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    groups = materialize(listed.join(hubs.hint("shuffle_hash"), "shingle").select("shingle", "node", "n", "place", "hub"))
-
-    def fits(a: str, b: str) -> Column:
-        n = [F.col(f"{x}n") for x in (a, b)]
-        left = F.least(n[0] - F.col(f"{a}place"), n[1] - F.col(f"{b}place"))
-        return enough(n[0], n[1], left, percent)
-
-    stars = groups.filter((F.col("node") != F.col("hub.node")) & fits("", "hub."))
-    stars = materialize(stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
     # documents with one key and several sets are one node of the graph
     same = member.filter(F.col("doc_id") != F.col("node")).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    first = materialize(verify(stars, texts, known, percent).union(same))
 
-    part = components(first)
-    placed = groups.select("shingle", "node", "n", "place").join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    groups = materialize(grouped(postings(texts.join(small(copies), "node", "left_anti"), known, percent)))
+    stars = groups.filter((F.col("node") != F.col("hub.node")) & fits("", "hub.", percent))
+    stars = materialize(stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+    part = components(materialize(verify(stars, texts, known, percent).union(same)))
+
+    placed = groups.select("shingle", "size", "node", "n", "place", F.col("hub.node").alias("hub")).join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     open_groups = materialize(placed.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("shingle"))
     placed = materialize(placed.join(open_groups, "shingle", "left_semi"))
-    left, right = (placed.select("shingle", *[F.col(c).alias(f"{side}{c}") for c in ("node", "n", "place", "part")]) for side in ("a_", "b_"))
-    sizes = (F.col("a_n"), F.col("b_n"))
-    met = left.join(right, "shingle").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_part") != F.col("b_part")) & enough(*sizes, F.least(*sizes), percent))
-    met = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"), F.max(fits("a_", "b_")).alias("fit"))
-    pairs = met.filter(F.col("fit") & (F.col("shared") >= need(*sizes, percent))).select("a", "b").distinct()
+    few, many = placed.filter(F.col("size") <= PAIRED), placed.filter((F.col("size") > PAIRED) & (F.col("node") != F.col("hub")))
+    held = materialize(many.select("node", "part", "hub").distinct())
+    told = with_texts(held, among(texts, held, "node", "hub").withColumnRenamed("text", "_text"), node="", hub="_hub")
+    told = materialize(differences(told.withColumnsRenamed({"_text": "text", "_text_hub": "hub_text"}), known, percent))
+    pairs = paired(few, percent).union(apart(told, percent)).distinct()
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"))
-    second = materialize(verify(pairs, texts, known, percent))
+    to_hub = told.filter("near and place < 0").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    second = materialize(verify(pairs, texts, known, percent).union(to_hub.distinct()))
     whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").union(second))
 
     ends = member.groupBy("doc_id").agg(F.min("node").alias("node"))

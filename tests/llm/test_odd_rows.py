@@ -138,21 +138,16 @@ def test_ngram_join(spark, odd):
     assert ngram_join.link(odd.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
-def test_ngram_join_matches_brute_force_in_groups_of_near_copies(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
-    rng = np.random.default_rng(3)
-    docs, passage = [], [f"p{i}" for i in range(60)]
-    for g in range(6):
-        base = [f"g{g}w{x}" for x in rng.integers(0, 400, 150)]
-        for _ in range(40):
-            ws = list(base)
-            for i in rng.integers(0, len(ws), rng.integers(0, 9)):
-                ws[i] = f"e{rng.integers(0, 10**6)}"
-            docs.append(" ".join(ws))
-    docs += [" ".join(passage + [f"u{rng.integers(0, 10**6)}" for _ in range(rng.integers(2, 30))]) for _ in range(80)]
-    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(df).collect()}
+def edited(rng, base, most, least=0):
+    ws = list(base)
+    for _ in range(rng.integers(least, most)):
+        i, kind = rng.integers(0, len(ws)), rng.integers(0, 3)
+        ws[i : i + int(kind != 2)] = [f"e{rng.integers(0, 10**6)}"] * int(kind != 1)
+    return ws
+
+
+def plain_components(docs):
+    """The smallest number that each text reaches by links, by comparing all pairs."""
     sets, root = [brute_sets(t) for t in docs], list(range(len(docs)))
 
     def find(x):
@@ -162,11 +157,57 @@ def test_ngram_join_matches_brute_force_in_groups_of_near_copies(spark, monkeypa
 
     for a in range(len(docs)):
         for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    assert got == {i: find(i) for i in range(len(docs))}
-    assert 6 < len(set(got.values())) < len(docs)
+    return [find(i) for i in range(len(docs))]
+
+
+@pytest.mark.parametrize(("broadcast_rows", "members", "hot"), [(1_000_000, 32, 13), (0, 3, 13), (1_000_000, 0, 3)])
+def test_ngram_join_matches_brute_force_in_groups_of_near_copies(spark, monkeypatch, broadcast_rows, members, hot):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(ngram_join, "PAIRED", members)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rng = np.random.default_rng(3 + members)
+    docs, passage = [], [f"p{i}" for i in range(60)]
+    for g, most in enumerate((9, 9, 9, 14, 14, 20)):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 400, 150)]
+        docs += [" ".join(edited(rng, base, most)) for _ in range(40)]
+    chain = [f"c{i}" for i in range(150)]
+    for _ in range(30):  # each text is an edit of the one before
+        chain = edited(rng, chain, 6)
+        docs.append(" ".join(chain))
+    docs += [" ".join(passage + [f"u{rng.integers(0, 10**6)}" for _ in range(rng.integers(2, 30))]) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(df).collect()}
+    want = plain_components(docs)
+    assert got == dict(enumerate(want))
+    assert 30 < len(set(want)) < len(docs) - 100
+
+
+def test_few_pairs_of_a_large_group_are_compared(spark, monkeypatch):
+    """A text and copies that differ from it in a quarter, hence from each other in 40 per cent: hardly any pair of copies is compared."""
+    compared, verify = [], ngram_join.verify
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verify", counted)
+    rng, size = np.random.default_rng(1), 400
+    base = [f"w{x}" for x in range(200)]
+    docs = [" ".join(base)] + [" ".join(edited(rng, base, 9, 5)) for _ in range(size)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(plain_components(docs)))
+    assert len(set(got.values())) > size // 2
+    assert compared[0] < 5 * size and compared[1] < size * size / 2 / 50
+
+
+def test_keys_with_several_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(5, one), (5, two), (3, two), (7, one + " more"), (8, ""), (8, "x y z"), (9, None), (9, "q"), (4, "x y z")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (4, 4), (5, 3), (5, 3), (7, 3), (8, 4), (8, 4), (9, 9), (9, 9)]
 
 
 def test_range_coder(odd):
