@@ -21,6 +21,10 @@ DEFAULT_LANGUAGE = "fa"
 #: Ranges of right-to-left letters.
 RTL = r"[֐-ࣿיִ-﷿ﹰ-﻿]"
 UNSAFE = r'[\\/:*?"<>|]'
+#: Characters that count as white space at the ends of a text.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The file name of a run that has none.
+DEFAULT_NAME = "audio.wav"
 MAX_NEW_TOKENS = 2048
 DEFAULT_TEMPERATURE = 0.3
 GREEDY_BELOW = 0.01
@@ -30,6 +34,11 @@ def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def provider(model: Column) -> Column:
     """local, openai or gemini; null and '' are local."""
     return F.when(model.startswith(API_PREFIX), "openai").when(model.startswith(GEMINI_PREFIX), "gemini").otherwise("local")
@@ -55,7 +64,7 @@ def qualify_model(model: Column, is_cloud: Column, role: str) -> Column:
 
     A language model (role 'llm') that names the other provider stays; a slot always gets the prefix.
     """
-    name = F.trim(model)
+    name = stripped(model)
     asis = (name.startswith(GEMINI_PREFIX)) if role == "llm" else F.lit(False)
     return F.when(is_cloud & ~asis, F.concat(F.lit(API_PREFIX), name)).otherwise(name)
 
@@ -67,8 +76,8 @@ def file_suffix(name: Column) -> Column:
 
 
 def audio_format(name: Column, model: Column) -> Column:
-    """The audio format of a file name if the model's provider accepts it, else null."""
-    suffix = file_suffix(name)
+    """The audio format of a file name if the model's provider accepts it, else null; no name is DEFAULT_NAME."""
+    suffix = file_suffix(resolve(name, F.lit(DEFAULT_NAME)))
     allowed = F.when(provider(model) == "openai", suffix.isin(*API_FORMATS)).otherwise(suffix.isin(*MIME_TYPES))
     return F.when(allowed, suffix)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechreport.functions.columns import stripped
+
 
 def last_user_turn(df: DataFrame) -> DataFrame:
     """(conv_id, turn, text) of each conversation's last user turn; status 400 where there is none."""
@@ -18,7 +20,7 @@ def chat_history(df: DataFrame, system: str | None = None) -> DataFrame:
 
     Turns without text are skipped. ``system`` is put in front of conversations that have no system turn.
     """
-    said = df.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    said = df.filter(F.length(stripped(F.coalesce("text", F.lit("")))) > 0)
     order = Window.partitionBy("conv_id").orderBy((F.col("role") != "system").cast("int"), "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("conv_id")
     history = F.collect_list(F.struct("role", F.col("text").alias("content"))).over(order)

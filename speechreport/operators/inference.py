@@ -1,20 +1,27 @@
 """Inference as partitioned Arrow batch stages around engines that the caller supplies.
 
 ``engines`` maps a model key to a picklable factory. A factory's object has transcribe(audio, rate,
-language), chat(messages, params) or chat_audio(messages, audio, params). A worker builds an engine
-when the first row asks for it and keeps it; rows are dealt by model and a salt and sorted by model,
-so a task builds each engine once at most and one popular model still fills many tasks.
+language, access), chat(messages, params, access) or chat_audio(messages, audio, params, access);
+access is a dict of api_key and base_url. An engine that takes many calls at once has the method with
+``_all`` at its name's end, which gets a list of such argument tuples and gives a list of texts.
+
+A worker builds an engine when the first row asks for it and keeps the last KEPT ones. Rows are dealt by
+the models that they need and a salt, and sorted by them, so a task builds each engine once and one popular
+model still fills many tasks. Audio travels as the files' bytes, once for each request, and is decoded in
+the stage that hears it, once for all slots.
 """
 
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +29,19 @@ Engines = dict[str, Callable[[], Any]]
 RATE = 16_000
 SALTS = 32
 TAPS = 16
+#: Engines of one kind that a worker keeps, and rows whose audio it holds at once.
+KEPT, PORTION = 3, 64
 
 _built: dict[tuple[str, str], Any] = {}
 
 
 def _engine(engines: Engines, key: str, kind: str) -> Any:
-    """The worker's engine for a key. A new one is built before the old one is replaced."""
-    if (kind, key) not in _built:
-        made = engines[key]()
-        for other in [k for k in _built if k[0] == kind]:
-            del _built[other]
-        _built[kind, key] = made
-    return _built[kind, key]
+    """The worker's engine for a key. The one that was used longest ago goes when there are more than KEPT."""
+    made = _built.pop((kind, key), None)
+    _built[kind, key] = made = engines[key]() if made is None else made
+    for other in [k for k in _built if k[0] == kind][:-KEPT]:
+        del _built[other]
+    return made
 
 
 def resample(audio: np.ndarray, rate: int, target: int = RATE) -> np.ndarray:
@@ -59,8 +67,10 @@ def decode_wav(content: bytes | None, target: int = RATE) -> tuple[np.ndarray |
             if f.getsampwidth() != 2:
                 return None, "only 16-bit PCM is decoded"
             channels, rate = f.getnchannels(), f.getframerate()
+            if rate < 1:
+                return None, "undecodable audio: no sample rate"
             raw = np.frombuffer(f.readframes(f.getnframes()), "<i2")
-    except (wave.Error, EOFError) as error:
+    except (wave.Error, EOFError, ValueError, ArithmeticError, struct.error) as error:
         return None, f"undecodable audio: {error}"
     mono = raw[: len(raw) // channels * channels].reshape(-1, channels).mean(axis=1) / 32768.0
     return resample(mono, rate, target), None
@@ -85,40 +95,107 @@ def by_model(df: DataFrame, model: str, key: str) -> DataFrame:
     return df.repartition(F.col(model), salt).sortWithinPartitions(model)
 
 
-def _stage(df: DataFrame, engines: Engines, out: str, model: str, key: str, kind: str, call: Callable[[Any, Any], str]) -> DataFrame:
-    kept = [c for c in df.columns if c not in (out, "status", "error")]
-    schema = df.select(*kept).withColumns({out: F.lit(None).cast("string"), "status": F.lit(None).cast("int"), "error": F.lit(None).cast("string")}).schema
+def _sounds(column: pa.Array, rate: int) -> list[tuple[Any, str | None]]:
+    """(audio, error): binary values are WAV files, lists are samples, other values are given as they are."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return [decode_wav(x, rate) for x in column.to_pylist()]
+    if pa.types.is_list(column.type):
+        return [(x.values.to_numpy(zero_copy_only=False) if x.is_valid else None, None) for x in column]
+    return [(x, None) for x in column.to_pylist()]
 
-    def one(row: Any, name: str | None) -> tuple[str | None, int | None, str | None]:
-        if name not in engines:
-            return None, 502, f"unknown model: {name}"
+
+def _answers(engines: Engines, name: str | None, kind: str, method: str, calls: list[tuple]) -> list[tuple[str | None, int | None, str | None]]:
+    """(text, status, error) of each call; an engine's failure is the call's, not the job's."""
+    if name not in engines:
+        return [(None, 502, f"unknown model: {name}")] * len(calls)
+    found = []
+    try:
+        engine = _engine(engines, name, kind)
+        if hasattr(engine, f"{method}_all"):
+            return [(x, None, None) for x, _ in zip(getattr(engine, f"{method}_all")(calls), calls, strict=True)]
+    except Exception as error:
+        return [(None, 502, f"{type(error).__name__}: {error}")] * len(calls)
+    for call in calls:
         try:
-            return call(_engine(engines, name, kind), row), None, None
-        except Exception as error:  # an engine's failure is the row's, not the job's
-            return None, 502, f"{type(error).__name__}: {error}"
+            found.append((getattr(engine, method)(*call), None, None))
+        except Exception as error:
+            found.append((None, 502, f"{type(error).__name__}: {error}"))
+    return found
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [one(row, name) for row, name in zip(part.itertuples(index=False), part[model], strict=True)]
-            texts, codes, errors = zip(*found, strict=True) if found else ((), (), ())
-            yield part[kept].assign(**{out: list(texts), "status": pd.array(list(codes), dtype="Int32"), "error": list(errors)})
 
-    return by_model(df.select(*kept), model, key).mapInPandas(run, schema)
+def _results(asked: list[tuple[str | None, tuple | None, str | None]], engines: Engines, kind: str, method: str) -> list[tuple[str | None, int | None, str | None]]:
+    """Results of (model, call, error) in their order, model by model; an error of its own is status 400."""
+    found: list = [None if error is None else (None, 400, error) for _, _, error in asked]
+    for name in dict.fromkeys(m for m, _, e in asked if e is None):
+        at = [i for i, (m, _, e) in enumerate(asked) if e is None and m == name]
+        for i, got in zip(at, _answers(engines, name, kind, method, [asked[i][1] for i in at]), strict=True):
+            found[i] = got
+    return found
+
+
+def _access(x: dict) -> dict:
+    return {"api_key": x.get("api_key"), "base_url": x.get("base_url")}
 
 
 def transcribe(df: DataFrame, engines: Engines, audio: str = "samples", rate: int = RATE, key: str = "recording_id") -> DataFrame:
-    """df (model, language and an audio column) with text, or status 502 and error."""
-    return _stage(df, engines, "text", "model", key, "stt", lambda engine, row: engine.transcribe(getattr(row, audio), rate, row.language))
+    """One row for each of ``slots`` (array of slot_no, model, language, api_key, base_url) of df's rows.
+
+    df's other columns but audio, with slot_no, model, language, and text, or status and error: 400 for
+    audio that can't be decoded, 502 for what an engine didn't do. Credentials reach the engines only.
+    """
+    own = {"slot_no": "int", "model": "string", "language": "string", "text": "string", "status": "int", "error": "string"}
+    kept = [c for c in df.columns if c not in (audio, "slots", "_engines", *own)]
+    schema = df.select(*kept).withColumns({n: F.lit(None).cast(t) for n, t in own.items()}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PORTION):
+                batch = whole.slice(at, PORTION)
+                sounds, slots = _sounds(batch.column(len(kept) + 1), rate), batch.column(len(kept)).to_pylist()
+                each = [(i, s) for i, found in enumerate(slots) for s in found or []]
+                asked = [(s["model"], (sounds[i][0], rate, s["language"], _access(s)), sounds[i][1]) for i, s in each]
+                got = _results(asked, engines, "stt", "transcribe")
+                rows = pa.array([i for i, _ in each], pa.int64())
+                columns = [[s[c] for _, s in each] for c in ("slot_no", "model", "language")] + [[g[k] for g in got] for k in range(3)]
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(kept))), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*kept, *own])
+
+    models = F.array_join(F.array_sort(F.array_distinct(F.transform("slots", lambda s: F.coalesce(s["model"], F.lit(""))))), ",")
+    dealt = by_model(df.select(*kept, "slots", audio, models.alias("_engines")), "_engines", key)
+    return dealt.mapInArrow(run, schema)
+
+
+def _reply(df: DataFrame, engines: Engines, method: str, audio: str | None, rate: int, model: str, key: str) -> DataFrame:
+    """df without messages, audio and credentials, with reply, status and error."""
+    used = [c for c in ("messages", "params", "api_key", "base_url") if c in df.columns] + ([audio] if audio else [])
+    kept = [c for c in df.columns if c not in (*used, "reply", "status", "error")]
+    schema = df.select(*kept).withColumns({"reply": F.lit(None).cast("string"), "status": F.lit(None).cast("int"), "error": F.lit(None).cast("string")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PORTION):
+                batch = whole.slice(at, PORTION)
+                told = batch.select([c for c in used if c != audio]).to_pylist()
+                sounds = _sounds(batch.column(audio), rate) if audio else [(None, None)] * batch.num_rows
+                asked = []
+                for name, x, (sound, error) in zip(batch.column(model).to_pylist(), told, sounds, strict=True):
+                    heard = (sound,) if audio else ()
+                    asked.append((name, (x["messages"], *heard, x.get("params"), _access(x)), error))
+                got = _results(asked, engines, "llm", method)
+                kinds = (pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds))], [*kept, "reply", "status", "error"])
+
+    return by_model(df.select(*kept, *used), model, key).mapInArrow(run, schema)
 
 
 def chat(df: DataFrame, engines: Engines, model: str = "llm_model", key: str = "recording_id") -> DataFrame:
-    """df (messages and a model) with reply, or status 502 and error."""
-    return _stage(df, engines, "reply", model, key, "llm", lambda engine, row: engine.chat(row.messages, getattr(row, "params", None)))
+    """df (messages, a model, and params, api_key, base_url if wanted) with reply, or status 502 and error."""
+    return _reply(df, engines, "chat", None, RATE, model, key)
 
 
-def chat_audio(df: DataFrame, engines: Engines, audio: str = "samples", model: str = "llm_model", key: str = "recording_id") -> DataFrame:
+def chat_audio(df: DataFrame, engines: Engines, audio: str = "samples", model: str = "llm_model", key: str = "recording_id", rate: int = RATE) -> DataFrame:
     """As chat(), with the recording. Engines without chat_audio are text-only and give an error row."""
-    return _stage(df, engines, "reply", model, key, "llm", lambda engine, row: engine.chat_audio(row.messages, getattr(row, audio), getattr(row, "params", None)))
+    return _reply(df, engines, "chat_audio", audio, rate, model, key)
 
 
 def fail_recordings(df: DataFrame, key: str = "recording_id", on_slot_error: str = "fail") -> tuple[DataFrame, DataFrame]:

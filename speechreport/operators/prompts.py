@@ -58,6 +58,11 @@ def build_messages(df: DataFrame, prompt: str = RECONCILE) -> DataFrame:
     }).drop("_user")
 
 
+def unbroken(audio: Column) -> Column:
+    """Base64 in one line."""
+    return F.replace(F.base64(audio), F.lit("\r\n"), F.lit(""))
+
+
 def render_request(shape: str, model: Column, system: Column, user: Column, audio: Column | None = None, fmt: Column | None = None, json_reply: bool = True) -> Column:
     """A request body as JSON text: 'chat', 'audio_chat' (audio part first) or 'inline' (prompt twice).
 
@@ -67,14 +72,14 @@ def render_request(shape: str, model: Column, system: Column, user: Column, audi
     if shape == "inline":
         both = F.concat(system, F.when(F.coalesce(F.length(user), F.lit(0)) > 0, F.concat(F.lit("\n\n"), user)).otherwise(F.lit("")))
         text = F.struct(both.alias("text"), F.lit(None).cast("struct<mime_type:string,data:string>").alias("inline_data"))
-        media = F.struct(F.lit(None).cast("string").alias("text"), F.struct(mime_type(fmt).alias("mime_type"), F.base64(audio).alias("data")).alias("inline_data"))
+        media = F.struct(F.lit(None).cast("string").alias("text"), F.struct(mime_type(fmt).alias("mime_type"), unbroken(audio).alias("data")).alias("inline_data"))
         body = [F.struct(F.array(F.struct(system.alias("text"))).alias("parts")).alias("system_instruction"), F.array(F.struct(F.lit("user").alias("role"), F.array(text, media).alias("parts"))).alias("contents")]
         kind = [F.struct(F.lit("application/json").alias("response_mime_type")).alias("generationConfig")] if json_reply else []
         return F.to_json(F.struct(*body, *kind))
     kind = [F.struct(F.lit("json_object").alias("type")).alias("response_format")] if json_reply else []
     if shape == "chat":
         return F.to_json(F.struct(name.alias("model"), messages(system, user).alias("messages"), *kind))
-    sound = F.to_json(F.struct(F.lit("input_audio").alias("type"), F.struct(F.base64(audio).alias("data"), fmt.alias("format")).alias("input_audio")))
+    sound = F.to_json(F.struct(F.lit("input_audio").alias("type"), F.struct(unbroken(audio).alias("data"), fmt.alias("format")).alias("input_audio")))
     text = F.when(F.coalesce(F.length(user), F.lit(0)) > 0, F.to_json(F.struct(F.lit("text").alias("type"), user.alias("text"))))
     content = F.concat(F.lit("["), F.concat_ws(",", sound, text), F.lit("]"))
     # the contents of the two messages differ in type, so the body is put together from JSON texts

@@ -18,25 +18,46 @@ def tokens(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE))
 
 
-def align(ref: np.ndarray, hyp: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (i, j) of a cheapest alignment; -1 stands for no word on that side.
+#: Cells of an alignment's trace, a byte each, that are held at once.
+TRACE = 1 << 25
 
-    A band around the diagonal is doubled until the distance fits in it. Equal ends are cut off
-    first. Of equally cheap steps a pair comes before a deletion and a deletion before an insertion.
+
+def swaps(ref: list, hyp: list) -> list[int] | None:
+    """Places where the texts differ, if changing word for word there is a cheapest alignment; else None.
+
+    That is so if no word of the one side at these places is among those of the other: each such word
+    costs a step in any alignment.
+    """
+    if len(ref) != len(hyp):
+        return None
+    at = [i for i, (x, y) in enumerate(zip(ref, hyp, strict=True)) if x != y]
+    return at if {ref[i] for i in at}.isdisjoint([hyp[i] for i in at]) else None
+
+
+def _last_costs(r: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Costs of aligning all of r with each prefix of h."""
+    k = np.arange(len(h) + 1)
+    cost = k.copy()
+    for x in r:
+        best = cost + 1
+        np.minimum(best[1:], cost[:-1] + (h != x), out=best[1:])
+        cost = np.minimum.accumulate(best - k) + k
+    return cost
+
+
+def _traced(r: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a cheapest alignment, by a band around the diagonal that is doubled until the distance fits in it.
+
+    Where the trace of a band would pass TRACE, r is cut in half and h where the costs of both halves are least.
     """
-    head = int(np.argmin(np.append(ref[: (n := min(len(ref), len(hyp)))] == hyp[:n], False)))
-    r, h = ref[head:], hyp[head:]
-    tail = int(np.argmin(np.append(r[::-1][: (n := min(len(r), len(h)))] == h[::-1][:n], False)))
-    r, h = r[: len(r) - tail], h[: len(h) - tail]
     n, m, band = len(r), len(h), 8
-    if n == m and n:
-        # no alignment is cheaper than the words that one side has more of; if word by word costs no more, it is best
-        size = int(max(r.max(), h.max())) + 1
-        surplus = np.bincount(r, minlength=size) - np.bincount(h, minlength=size)
-        if np.count_nonzero(r != h) == surplus[surplus > 0].sum():
-            return [(x, x) for x in range(len(ref))]
     while True:
         low, width = -band + min(0, m - n), 2 * band + abs(m - n) + 1
+        if n > 1 and (n + 1) * width > TRACE:
+            half = n // 2
+            cut = int(np.argmin(_last_costs(r[:half], h) + _last_costs(r[half:][::-1], h[::-1])[::-1]))
+            rest = [(i + half if i >= 0 else -1, j + cut if j >= 0 else -1) for i, j in _traced(r[half:], h[cut:])]
+            return _traced(r[:half], h[:cut]) + rest
         # cost[i][k] is for j = i + low + k
         far, steps = np.int32(1 << 29), np.zeros((n + 1, width), np.int8)
         k = np.arange(width)
@@ -54,8 +75,7 @@ def align(ref: np.ndarray, hyp: np.ndarray) -> list[tuple[int, int]]:
             new = np.minimum.accumulate(best - k) + k
             steps[i] = np.where(new == pair, 0, np.where(new == gone, 1, 2))
             cost = np.where(inside, new, far)
-        distance = cost[m - n - low]
-        if distance <= band or band >= max(n, m):
+        if cost[m - n - low] <= band or band >= max(n, m):
             break
         band *= 2
     i, j, pairs = n, m, []
@@ -63,27 +83,47 @@ def align(ref: np.ndarray, hyp: np.ndarray) -> list[tuple[int, int]]:
         step = steps[i][j - i - low]
         pairs.append((i - 1 if step < 2 else -1, j - 1 if step != 1 else -1))
         i, j = i - (step < 2), j - (step != 1)
-    pairs = [(a + head if a >= 0 else -1, b + head if b >= 0 else -1) for a, b in pairs[::-1]]
-    ends = [(len(ref) - tail + x, len(hyp) - tail + x) for x in range(tail)]
-    return [(x, x) for x in range(head)] + pairs + ends
+    return pairs[::-1]
+
 
+def changes(ref: list, hyp: list) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a cheapest alignment, without most pairs of equal words; -1 stands for no word on that side.
+
+    Equal ends are cut off first. Of equally cheap steps a pair comes before a deletion and a deletion before an insertion.
+    """
+    if (at := swaps(ref, hyp)) is not None:
+        return [(i, i) for i in at]
+    r, h = codes(ref, hyp)
+    head = int(np.argmin(np.append(r[: (n := min(len(r), len(h)))] == h[:n], False)))
+    r, h = r[head:], h[head:]
+    tail = int(np.argmin(np.append(r[::-1][: (n := min(len(r), len(h)))] == h[::-1][:n], False)))
+    pairs = _traced(r[: len(r) - tail], h[: len(h) - tail])
+    return [(a + head if a >= 0 else -1, b + head if b >= 0 else -1) for a, b in pairs]
 
-def codes(*lists: list[str]) -> list[np.ndarray]:
+
+def codes(*lists: list) -> list[np.ndarray]:
     """Numbers that stand for words, equal for equal words."""
-    known: dict[str, int] = {}
+    known: dict = {}
     return [np.array([known.setdefault(w, len(known)) for w in ws], np.int64) for ws in lists]
 
 
-def count_edits(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
-    a, b = codes(ref, hyp)
-    pairs = align(a, b)
-    return sum(i >= 0 and j >= 0 and a[i] != b[j] for i, j in pairs), sum(i < 0 for i, _ in pairs), sum(j < 0 for _, j in pairs)
+def count_edits(ref: list, hyp: list) -> tuple[int, int, int]:
+    pairs = changes(ref, hyp)
+    return sum(i >= 0 and j >= 0 and ref[i] != hyp[j] for i, j in pairs), sum(i < 0 for i, _ in pairs), sum(j < 0 for _, j in pairs)
+
+
+def split(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, as UTF-8; null has none."""
+    return (text or "").encode().split()
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("substitutions", "insertions", "deletions")]))
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("ref_words", "substitutions", "insertions", "deletions")]))
 def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = [count_edits(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)]
-    return pd.DataFrame(rows, columns=["substitutions", "insertions", "deletions"])
+    rows = []
+    for a, b in zip(ref, hyp, strict=True):
+        x = split(a)
+        rows.append((len(x), 0, 0, 0) if a == b else (len(x), *count_edits(x, split(b))))
+    return pd.DataFrame(rows, columns=["ref_words", "substitutions", "insertions", "deletions"])
 
 
 def pair_for_scoring(hyp: DataFrame, ref: DataFrame, key: str = "recording_id") -> DataFrame:
@@ -93,12 +133,9 @@ def pair_for_scoring(hyp: DataFrame, ref: DataFrame, key: str = "recording_id")
 
 def token_edits(df: DataFrame, ref: str = "reference_text", hyp: str = "text") -> DataFrame:
     """Adds ref_words, substitutions, insertions, deletions and edits; null texts have no words."""
-    found = df.withColumns({"_ref": tokens(F.col(ref)), "_hyp": tokens(F.col(hyp))})
-    # equal texts need no alignment
-    counts = F.when(F.col("_ref") == F.col("_hyp"), F.lit(None)).otherwise(_edits("_ref", "_hyp"))
-    found = found.withColumns({"_counts": counts, "ref_words": F.size("_ref").cast("long")}).drop("_ref", "_hyp")
-    names = ("substitutions", "insertions", "deletions")
-    found = found.withColumns({n: F.coalesce(F.col(f"_counts.{n}"), F.lit(0).cast("long")) for n in names}).drop("_counts")
+    names = ("ref_words", "substitutions", "insertions", "deletions")
+    found = df.withColumn("_counts", _edits(ref, hyp))
+    found = found.withColumns({n: F.col(f"_counts.{n}") for n in names}).drop("_counts")
     return found.withColumn("edits", F.col("substitutions") + F.col("insertions") + F.col("deletions"))
 
 
@@ -124,49 +161,71 @@ def unsupported_tokens(df: DataFrame, output: str = "final_text", sources: tuple
     return found.withColumn("share", F.when(F.col("n_output") > 0, F.size("unsupported") / F.col("n_output")).otherwise(0.0))
 
 
-def align_slots(transcripts: list[tuple[int, list[str]]]) -> list[tuple[int, int, str]]:
-    """(position, slot_no, token) of transcripts aligned to the first: 2 * i for its word i, odd
-    positions for words between; a slot without a word there has ''."""
+def align_slots(transcripts: list[tuple[int, list[str]]]) -> dict[int, dict[int, str]]:
+    """Where transcripts differ when aligned to the first one: slot to token by position.
+
+    Position 2 * i is the first one's word i, odd positions lie between its words; a slot without a word
+    there has ''. Positions at which all have the same token are left out.
+    """
     (first, pivot), *others = transcripts
-    at: dict[int, dict[int, str]] = {2 * i: {first: w} for i, w in enumerate(pivot)}
+    told: dict[int, dict[int, str]] = {}
     for slot, ws in others:
-        a, b = codes(pivot, ws)
-        place = -1
-        for i, j in align(a, b):
+        place = last = -1  # the word of the first one that was passed last, and of this one
+        for i, j in changes(pivot, ws):
             if i >= 0:
-                place = 2 * i
-                at[place][slot] = ws[j] if j >= 0 else ""
+                place, last = i, j if j >= 0 else last + i - place - 1
+                if j < 0 or pivot[i] != ws[j]:
+                    told.setdefault(2 * i, {})[slot] = ws[j] if j >= 0 else ""
             else:
-                gap = at.setdefault(place + 1 if place % 2 == 0 or place < 0 else place, {})
+                # equal words that were left out stand before this one on both sides
+                place, last = (place if j == last + 1 else place + j - last - 1), j
+                gap = told.setdefault(2 * place + 1, {})
                 gap[slot] = f"{gap[slot]} {ws[j]}" if slot in gap else ws[j]
     slots = [s for s, _ in transcripts]
-    return [(p, s, at[p].get(s, "")) for p in sorted(at) for s in slots]
+    return {p: {s: told[p].get(s, pivot[p // 2] if p % 2 == 0 else "") for s in slots} for p in sorted(told)}
+
+
+def vote(transcripts: list[tuple[int, list[str]]]) -> str:
+    """The token of most slots at each position, ties to the lowest slot."""
+    if not transcripts:
+        return ""
+    pivot = transcripts[0][1]
+    words = {2 * i: w for i, w in enumerate(pivot)}
+    for place, tokens_ in align_slots(transcripts).items():
+        said = list(tokens_.values())  # in order of slots, so the first of equals is the lowest slot's
+        words[place] = max(said, key=said.count)
+    return " ".join(words[p] for p in sorted(words) if words[p])
+
+
+def _present(row: list) -> list[tuple[int, list[str]]]:
+    return [(int(t["slot_no"]), [w.decode() for w in split(t["text"])]) for t in row]
+
+
+@F.pandas_udf(T.StringType())
+def _voted(transcripts: pd.Series) -> pd.Series:
+    return transcripts.map(lambda row: vote(_present(row)))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("position", T.LongType()), T.StructField("slot_no", T.IntegerType()), T.StructField("token", T.StringType())])))
-def _aligned(transcripts: pd.Series) -> pd.Series:
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("position", T.LongType()), T.StructField("variants", T.ArrayType(T.StructType([T.StructField("key", T.IntegerType()), T.StructField("value", T.StringType())])))])))
+def _differing(transcripts: pd.Series) -> pd.Series:
     rows = []
-    for found in transcripts:
-        present = [(int(t["slot_no"]), list(t["words"])) for t in found]
-        rows.append([{"position": p, "slot_no": s, "token": w} for p, s, w in align_slots(present)] if present else [])
+    for row in transcripts:
+        found = align_slots(present) if (present := _present(row)) else {}
+        rows.append([{"position": p, "variants": [{"key": s, "value": w} for s, w in at.items()]} for p, at in found.items()])
     return pd.Series(rows)
 
 
-def aligned_tokens(df: DataFrame, key: str = "recording_id") -> DataFrame:
-    """(key, position, slot_no, token) for rows (key, slot_no, text); slots in ascending order, the lowest is the pivot."""
-    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot_no", tokens(F.col("text")).alias("words")))).alias("_t"))
-    return grouped.select(key, F.explode(_aligned("_t")).alias("_a")).select(key, "_a.*")
+def by_recording(df: DataFrame, key: str) -> DataFrame:
+    """(key, _t) of rows (key, slot_no, text): slots in ascending order, the lowest is the pivot."""
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot_no", "text"))).alias("_t"))
 
 
 def discrepancies(df: DataFrame, key: str = "recording_id") -> DataFrame:
-    """(key, position, variants by slot) where the transcripts differ."""
-    at = aligned_tokens(df, key).groupBy(key, "position").agg(F.array_sort(F.collect_list(F.struct("slot_no", "token"))).alias("_v"), F.min("token").alias("_low"), F.max("token").alias("_high"))
-    return at.filter("_low <> _high").select(key, "position", F.map_from_entries("_v").alias("variants"))
+    """(key, position, variants by slot) where the transcripts differ; at most the words of one recording meet in a row."""
+    found = by_recording(df, key).select(key, F.explode(_differing("_t")).alias("_d"))
+    return found.select(key, "_d.position", F.map_from_entries("_d.variants").alias("variants"))
 
 
 def vote_transcript(df: DataFrame, key: str = "recording_id") -> DataFrame:
-    """(key, voted_text): the token of most slots at each position, ties to the lowest slot."""
-    counted = aligned_tokens(df, key).groupBy(key, "position", "token").agg(F.count(F.lit(1)).alias("_n"), F.min("slot_no").alias("_slot"))
-    best = counted.groupBy(key, "position").agg(F.max_by("token", F.struct("_n", -F.col("_slot"))).alias("token"))
-    ordered = best.filter("token <> ''").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("_w"))
-    return ordered.select(key, F.array_join(F.transform("_w", lambda w: w["token"]), " ").alias("voted_text"))
+    """(key, voted_text): the token of most slots at each position, ties to the lowest slot; no words give ''."""
+    return by_recording(df, key).select(key, _voted("_t").alias("voted_text"))

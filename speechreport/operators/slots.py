@@ -23,8 +23,9 @@ def fan_out_slots(df: DataFrame, slots: str = "stt_slots") -> DataFrame:
 
 
 def attach_model(df: DataFrame, registry: DataFrame, model: str = "model") -> tuple[DataFrame, DataFrame]:
-    """(rows with the registry's columns, rejects with status 404). Registries have a row for each model."""
-    known = F.broadcast(registry)
+    """(rows with the registry's columns, rejects with status 404). Registries have a row for each model;
+    Spark broadcasts one that it knows to be small."""
+    known = registry
     rejects = df.join(known, F.col(model) == F.col("key"), "left_anti").withColumns({"status": F.lit(404), "error": F.concat(F.lit("unknown model: "), F.coalesce(F.col(model), F.lit("")))})
     return df.join(known, F.col(model) == F.col("key")), rejects
 
@@ -34,11 +35,15 @@ def audio_models(registry: DataFrame) -> DataFrame:
 
 
 def assemble_transcripts(df: DataFrame, key: str = "recording_id") -> DataFrame:
-    """(key, transcripts map by 'transcript_N', transcript_1..3): empty transcripts are present."""
+    """(key, transcripts map by 'transcript_N', transcript_1..3): empty transcripts are present.
+
+    Of several texts for one slot, as equal requests give, the largest counts.
+    """
     entry = F.struct("slot_no", "text")
     wide = [F.max(F.when(F.col("slot_no") == n, F.col("text"))).alias(f"transcript_{n}") for n in SLOT_NUMBERS]
     grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_slots"), *wide)
-    name = F.transform("_slots", lambda s: F.struct(F.concat(F.lit("transcript_"), s["slot_no"].cast("string")).alias("key"), s["text"].alias("value")))
+    last = F.filter("_slots", lambda s, i: ~F.coalesce(F.get("_slots", i + 1)["slot_no"] == s["slot_no"], F.lit(False)))
+    name = F.transform(last, lambda s: F.struct(F.concat(F.lit("transcript_"), s["slot_no"].cast("string")).alias("key"), s["text"].alias("value")))
     return grouped.select(key, F.map_from_entries(name).alias("transcripts"), *[f"transcript_{n}" for n in SLOT_NUMBERS])
 
 

@@ -23,19 +23,21 @@ def _unserved(model: Column, engines: Iterable[str] | None, route: Column) -> Co
 def validate_requests(df: DataFrame, stt_engines: Iterable[str] | None = None, llm_engines: Iterable[str] | None = None) -> DataFrame:
     """df with status (null: valid) and error, for columns pipeline, llm_model, stt_slots.
 
-    Rules hold in the order given here. Slots that are null count toward the limit of slots but are
+    Rules hold in the order given here. The limit of slots is the session's: slots that a run brings itself
+    (run_slots, if df has that column) are not counted. Slots that are null count toward the limit of slots but are
     not configured. A status that the row has already stays. A request without a pipeline has no
     session. Only the audio pipelines know the second cloud provider.
     """
     slots, pipeline, model = F.col("stt_slots"), F.col("pipeline"), F.col("llm_model")
     configured = F.coalesce(F.exists(slots, lambda s: s.isNotNull()), F.lit(False))
+    session = ~F.coalesce("run_slots", F.lit(False)) if "run_slots" in df.columns else F.lit(True)
     audio = pipeline.isin("multimodal", "hybrid")
     stt_down = F.coalesce(F.exists(slots, lambda s: s.isNotNull() & _unserved(s["model"], stt_engines, text_route(s["model"]))), F.lit(False))
     llm_down = _unserved(model, llm_engines, F.when(audio, provider(model)).otherwise(text_route(model)))
     rules = [
         (pipeline.isNull(), 409, "no session"),
         (~pipeline.isin(*PIPELINES), 400, "unknown pipeline"),
-        (F.coalesce(F.size(slots), F.lit(0)) > MAX_SLOTS, 400, "more than 3 slots"),
+        (session & (F.coalesce(F.size(slots), F.lit(0)) > MAX_SLOTS), 400, "more than 3 slots"),
         (audio & llm_down, 503, "no engine for the language model"),
         ((pipeline == "hybrid") & ~configured, 400, "hybrid needs a configured slot"),
         ((pipeline == "hybrid") & stt_down, 503, "no engine for a slot"),

@@ -2,77 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechreport.functions.columns import DEFAULT_LANGUAGE, text_route
+from speechreport.functions.columns import DEFAULT_LANGUAGE, generation_params, redact_slots, text_route
 from speechreport.operators import inference, prompts, replies, slots
 from speechreport.operators.inference import Engines
 from speechreport.operators.validate import check_audio_format, check_language, split_valid, validate_requests
 from speechreport.sources.scratch import written
 
-REJECT = ("recording_id", "pipeline", "status", "error")
+KEY = "request_id"
+REJECT = (KEY, "recording_id", "pipeline", "status", "error")
+#: What a language model's call takes from its request besides the messages.
+CALL = ("params", "api_key", "base_url")
+
+
+def identified(requests: DataFrame) -> DataFrame:
+    """requests with request_id: their own, or a digest of the request without its keys.
+
+    One recording may have many requests. Equal requests share an id and have equal results.
+    """
+    if KEY in requests.columns:
+        return requests
+    told = [redact_slots(F.col(c)).alias(c) if c == "stt_slots" else F.col(c) for c in sorted(requests.columns) if not c.endswith("api_key")]
+    return requests.withColumn(KEY, F.md5(F.to_json(F.struct(*told))))
+
+
+def with_call(requests: DataFrame) -> DataFrame:
+    """Adds params from the request's temperature, and the language model's api_key and base_url."""
+    has = lambda c: F.col(c) if c in requests.columns else F.lit(None)
+    return requests.withColumns({"params": generation_params(has("temperature")), "api_key": has("llm_api_key").cast("string"), "base_url": has("llm_base_url").cast("string")})
+
+
+def with_audio(df: DataFrame, recordings: DataFrame, audio: str) -> DataFrame:
+    """df's rows with their recording's audio; Spark broadcasts df where it is small."""
+    return recordings.select("recording_id", audio).join(df, "recording_id")
 
 
 def transcripts_of(requests: DataFrame, recordings: DataFrame, engines: Engines, audio: str, on_slot_error: str, check_languages: bool = False) -> tuple[DataFrame, DataFrame]:
     """(assembled transcripts, rejects) of requests with slots."""
-    fanned = slots.fan_out_slots(requests.select("recording_id", "language", "stt_slots"))
+    fanned = slots.fan_out_slots(requests.select(KEY, "recording_id", "language", "stt_slots"))
     asked = check_language(fanned, default=DEFAULT_LANGUAGE)
     # only the local speech service checks languages; its 400 is the slot's 502
     unknown = F.lit(check_languages) & F.col("status").isNotNull() & (text_route(F.col("model")) == "local")
-    heard = asked.filter(~unknown).drop("status").join(recordings.select("recording_id", audio), "recording_id")
-    rows = inference.transcribe(heard, engines, audio).drop(audio)
+    slot = F.struct("slot_no", "model", "language", "api_key", "base_url")
+    calls = asked.filter(~unknown).groupBy(KEY, "recording_id").agg(F.array_distinct(F.array_sort(F.collect_list(slot))).alias("slots"))
+    rows = inference.transcribe(with_audio(calls, recordings, audio), engines, audio, key=KEY)
     if check_languages:
         error = F.concat(F.lit("unknown language: "), F.col("language"))
-        rows = rows.unionByName(asked.filter(unknown).withColumns({"text": F.lit(None).cast("string"), "status": F.lit(502), "error": error}))
+        refused = asked.filter(unknown).withColumns({"text": F.lit(None).cast("string"), "status": F.lit(502), "error": error})
+        rows = rows.unionByName(refused.select(*rows.columns))
     rows = written(rows)
-    good, rejects = inference.fail_recordings(rows, on_slot_error=on_slot_error)
-    return slots.assemble_transcripts(good), rejects
+    good, rejects = inference.fail_recordings(rows, KEY, on_slot_error)
+    return slots.assemble_transcripts(good, KEY), rejects
 
 
 def finish(asked: DataFrame) -> DataFrame:
     """Reports and failed rows from rows with reply, status and error of the language model."""
     failed = asked.filter("status is not null").select(*REJECT)
-    parsed = replies.extract_json(asked.filter("status is null").select("recording_id", "pipeline", "transcript_1", "transcript_2", "transcript_3", "reply"))
+    parsed = replies.extract_json(asked.filter("status is null").select(KEY, "recording_id", "pipeline", "transcript_1", "transcript_2", "transcript_3", "reply"))
     return slots.merge_report(parsed).drop("reply").unionByName(failed, allowMissingColumns=True)
 
 
+def listener_text(pipeline: Column, transcripts: Column) -> Column:
+    """What a listening model is told of transcripts: '' unless the pipeline is hybrid."""
+    none = F.create_map().cast("map<string,string>")
+    return F.coalesce(prompts.reference_sections(F.when(pipeline == "hybrid", F.coalesce(transcripts, none)).otherwise(none)), F.lit(""))
+
+
 def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm: Engines, audio: str = "samples", on_slot_error: str = "fail", check_languages: bool = False) -> DataFrame:
     """One row for each request: its report, or a status and an error.
 
-    Transcripts and replies are written once each, as several branches read them.
-
-    requests: recording_id, pipeline, llm_model, language, stt_slots, file_name. recordings:
-    recording_id and a column of audio. A request whose recording is missing gets status 404.
-    With ``check_languages`` slots of the local speech service fail with 502 where it does not support
-    their language.
+    requests: recording_id, pipeline, llm_model, language, stt_slots, file_name, and if wanted request_id,
+    temperature, llm_api_key, llm_base_url. recordings: recording_id and a column of audio, either a file's
+    bytes, which the stages decode, or something that the engines take as it is. A request whose recording
+    is missing gets status 404, one whose audio can't be decoded 400. With ``check_languages`` slots of the
+    local speech service fail with 502 where it does not support their language. Transcripts and replies
+    are written once each, as several branches read them; credentials are never written.
     """
-    checked = validate_requests(requests, list(stt), list(llm))
+    checked = validate_requests(with_call(identified(requests)), list(stt), list(llm))
     valid, rejects = split_valid(checked)
-    heard = valid.join(recordings.select("recording_id"), "recording_id", "left_semi")
-    missing = valid.join(recordings.select("recording_id"), "recording_id", "left_anti").withColumns({"status": F.lit(404), "error": F.lit("no such recording")})
+    known = recordings.select("recording_id")
+    heard = valid.join(known, "recording_id", "left_semi")
+    missing = valid.join(known, "recording_id", "left_anti").withColumns({"status": F.lit(404), "error": F.lit("no such recording")})
     # the format is checked before any slot is transcribed
     direct, bad_format = split_valid(check_audio_format(heard.filter(F.col("pipeline") != "separate")))
     rejects = rejects.select(*REJECT).unionByName(missing.select(*REJECT)).unionByName(bad_format.select(*REJECT))
 
     with_slots = heard.filter("pipeline = 'separate'").unionByName(direct.filter("pipeline = 'hybrid'").drop("audio_format"))
     assembled, failed = transcripts_of(with_slots, recordings, stt, audio, on_slot_error, check_languages)
-    rejects = rejects.unionByName(failed.join(valid.select("recording_id", "pipeline"), "recording_id").select(*REJECT))
+    rejects = rejects.unionByName(failed.join(valid.select(KEY, "recording_id", "pipeline"), KEY).select(*REJECT))
 
     # with 'skip' a request whose slots all failed has no transcripts, which build_messages rejects
-    separate = heard.filter("pipeline = 'separate'").join(failed.select("recording_id"), "recording_id", "left_anti")
-    separate = slots.attach_references(separate.select("recording_id", "pipeline", "llm_model"), assembled)
-    built = prompts.build_messages(separate)
-    ready, unusable = split_valid(built)
+    asked = (KEY, "recording_id", "pipeline", "llm_model", *CALL)
+    separate = heard.filter("pipeline = 'separate'").join(failed.select(KEY), KEY, "left_anti").select(*asked)
+    ready, unusable = split_valid(prompts.build_messages(slots.attach_references(separate, assembled, KEY)))
     rejects = rejects.unionByName(unusable.select(*REJECT))
-    text = inference.chat(ready.drop("transcripts"), llm)
+    text = inference.chat(ready.drop("transcripts"), llm, key=KEY)
 
-    hybrid = direct.filter("pipeline = 'hybrid'").join(failed.select("recording_id"), "recording_id", "left_anti")
-    listening = direct.filter("pipeline = 'multimodal'").unionByName(hybrid).select("recording_id", "pipeline", "llm_model")
-    listening = slots.attach_references(listening, assembled)
-    none = F.create_map().cast("map<string,string>")
-    transcripts = F.when(F.col("pipeline") == "hybrid", F.coalesce("transcripts", none)).otherwise(none)
-    user = F.coalesce(prompts.reference_sections(transcripts), F.lit(""))
-    listening = listening.withColumn("messages", prompts.messages(F.lit(prompts.system_prompt(prompts.LISTEN)), user))
-    sound = inference.chat_audio(listening.drop("transcripts").join(recordings.select("recording_id", audio), "recording_id"), llm, audio).drop(audio)
+    listening = direct.filter("pipeline = 'multimodal'").unionByName(direct.filter("pipeline = 'hybrid'").join(failed.select(KEY), KEY, "left_anti")).select(*asked)
+    listening = slots.attach_references(listening, assembled, KEY)
+    user = listener_text(F.col("pipeline"), F.col("transcripts"))
+    listening = listening.withColumn("messages", prompts.messages(F.lit(prompts.system_prompt(prompts.LISTEN)), user)).drop("transcripts")
+    sound = inference.chat_audio(with_audio(listening, recordings, audio), llm, audio, key=KEY)
     return finish(written(text.unionByName(sound))).unionByName(rejects, allowMissingColumns=True)

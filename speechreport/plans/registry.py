@@ -203,12 +203,27 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("recording_id", F.get("messages", F.lit(1))["content"].alias("user_text"), prompts.reference_sections(F.col("transcripts")).alias("reference_text"))
 
 
-@query()
+@query("""
+WITH d AS (SELECT doc_id, source, ['openai:x','gemini:y','gemma-4-e4b'][doc_id % 3 + 1] AS m, to_base64(encode(text)) AS b FROM documents),
+n AS (SELECT *, CASE WHEN m LIKE 'openai:%' OR m LIKE 'gemini:%' THEN substr(m, 8) ELSE m END AS model FROM d)
+SELECT doc_id, shape, CASE WHEN shape = 'inline' THEN NULL ELSE model END AS model, 'Listen.' AS system,
+  CASE shape WHEN 'chat' THEN source WHEN 'audio_chat' THEN source ELSE 'Listen.' || chr(10) || chr(10) || source END AS user_text,
+  CASE WHEN shape <> 'chat' THEN md5(b) END AS sound, CASE shape WHEN 'audio_chat' THEN 'wav' WHEN 'inline' THEN 'audio/wav' END AS format,
+  CASE WHEN shape = 'inline' THEN 'application/json' ELSE 'json_object' END AS kind
+FROM n, (VALUES ('chat'), ('audio_chat'), ('inline')) s(shape)""")
 def rendered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the request bodies that are rendered for every document."""
     df = table(spark, sf_dir, "documents")
     sound, system, user = F.col("text").cast("binary"), F.lit("Listen."), F.col("source")
     shapes = F.array(*[F.struct(F.lit(s).alias("shape"), prompts.render_request(s, pick("openai:x", "gemini:y", "gemma-4-e4b"), system, user, sound, F.lit("wav")).alias("body")) for s in ("chat", "audio_chat", "inline")])
-    return df.select("doc_id", F.inline(shapes))
+    got = lambda *paths: F.coalesce(*[F.get_json_object("body", p) for p in paths])
+    part, inline = "$.messages[1].content", "$.contents[0].parts"
+    said = F.when(F.col("shape") == "chat", got(part)).otherwise(got(f"{part}[1].text", f"{inline}[0].text"))
+    return df.select("doc_id", F.inline(shapes)).select(
+        "doc_id", "shape", got("$.model").alias("model"), got("$.messages[0].content", "$.system_instruction.parts[0].text").alias("system"), said.alias("user_text"),
+        F.md5(got(f"{part}[0].input_audio.data", f"{inline}[1].inline_data.data")).alias("sound"), got(f"{part}[0].input_audio.format", f"{inline}[1].inline_data.mime_type").alias("format"),
+        got("$.response_format.type", "$.generationConfig.response_mime_type").alias("kind"),
+    )
 
 
 @query("""
@@ -342,7 +357,7 @@ def transcript_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {WORDS_SQL}, c AS (SELECT recording_id, i, token, count(*) AS n, min(slot_no) AS s FROM t GROUP BY 1, 2, 3),
 b AS (SELECT recording_id, i, token, row_number() OVER (PARTITION BY recording_id, i ORDER BY n DESC, s) AS r FROM c)
-SELECT recording_id, string_agg(token, ' ' ORDER BY i) AS voted_text FROM b WHERE r = 1 GROUP BY 1""")
+SELECT recording_id, coalesce(v, '') AS voted_text FROM (SELECT DISTINCT recording_id FROM slots) LEFT JOIN (SELECT recording_id, string_agg(token, ' ' ORDER BY i) AS v FROM b WHERE r = 1 GROUP BY 1) USING (recording_id)""")
 def voted_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.vote_transcript(transcripts(spark, sf_dir))
 
@@ -393,7 +408,8 @@ def mixed_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("recording_id", "pipeline", "status", "raw_transcript")
 
 
-@query()
+@query("""
+SELECT user_id::VARCHAR AS recording_id, NULL::INT AS status, 2 * count(*)::INT AS n_samples, 16000 AS sample_rate FROM events GROUP BY user_id""")
 def recordings_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as samples of a WAV file, decoded as scanned recordings are."""
     from speechreport.streaming.chunks import to_wav
@@ -403,7 +419,8 @@ def recordings_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pcm.map(lambda x: to_wav(bytes(x), 8000))
 
     sample = F.unhex(F.lpad(F.hex(F.pmod(F.col("value").cast("long"), F.lit(65536))), 4, "0"))
-    sound = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", sample.alias("s")))).alias("p"))
-    files = sound.select(F.col("user_id").cast("string").alias("recording_id"), wav(F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["s"]))).alias("content"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", sample.alias("s"))
+    sound = events.groupBy("user_id").agg(F.expr("listagg(s) within group (order by event_id)").alias("p"))
+    files = sound.select(F.col("user_id").cast("string").alias("recording_id"), wav("p").alias("content"))
     found = inference.decode_audio(files)
     return found.select("recording_id", "status", F.size("samples").alias("n_samples"), "sample_rate")

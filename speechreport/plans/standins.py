@@ -13,7 +13,7 @@ class EchoSpeech:
     def __init__(self, old: str = "", new: str = ""):
         self.old, self.new = old, new
 
-    def transcribe(self, audio: object, rate: int, language: str | None) -> str:
+    def transcribe(self, audio: object, rate: int, language: str | None, access: dict) -> str:
         text = audio if isinstance(audio, str) else f"{len(audio)} samples"
         return text.replace(self.old, self.new) if self.old else text
 
@@ -21,14 +21,14 @@ class EchoSpeech:
 class FirstSection:
     """Answers with the first transcript of the prompt as a fenced report, and a note of its length."""
 
-    def chat(self, messages: list, params: object) -> str:
+    def chat(self, messages: list, params: object, access: dict) -> str:
         user = next(m["content"] for m in messages if m["role"] == "user")
         _, _, body = user.partition(ENGINE_LABEL[1])
         first = body.split("\n\n" + ENGINE_LABEL[0])[0]
         report = {"raw_transcript": first, "corrected_transcript": first.strip(), "final_text": None, "discrepancies_found": [], "notes": str(len(first))}
         return f"Here it is:\n```json\n{json.dumps(report, ensure_ascii=False)}\n```\nDone."
 
-    def chat_audio(self, messages: list, audio: object, params: object) -> str:
+    def chat_audio(self, messages: list, audio: object, params: object, access: dict) -> str:
         heard = audio if isinstance(audio, str) else f"{len(audio)} samples"
         return json.dumps({"raw_transcript": heard, "notes": next(m["content"] for m in messages if m["role"] == "user")})
 

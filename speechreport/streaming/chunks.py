@@ -15,7 +15,7 @@ RATE = 16_000
 #: Event time that a recording may wait for its next chunk.
 WAIT_MS = 600_000
 OUTPUT = "recording_id string, status string, n_chunks long, content binary"
-STATE = "seqs array<long>, parts array<binary>, last long, newest long"
+STATE = "seqs array<long>, parts array<binary>, last long, newest long, done boolean"
 
 
 def to_wav(pcm: bytes, rate: int = RATE) -> bytes:
@@ -30,27 +30,29 @@ def to_wav(pcm: bytes, rate: int = RATE) -> bytes:
 
 
 def _assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seqs, held, last, newest = state.get if state.exists else ([], [], -1, 0)
+    seqs, held, last, newest, done = state.get if state.exists else ([], [], -1, 0, False)
     known = {int(s): bytes(x) for s, x in zip(seqs, held, strict=True)}
 
     def row(status: str) -> pd.DataFrame:
-        state.remove()
         body = b"".join(known[s] for s in sorted(known))
         return pd.DataFrame({"recording_id": [key[0]], "status": [status], "n_chunks": [len(known)], "content": [to_wav(body)]})
 
     if state.hasTimedOut:
-        yield row("incomplete")
+        state.remove()
+        if not done:
+            yield row("incomplete")
         return
     for part in parts:
         newest = max(newest, int(part["ms"].max()))
         for seq, data, end in zip(part["seq"], part["bytes"], part["is_last"], strict=True):
             known.setdefault(int(seq), bytes(data) if data is not None else b"")
-            last = int(seq) if end else last
-    # the recording is whole once its last chunk and all before it are there
-    if last >= 0 and len([s for s in known if s <= last]) == last + 1:
+            last = max(last, int(seq)) if end else last
+    # the recording is whole once its last chunk and all before it are there; then only a mark is kept, so that
+    # chunks that come again don't open it anew
+    if not done and last >= 0 and len([s for s in known if 0 <= s <= last]) == last + 1:
         yield row("complete")
-        return
-    state.update((list(known), list(known.values()), last, newest))
+        done = True
+    state.update(([], [], last, newest, True) if done else (list(known), list(known.values()), last, newest, False))
     state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + WAIT_MS)
 
 
@@ -59,15 +61,25 @@ def assemble_chunks(stream: DataFrame, watermark: str = "10 minutes") -> DataFra
 
     seq counts from 0. Chunks may come in any order; of rows with one (recording_id, seq) the first
     counts. A recording whose last chunk doesn't come within the watermark is given as 'incomplete'.
+    Chunks that repeat after that or after completion give no second row until the wait is over. Rows
+    without seq or ts are left out, as they have no place in the recording or in time; null bytes are empty.
     """
-    grouped = stream.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", watermark).groupBy("recording_id")
+    placed = stream.filter("seq is not null and ts is not null").withColumns({"ms": F.unix_millis("ts"), "is_last": F.coalesce("is_last", F.lit(False))})
+    grouped = placed.withWatermark("ts", watermark).groupBy("recording_id")
     return grouped.applyInPandasWithState(_assemble, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def assemble_batch(df: DataFrame) -> DataFrame:
-    """The same for a finished table of chunks."""
-    one = df.groupBy("recording_id", "seq").agg(F.first("bytes").alias("bytes"), F.max("is_last").alias("is_last"))
-    whole = one.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("_c"), F.max(F.when(F.col("is_last"), F.col("seq"))).alias("_last"))
-    n = F.size("_c").cast("long")
-    status = F.when(F.coalesce(F.col("_last") + 1 == n, F.lit(False)), "complete").otherwise("incomplete")
-    return whole.select("recording_id", status.alias("status"), n.alias("n_chunks"), F.aggregate("_c", F.lit(b""), lambda a, c: F.concat(a, c["bytes"])).alias("content"))
+    """The same for a finished table of chunks, with the bare bytes as content; ts is not needed.
+
+    Of rows with one (recording_id, seq) the one with the least ts counts, if there is a ts, then the least bytes.
+    """
+    data = F.coalesce("bytes", F.lit(b""))
+    first = F.min_by(data, F.struct("ts", data)) if "ts" in df.columns else F.min(data)
+    placed = df.filter("seq is not null and ts is not null") if "ts" in df.columns else df.filter("seq is not null")
+    one = placed.groupBy("recording_id", "seq").agg(first.alias("bytes"), F.max(F.coalesce("is_last", F.lit(False))).alias("is_last"))
+    content = F.expr("listagg(bytes) within group (order by seq)")
+    whole = one.groupBy("recording_id").agg(content.alias("content"), F.collect_list("seq").alias("_seqs"), F.max(F.when(F.col("is_last"), F.col("seq"))).alias("_last"))
+    there = F.size(F.filter("_seqs", lambda s: (s >= 0) & (s <= F.col("_last"))))
+    status = F.when(F.coalesce(there == F.col("_last") + 1, F.lit(False)), "complete").otherwise("incomplete")
+    return whole.select("recording_id", status.alias("status"), F.size("_seqs").cast("long").alias("n_chunks"), "content")

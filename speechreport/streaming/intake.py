@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from speechreport.operators.inference import Engines, decode_audio
+from speechreport.operators.inference import Engines
 from speechreport.plans.pipelines import run_pipelines
 from speechreport.sources.recordings import write_reports
 
@@ -20,11 +20,7 @@ def run_stream(stream: DataFrame, requests: Callable[[DataFrame], DataFrame], st
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        decoded = decode_audio(batch.select("recording_id", "content"))
-        good = decoded.filter("status is null").select("recording_id", "samples")
-        asked = requests(batch.drop("content"))
-        undecodable = decoded.filter("status is not null").select("recording_id", "status", "error")
-        reports = run_pipelines(asked.join(undecodable, "recording_id", "left"), good, stt, llm)
+        reports = run_pipelines(requests(batch.drop("content")), batch.select("recording_id", "content"), stt, llm, audio="content")
         write_reports(reports, f"{path}/batch={number}", "overwrite")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

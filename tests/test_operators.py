@@ -5,9 +5,11 @@ import json
 import random
 import wave
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from speechreport.functions import columns as C
@@ -115,6 +117,13 @@ def test_decode_audio(spark):
     assert found["bad"]["status"] == found["none"]["status"] == 400
 
 
+def test_broken_files_are_rows_with_a_status(spark):
+    whole = wav([1, 2, 3, 4])
+    rows = [("odd", whole[:-3]), ("rate", whole[:24] + bytes(4) + whole[28:]), ("channels", whole[:22] + bytes(2) + whole[24:]), ("head", whole[:30]), ("good", whole)]
+    found = {r["recording_id"]: r["status"] for r in inference.decode_audio(spark.createDataFrame(rows, "recording_id string, content binary")).collect()}
+    assert found == {"odd": 400, "rate": 400, "channels": 400, "head": 400, "good": None}
+
+
 def test_resampling_keeps_a_tone():
     t = np.arange(8000) / 8000
     out = inference.resample(np.sin(2 * np.pi * 440 * t), 8000)
@@ -123,14 +132,28 @@ def test_resampling_keeps_a_tone():
 
 
 class Broken:
-    def transcribe(self, audio, rate, language):
+    def transcribe(self, audio, rate, language, access):
         raise RuntimeError("out of memory")
 
 
+class Many:
+    """Takes all calls of a portion at once and tells what it got."""
+
+    def transcribe_all(self, calls):
+        return [f"{len(calls)}:{audio}:{language}:{access['api_key']}" for audio, _, language, access in calls]
+
+
+def slot_rows(spark, rows):
+    """Rows (recording_id, said, slots as (slot_no, model, language, api_key, base_url))."""
+    slot = "array<struct<slot_no:int,model:string,language:string,api_key:string,base_url:string>>"
+    return spark.createDataFrame([(i, said, [(n, *x) for n, x in enumerate(slots, 1)]) for i, said, slots in rows], f"recording_id string, said string, slots {slot}")
+
+
 def test_row_errors_do_not_fail_the_job(spark):
-    rows = [("a", 1, "seamless", "x"), ("a", 2, "broken", "x"), ("b", 1, "seamless", "y"), ("b", 2, "nope", "y"), ("c", 1, "seamless", "z")]
-    df = spark.createDataFrame(rows, "recording_id string, slot_no int, model string, said string").withColumn("language", F.lit("fa"))
+    plain = lambda *models: [(m, "fa", None, None) for m in models]
+    df = slot_rows(spark, [("a", "x", plain("seamless", "broken")), ("b", "y", plain("seamless", "nope")), ("c", "z", plain("seamless"))])
     got = inference.transcribe(df, {**standins.STT, "broken": Broken}, audio="said")
+    assert set(got.columns) == {"recording_id", "slot_no", "model", "language", "text", "status", "error"}
     good, rejects = inference.fail_recordings(got)
     assert [r["recording_id"] for r in good.collect()] == ["c"]
     assert {r["recording_id"]: r["error"] for r in rejects.collect()} == {"a": "RuntimeError: out of memory", "b": "unknown model: nope"}
@@ -138,6 +161,11 @@ def test_row_errors_do_not_fail_the_job(spark):
     assert skipped.count() == 3 and none.count() == 0
 
 
+def test_engines_get_calls_together_and_credentials(spark):
+    df = slot_rows(spark, [("a", "x", [("many", "fa", "k1", None), ("many", "en", None, None)])])
+    assert [r["text"] for r in inference.transcribe(df, {"many": Many}, audio="said").orderBy("slot_no").collect()] == ["2:x:fa:k1", "2:x:en:None"]
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -155,15 +183,34 @@ def test_edit_counts_match_plain_program():
         s, i, d = quality.count_edits(a, b)
         assert s + i + d == plain_distance(a, b)
         assert len(a) - d == len(b) - i
-        pairs = quality.align(*quality.codes(a, b))
+        assert all(x != y for x, y in ((a[i], b[j]) for i, j in quality.changes(a, b) if i >= 0 and j >= 0)) or quality.swaps(a, b) is None
+
+
+def test_long_unrelated_texts_are_aligned_in_parts(monkeypatch):
+    monkeypatch.setattr(quality, "TRACE", 500)
+    rnd = random.Random(6)
+    for _ in range(40):
+        a, b = ([rnd.choice("abcdef") for _ in range(rnd.randint(0, 90))] for _ in range(2))
+        assert sum(quality.count_edits(a, b)) == plain_distance(a, b)
+        pairs = quality._traced(*quality.codes(a, b))
         assert [i for i, _ in pairs if i >= 0] == list(range(len(a))) and [j for _, j in pairs if j >= 0] == list(range(len(b)))
 
 
+def test_aligned_words_stand_at_their_places():
+    rnd = random.Random(7)
+    for _ in range(200):
+        pivot = [rnd.choice("abcd") for _ in range(rnd.randint(0, 12))]
+        other = [rnd.choice("abcd") for _ in range(rnd.randint(0, 12))]
+        told = quality.align_slots([(1, pivot), (2, other)])
+        words = {2 * i: w for i, w in enumerate(pivot)} | {p: v[2] for p, v in told.items()}
+        assert " ".join(words[p] for p in sorted(words) if words[p]) == " ".join(other)
+
+
 def test_vote_and_discrepancies_with_insertions(spark):
-    rows = [("r", 1, "the left lung is clear"), ("r", 2, "the left lungs is very clear"), ("r", 3, "the lung is very clear"), ("s", 2, "alone"), ("e", 1, "")]
+    rows = [("r", 1, "the left lung is clear"), ("r", 2, "the left lungs is very clear"), ("r", 3, "the lung is very clear"), ("s", 2, "alone"), ("e", 1, ""), ("n", 1, None)]
     df = spark.createDataFrame(rows, "recording_id string, slot_no int, text string")
     voted = {r["recording_id"]: r["voted_text"] for r in quality.vote_transcript(df).collect()}
-    assert voted == {"r": "the left lung is very clear", "s": "alone"}
+    assert voted == {"r": "the left lung is very clear", "s": "alone", "e": "", "n": ""}
     diffs = {r["position"]: r["variants"] for r in quality.discrepancies(df).collect()}
     assert diffs == {2: {1: "left", 2: "left", 3: ""}, 4: {1: "lung", 2: "lungs", 3: "lung"}, 7: {1: "", 2: "very", 3: "very"}}
 
@@ -174,7 +221,10 @@ def test_last_user_turn_without_user(spark):
     assert found == {1: (None, None, 400), 2: (2, "c", None)}
 
 
-SLOT_TEXTS = [("[null]", 1, None), ("{}", 0, None), ('{"a":1}', None, 400), ("3", None, 400), ("null", 0, None), ('["x"]', None, 400), ("[{}]", None, 400), ('[{"model":"a"', None, 400), ('[{"model":"a"}, {"model":"b","language":"en"}]', 2, None)]
+SLOT_TEXTS = [
+    ('\n[{"model":"a"}]\t', 1, None), ('[{"model":5}]', None, 400), ('[{"model":"a","language":{"x":1}}]', None, 400), ('[{"model":"a","model":"b"}]', 1, None), ('[{"model":"a","language":null,"more":[1]}]', 1, None),
+    ('[{"model":"a"}] x', None, 400), ('[{"model":"a"}],[]', None, 400), ('[{"model":"a"}]]', None, 400), ('[{"model":"a"}]],"y":[[]', None, 400), ("[1]", None, 400), ('"x"', None, 400), ("[[]]", None, 400), ('[{"model":null}]', None, 400), ("[null]", 1, None), ("{}", 0, None), ('{"a":1}', None, 400), ("3", None, 400), ("null", 0, None), ('["x"]', None, 400), ("[{}]", None, 400), ('[{"model":"a"', None, 400), ('[{"model":"a"}, {"model":"b","language":"en"}]', 2, None),
+]
 
 
 @pytest.mark.parametrize(("text", "n", "status"), SLOT_TEXTS)
@@ -183,16 +233,37 @@ def test_slot_json(spark, text, n, status):
     assert row["status"] == status and (status or len(row["stt_slots"]) == n)
 
 
+def test_slot_json_gives_all_fields(spark):
+    text = '[{"model":"a","model":"b","api_key":"k","base_url":"u","language":"en"}]'
+    assert recordings.read_requests(spark.createDataFrame([(text,)], "stt_slots_json string")).first()["stt_slots"] == [("b", "k", "u", "en")]
+
+
+def test_only_a_sessions_slots_are_limited(spark):
+    four, slot = "[" + ",".join(['{"model":"m"}'] * 4) + "]", ("m", None, None, None)
+    rows = [("a", four, None), ("b", None, [slot] * 4), ("c", four, [slot] * 4), ("d", None, [slot] * 3)]
+    df = spark.createDataFrame([(*r, "separate", "openai:x") for r in rows], f"recording_id string, stt_slots_json string, stt_slots {schemas.SLOTS.simpleString()}, pipeline string, llm_model string")
+    assert {r["recording_id"]: r["status"] for r in validate.validate_requests(recordings.read_requests(df)).collect()} == {"a": None, "b": 400, "c": 400, "d": None}
+
+
+def test_white_space_and_default_name(spark):
+    row = one(spark, C.qualify_model(F.lit("\n\t\u00a0m "), F.lit(True), "llm"), C.audio_format(F.lit(None).cast("string"), F.lit("openai:x")), C.audio_format(F.lit(""), F.lit("m")))
+    assert tuple(row) == ("openai:m", "wav", "wav")
+    df = spark.createDataFrame([(1, 0, "user", "\n\t"), (1, 1, "user", "q"), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
+    assert [r["turn"] for r in conversations.chat_history(df).collect()] == [1]
+
+
 def test_validation_keeps_an_earlier_status(spark):
     df = spark.createDataFrame([("separate", "m", 400, "invalid slot JSON")], "pipeline string, llm_model string, status int, error string").withColumn("stt_slots", F.lit(None).cast(schemas.SLOTS))
     assert validate.validate_requests(df).first()["error"] == "invalid slot JSON"
 
 
 def test_sinks_and_sources(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.wav").write_bytes(wav([1, 2]))
+    (tmp_path / "in/x y").mkdir(parents=True)
+    for name in ("a.wav", "x y/a.wav"):
+        (tmp_path / "in" / name).write_bytes(wav([1, 2]))
     (tmp_path / "in/b.txt").write_text("no")
-    assert [r["recording_id"] for r in recordings.read_recordings(spark, str(tmp_path / "in")).collect()] == ["a.wav"]
+    assert sorted(r["recording_id"] for r in recordings.read_recordings(spark, str(tmp_path / "in")).collect()) == ["a.wav", "x y/a.wav"]
+    assert [r["recording_id"] for r in recordings.read_recordings(spark, str(tmp_path / "in/x*")).collect()] == ["a.wav"]
     df = spark.createDataFrame([("a", "separate", None, None, "x")], "recording_id string, pipeline string, status int, error string, final_text string")
     recordings.write_reports(df, str(tmp_path / "out"))
     row = spark.read.parquet(str(tmp_path / "out")).first()
@@ -221,8 +292,9 @@ def test_stream_of_chunks(spark, tmp_path):
     source = str(tmp_path / "chunks")
     at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
     batches = [
-        [("a", 1, at(0), b"cc", False), ("a", 0, at(0), b"bb", False), ("b", 0, at(0), b"xx", False), ("a", 0, at(0), b"zz", False)],
-        [("a", 2, at(1), b"dd", True), ("c", 0, at(1), b"yy", True)],
+        [("a", 1, at(0), b"cc", False), ("a", 0, at(0), b"bb", False), ("b", 0, at(0), b"xx", False), ("a", 0, at(0), b"zz", False), ("n", None, at(0), b"no", True), ("n", 0, None, b"no", True), ("n", 0, at(0), None, None)],
+        [("a", 2, at(1), b"dd", True), ("c", 0, at(1), b"yy", True), ("n", 1, at(1), b"z", True)],
+        [("a", 1, at(2), b"again", False), ("a", 2, at(2), b"again", True), ("c", 0, at(1), b"yy", True)],
         [("d", 0, at(60), b"qq", False)],
         [("e", 0, at(120), b"qq", True)],
     ]
@@ -231,13 +303,19 @@ def test_stream_of_chunks(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         query = chunks.assemble_chunks(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         query.awaitTermination()
-    found = {r["recording_id"]: (r["status"], r["n_chunks"], bytes(r["content"])) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    told = lambda df, wrap: {r["recording_id"]: (r["status"], r["n_chunks"], wrap(bytes(r["content"]))) for r in df.collect()}
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    found = told(rows, bytes)
+    assert rows.count() == len(found)
     assert found["a"] == ("complete", 3, chunks.to_wav(b"bbccdd")) and found["c"][0] == "complete"
     assert found["b"][:2] == ("incomplete", 1)
+    # the finished table gives the same recordings, and those that may still wait in the stream
+    whole = told(chunks.assemble_batch(spark.read.parquet(source)), chunks.to_wav)
+    assert {k: v for k, v in whole.items() if k in found} == found and set(whole) - set(found) <= {"d"}
 
 
 class Deaf:
-    def transcribe(self, audio, rate, language):
+    def transcribe(self, audio, rate, language, access):
         raise RuntimeError("deaf")
 
 
@@ -263,3 +341,77 @@ def test_local_slots_with_unsupported_languages_fail(spark):
     found = run_pipelines(requests, heard, standins.STT | {"openai:x": standins.EchoSpeech}, standins.LLM, "said", check_languages=True).collect()
     got = {r["recording_id"]: (r["status"], r["error"], r["raw_transcript"]) for r in found}
     assert len(found) == 5 and got == {1: (502, "unknown language: fr", None), 2: (None, None, "said 2"), 3: (None, None, "said 3"), 4: (None, None, "said 4"), 5: (502, "unknown language: de", None)}
+
+
+class Told:
+    """Tells what it was given."""
+
+    def transcribe(self, audio, rate, language, access):
+        return f"{len(audio)} {access['api_key']}"
+
+    def chat(self, messages, params, access):
+        return json.dumps({"notes": f"{params['do_sample']} {access['api_key']} {access['base_url']}"})
+
+    def chat_audio(self, messages, audio, params, access):
+        return json.dumps({"notes": f"{len(audio)} {params['temperature']}"})
+
+
+def test_requests_of_one_recording_and_their_credentials(spark):
+    slot = lambda key: ("m", key, None, None)
+    rows = [
+        ("r", "separate", "t", "fa", [slot("secret-1"), slot("secret-2")], "a.wav", 0.0, "secret-llm", "u"), ("r", "separate", "t", "en", [slot(None)], "a.wav", 0.9, None, None),
+        ("r", "hybrid", "t", "fa", [slot(None)], None, None, None, None), ("r", "multimodal", "t", "fa", None, "a.wav", 0.0, None, None), ("r", "multimodal", "t", "fa", None, "a.wav", 0.0, None, None), ("bad", "separate", "t", "fa", [slot(None)], "a.wav", None, None, None),
+    ]
+    asked = spark.createDataFrame(rows, f"recording_id string, pipeline string, llm_model string, language string, stt_slots {schemas.SLOTS.simpleString()}, file_name string, temperature double, llm_api_key string, llm_base_url string")
+    heard = spark.createDataFrame([("r", wav([7] * 50)), ("bad", b"no")], "recording_id string, content binary")
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    found = run_pipelines(asked, heard, {"m": Told}, {"t": Told}, audio="content").collect()
+    got = sorted((r["pipeline"], r["status"] or 0, r["transcript_1"] or "", r["transcript_2"] or "", r["notes"] or "") for r in found)
+    assert got == [
+        ("hybrid", 0, "50 None", "", "50 0.3"), ("multimodal", 0, "", "", "50 None"), ("multimodal", 0, "", "", "50 None"),
+        ("separate", 0, "50 None", "", "True None None"), ("separate", 0, "50 secret-1", "50 secret-2", "False secret-llm u"), ("separate", 400, "", "", ""),
+    ]
+    kept = [spark.read.parquet(str(f)).columns for f in set(shared.iterdir()) - before]
+    assert kept and not {"api_key", "base_url", "stt_slots", "slots", "content"} & {c for columns in kept for c in columns}
+
+
+def test_a_recording_is_decoded_once_for_all_its_slots(spark, monkeypatch, tmp_path):
+    log = tmp_path / "calls"
+
+    df = spark.createDataFrame([(f"r{i}", wav([i] * 20), [(n, "m", "fa", None, None) for n in (1, 2, 3)]) for i in range(10)], "recording_id string, content binary, slots array<struct<slot_no:int,model:string,language:string,api_key:string,base_url:string>>")
+
+    def decoded(content, target=16000, real=inference.decode_wav, path=str(log)):
+        with open(path, "a") as f:
+            f.write("x")
+        return real(content, target)
+
+    monkeypatch.setattr(inference, "decode_wav", decoded)
+    cloudpickle.register_pickle_by_value(inference)  # so that tasks get the decoder that counts
+    try:
+        assert inference.transcribe(df, {"m": Told}, audio="content").count() == 30
+    finally:
+        cloudpickle.unregister_pickle_by_value(inference)
+    assert log.read_text() == "x" * 10
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from speechreport.sources import scratch
+
+    class Bare:
+        conf = type("", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "local-cluster[3,2,3000]"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_dir(Bare)
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    from speechreport.sources import scratch
+
+    one, own = scratch.written(spark.range(10)), str(tmp_path / "own")
+    spark.range(3).write.parquet(own)
+    scratch.dropped(one, spark.read.parquet(own))
+    assert spark.read.parquet(own).count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        one.collect()

@@ -11,9 +11,8 @@ def test_same_rows_as_sql(spark, name):
     compare(spark, QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_has_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_works_without_optional_modules(spark, monkeypatch):
