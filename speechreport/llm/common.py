@@ -1,44 +1,19 @@
-"""Helpers that several operators share: scratch tables, running totals, checked broadcasts."""
+"""Helpers that several operators share: words and running totals, and the scratch tables of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechreport.sources.scratch import dropped, scratch_dir, small
+from speechreport.sources.scratch import written as materialize
+
+__all__ = ["dropped", "materialize", "scratch_dir", "small", "with_starts", "words"]
+
 #: ASCII white space, the separator of the word contracts, inside a Java character class.
 SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
-#: Rows of a key column that a broadcast may hold: 8-byte keys, so about 50 MB as a hash relation.
-BROADCAST_ROWS = 1_000_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/speechreport-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Writes df to a scratch table and reads it again, so that lineage ends there."""
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it has at most BROADCAST_ROWS rows, else df, which Spark then shuffles.
-
-    df should be a written table: it is counted here and read again later.
-    """
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
 
 def words(text: Column) -> Column:
     """The maximal runs of characters other than ASCII white space; null has none."""

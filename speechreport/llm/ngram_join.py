@@ -31,9 +31,9 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechreport.llm.common import materialize, small
+from speechreport.llm.common import dropped, materialize, small
 from speechreport.llm.components import components
-from speechreport.llm.shingles import all_sets, mixed
+from speechreport.llm.shingles import all_sets, mixed, slices
 
 PERCENT = 80
 #: Shingles whose frequency class every task knows; the most frequent ones, so 9 MB at most.
@@ -46,7 +46,7 @@ PAIRED = 32
 #: Shingles with 2**HOT counted occurrences and more have their postings dealt over SALTS tasks.
 HOT, SALTS = 13, 64
 #: Rows that a task puts into one batch.
-ROWS = 1 << 19
+ROWS = 1 << 17
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -66,7 +66,7 @@ def summarize(df: DataFrame) -> DataFrame:
             none = pa.nulls(len(n))
             return pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(n.astype(np.int64)), none.cast(pa.binary()), pa.array(_signed(tokens))], names)
 
-        for batch in batches:
+        for batch in slices(batches):
             sets = all_sets(batch.column(1).to_pylist())
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sets)).cast(pa.int64())], names)
@@ -148,7 +148,7 @@ def postings(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(["shingle", "salt", "node", "n", "place", "rare"])
-        for batch in batches:
+        for batch in slices(batches):
             for node, s in zip(batch.column(0).to_pylist(), all_sets(batch.column(1).to_pylist()), strict=True):
                 if len(s):
                     own = in_order(s, known.value, 0)
@@ -181,7 +181,7 @@ def differences(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(["base", "token", "node", "part", "hub", "n", "d", "place", "near", "core"])
         u, v = 100 + percent, 100 - percent
-        for batch in batches:
+        for batch in slices(batches):
             nodes, parts, hubs, texts, hub_texts = (c.to_pylist() for c in batch.columns)
             named = list(dict.fromkeys(hub_texts))
             bases = dict(zip(named, all_sets(named), strict=True))
@@ -218,7 +218,7 @@ def heads(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = all_sets(batch.column(1).to_pylist())
             cut = [[(in_order(s, known.value, k)[: prefix_size(len(s), percent)] >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in range(ORDERS)] for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(cut, pa.list_(pa.list_(pa.int32())))], ["node", "n", "heads"])
@@ -230,7 +230,7 @@ def similar(df: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of rows (a, b, text_a, text_b) whose sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             left, right = (all_sets(batch.column(i).to_pylist()) for i in (2, 3))
             links = []
             for x, y in zip(left, right, strict=True):
@@ -281,17 +281,17 @@ def verify(pairs: DataFrame, texts: DataFrame, known: Broadcast, percent: int) -
 
 
 def grouped(listed: DataFrame) -> DataFrame:
-    """Postings of the shingles that more than one row has, with hub (node, n, place) and size of the group.
+    """Postings of the shingles that more than one row has, with hub (rare, node, n, place) and size of the group.
 
-    The postings are shuffled once. Those of hot shingles are dealt by salt, and their groups put
+    The postings are shuffled once: both readers take all columns, and the same filter, so that they share the shuffle. Those of hot shingles are dealt by salt, and their groups put
     together from one row for each salt.
     """
-    listed = listed.repartition("shingle", "salt")
+    listed = listed.filter("shingle is not null and salt is not null").repartition("shingle", "salt")
     dealt = listed.groupBy("shingle", "salt").agg(F.min(F.struct("rare", "node", "n", "place")).alias("hub"), F.count(F.lit(1)).alias("size"))
     dealt = dealt.filter("size > 1 or salt >= 0")
     hubs = dealt.groupBy("shingle").agg(F.min("hub").alias("hub"), F.sum("size").alias("size"), F.collect_list("salt").alias("salts")).filter("size > 1")
     hubs = hubs.select("shingle", "hub", "size", F.explode("salts").alias("salt"))
-    return listed.join(hubs.hint("shuffle_hash"), ["shingle", "salt"]).select("shingle", "node", "n", "place", "hub", "size")
+    return listed.join(hubs.hint("shuffle_hash"), ["shingle", "salt"]).select("shingle", "node", "n", "place", "rare", "hub", "size")
 
 
 def fits(a: str, b: str, percent: int) -> Column:
@@ -356,6 +356,7 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int =
     told = materialize(differences(told.withColumnsRenamed({"_text": "text", "_text_hub": "hub_text"}), known, percent))
     pairs = paired(few, percent).union(apart(told, percent)).distinct()
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"))
+    dropped(stars, groups, placed, held)
     to_hub = told.filter("near and place < 0").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     second = materialize(verify(pairs, texts, known, percent).union(to_hub.distinct()))
     whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").union(second))
@@ -363,5 +364,6 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int =
     ends = member.groupBy("doc_id").agg(F.min("node").alias("node"))
     ends = ends.join(whole, "node", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "node").alias("component_id"))
     ends = materialize(ends)
+    dropped(part, whole, second, told, pairs, member)
     result = docs.select("doc_id", "n").join(ends, F.col("doc_id") == F.col("id"), "left")
     return result.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

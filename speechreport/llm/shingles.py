@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORDS = 5
 CACHED = 300_000
+#: Rows of a batch that a task takes at once.
+SLICE = 256
 #: Odd multipliers, one for each place in a shingle, and those of a 64-bit finalizer.
 PLACE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -79,3 +84,10 @@ def portions(texts: list[str | None], size: int = 1 << 20) -> list[slice]:
 def all_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
     """shingle_sets() portion by portion, for batches of any size."""
     return [s for part in portions(texts) for s in shingle_sets(texts[part], n)]
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE rows, so that a task holds few texts and sets at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)

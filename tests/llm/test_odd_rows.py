@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from speechreport.llm import budget_mix, chat_snapshots, common, host_rules, license_join, media, mil_quality, ngram_join, packing, range_coder
+from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, media, mil_quality, ngram_join, packing, range_coder
+from speechreport.sources import scratch
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -163,9 +164,9 @@ def plain_components(docs):
     return [find(i) for i in range(len(docs))]
 
 
-@pytest.mark.parametrize(("broadcast_rows", "members", "hot"), [(1_000_000, 32, 13), (0, 3, 13), (1_000_000, 0, 3)])
-def test_ngram_join_matches_brute_force_in_groups_of_near_copies(spark, monkeypatch, broadcast_rows, members, hot):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize(("broadcast", "members", "hot"), [(1 << 26, 32, 13), (-1, 3, 13), (1 << 26, 0, 3)])
+def test_ngram_join_matches_brute_force_in_groups_of_near_copies(spark, monkeypatch, broadcast, members, hot):
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", broadcast)
     monkeypatch.setattr(ngram_join, "PAIRED", members)
     monkeypatch.setattr(ngram_join, "HOT", hot)
     rng = np.random.default_rng(3 + members)
