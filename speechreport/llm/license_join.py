@@ -1,6 +1,7 @@
 """License scans as an exact set-similarity join, in DataFrame functions only.
 
-Template notices are token sets. Texts are cut into overlapping blocks of words, and every block that
+Template notices are token sets. Each text is cut into words once, of which those that a template or phrase
+has are kept with their places. Texts are taken as overlapping blocks of words, and every block that
 contains at least the threshold share of a template's tokens is found: tokens are put in one global
 order, rarest first by their count in the corpus; a block and a template can only match if their
 prefixes in that order share a token, the block is long enough, and enough tokens are left after the
@@ -9,6 +10,7 @@ shared one (prefix, length and positional filters). What is left is verified exa
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +37,9 @@ TEMPLATES = {
 }
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK, STEP = 64, 32
+#: Words of the smallest blocks; blocks start at every half of their length.
+BLOCK = 64
+STEP = BLOCK // 2
 THRESHOLD = 0.8
 
 
@@ -50,79 +54,91 @@ def license_words(text: Column) -> Column:
     return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
 
-def template_table(templates: dict[str, str]) -> list[tuple[str, list[str]]]:
-    return [(label, sorted(set(text.split()))) for label, text in templates.items()]
+def block_of(words: int) -> int:
+    """Words of the blocks in which a template of so many words is sought: BLOCK doubled until it holds twice as many."""
+    size = BLOCK
+    while size < 2 * words:
+        size *= 2
+    return size
 
 
-def token_counts(worded: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """How often each token of the templates occurs in the corpus; as many rows as they have tokens."""
-    spark = worded.sparkSession
-    known = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "token string"))
-    found = worded.select(F.explode("_words").alias("token")).join(known, "token").groupBy("token").count()
-    return {r["token"]: r["count"] for r in found.collect()}
+def hits(df: DataFrame, key: str, text: str, vocabulary: list[str]) -> DataFrame:
+    """(_id, n_words, hits): places and words of each text that are in the vocabulary, in order. Each text is cut once."""
+    cut = df.select(F.col(key).alias("_id"), license_words(F.col(text)).alias("_words"))
+    own = F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(*vocabulary), F.struct(i.alias("i"), w.alias("w")))))
+    return cut.select("_id", F.size("_words").cast("long").alias("n_words"), own.alias("hits"))
 
 
-def matches(worded: DataFrame, key: str, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(key, label, containment) for every block of ``_words`` that meets the threshold."""
-    spark, table = worded.sparkSession, template_table(templates)
-    vocabulary = sorted({t for _, ts in table for t in ts})
-    counts = token_counts(worded, vocabulary)
+def matches(found: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
+    """(_id, label, block, start, containment) of every block of ``block`` words that meets the threshold, for rows of hits()."""
+    spark = found.sparkSession
+    tokens_of = {label: sorted(set(text.split())) for label, text in templates.items()}
+    vocabulary = sorted({t for ts in tokens_of.values() for t in ts})
+    # as many rows as the templates have tokens
+    counts = {r["w"]: r["count"] for r in found.select(F.explode("hits.w").alias("w")).groupBy("w").count().collect()}
     order = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
     rank = {t: i for i, t in enumerate(order)}
-    rows = []
-    for label, tokens in table:
-        ordered, need = sorted(tokens, key=rank.__getitem__), math.ceil(threshold * len(tokens) - 1e-9)
-        rows += [(t, i, label, ordered, len(tokens), need) for i, t in enumerate(ordered[: len(tokens) - need + 1])]
-    prefixes = spark.createDataFrame(rows, "token string, place int, label string, tokens array<string>, size int, need int")
-    heads = sorted({r[0] for r in rows}, key=rank.__getitem__)
-    least = min(r[5] for r in rows)
-
-    texts = lambda ts: F.array(*[F.lit(t) for t in ts])
-    places = F.sequence(F.lit(0), F.greatest(F.size("_words") - 1, F.lit(0)), F.lit(STEP))
-    starts = F.filter(places, lambda i: (i == 0) | (i + (BLOCK - STEP) < F.size("_words")))
-    near = worded.filter(F.arrays_overlap("_words", texts(heads)))
-    blocks = near.select(key, F.explode(F.transform(starts, lambda i: F.slice("_words", i + 1, BLOCK))).alias("block"))
+    by_block: dict[int, list[str]] = {}
+    for label, text in templates.items():
+        by_block.setdefault(block_of(len(text.split())), []).append(label)
+    parts = []
+    for block, labels in by_block.items():
+        rows = []
+        for label in labels:
+            ordered, need = sorted(tokens_of[label], key=rank.__getitem__), max(1, math.ceil(threshold * len(tokens_of[label]) - 1e-9))
+            rows += [(t, i, label, ordered, len(ordered), need) for i, t in enumerate(ordered[: len(ordered) - need + 1])]
+        parts.append(_in_blocks(found, block, order, spark.createDataFrame(rows, "token string, place int, label string, tokens array<string>, size int, need int"), {r[0] for r in rows}, min(r[5] for r in rows)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _in_blocks(found: DataFrame, block: int, order: list[str], prefixes: DataFrame, heads: set[str], least: int) -> DataFrame:
+    """matches() for templates that share a length of block; least: the fewest tokens that any of them needs."""
+    step = block // 2
+    near = F.filter("hits", lambda h: h["w"].isin(*sorted(heads)))
+    at = F.transform(near, lambda h: F.floor(h["i"] / step).cast("int") * step)
+    starts = F.array_distinct(F.flatten(F.transform(at, lambda s: F.array(s, s - step))))
+    starts = F.filter(starts, lambda s: (s == 0) | ((s > 0) & (s + (block - step) < F.col("n_words"))))
+    blocks = found.select("_id", "hits", F.explode(starts).alias("start"))
+    inside = F.transform(F.filter("hits", lambda h: (h["i"] >= F.col("start")) & (h["i"] < F.col("start") + block)), lambda h: h["w"])
     # the block's tokens that any template has, in the global order; no other token can count
-    blocks = blocks.filter(F.arrays_overlap("block", texts(heads))).withColumn("own", F.array_intersect(texts(order), "block"))
-    blocks = blocks.filter(F.size("own") >= least).select(key, "own")
-    probes = blocks.select(key, "own", F.posexplode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("at", "token"))
+    blocks = blocks.select("_id", "start", F.array_intersect(F.array(*[F.lit(t) for t in order]), inside).alias("own")).filter(F.size("own") >= least)
+    probes = blocks.select("_id", "start", "own", F.posexplode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("at", "token"))
     # as many rows as the templates' prefixes have
     pairs = probes.join(F.broadcast(prefixes), "token").filter(
         (F.size("own") >= F.col("need")) & (1 + F.least(F.size("own") - F.col("at") - 1, F.col("size") - F.col("place") - 1) >= F.col("need"))
     )
-    shared = F.size(F.array_intersect("own", "tokens"))
-    pairs = pairs.withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
-    return pairs.groupBy(key, "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("own", "tokens"))).filter(F.col("shared") >= F.col("need"))
+    return pairs.groupBy("_id", "label", "start").agg(F.max(F.col("shared") / F.col("size")).alias("containment")).withColumn("block", F.lit(block))
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of df: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 where a phrase stands, else the largest containment of a template in a block that
-    meets the threshold, else 0. Null and empty texts have no words, no labels and score 0. Rows that
-    share a key, null included, share the labels that the method finds in any of them. Other columns of df are not read.
+    meets the threshold, else 0. Null and empty texts have no words, no labels and score 0; very long texts
+    are scanned whole. Rows that share a key, null included, share the labels that the method finds in any
+    of them; repeated rows give a row each, an empty table none. Other columns of df are not read.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
-    worded = df.select(F.col(key).alias("_id"), license_words(F.col(text)).alias("_words"))
-    joined = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
+    vocabulary = sorted({w for told in (*phrases, *templates.values()) for w in told.split()})
+    found = materialize(hits(df, key, text, vocabulary))
 
     def places(phrase: str) -> Column:
-        parts = phrase.split()
-        found = F.filter(F.sequence(F.lit(0), F.size("_words") - len(parts)), lambda i: _all([F.get("_words", i + k) == p for k, p in enumerate(parts)]))
-        return F.when(F.contains("_joined", F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
+        first, *rest = phrase.split()
+        follows = lambda h, j: _all([h["w"] == first, *[F.get("hits", j + k) == F.struct((h["i"] + k).alias("i"), F.lit(w).alias("w")) for k, w in enumerate(rest, 1)]])
+        return F.transform(F.filter("hits", follows), lambda h: h["i"])
 
-    base = worded.withColumn("_joined", joined)
     names = [f"_p{i}" for i in range(len(phrases))]
-    base = base.select("_id", F.size("_words").cast("long").alias("n_words"), *[places(p).alias(n) for n, p in zip(names, phrases, strict=True)])
+    base = found.select("_id", "n_words", *[places(p).alias(n) for n, p in zip(names, phrases, strict=True)])
     labelled = F.array_compact(F.array(*[F.when(F.size(n) > 0, F.lit(label)) for n, label in zip(names, phrases.values(), strict=True)]))
     every = F.flatten(F.array(*names))
     base = base.select("_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labelled)).alias("_base"))
-    more = matches(worded, "_id", templates, threshold).groupBy("_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score"))
+    more = matches(found, templates, threshold).groupBy("_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score"))
     more = materialize(more.withColumnRenamed("_id", "_match"))
-    found = base.join(more, F.col("_id").eqNullSafe(F.col("_match")), "left")
+    joined = base.join(more, F.col("_id").eqNullSafe(F.col("_match")), "left")
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_score", F.lit(0.0)))
     labels = F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>"))))
-    return found.select(
+    return joined.select(
         F.col("_id").alias(key), "n_words", "n_base", "first_word", "last_word",
         F.array_join("_base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
     )
