@@ -32,10 +32,10 @@ def records(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     line = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20\x7F]", "%20")
-    base = pages.select("page_id", line.alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    many = base.filter(F.col("n") >= LEAST_DEDUPED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = materialize(many.filter((F.col("copies") > 1) & F.col("first").isNotNull()).select("digest", "first"))
-    rows = base.join(small(firsts), "digest", "left")
+    base = pages.select("page_id", line.alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha2(html.cast("binary"), 256).alias("digest")).withColumn("_d", F.unhex("digest"))
+    many = base.filter(F.col("n") >= LEAST_DEDUPED).groupBy("_d").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    firsts = materialize(many.filter((F.col("copies") > 1) & F.col("first").isNotNull()).select("_d", "first"))
+    rows = base.join(small(firsts, 128), "_d", "left")
     revisit = F.coalesce(F.col("page_id") != F.col("first"), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
@@ -72,7 +72,7 @@ def pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     length = F.nullif(F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length: *(\d{1,18})(?:\r\n|$)", 1), F.lit("")).cast("long")
     has_end = F.octet_length(head) < F.octet_length("body")
     told = raw.select("file", "id", F.when(has_end, len(VERSION) + F.octet_length(head) + len(END) * 2 + length).alias("size"))
-    found = materialize(sums.join(told, ["file", "id"]).select("file", "id", "at", (F.col("at") + F.col("size")).alias("next")))
+    found = materialize(sums.join(told.hint("merge"), ["file", "id"]).select("file", "id", "at", (F.col("at") + F.col("size")).alias("next")))
     return raw, found
 
 
@@ -113,7 +113,7 @@ def reachable(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
                 a = pointer.pop(a)
         return pd.DataFrame({"file": pd.Series([group["file"].iloc[0]] * len(found), dtype=object), "at": np.array(found, np.int64)})
 
-    marked = nodes.join(reached.withColumn("entry", F.lit(True)), ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    marked = nodes.join(reached.withColumn("entry", F.lit(True)).hint("merge"), ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     return marked.groupBy("file", "block").applyInPandas(follow, f"file {kind}, at long")
 
 
@@ -128,14 +128,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     raw, found = pieces(spark, path)
     starts = reachable(found.select("file", "at", "next")).withColumn("_reached", F.lit(True))
     order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    owned = found.join(materialize(starts), ["file", "at"], "left").withColumn("owner", F.last(F.when(F.col("_reached"), F.col("at")), ignorenulls=True).over(order))
+    owned = found.join(materialize(starts).hint("merge"), ["file", "at"], "left").withColumn("owner", F.last(F.when(F.col("_reached"), F.col("at")), ignorenulls=True).over(order))
     owned = materialize(owned.select("file", "id", "at", "owner"))
     # pieces that are not a record of their own: those inside payloads and their owners, and those of no record
     parts = owned.groupBy("file", "owner").agg(F.count(F.lit(1)).alias("parts"), F.first("id").alias("_id"))
     plain = parts.filter((F.col("parts") == 1) & F.col("owner").isNotNull()).select("file", F.col("_id").alias("id"))
-    odd = materialize(owned.join(plain, ["file", "id"], "left_anti").select("file", "id", "at", "owner").withColumn("odd", F.lit(True)))
-    first = materialize(raw.select("file", "id").join(owned.select("file", "id"), ["file", "id"], "left_anti").withColumns({"at": F.lit(None).cast("long"), "owner": F.lit(None).cast("long"), "odd": F.lit(True)}))
-    split = raw.select("file", "id", "body").join(small(materialize(odd.unionByName(first))), ["file", "id"], "left")
+    odd = materialize(owned.join(plain.hint("merge"), ["file", "id"], "left_anti").select("file", "id", "at", "owner").withColumn("odd", F.lit(True)))
+    first = materialize(raw.select("file", "id").join(owned.select("file", "id").hint("merge"), ["file", "id"], "left_anti").withColumns({"at": F.lit(None).cast("long"), "owner": F.lit(None).cast("long"), "odd": F.lit(True)}))
+    split = raw.select("file", "id", "body").join(small(materialize(odd.unionByName(first)), 96), ["file", "id"], "left")
     whole = split.filter("odd is null").select("body")
     joined = split.filter("owner is not null").groupBy("file", "owner").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), VERSION).alias("body"))
     return parse(whole.union(joined.select("body")))
@@ -165,8 +165,9 @@ def write_and_read(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes one record for each row of pages and reads the archives back.
 
     Null html is an empty payload, a null url an empty one; a null page_id reads back as null and is
-    never referred to. Rows that repeat a page_id and its payload are responses each. Columns other
-    than page_id, url and html are not read. An empty table gives no rows.
+    never referred to. Rows that repeat a page_id and its payload are responses each. Very long payloads, up
+    to 2 GB, are written and read whole. Columns other than page_id, url and html are not read. An empty
+    table gives no rows.
     """
     path = path or scratch_dir(pages.sparkSession)
     write(pages, path)
