@@ -1,8 +1,9 @@
 """Token-id files coded by a static range asymmetric numeral system.
 
 All blocks share one frequency table. A block holds whole documents and is coded by itself, with many
-interleaved lanes that numpy steps together; it carries checkpoints from which decoding can start in
-its middle, and a checksum. Blocks are rows of a table that Spark writes, so any store works.
+interleaved lanes that numpy steps together; it carries a checksum, and checkpoints from which decoding can
+start in its middle: tasks decode stretches of a long block, which a very long document makes, side by side,
+and the stretches of a document are put together. Blocks are rows of a table that Spark writes, so any store works.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ WORD = 16
 BLOCK_TOKENS = 1 << 19
 LANES = 2048
 CHECKPOINT_STEPS = 128
+#: Tokens of the longest block that one task decodes whole, and of the stretches of longer ones, about.
+LONG, STRETCH = 1 << 21, 1 << 20
 MAGIC = b"SRNS"
 HEAD = struct.Struct("<4sQIIIIQ")  # magic, tokens, lanes, documents, checkpoints, steps between them, words
 OVER = 32 - BITS + WORD
@@ -93,8 +96,14 @@ def encode_block(docs: list[tuple[int | None, np.ndarray]], table: Table, lanes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def decode_block(block: bytes, table: Table, checkpoint: int = 0) -> tuple[list[tuple[int | None, int]], np.ndarray]:
-    """((document id, its tokens) of the block, token ids from the given checkpoint on; 0 is the start).
+def count_marks(block: bytes) -> int:
+    return HEAD.unpack_from(block)[4]
+
+
+def decode_block(block: bytes, table: Table, checkpoint: int = 0, until: int | None = None) -> tuple[list[tuple[int | None, int]], np.ndarray, int]:
+    """((document id, its tokens) of the block, token ids from a checkpoint on up to another, tokens before them).
+
+    Checkpoint 0 is the start; ``until`` None or after the last one is the end.
 
     Raises ValueError if the checksum or the magic doesn't fit.
     """
@@ -118,8 +127,9 @@ def decode_block(block: bytes, table: Table, checkpoint: int = 0) -> tuple[list[
         pos = struct.unpack_from("<Q", body, here)[0]
         state = np.frombuffer(body, "<i8", lanes, here + 8).copy()
         first = checkpoint * every
-    out = np.empty(n - first * lanes, np.uint32)
-    for t in range(first, -(-n // lanes)):
+    last = -(-n // lanes) if until is None or until > n_marks else until * every
+    out = np.empty(min(n, last * lanes) - first * lanes, np.uint32)
+    for t in range(first, last):
         k = min(lanes, n - t * lanes)
         x = state[:k]
         slot = x & ((1 << BITS) - 1)
@@ -136,7 +146,7 @@ def decode_block(block: bytes, table: Table, checkpoint: int = 0) -> tuple[list[
         if len(low):
             x[low] = (x[low] << WORD) | words[pos : pos + len(low)]
             pos += len(low)
-    return [(int(i) if k else None, int(s)) for k, i, s in zip(known, names, sizes, strict=True)], out
+    return [(int(i) if k else None, int(s)) for k, i, s in zip(known, names, sizes, strict=True)], out, first * lanes
 
 
 def frequencies(coded: DataFrame, width: str) -> np.ndarray:
@@ -164,12 +174,12 @@ def write_files(coded: DataFrame, path: str, width: str, key: str = "doc_id") ->
     """Writes (key, n_tokens, ids) in ascending order of key: ``path``/blocks and ``path``/table.
 
     A block row: shard (ascending ranges of key), block_no, shard_start (tokens of the shard before
-    it), n_docs, n_tokens, block. Nulls of key come first; ties stand in the order of their ids.
+    it), n_docs, n_tokens, marks (its checkpoints), block. Nulls of key come first; ties stand in the order of their ids.
     """
     spark = coded.sparkSession
     freq = quantize(frequencies(coded, width))
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq) if f], "symbol long, freq long").coalesce(1).write.parquet(f"{path}/table")
-    shared = spark.sparkContext.broadcast(freq)
+    shared, lanes, every = spark.sparkContext.broadcast(freq), LANES, CHECKPOINT_STEPS
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, shard = Table(shared.value), TaskContext.get().partitionId()
@@ -178,9 +188,10 @@ def write_files(coded: DataFrame, path: str, width: str, key: str = "doc_id") ->
 
         def close() -> pa.RecordBatch:
             nonlocal held, number, start, size
-            row = [[shard], [number], [start], [len(held)], [size], [encode_block(held, table)]]
+            block = encode_block(held, table, lanes, every)
+            row = (shard, number, start, len(held), size, count_marks(block))
             held, number, start, size = [], number + 1, start + size, 0
-            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in row[:5]), pa.array(row[5], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([block], pa.binary())], names)
 
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -191,9 +202,9 @@ def write_files(coded: DataFrame, path: str, width: str, key: str = "doc_id") ->
         if held:
             yield close()
 
-    names = ["shard", "block_no", "shard_start", "n_docs", "n_tokens", "block"]
+    names = ["shard", "block_no", "shard_start", "n_docs", "n_tokens", "marks", "block"]
     dealt = coded.select(key, "ids").repartitionByRange(key).sortWithinPartitions(key, "ids")
-    dealt.mapInArrow(blocks, "shard long, block_no long, shard_start long, n_docs long, n_tokens long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(blocks, "shard long, block_no long, shard_start long, n_docs long, n_tokens long, marks long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_files(spark, path: str, key: str = "doc_id") -> DataFrame:
@@ -207,28 +218,54 @@ def read_files(spark, path: str, key: str = "doc_id") -> DataFrame:
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(totals.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("base")))
-    placed = blocks.join(small(bases), "shard").select((F.col("base") + F.col("shard_start")).alias("start"), "block")
+    placed = blocks.join(small(bases), "shard").select((F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "marks", "block")
+    names = [key, "start", "n_tokens", "ids_crc32", "ids"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value)
         for batch in batches:
             for start, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs, ids = decode_block(block.as_py(), table)
+                docs, ids, _ = decode_block(block.as_py(), table)
                 ends = np.cumsum([n for _, n in docs])
                 parts = [ids[e - n : e].astype("<u4").tobytes() for e, (_, n) in zip(ends, docs, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in docs], pa.int64()), pa.array([start + int(e) - n for e, (_, n) in zip(ends, docs, strict=True)], pa.int64()), pa.array([n for _, n in docs], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())],
-                    [key, "start", "n_tokens", "ids_crc32", "ids"],
+                    names,
                 )
 
-    return placed.mapInArrow(decode, f"`{key}` long, start long, n_tokens long, ids_crc32 long, ids binary")
+    def decode_stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The part of each document that lies in the stretch, and its place (at) in the document."""
+        table = Table(shared.value)
+        for batch in batches:
+            for start, block, begin, end in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                docs, ids, lead = decode_block(block.as_py(), table, begin, end)
+                rows, base = [], 0
+                for k, n in docs:
+                    lo, hi = max(base, lead), min(base + n, lead + len(ids))
+                    if lo < hi:
+                        rows.append((k, start + base, n, lo - base, ids[lo - lead : hi - lead].astype("<u4").tobytes()))
+                    base += n
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [key, "start", "n_tokens", "at", "part"])
+
+    whole = placed.filter(F.col("n_tokens") <= LONG).select("start", "block").mapInArrow(decode, f"`{key}` long, start long, n_tokens long, ids_crc32 long, ids binary")
+    # marks stand at equal distances, so a stretch is a number of them
+    step = F.greatest(F.lit(1), F.floor(F.lit(STRETCH) * F.col("marks") / F.col("n_tokens"))).cast("long")
+    long = placed.filter(F.col("n_tokens") > LONG).withColumn("step", step)
+    stretches = long.select("start", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("marks"), F.col("step"))).alias("begin"), "step")
+    stretches = stretches.select("start", "block", "begin", (F.col("begin") + F.col("step")).alias("end"))
+    parts = stretches.repartition("start", "begin").mapInArrow(decode_stretch, f"`{key}` long, start long, n_tokens long, at long, part binary")
+    ids = F.expr("listagg(part) within group (order by at)")
+    joined = parts.groupBy(key, "start", "n_tokens").agg(ids.alias("ids")).select(key, "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids")
+    return whole.unionByName(joined)
 
 
 def write_and_read(df: DataFrame, tokenizer: str, kind: str = "byte", key: str = "doc_id", text: str = "text", end_id: int = 2, path: str | None = None) -> DataFrame:
     """Tokenizes, writes files below ``path`` (a scratch folder if None) and reads the documents back.
 
     Null and empty texts are documents of the end id alone. Null keys come first. Rows that repeat a
-    key stay documents of their own. Other columns of df are not read.
+    key stay documents of their own. Very long texts are coded whole, and may be decoded in stretches. An empty
+    table gives no rows. Other columns of df are not read.
     """
     spark = df.sparkSession
     path = path or scratch_dir(spark)
