@@ -1,7 +1,7 @@
 """Interleaved document sequences: texts and media references in the order of an HTML page.
 
-Media payloads are stored once as rows (digest, media) in a binary column; pages refer to them by
-digest. Parsing a page gives ordered items, each a text or a reference with its caption; references
+Media payloads are stored once for each digest as rows (digest, media) in a binary column; pages refer to them
+by digest. Parsing a page gives ordered items, each a text or a reference with its caption; references
 are resolved by a join on digests against what is read back from the stored media.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechreport.llm.common import materialize
+from speechreport.llm.common import materialize, small
 
 UNIT = 64
 RATE = 16_000
@@ -56,22 +56,35 @@ def feature(payload: bytes) -> str:
     return f"n={len(payload)};mean={mean:.4f};rms={power**0.5:.4f};peak={peak};hist={','.join(map(str, counts.reshape(8, 32).sum(1)))}"
 
 
+def described(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, n, digest): the text's UTF-8 bytes, and the digest of its padded payload."""
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    n = F.octet_length(data)
+    payload = F.rpad(data, F.greatest(F.lit(1), F.ceil(n / UNIT)).cast("int") * UNIT, F.lit(b"\0"))
+    return df.select(F.col(key), F.col(text).alias("text"), n.cast("long").alias("n"), F.sha2(payload, 256).alias("digest"))
+
+
+def text_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, html): a page for each text, which refers to its medium by digest between two texts, with a caption."""
+    figure = F.concat(F.lit('<figure><audio src="sha256:'), "digest", F.lit('" data-bytes="'), F.col("n").cast("string"), F.lit('"></audio><figcaption>'), F.col("n").cast("string"), F.lit(" bytes of text</figcaption></figure>"))
+    return described(df, key, text).select(key, F.concat(F.lit("<article><p>reading</p>"), figure, F.lit("<p>end of the reading</p></article>")).alias("html"))
+
+
 def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, html, digest, media): each text as a stored WAV file and a page that refers to it."""
+    """(digest, media): each distinct text once as a stored WAV file (rows that share a key as well are stored each)."""
+    found = described(df, key, text)
+    own = found.select(F.col(key).alias("_key"), F.unhex("digest").alias("_d"))
+    firsts = own.groupBy("_d").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 and _first is not null")
+    firsts = materialize(firsts.select("_d", "_first"))
+    kept = found.withColumn("_d", F.unhex("digest")).join(small(firsts, 128), "_d", "left")
+    kept = kept.filter(F.coalesce(F.col(key) == F.col("_first"), F.col("_first").isNull())).select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages, digests, media = [], [], []
-            for x in batch.column(1):
-                payload, n = padded(x.as_py())
-                digest = hashlib.sha256(payload).hexdigest()
-                pages.append(f'<article><p>reading</p><figure><audio src="sha256:{digest}" data-bytes="{n}"></audio><figcaption>{n} bytes of text</figcaption></figure></article>')
-                digests.append(digest)
-                media.append(to_wav(payload))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], [key, "html", "digest", "media"])
+            media = [to_wav(padded(x.as_py())[0]) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["digest", "media"])
 
-    schema = df.select(key).withColumns({"html": F.lit(""), "digest": F.lit(""), "media": F.lit(b"")}).schema
-    return df.select(key, text).mapInArrow(run, schema)
+    return kept.mapInArrow(run, "digest string, media binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -221,9 +234,10 @@ def store_and_resolve(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Stores every text as media, parses the pages that refer to it and resolves the references.
 
     One row for each row of df: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, position, caption. Null and empty texts are 64 bytes 0. Other columns are
-    not read; an empty table gives no rows.
+    media_sha256, feature, position, caption. Null and empty texts are 64 bytes 0, very long ones are stored
+    whole. Equal texts share a stored medium, rows that repeat give a row each. Other columns are not read; an
+    empty table gives no rows.
     """
     stored = materialize(store_texts(df, key, text))
-    found = resolve(sequences(stored, key), stored, key).filter(F.col("kind") != "text")
+    found = resolve(sequences(text_pages(df, key, text), key), stored, key).filter(F.col("kind") != "text")
     return found.select(key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
