@@ -1,7 +1,7 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of 64 words. Each passage is encoded from surface measures by a tanh
-layer; gated attention weighs the passages; the weighted representation is scored. Only documents are
+A document is a bag of passages of 64 words. Each passage is encoded from measures of its own, surface and
+hashed words, by a tanh layer; nothing of the whole document is among them; gated attention weighs the passages; the weighted representation is scored. Only documents are
 labelled, the weights of passages are learned with the rest. Training takes a bounded sample of
 labelled rows on the driver; scoring runs over whole texts in Arrow batch tasks.
 """
@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PASSAGE = 64
-#: Labelled rows that a model is fitted on, at most: those first in a seeded order of their ids.
-SAMPLE = 6000
+#: Labelled rows that a model is fitted on, at most: those first in a seeded order of their ids; and passages
+#: of each of them, at equal distances. (Scores take all passages.)
+SAMPLE, PASSAGES = 6000, 64
+#: Numbers that words are hashed to, as a power of two, and bytes from which on a word is long.
+WORD_BITS, LONG_WORD = 5, 12
 #: Bytes of text whose measures are taken together.
 PORTION = 1 << 20
 
@@ -40,7 +43,7 @@ for _number, _members in enumerate(CLASSES, 1):
 CLASS_OF[0x80:0xC0] = len(CLASSES) + 1  # continuation bytes
 CLASS_OF[0xC0:] = len(CLASSES) + 2
 N_CLASSES = len(CLASSES) + 3
-MEASURES = N_CLASSES + 8
+MEASURES = N_CLASSES + 8 + (1 << WORD_BITS)
 
 
 def measure(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +59,6 @@ def measure(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(passages)[:-1]])
     total = int(passages.sum())
     out = np.zeros((total, MEASURES))
-    doc_words = np.repeat(n_words, passages)
-    out[:, N_CLASSES] = np.log1p(doc_words)
     if not len(starts):
         return out, passages
     word_doc = np.repeat(np.arange(len(texts)), n_words)
@@ -80,15 +81,19 @@ def measure(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(word), bool)
     again[1:] = (word[1:] == word[:-1]) & (at[1:] == at[:-1])
     words = np.maximum(1, in_passage)
+    both = np.flatnonzero(at[1:] == at[:-1])
+    pairs = np.bincount(_distinct(at[both], word[both] * 31 + word[both + 1]), minlength=total)
+    out[:, N_CLASSES] = (1 + pairs) / words
     out[:, N_CLASSES + 1] = np.bincount(at[again], minlength=total) / words
     out[:, N_CLASSES + 2] = np.bincount(_distinct(at, word), minlength=total) / words
     out[:, N_CLASSES + 3] = np.bincount(at, size, total) / words
     out[:, N_CLASSES + 4] = np.log1p(in_passage)
-    whole = np.bincount(_distinct(word_doc, word), minlength=len(texts)) / np.maximum(1, n_words)
-    out[:, N_CLASSES + 5] = np.repeat(whole, passages)
+    out[:, N_CLASSES + 5] = np.bincount(at[size >= LONG_WORD], minlength=total) / words
     upper = np.bincount(at[np.isin(kind[starts], (3,))], minlength=total)
     out[:, N_CLASSES + 6] = upper / words
     out[:, N_CLASSES + 7] = np.bincount(at[size <= 2], minlength=total) / words
+    bucket = (word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    out[:, N_CLASSES + 8 :] = np.bincount((at << WORD_BITS) + bucket, minlength=total << WORD_BITS).reshape(total, -1) / (in_passage + PASSAGE // 4)[:, None]  # few words tell little
     return out, passages
 
 
@@ -187,7 +192,8 @@ def portions(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from the labelled rows of df that are not held out: ``sample`` rows at most.
+    """A model from the labelled rows of df that are not held out: ``sample`` rows and PASSAGES passages of each
+    at most, so the measures that reach the driver take 100 MB at most.
 
     Labels that are null are left out; of several labels for one key the least counts.
     """
@@ -198,7 +204,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            found = [bag for part in portions(texts) for bag in bags_of(part)]
+            found = [bag[:: -(-len(bag) // PASSAGES)] for part in portions(texts) for bag in bags_of(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([m.astype("<f4").tobytes() for m in found], pa.binary())], ["_key", "_label", "measures"])
 
     schema = rows.select("_key", "_label").withColumn("measures", F.lit(b"")).schema
@@ -230,6 +236,12 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """(key, held_out, score, predicted) for each row of df, by a model trained on its labelled rows."""
+    """(key, held_out, score, predicted) for each row of df, by a model trained on its labelled rows.
+
+    Null and empty texts are one passage without words, very long ones are scored whole. Rows that share a key
+    are scored each, and each teaches with the key's label; a null key is not held out and has no label. A
+    score of 0.5 is predicted as 1. Without labels, or with labels of one kind, all scores are equal. An empty
+    table gives no rows. Other columns are not read.
+    """
     model = train(df, labels, key, text, label, sample)
     return score(df.select(key, text), model, text).select(key, held_out(key).alias("held_out"), "score", "predicted")
