@@ -117,7 +117,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
     taken is size times the passes over the document, at most ``passes``. Null and empty texts have
     size 0 and take 0; null is a source of its own, the last. Equal rows are told apart only by
-    chance, which leaves equal results. The same input gives the same result in every run.
+    chance, which leaves equal results. Very long texts are counted whole, an empty table gives no rows, other
+    columns of df are not read. The same input gives the same result in every run.
     """
     keep = [c for c in ([key, source] if keep is None else keep) if c not in ("size", "source_size", "target", "taken") and not c.startswith("_")]
     name = F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source), F.lit("")).alias("name"))

@@ -46,7 +46,8 @@ def collapse_and_render(df: DataFrame, conv: str = "conv_id", turn: str = "turn"
     Turns are ordered by number, ties by a hash of role and text. Null roles and texts count as ''.
     Rows without a conversation id belong to none and are left out. Of equal conversations the one
     with the smallest id stays and n_copies tells how many there were. The rendered text holds each
-    turn as <|im_start|>role, line feed, text, <|im_end|>, line feed. Other columns are not read.
+    turn as <|im_start|>role, line feed, text, <|im_end|>, line feed; one conversation is one row, its texts
+    whole. Equal rows are turns each. An empty table gives no rows. Other columns are not read.
     """
     own = df.filter(F.col(conv).isNotNull()).select(conv, turn, role, text)
     kept = materialize(maximal(own, conv, turn, role, text))

@@ -79,7 +79,7 @@ def apply_rules(df: DataFrame, text: str = "text", host: str = "source", out_kee
     """df's columns (or ``out_keep``) with the measures, base_failed, host_rate, host_scale and kept.
 
     Null and empty texts have no words and fail the base rule; a null host is a host of its own.
-    Repeated rows are judged each. An empty table gives an empty table. Columns that start with an
+    Very long texts are measured whole, repeated rows are judged each, limits are met by equal values. An empty table gives an empty table. Columns that start with an
     underscore and the names above are the operator's own and replace equal ones of df.
     """
     keep = df.columns if out_keep is None else out_keep

@@ -71,7 +71,8 @@ def pack(df: DataFrame, tokenizer: str, kind: str = "word", key: str = "doc_id",
     Every id of every document lies in exactly one piece. All sequences but the last are full, and
     the last one is padded to ``length`` unless it ends at a power of two. ``with_ids`` adds the ids
     (binary, little-endian 32-bit). Null and empty texts are the end id alone; null keys come first
-    and null sources are a source; rows that repeat are packed each. Other columns are not read.
+    and null sources are a source; rows that repeat are packed each, very long texts whole. An empty table gives
+    no rows. Other columns are not read.
     """
     coded = tokens.tokenize(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), text), tokenizer, kind, text, end_id)
     coded = materialize(coded.withColumn("row", F.monotonically_increasing_id()))

@@ -1,6 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import html
+import io
+import re
+import wave
 import zlib
 
 import numpy as np
@@ -74,6 +78,20 @@ def test_license_scan_finds_planted_blocks(spark):
     assert (rows[4]["n_base"], rows[4]["first_word"], rows[4]["last_word"], rows[4]["base_labels"], rows[4]["score"]) == (4, 1, 8, "cc-by,mit", 1.0)
 
 
+def test_license_blocks_hold_long_templates(spark):
+    long = " ".join(f"clause{i}" for i in range(120))
+    body = ["lorem"] * 500
+    texts = {i: " ".join(body[:i] + long.split()[: 120 - 6 * (i % 5)] + body[i:]) for i in (0, 1, 67, 128, 250, 499)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_join.scan(df, templates={"long": long, "mit": license_join.TEMPLATES["mit"]}).collect()}
+    assert {i: r["labels"] for i, r in rows.items()} == {i: "long" for i in texts}
+    assert {i: round(r["score"], 9) for i, r in rows.items()} == {i: round((120 - 6 * (i % 5)) / 120, 9) for i in texts}
+    found = license_join.hits(df, "doc_id", "text", sorted(set(long.split())))
+    for r in license_join.matches(found, {"long": long}).collect():
+        ws = texts[r["_id"]].split()[r["start"] : r["start"] + r["block"]]
+        assert r["block"] == 256 and r["start"] % 128 == 0 and r["containment"] == len({w for w in ws if w.startswith("clause")}) / 120 >= 0.8
+
+
 @pytest.mark.parametrize("with_rows", [True, False])
 def test_packing(odd, with_rows):
     df = odd if with_rows else odd.limit(0)
@@ -211,7 +229,11 @@ def test_keys_with_several_texts(spark):
     assert got == [(3, 3), (4, 4), (5, 3), (5, 3), (7, 3), (8, 4), (8, 4), (9, 9), (9, 9)]
 
 
-def test_range_coder(odd):
+@pytest.mark.parametrize("long", [range_coder.LONG, 500])
+def test_range_coder(odd, monkeypatch, long):
+    monkeypatch.setattr(range_coder, "LONG", long)
+    monkeypatch.setattr(range_coder, "STRETCH", 1)
+    monkeypatch.setattr(range_coder, "CHECKPOINT_STEPS", 7 if long == 500 else range_coder.CHECKPOINT_STEPS)
     rows = range_coder.write_and_read(odd, BYTES).collect()
     assert len(rows) == len(ROWS)
     ordered = sorted(rows, key=lambda r: r["start"])
@@ -246,6 +268,22 @@ def test_host_verdict_moves_limits(spark):
     assert not any(kept[i] for i in range(60)) and all(kept[i] for i in range(60, 120))
 
 
+def plain_wav(payload):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setparams((1, 1, 16_000, 0, "NONE", ""))
+        f.writeframes(payload)
+    return out.getvalue()
+
+
+def plain_feature(payload):
+    n, hist = len(payload), [0] * 8
+    for x in payload:
+        hist[x // 32] += 1
+    rms = (sum((x - 128) ** 2 for x in payload) / n) ** 0.5
+    return f"n={n};mean={sum(payload) / n:.4f};rms={rms:.4f};peak={max(abs(x - 128) for x in payload)};hist={','.join(map(str, hist))}"
+
+
 def test_media(odd):
     rows = media.store_and_resolve(odd).collect()
     assert len(rows) == len(ROWS)
@@ -256,10 +294,33 @@ def test_media(odd):
             payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
             assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
             assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
-            assert r["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest()
+            stored = plain_wav(payload)
+            assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+            assert r["feature"] == plain_feature(payload) and (r["position"], r["caption"]) == (1, f"{len(data)} bytes of text")
     assert media.store_and_resolve(odd.limit(0)).collect() == []
 
 
+def test_media_are_stored_once(spark):
+    rows = [(1, "a"), (2, "b"), (3, "a"), (None, "a"), (4, None), (5, ""), (6, "c"), (6, "c"), (None, "d"), (None, "d")]
+    stored = media.store_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    counts = {}
+    for r in stored:
+        counts[bytes(r["media"])[44:].rstrip(b"\0")] = counts.get(bytes(r["media"])[44:].rstrip(b"\0"), 0) + 1
+    assert counts == {b"a": 1, b"b": 1, b"": 1, b"c": 2, b"d": 2}
+    assert all(r["digest"] == hashlib.sha256(bytes(r["media"])[44:]).hexdigest() for r in stored)
+
+
+def test_sequences_of_whole_pages(spark):
+    """All text of the given pages outside scripts and styles, in order."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = pages.join(media.sequences(pages).withColumnRenamed("page_id", "_id"), F.col("page_id") == F.col("_id")).collect()
+    assert len(rows) == pages.count()
+    for r in rows:
+        bare = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ", r["html"] or "")
+        assert [i["kind"] for i in r["items"]].count("text") == len(r["items"])
+        assert "".join("".join(i["text"] for i in r["items"]).split()) == "".join(html.unescape(bare).split())
+
+
 def test_sequences_keep_positions_and_captions(spark):
     stored = media.materialize(media.store_texts(spark.createDataFrame([(1, "hello")], "doc_id long, text string")))
     digest = stored.first()["digest"]
@@ -301,7 +362,7 @@ def test_captions_are_not_lost():
         "<figure><img src=a><figcaption>x</figcaption><figcaption>y</figcaption></figure>": [image("a", "x y")],
         "<figure><img src=a alt=y><figcaption> </figcaption></figure>": [image("a", "y")],
     }
-    assert {html: media.parse(html) for html in pages} == pages
+    assert {page: media.parse(page) for page in pages} == pages
 
 
 def test_mix(odd):
