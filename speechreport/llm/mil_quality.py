@@ -83,7 +83,7 @@ def measure(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = np.maximum(1, in_passage)
     both = np.flatnonzero(at[1:] == at[:-1])
     pairs = np.bincount(_distinct(at[both], word[both] * 31 + word[both + 1]), minlength=total)
-    out[:, N_CLASSES] = (1 + pairs) / words
+    out[:, N_CLASSES] = (pairs + (in_passage > 0)) / words
     out[:, N_CLASSES + 1] = np.bincount(at[again], minlength=total) / words
     out[:, N_CLASSES + 2] = np.bincount(_distinct(at, word), minlength=total) / words
     out[:, N_CLASSES + 3] = np.bincount(at, size, total) / words
