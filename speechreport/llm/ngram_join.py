@@ -256,7 +256,11 @@ def need(a_n: Column, b_n: Column, percent: int) -> Column:
 
 
 def with_texts(rows: DataFrame, own: DataFrame, **ends: str) -> DataFrame:
-    """rows with the columns of ``own`` for each end: name of the end's node, and suffix of the columns."""
+    """rows with the columns of ``own`` for each end: name of the end's node, and suffix of the columns.
+
+    rows are numbers only, so while they are few they go to the texts of the first end.
+    """
+    rows = small(rows)
     for end, suffix in ends.items():
         rows = rows.join(own.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}{suffix}") for c in own.columns if c != "node"]), end)
     return rows
