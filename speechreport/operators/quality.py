@@ -126,9 +126,9 @@ def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ref_words", "substitutions", "insertions", "deletions"])
 
 
-def pair_for_scoring(hyp: DataFrame, ref: DataFrame, key: str = "recording_id") -> DataFrame:
-    """Hypotheses with reference_text of the same recording."""
-    return hyp.join(ref.select(key, F.col("text").alias("reference_text")), key)
+def pair_for_scoring(hyp: DataFrame, ref: DataFrame, key: str = "recording_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Hypotheses with reference_text and the columns ``keep`` of the same recording."""
+    return hyp.join(ref.select(key, F.col("text").alias("reference_text"), *keep), key)
 
 
 def token_edits(df: DataFrame, ref: str = "reference_text", hyp: str = "text") -> DataFrame:

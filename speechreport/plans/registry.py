@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechreport.functions import columns as C
 from speechreport.operators import conversations, inference, prompts, quality, replies, slots, validate
 from speechreport.plans import standins
 from speechreport.plans.pipelines import run_pipelines
-from speechreport.sources import recordings, schemas
-from speechreport.streaming.chunks import assemble_batch
+from speechreport.sources import recordings, schemas, scratch
+from speechreport.streaming.chunks import assemble_batch, assemble_chunks, to_wav
+from speechreport.streaming.intake import run_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -325,7 +326,7 @@ w AS (SELECT model, condition, sum(edits)::BIGINT AS edits, sum(words)::BIGINT A
 SELECT *, edits / ref_words AS wer, row_number() OVER (PARTITION BY condition ORDER BY edits / ref_words, model)::INT AS rank FROM w""")
 def model_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), "text", F.col("lang").alias("condition"))
-    paired = quality.pair_for_scoring(transcripts(spark, sf_dir).join(truth.select("recording_id", "condition"), "recording_id"), truth)
+    paired = quality.pair_for_scoring(transcripts(spark, sf_dir), truth, keep=("condition",))
     ranked = quality.rank_models(quality.wer_by_model(quality.token_edits(paired)))
     return ranked.select("model", "condition", "edits", "ref_words", "wer", "rank")
 
@@ -366,14 +367,31 @@ def voted_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type FROM events)
 SELECT user_id::VARCHAR AS recording_id, CASE WHEN user_id % 4 = 0 THEN 'incomplete' ELSE 'complete' END AS status, count(*) AS n_chunks, string_agg(event_type, '' ORDER BY seq) AS content FROM c GROUP BY user_id""")
 def chunk_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    chunks = event_chunks(spark, sf_dir).drop("ts")
+    found = assemble_batch(chunks.unionAll(chunks))
+    return found.select("recording_id", "status", "n_chunks", F.col("content").cast("string").alias("content"))
+
 
+def event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as chunks of a recording, which lacks its last mark where user_id is a multiple of 4."""
     own = Window.partitionBy("user_id")
     seq = F.row_number().over(own.orderBy("event_id")) - 1
     last = (seq == F.count(F.lit(1)).over(own) - 1) & (F.col("user_id") % 4 != 0)
-    chunks = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("recording_id"), seq.alias("seq"), F.col("event_type").cast("binary").alias("bytes"), last.alias("is_last"))
-    found = assemble_batch(chunks.unionAll(chunks))
-    return found.select("recording_id", "status", "n_chunks", F.col("content").cast("string").alias("content"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("recording_id"), seq.cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").cast("binary").alias("bytes"), last.alias("is_last"))
+
+
+@query("""
+WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type FROM events WHERE user_id % 4 <> 0)
+SELECT user_id::VARCHAR AS recording_id, count(*) AS n_chunks, string_agg(event_type, '' ORDER BY seq) AS content FROM c GROUP BY user_id""")
+def chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recordings that a stream of the same chunks completes, each chunk coming twice."""
+    source, out, state = (scratch.scratch_dir(spark) for _ in range(3))
+    chunks = event_chunks(spark, sf_dir)
+    chunks.unionAll(chunks).write.parquet(source)
+    stream = assemble_chunks(spark.readStream.schema(chunks.schema).parquet(source))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(out).filter("status = 'complete'")
+    return found.select("recording_id", "n_chunks", F.substring("content", 45, 1 << 30).cast("string").alias("content"))
 
 
 @query("""
@@ -389,30 +407,30 @@ def slots_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {SLOTS_SQL}, t AS (SELECT recording_id, max(text) FILTER (slot_no = 1) AS t1, max(text) FILTER (slot_no = 2) AS t2, max(text) FILTER (slot_no = 3) AS t3 FROM slots GROUP BY 1)
-SELECT recording_id, 'separate' AS pipeline, t1 AS transcript_1, t2 AS transcript_2, t3 AS transcript_3, t1 AS raw_transcript, NULL::VARCHAR AS final_text, length(t1)::VARCHAR AS notes, NULL::INT AS status FROM t""")
+SELECT recording_id, 'separate' AS pipeline, CASE WHEN known THEN t1 END AS transcript_1, CASE WHEN known THEN t2 END AS transcript_2, CASE WHEN known THEN t3 END AS transcript_3,
+  CASE WHEN known THEN t1 END AS raw_transcript, NULL::VARCHAR AS final_text, CASE WHEN known THEN length(t1)::VARCHAR END AS notes, CASE WHEN NOT known THEN 502 END AS status
+FROM t JOIN (SELECT doc_id AS recording_id, coalesce(nullif(lang, ''), 'fa') IN ('fa', 'en') AS known FROM documents) USING (recording_id)""")
 def separate_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local slots; those whose language their service doesn't know fail, and their recordings with them."""
     heard = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), "text")
-    found = run_pipelines(requests(spark, sf_dir), heard.withColumnRenamed("text", "said"), standins.STT, standins.LLM, audio="said")
+    found = run_pipelines(requests(spark, sf_dir), heard.withColumnRenamed("text", "said"), standins.STT, standins.LLM, audio="said", check_languages=True)
     return found.select("recording_id", "pipeline", "transcript_1", "transcript_2", "transcript_3", "raw_transcript", "final_text", "notes", "status")
 
 
 @query("""
 SELECT doc_id AS recording_id, ['multimodal','hybrid','separate','other'][doc_id % 4 + 1] AS pipeline,
-  CASE WHEN doc_id % 4 = 3 THEN 400 WHEN doc_id % 4 IN (0, 1) AND doc_id % 3 = 0 THEN 400 END AS status,
-  CASE WHEN doc_id % 4 = 2 OR (doc_id % 4 IN (0, 1) AND doc_id % 3 <> 0) THEN text END AS raw_transcript FROM documents""")
+  CASE WHEN bad THEN 400 WHEN unknown THEN 502 END AS status, CASE WHEN NOT bad AND NOT unknown THEN text END AS raw_transcript
+FROM (SELECT *, doc_id % 4 = 3 OR (doc_id % 4 IN (0, 1) AND doc_id % 3 = 0) AS bad, doc_id % 4 IN (1, 2) AND coalesce(nullif(lang, ''), 'fa') NOT IN ('fa', 'en') AS unknown FROM documents)""")
 def mixed_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.get(F.array(*map(F.lit, ("multimodal", "hybrid", "separate", "other"))), (F.col("recording_id") % 4).cast("int"))
     asked = requests(spark, sf_dir).withColumns({"pipeline": kind, "llm_model": F.when(kind == "separate", "aya-expanse-8b").otherwise("gemma-4-e4b"), "file_name": F.when(F.col("recording_id") % 3 == 0, "a.m4a").otherwise("a.wav")})
     heard = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.col("text").alias("said"))
-    found = run_pipelines(asked, heard, standins.STT, standins.LLM, audio="said")
+    found = run_pipelines(asked, heard, standins.STT, standins.LLM, audio="said", check_languages=True)
     return found.select("recording_id", "pipeline", "status", "raw_transcript")
 
 
-@query("""
-SELECT user_id::VARCHAR AS recording_id, NULL::INT AS status, 2 * count(*)::INT AS n_samples, 16000 AS sample_rate FROM events GROUP BY user_id""")
-def recordings_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of each user as samples of a WAV file, decoded as scanned recordings are."""
-    from speechreport.streaming.chunks import to_wav
+def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, content): the events of each user as samples of a WAV file of 8000 a second."""
 
     @F.pandas_udf("binary")
     def wav(pcm):  # noqa: ANN001, ANN202
@@ -421,6 +439,28 @@ def recordings_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = F.unhex(F.lpad(F.hex(F.pmod(F.col("value").cast("long"), F.lit(65536))), 4, "0"))
     events = table(spark, sf_dir, "events").select("user_id", "event_id", sample.alias("s"))
     sound = events.groupBy("user_id").agg(F.expr("listagg(s) within group (order by event_id)").alias("p"))
-    files = sound.select(F.col("user_id").cast("string").alias("recording_id"), wav("p").alias("content"))
-    found = inference.decode_audio(files)
+    return sound.select(F.col("user_id").cast("string").alias("recording_id"), wav("p").alias("content"))
+
+
+@query("""
+SELECT user_id::VARCHAR AS recording_id, NULL::INT AS status, 2 * count(*)::INT AS n_samples, 16000 AS sample_rate FROM events GROUP BY user_id""")
+def recordings_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded as scanned recordings are."""
+    found = inference.decode_audio(event_files(spark, sf_dir))
     return found.select("recording_id", "status", F.size("samples").alias("n_samples"), "sample_rate")
+
+
+@query("""
+SELECT user_id::VARCHAR AS recording_id, 'separate' AS pipeline, NULL::INT AS status, 2 * count(*) || ' samples' AS raw_transcript FROM events GROUP BY user_id""")
+def streamed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that come in a stream, heard and reported batch by batch, read back from the sink."""
+    source, out, state = (scratch.scratch_dir(spark) for _ in range(3))
+    files = event_files(spark, sf_dir)
+    files.write.parquet(source)
+    slot = F.struct(F.lit("seamless").alias("model"), *[F.lit(None).cast("string").alias(k) for k in ("api_key", "base_url", "language")])
+
+    def asked(batch: DataFrame) -> DataFrame:
+        return batch.select("recording_id", F.lit("separate").alias("pipeline"), F.lit("aya-expanse-8b").alias("llm_model"), F.lit("fa").alias("language"), F.array(slot).alias("stt_slots"), F.lit("audio.wav").alias("file_name"))
+
+    run_stream(spark.readStream.schema(files.schema).parquet(source), asked, standins.STT, standins.LLM, out, state).awaitTermination()
+    return spark.read.parquet(out).select("recording_id", "pipeline", "status", F.get_json_object("result", "$.raw_transcript").alias("raw_transcript"))
