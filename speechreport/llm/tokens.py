@@ -51,14 +51,14 @@ class Pieces(dict):
         return ids
 
 
-def byte_letters() -> dict[int, int]:
-    """The letter that stands for each byte in byte-level vocabularies, for str.translate on Latin-1.
+def byte_letters() -> str:
+    """The letters that stand for the 256 bytes in byte-level vocabularies, for str.translate on Latin-1.
 
     Bytes that print stand for themselves, the rest for the letters from U+0100 on, in order.
     """
     prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     rest = [b for b in range(256) if b not in prints]
-    return {b: 256 + i for i, b in enumerate(rest)}
+    return "".join(chr(b if b in prints else 256 + rest.index(b)) for b in range(256))
 
 
 class Encoder:
@@ -77,7 +77,10 @@ class Encoder:
         code, letters, merge, swap = "H" if self.dtype == "<u2" else "I", byte_letters(), library.model.tokenize, sys.byteorder != "little"
 
         def piece(text: str) -> bytes:
-            ids = array(code, [t.id for t in merge(text.encode().decode("latin-1").translate(letters))])
+            # of the ASCII characters that print only the space has another letter
+            plain = text.isascii() and text.isprintable()
+            told = text.replace(" ", letters[32]) if plain else text.encode().decode("latin-1").translate(letters)
+            ids = array(code, [t.id for t in merge(told)])
             if swap:
                 ids.byteswap()
             return ids.tobytes()
