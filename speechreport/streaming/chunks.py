@@ -9,13 +9,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 RATE = 16_000
 #: Event time that a recording may wait for its next chunk.
 WAIT_MS = 600_000
 OUTPUT = "recording_id string, status string, n_chunks long, content binary"
-STATE = "seqs array<long>, parts array<binary>, last long, newest long, done boolean"
+#: The state store that keyed maps need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def to_wav(pcm: bytes, rate: int = RATE) -> bytes:
@@ -29,31 +30,51 @@ def to_wav(pcm: bytes, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
-def _assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seqs, held, last, newest, done = state.get if state.exists else ([], [], -1, 0, False)
-    known = {int(s): bytes(x) for s, x in zip(seqs, held, strict=True)}
-
-    def row(status: str) -> pd.DataFrame:
-        body = b"".join(known[s] for s in sorted(known))
-        return pd.DataFrame({"recording_id": [key[0]], "status": [status], "n_chunks": [len(known)], "content": [to_wav(body)]})
-
-    if state.hasTimedOut:
-        state.remove()
-        if not done:
-            yield row("incomplete")
-        return
-    for part in parts:
-        newest = max(newest, int(part["ms"].max()))
-        for seq, data, end in zip(part["seq"], part["bytes"], part["is_last"], strict=True):
-            known.setdefault(int(seq), bytes(data) if data is not None else b"")
-            last = max(last, int(seq)) if end else last
-    # the recording is whole once its last chunk and all before it are there; then only a mark is kept, so that
-    # chunks that come again don't open it anew
-    if not done and last >= 0 and len([s for s in known if 0 <= s <= last]) == last + 1:
-        yield row("complete")
-        done = True
-    state.update(([], [], last, newest, True) if done else (list(known), list(known.values()), last, newest, False))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + WAIT_MS)
+class Assembler(StatefulProcessor):
+    """Chunks by seq in a map, of which a new chunk writes only its own entry, and one mark of the recording."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getMapState("chunks", "seq long", "bytes binary")
+        self.mark = handle.getValueState("mark", "n long, last long, timer long, done boolean")
+
+    def row(self, key: tuple, status: str) -> pd.DataFrame:
+        known = sorted((k[0], bytes(v[0])) for k, v in self.chunks.iterator())
+        return pd.DataFrame({"recording_id": [key[0]], "status": [status], "n_chunks": [len(known)], "content": [to_wav(b"".join(x for _, x in known))]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        n, last, timer, done = self.mark.get() if self.mark.exists() else (0, -1, -1, False)
+        newest = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            newest = max(newest, int(part["ms"].max()))
+            for seq, data, end in zip(part["seq"], part["bytes"], part["is_last"], strict=True):
+                if done:
+                    continue
+                if not self.chunks.containsKey((int(seq),)):
+                    self.chunks.updateValue((int(seq),), (bytes(data) if data is not None else b"",))
+                    n += 1
+                last = max(last, int(seq)) if end else last
+        # the recording is whole once its last chunk and all before it are there; then only the mark is kept, so
+        # that chunks that come again don't open it anew
+        if not done and 0 <= last < n and sum(0 <= k[0] <= last for k in self.chunks.keys()) == last + 1:
+            yield self.row(key, "complete")
+            self.chunks.clear()
+            done = True
+        if newest + WAIT_MS > timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = newest + WAIT_MS
+            self.handle.registerTimer(timer)
+        self.mark.update((n, last, timer, done))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        if not self.mark.get()[3]:
+            yield self.row(key, "incomplete")
+        self.chunks.clear()
+        self.mark.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def assemble_chunks(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -63,10 +84,12 @@ def assemble_chunks(stream: DataFrame, watermark: str = "10 minutes") -> DataFra
     counts. A recording whose last chunk doesn't come within the watermark is given as 'incomplete'.
     Chunks that repeat after that or after completion give no second row until the wait is over. Rows
     without seq or ts are left out, as they have no place in the recording or in time; null bytes are empty.
+    The session's state store is set to one that has keyed maps.
     """
+    stream.sparkSession.conf.set(*STORE)
     placed = stream.filter("seq is not null and ts is not null").withColumns({"ms": F.unix_millis("ts"), "is_last": F.coalesce("is_last", F.lit(False))})
     grouped = placed.withWatermark("ts", watermark).groupBy("recording_id")
-    return grouped.applyInPandasWithState(_assemble, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return grouped.transformWithStateInPandas(Assembler(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def assemble_batch(df: DataFrame) -> DataFrame:
