@@ -141,6 +141,13 @@ def test_chat_snapshots(spark):
     assert chat_snapshots.collapse_and_render(df.limit(0)).collect() == []
 
 
+def test_chat_snapshots_with_very_long_texts_and_ties(spark):
+    rows = [(1, 0, "user", LONG), (2, 0, "user", LONG), (2, 1, "assistant", LONG + " more"), (3, 0, "user", LONG + "."), (4, 0, "user", "a"), (4, 0, "user", "b"), (5, 0, "user", "b"), (5, 0, "user", "a")]
+    found = {r["conv_id"]: r for r in chat_snapshots.collapse_and_render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (r["n_turns"], r["n_copies"]) for k, r in found.items()} == {2: (2, 1), 3: (1, 1), 4: (2, 2)}
+    assert found[2]["rendered"] == f"<|im_start|>user\n{LONG}<|im_end|>\n<|im_start|>assistant\n{LONG} more<|im_end|>\n"
+
+
 def brute_sets(text):
     ws = (text or "").encode().lower().split()
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
