@@ -22,7 +22,8 @@ Links inside a component that is already connected don't change the result and a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from speechreport.llm.common import dropped, materialize, small
 from speechreport.llm.components import components
-from speechreport.llm.shingles import all_sets, mixed, slices
+from speechreport.llm.shingles import WORDS, all_sets, mixed, slices
 
 PERCENT = 80
 #: Shingles whose frequency class every task knows; the most frequent ones, so 9 MB at most.
@@ -45,6 +46,8 @@ ORDERS = 3
 PAIRED = 32
 #: Shingles with 2**HOT counted occurrences and more have their postings dealt over SALTS tasks.
 HOT, SALTS = 13, 64
+#: Rows of pairs that meet one text in one task.
+SHARE = 4096
 #: Rows that a task puts into one batch.
 ROWS = 1 << 17
 
@@ -53,7 +56,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def summarize(df: DataFrame) -> DataFrame:
+def summarize(df: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows (doc_id, n, set_key) of documents and rows (shingle, n) of partial counts, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +70,7 @@ def summarize(df: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(n.astype(np.int64)), none.cast(pa.binary()), pa.array(_signed(tokens))], names)
 
         for batch in slices(batches):
-            sets = all_sets(batch.column(1).to_pylist())
+            sets = all_sets(batch.column(1).to_pylist(), words)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sets)).cast(pa.int64())], names)
             for s in sets:
@@ -164,7 +167,7 @@ def postings(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
     return df.mapInArrow(run, "shingle long, salt int, node long, n int, place int, rare int")
 
 
-def differences(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
+def differences(df: DataFrame, known: Broadcast, percent: int, words: int = WORDS) -> DataFrame:
     """What sets rows (node, part, hub, text, hub_text) apart from their hub: base, token, node, part, hub,
     n, d, place, near, core.
 
@@ -184,8 +187,8 @@ def differences(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
         for batch in slices(batches):
             nodes, parts, hubs, texts, hub_texts = (c.to_pylist() for c in batch.columns)
             named = list(dict.fromkeys(hub_texts))
-            bases = dict(zip(named, all_sets(named), strict=True))
-            for node, part, hub, x, told in zip(nodes, parts, hubs, all_sets(texts), hub_texts, strict=True):
+            bases = dict(zip(named, all_sets(named, words), strict=True))
+            for node, part, hub, x, told in zip(nodes, parts, hubs, all_sets(texts, words), hub_texts, strict=True):
                 h = bases[told]
                 if not len(x) or not len(h):  # another text of the same key
                     continue
@@ -226,12 +229,12 @@ def heads(df: DataFrame, known: Broadcast, percent: int) -> DataFrame:
     return df.mapInArrow(run, "node long, n int, heads array<array<int>>")
 
 
-def similar(df: DataFrame, percent: int) -> DataFrame:
+def similar(df: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) of rows (a, b, text_a, text_b) whose sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            left, right = (all_sets(batch.column(i).to_pylist()) for i in (2, 3))
+            left, right = (all_sets(batch.column(i).to_pylist(), words) for i in (2, 3))
             links = []
             for x, y in zip(left, right, strict=True):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -258,12 +261,23 @@ def need(a_n: Column, b_n: Column, percent: int) -> Column:
 def with_texts(rows: DataFrame, own: DataFrame, **ends: str) -> DataFrame:
     """rows with the columns of ``own`` for each end: name of the end's node, and suffix of the columns.
 
-    rows are numbers only, so while they are few they go to the texts of the first end.
+    rows are written numbers only, so while they are few they go to the texts of the first end. A node at which more than
+    SHARE rows end, such as the hub of a large group, is dealt over salts, and its text repeated for each of them.
     """
-    rows = small(rows)
+    numbers, joins, salts = rows.columns, [], []
     for end, suffix in ends.items():
-        rows = rows.join(own.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}{suffix}") for c in own.columns if c != "node"]), end)
-    return rows
+        side = own.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}{suffix}") for c in own.columns if c != "node"])
+        heavy = materialize(rows.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_salts")).filter("_salts > 1"))
+        if not heavy.isEmpty():
+            heavy, salt, n = small(heavy, 16), f"_salt_{end}", F.coalesce("_salts", F.lit(1))
+            rows = rows.join(heavy, end, "left").withColumn(salt, F.pmod(F.xxhash64(*numbers), n).cast("int")).drop("_salts")
+            side = side.join(heavy, end, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
+            salts.append(salt)
+        joins.append((side, [c for c in (end, f"_salt_{end}") if c in side.columns]))
+    rows = small(materialize(rows) if salts else rows)
+    for side, on in joins:
+        rows = rows.join(side, on)
+    return rows.drop(*salts)
 
 
 def among(texts: DataFrame, rows: DataFrame, *ends: str) -> DataFrame:
@@ -324,18 +338,22 @@ def apart(told: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
 
-def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row for each row of df: key, n_shingles, component_id.
+class Sets(NamedTuple):
+    """What both joins start from: docs (doc_id, n, set_key), member (doc_id, node of its set), texts and firsts (node, text) of all
+    documents and of one for each set, same (a, b) of nodes that are one document, and the frequent shingles."""
 
-    component_id is the smallest key that links reach, equal sets being linked. Null texts and texts
-    without words have no shingles and link to nothing; very long texts are compared whole. Rows without
-    a key have no component and take no part; rows that share a key are one document, whose texts are all
-    compared, and repeated rows give a row each. An empty table gives no rows. Other columns are not
-    read. A result depends neither on partitions nor on the counts, which only steer the order.
-    """
+    docs: DataFrame
+    member: DataFrame
+    texts: DataFrame
+    firsts: DataFrame
+    same: DataFrame
+    known: Broadcast
+
+
+def distinct_sets(df: DataFrame, key: str, text: str, words: int = WORDS) -> Sets:
     spark = df.sparkSession
     own = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = materialize(summarize(own))
+    found = materialize(summarize(own, words))
     docs = found.filter(F.col("set_key").isNotNull())
     known = spark.sparkContext.broadcast(frequent(found.filter(F.col("shingle").isNotNull()).select("shingle", "n")))
     some = docs.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -345,11 +363,18 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int =
     texts = own.filter(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node")
     # documents with one key and several sets are one node of the graph
     same = member.filter(F.col("doc_id") != F.col("node")).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    return Sets(docs, member, texts, texts.join(small(copies), "node", "left_anti"), same, known)
 
-    groups = materialize(grouped(postings(texts.join(small(copies), "node", "left_anti"), known, percent)))
+
+def connected(groups: DataFrame, sets: Sets, check: Callable[[DataFrame], DataFrame], percent: int, words: int = WORDS) -> DataFrame:
+    """(node, component) of nodes that links reach, for candidate groups as grouped() gives them.
+
+    check(pairs) gives the pairs that link. Hubs come first, then members of a group that are in different components.
+    """
+    texts, known = sets.texts, sets.known
     stars = groups.filter((F.col("node") != F.col("hub.node")) & fits("", "hub.", percent))
     stars = materialize(stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
-    part = components(materialize(verify(stars, texts, known, percent).union(same)))
+    part = components(materialize(check(stars).union(sets.same)))
 
     placed = groups.select("shingle", "size", "node", "n", "place", F.col("hub.node").alias("hub")).join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     open_groups = materialize(placed.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("shingle"))
@@ -357,17 +382,38 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int =
     few, many = placed.filter(F.col("size") <= PAIRED), placed.filter((F.col("size") > PAIRED) & (F.col("node") != F.col("hub")))
     held = materialize(many.select("node", "part", "hub").distinct())
     told = with_texts(held, among(texts, held, "node", "hub").withColumnRenamed("text", "_text"), node="", hub="_hub")
-    told = materialize(differences(told.withColumnsRenamed({"_text": "text", "_text_hub": "hub_text"}), known, percent))
+    told = materialize(differences(told.withColumnsRenamed({"_text": "text", "_text_hub": "hub_text"}), known, percent, words))
     pairs = paired(few, percent).union(apart(told, percent)).distinct()
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"))
-    dropped(stars, groups, placed, held)
+    dropped(stars, placed, held)
     to_hub = told.filter("near and place < 0").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    second = materialize(verify(pairs, texts, known, percent).union(to_hub.distinct()))
+    second = materialize(check(pairs).union(to_hub.distinct()))
     whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").union(second))
+    dropped(part, second, told, pairs)
+    return whole
 
-    ends = member.groupBy("doc_id").agg(F.min("node").alias("node"))
+
+def labelled(sets: Sets, whole: DataFrame, key: str) -> DataFrame:
+    """One row for each document: key, n_shingles, component_id."""
+    ends = sets.member.groupBy("doc_id").agg(F.min("node").alias("node"))
     ends = ends.join(whole, "node", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "node").alias("component_id"))
     ends = materialize(ends)
-    dropped(part, whole, second, told, pairs, member)
-    result = docs.select("doc_id", "n").join(ends, F.col("doc_id") == F.col("id"), "left")
+    dropped(whole, sets.member)
+    result = sets.docs.select("doc_id", "n").join(ends, F.col("doc_id") == F.col("id"), "left")
     return result.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row for each row of df: key, n_shingles, component_id.
+
+    component_id is the smallest key that links reach, equal sets being linked. Null texts and texts
+    without words have no shingles and link to nothing; very long texts are compared whole. Rows without
+    a key have no component and take no part; rows that share a key are one document, whose texts are all
+    compared, and repeated rows give a row each. Keys are whole numbers. An empty table gives no rows. Other columns are not
+    read. A result depends neither on partitions nor on the counts, which only steer the order.
+    """
+    sets = distinct_sets(df, key, text)
+    groups = materialize(grouped(postings(sets.firsts, sets.known, percent)))
+    whole = connected(groups, sets, lambda pairs: verify(pairs, sets.texts, sets.known, percent), percent)
+    dropped(groups)
+    return labelled(sets, whole, key)

@@ -49,15 +49,50 @@ p AS (SELECT conv_id, place, n, string_agg(line, '') OVER (PARTITION BY conv_id
 whole AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, said AS rendered FROM p WHERE place = n GROUP BY n, said)
 SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place = whole.n_turns AND p.n > p.place AND p.said = whole.rendered)"""
 
-JACCARD = f"""
+
+
+def jaccard_sql(words: int, percent: int, kept: str = "") -> str:
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {WORD}) AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + {words - 1}], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {words - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r AS (SELECT doc_id AS a, doc_id AS z FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.z)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(z) FROM r WHERE r.a = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)"""
+r AS (SELECT doc_id AS a, doc_id AS z FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.z),
+f AS (SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(z) FROM r WHERE r.a = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id))
+SELECT *{kept} FROM f"""
+
+
+JACCARD = jaccard_sql(5, 80)
+MINHASH = jaccard_sql(3, 85, ", component_id = doc_id AS kept")
+
+FILL_MIDDLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ws, sha256('42:' || doc_id) AS h FROM documents),
+u AS (SELECT *, len(ws)::BIGINT AS n, [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS g FROM t),
+v AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 50 THEN 'plain' WHEN g[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(ws[1 : a], '') AS p, array_to_string(ws[a + 1 : b], '') AS m, array_to_string(ws[b + 1 : n], '') AS s FROM v)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+#: The CRC is taken byte by byte with its table of 256 entries; near words meet by what is left without one code point.
+SPELLING = f"""
+WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crcs),
+r AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY 1, 2),
+b AS (SELECT *, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END FOR c IN string_split(doc_id || ':' || w, '')]) AS bytes FROM r),
+h AS (SELECT w, n, xor(list_reduce([4294967295::BIGINT] || bytes, lambda c, x: xor(crcs[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM b, k),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+d AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS x FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+g AS (SELECT DISTINCT d.word AS a, v.word AS b FROM d JOIN v ON d.x = v.word),
+e AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g UNION ALL SELECT a.word, b.word FROM d a JOIN d b ON a.x = b.x AND a.i = b.i AND a.word <> b.word),
+t AS (SELECT a, count(*) AS n_near, max(v.n) AS most FROM e JOIN v ON v.word = e.b GROUP BY 1),
+f AS (SELECT a, n_near, most, min(e.b) AS best FROM t JOIN e USING (a) JOIN v ON v.word = e.b AND v.n = most GROUP BY 1, 2, 3),
+s AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 10 * v.n THEN best END AS form, CASE WHEN most >= 10 * v.n THEN most END AS form_n FROM v LEFT JOIN f ON f.a = v.word),
+c AS (SELECT word, form AS z, 1 AS k FROM s WHERE form IS NOT NULL UNION ALL SELECT c.word, s.form, k + 1 FROM c JOIN s ON s.word = c.z WHERE s.form IS NOT NULL),
+l AS (SELECT word, arg_max(z, k) AS root FROM c GROUP BY 1)
+SELECT s.word, form, coalesce(root, s.word) AS root, n, n_near, form_n FROM s LEFT JOIN l USING (word)"""
 
 HOSTS = f"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),

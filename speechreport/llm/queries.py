@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from speechreport.llm import budget_mix, chat_snapshots, host_rules, license_join, media, mil_quality, ngram_join, oracles, packing, range_coder, warc
+from speechreport.llm import budget_mix, chat_snapshots, fill_middle, host_rules, license_join, media, mil_quality, minhash_join, ngram_join, oracles, packing, range_coder, spelling, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,11 +62,33 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mil_quality, op2_warc, op3_license_join, op4_packing, op5_chat_snapshots, op6_ngram_join, op7_range_coder, op8_host_rules, op9_media, op10_budget_mix)}
+def op11_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.link(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_mil_quality, op2_warc, op3_license_join, op4_packing, op5_chat_snapshots, op6_ngram_join, op7_range_coder,
+    op8_host_rules, op9_media, op10_budget_mix, op11_minhash_bayes, op12_fill_middle, op13_spelling,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {
     "op2_warc": oracles.WARC,
     "op3_license_join": oracles.license_sql(),
     "op5_chat_snapshots": oracles.CHAT,
     "op6_ngram_join": oracles.JACCARD,
     "op8_host_rules": oracles.HOSTS,
+    "op11_minhash_bayes": oracles.MINHASH,
+    "op12_fill_middle": oracles.FILL_MIDDLE,
+    "op13_spelling": oracles.SPELLING,
 }
