@@ -3,7 +3,7 @@
 The library's time goes to merges of words that it has already merged. Texts whose characters all lie
 below U+0100 are cut where the tokenizer's own pre-tokenizer cuts them, and each distinct piece is
 encoded once while a worker keeps it, by the library's model, since cutting and normalizing are done;
-other texts go through the library whole.
+other texts, and those that hold the string of an added token, go through the library whole.
 """
 
 from __future__ import annotations
@@ -71,7 +71,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
         self.dtype = "<u2" if library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         code, letters, merge, swap = "H" if self.dtype == "<u2" else "I", byte_letters(), library.model.tokenize, sys.byteorder != "little"
@@ -89,11 +88,13 @@ class Encoder:
         self.wide = re.compile("[^\\x00-\\xff]").search
         self.cut = re.compile(CUTS[kind].format(L=LETTERS, N=NUMBERS, S=BLANKS)).findall
         self.lower = kind == "word"
+        self.added = [t.content.lower() if self.lower else t.content for t in library.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
-        if self.wide(text):
+        told = text.lower() if self.lower else text
+        if self.wide(text) or any(t in told for t in self.added):
             return self.whole(text)
-        return b"".join(map(self.pieces.__getitem__, self.cut(text.lower() if self.lower else text)))
+        return b"".join(map(self.pieces.__getitem__, self.cut(told)))
 
 
 #: One encoder for each vocabulary and worker.

@@ -6,6 +6,7 @@ import struct
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 
 from speechreport.llm import budget_mix, mil_quality, range_coder, shingles, tokens, warc
 
@@ -16,6 +17,11 @@ def test_cut_texts_encode_as_whole_ones(name, kind, monkeypatch):
     encoder, rnd = tokens.Encoder(public_tokenizers.path(name), kind), random.Random(2)
     letters = "ab Éß\n\t  '\x85\xa0\x1c\x00s t12²½%.,#İK<|endoftext|>µª\r日é́ÀÿŸ"
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(1500)] + ["".join(chr(rnd.randint(0, 255)) for _ in range(50)) for _ in range(500)]
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
+    for token in encoder.added:
+        texts += [token, f"a {token} b", f"É{token.upper()}{token}é ", f" {token}{token} x", token[:-1]]
+    plain = lambda t: np.array(library.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes()
+    assert len(encoder.added) > 0 and [t for t in texts if encoder.encode(t) != plain(t)] == []
     assert [t for t in texts if encoder.encode(t) != encoder.whole(t)] == []
 
 
