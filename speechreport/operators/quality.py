@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from speechreport.operators.network import majority, network, spans
+
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -45,44 +46,85 @@ def _last_costs(r: np.ndarray, h: np.ndarray) -> np.ndarray:
     return cost
 
 
+#: An odd multiplier and those of a 64-bit finalizer, for hashes of runs of words.
+ODD, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _sums(x: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Running sums of hashed words, each times the power of its place, so that equal runs can be told at any places."""
+    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(ODD)
+    for m in MIX:
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(m)
+    return np.append(np.uint64(0), np.cumsum(x * powers[: len(x)], dtype=np.uint64))
+
+
+def _reaches(r: np.ndarray, h: np.ndarray, most: int) -> list[np.ndarray] | None:
+    """For e = 0, 1, ... edits, the furthest row of each diagonal k = j - i from -e to e that e edits reach, up to the last cell; None if
+    that takes more than ``most``.
+
+    All diagonals take a step together; how far equal words then go on is a binary search over hashes of runs.
+    """
+    n, m = len(r), len(h)
+    powers = np.cumprod(np.full(max(n, m) + 1, ODD, np.uint64))
+    left, right = _sums(r, powers), _sums(h, powers)
+    bits = [1 << b for b in range(min(n, m).bit_length() - 1, -1, -1)] if n and m else []
+    found: list[np.ndarray] = []
+    last = np.zeros(0, np.int64)
+    for e in range(most + 1):
+        k = np.arange(-e, e + 1)
+        if e:
+            before = np.concatenate([[-2, -2], last, [-2, -2]])
+            i = np.maximum(before[1:-1] + 1, np.maximum(before[2:] + 1, before[:-2]))
+        else:
+            i = np.zeros(1, np.int64)
+        end = np.minimum(n, m - k)
+        there = (i >= np.maximum(0, -k)) & (end >= 0) & (k >= -n)
+        i = np.where(there, np.minimum(i, end), -2)
+        a = np.where(there, i, 0)
+        b = np.where(there, i + k, 0)
+        room, go = np.where(there, end - i, 0), np.zeros(len(k), np.int64)
+        for bit in bits:
+            step = np.where(go + bit <= room, go + bit, 0)
+            same = (left[a + step] - left[a]) * powers[b] == (right[b + step] - right[b]) * powers[a]
+            go = np.where(same & (step > 0), step, go)
+        last = i + go
+        found.append(last)
+        if abs(m - n) <= e and last[m - n + e] >= n:
+            return found
+    return None
+
+
 def _traced(r: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a cheapest alignment, by a band around the diagonal that is doubled until the distance fits in it.
+    """Pairs of a cheapest alignment, found from how far each number of edits reaches on each diagonal.
 
-    Where the trace of a band would pass TRACE, r is cut in half and h where the costs of both halves are least.
+    Where these rows would pass TRACE, r is cut in half and h where the costs of both halves are least.
     """
-    n, m, band = len(r), len(h), 8
-    while True:
-        low, width = -band + min(0, m - n), 2 * band + abs(m - n) + 1
-        if n > 1 and (n + 1) * width > TRACE:
-            half = n // 2
-            cut = int(np.argmin(_last_costs(r[:half], h) + _last_costs(r[half:][::-1], h[::-1])[::-1]))
-            rest = [(i + half if i >= 0 else -1, j + cut if j >= 0 else -1) for i, j in _traced(r[half:], h[cut:])]
-            return _traced(r[:half], h[:cut]) + rest
-        # cost[i][k] is for j = i + low + k
-        far, steps = np.int32(1 << 29), np.zeros((n + 1, width), np.int8)
-        k = np.arange(width)
-        cost = np.where((k + low >= 0) & (k + low <= m), k + low, far).astype(np.int64)
-        steps[0] = 2
-        for i in range(1, n + 1):
-            j = i + low + k
-            inside = (j >= 0) & (j <= m)
-            equal = np.zeros(width, bool)
-            at = (j >= 1) & inside
-            equal[at] = h[j[at] - 1] == r[i - 1]
-            pair = np.where(j >= 1, cost + ~equal, far)
-            gone = np.append(cost[1:], far) + 1
-            best = np.where(inside, np.minimum(pair, gone), far)
-            new = np.minimum.accumulate(best - k) + k
-            steps[i] = np.where(new == pair, 0, np.where(new == gone, 1, 2))
-            cost = np.where(inside, new, far)
-        if cost[m - n - low] <= band or band >= max(n, m):
-            break
-        band *= 2
-    i, j, pairs = n, m, []
+    n, m = len(r), len(h)
+    most = int((TRACE // 8) ** 0.5)
+    rows = _reaches(r, h, max(most, 1) if n > 1 else n + m)
+    if rows is None:
+        half = n // 2
+        cut = int(np.argmin(_last_costs(r[:half], h) + _last_costs(r[half:][::-1], h[::-1])[::-1]))
+        rest = [(i + half if i >= 0 else -1, j + cut if j >= 0 else -1) for i, j in _traced(r[half:], h[cut:])]
+        return _traced(r[:half], h[:cut]) + rest
+    x, y = r.tolist(), h.tolist()
+    i, j, e, pairs = n, m, len(rows) - 1, []
+    reached = lambda e, k, i: e >= 0 and abs(k) <= e and rows[e][k + e] >= i
     while i or j:
-        step = steps[i][j - i - low]
-        pairs.append((i - 1 if step < 2 else -1, j - 1 if step != 1 else -1))
-        i, j = i - (step < 2), j - (step != 1)
+        if i and j and x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+            continue
+        e -= 1
+        if i and j and reached(e, j - i, i - 1):
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif i and reached(e, j - i + 1, i - 1):
+            i -= 1
+            pairs.append((i, -1))
+        else:
+            j -= 1
+            pairs.append((-1, j))
     return pairs[::-1]
 
 
@@ -161,57 +203,51 @@ def unsupported_tokens(df: DataFrame, output: str = "final_text", sources: tuple
     return found.withColumn("share", F.when(F.col("n_output") > 0, F.size("unsupported") / F.col("n_output")).otherwise(0.0))
 
 
-def align_slots(transcripts: list[tuple[int, list[str]]]) -> dict[int, dict[int, str]]:
-    """Where transcripts differ when aligned to the first one: slot to token by position.
+def _present(row: list) -> list[tuple[int, list[str]]]:
+    return [(int(t["slot_no"]), [w.decode() for w in split(t["text"])]) for t in row]
 
-    Position 2 * i is the first one's word i, odd positions lie between its words; a slot without a word
-    there has ''. Positions at which all have the same token are left out.
-    """
-    (first, pivot), *others = transcripts
-    told: dict[int, dict[int, str]] = {}
-    for slot, ws in others:
-        place = last = -1  # the word of the first one that was passed last, and of this one
-        for i, j in changes(pivot, ws):
-            if i >= 0:
-                place, last = i, j if j >= 0 else last + i - place - 1
-                if j < 0 or pivot[i] != ws[j]:
-                    told.setdefault(2 * i, {})[slot] = ws[j] if j >= 0 else ""
-            else:
-                # equal words that were left out stand before this one on both sides
-                place, last = (place if j == last + 1 else place + j - last - 1), j
-                gap = told.setdefault(2 * place + 1, {})
-                gap[slot] = f"{gap[slot]} {ws[j]}" if slot in gap else ws[j]
-    slots = [s for s, _ in transcripts]
-    return {p: {s: told[p].get(s, pivot[p // 2] if p % 2 == 0 else "") for s in slots} for p in sorted(told)}
-
-
-def vote(transcripts: list[tuple[int, list[str]]]) -> str:
-    """The token of most slots at each position, ties to the lowest slot."""
-    if not transcripts:
-        return ""
-    pivot = transcripts[0][1]
-    words = {2 * i: w for i, w in enumerate(pivot)}
-    for place, tokens_ in align_slots(transcripts).items():
-        said = list(tokens_.values())  # in order of slots, so the first of equals is the lowest slot's
-        words[place] = max(said, key=said.count)
-    return " ".join(words[p] for p in sorted(words) if words[p])
 
+def align_slots(transcripts: list[tuple[int, list[str]]]) -> dict[int, dict[int, str]]:
+    """Where transcripts differ: slot to token by position.
 
-def _present(row: list) -> list[tuple[int, list[str]]]:
-    return [(int(t["slot_no"]), [w.decode() for w in split(t["text"])]) for t in row]
+    Position 2 * i is the lowest slot's word i, odd positions lie between its words, where several words of a slot are
+    one token; a slot without a word there has ''. Positions at which all have the same token are left out.
+    """
+    slots, told = [s for s, _ in transcripts], {}
+    place = -1
+    for column in network([ws for _, ws in transcripts]):
+        place += bool(column[0])
+        if column.count(column[0]) != len(column):
+            at = told.setdefault(2 * place if column[0] else 2 * place + 1, [[] for _ in slots])
+            for own, w in zip(at, column, strict=True):
+                own += [w] if w else []
+    return {p: {s: " ".join(ws) for s, ws in zip(slots, told[p], strict=True)} for p in told}
 
 
 @F.pandas_udf(T.StringType())
 def _voted(transcripts: pd.Series) -> pd.Series:
-    return transcripts.map(lambda row: vote(_present(row)))
+    return transcripts.map(lambda row: " ".join(majority(network([ws for _, ws in _present(row)]))))
+
+
+def _map(value: T.DataType) -> T.ArrayType:
+    """Entries by slot, which become a map in Spark."""
+    return T.ArrayType(T.StructType([T.StructField("key", T.IntegerType()), T.StructField("value", value)]))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("position", T.LongType()), T.StructField("variants", T.ArrayType(T.StructType([T.StructField("key", T.IntegerType()), T.StructField("value", T.StringType())])))])))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("position", T.LongType()), T.StructField("variants", _map(T.StringType()))])))
 def _differing(transcripts: pd.Series) -> pd.Series:
     rows = []
     for row in transcripts:
-        found = align_slots(present) if (present := _present(row)) else {}
-        rows.append([{"position": p, "variants": [{"key": s, "value": w} for s, w in at.items()]} for p, at in found.items()])
+        rows.append([{"position": p, "variants": [{"key": s, "value": w} for s, w in at.items()]} for p, at in align_slots(_present(row)).items()])
+    return pd.Series(rows)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("variants", _map(T.ArrayType(T.StringType())))])))
+def _spans(transcripts: pd.Series) -> pd.Series:
+    rows = []
+    for row in transcripts:
+        slots, words = [s for s, _ in _present(row)], [ws for _, ws in _present(row)]
+        rows.append([{"start": at, "variants": [{"key": s, "value": ws} for s, ws in zip(slots, own, strict=True)]} for at, own in spans(network(words))])
     return pd.Series(rows)
 
 
@@ -226,6 +262,20 @@ def discrepancies(df: DataFrame, key: str = "recording_id") -> DataFrame:
     return found.select(key, "_d.position", F.map_from_entries("_d.variants").alias("variants"))
 
 
+def discrepancy_spans(df: DataFrame, key: str = "recording_id") -> DataFrame:
+    """(key, spans) of each recording: an array of start and variants, the words of each slot, where neighbouring words differ.
+
+    start: words of the lowest slot before the span; a slot without words there has an empty array. Transcripts are aligned to
+    each other progressively, insertions and deletions included. A recording whose transcripts agree, or that has one only, has
+    no spans; null texts have no words.
+    """
+    entry = lambda s: F.struct(s["start"].alias("start"), F.map_from_entries(s["variants"]).alias("variants"))
+    return by_recording(df, key).select(key, F.transform(_spans("_t"), entry).alias("spans"))
+
+
 def vote_transcript(df: DataFrame, key: str = "recording_id") -> DataFrame:
-    """(key, voted_text): the token of most slots at each position, ties to the lowest slot; no words give ''."""
+    """(key, voted_text): the word, or no word, of most slots in each column of the recording's word transition network.
+
+    Ties go to the lowest slot; no words give ''.
+    """
     return by_recording(df, key).select(key, _voted("_t").alias("voted_text"))

@@ -363,6 +363,55 @@ def voted_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.vote_transcript(transcripts(spark, sf_dir))
 
 
+#: Slot 1 has lost words, slot 2 has got some, slot 3 has others in their place.
+LOST, GOT, CHANGED = (" of ", " "), (" the ", " the zqx "), (" and ", " qzf ")
+EDITED_SQL = f"""said AS (
+  SELECT doc_id, [replace(text, '{LOST[0]}', '{LOST[1]}'), replace(text, '{GOT[0]}', '{GOT[1]}'), replace(text, '{CHANGED[0]}', '{CHANGED[1]}')] AS slots, text, doc_id % 5 <> 0 AS third FROM documents)"""
+WORD_LIST = r"'[^ \t\n\x0B\f\r]+'"
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, slot_no, text, truth): transcripts with deletions, insertions and replaced words; the third is missing where doc_id is a multiple of 5."""
+    told = F.array(*[F.struct(F.lit(n).alias("slot_no"), F.replace(F.col("text"), F.lit(old), F.lit(new)).alias("text")) for n, (old, new) in enumerate((LOST, GOT, CHANGED), 1)])
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.col("text").alias("truth"), F.inline(told))
+    return rows.filter("slot_no < 3 or recording_id % 5 <> 0")
+
+
+@query(f"""
+WITH {EDITED_SQL}
+SELECT doc_id AS recording_id, array_to_string(regexp_extract_all(CASE WHEN third THEN text ELSE slots[1] END, {WORD_LIST}), ' ') AS voted_text FROM said""")
+def network_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With three slots the majority has every word of the text; with two the first one's words, or its lack of them, count."""
+    return quality.vote_transcript(edited(spark, sf_dir))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % 5 <> 0 AS third, regexp_extract_all(replace(replace(replace(text, ' of ', ' of\x01 '), ' the ', ' the zqx\x02 '), ' and ', ' and\x03 '), {WORD_LIST}) AS ws FROM documents),
+t AS (SELECT doc_id, third, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+k AS (SELECT doc_id, third, i, rtrim(w, '\\x01\\x02\\x03') AS w, CASE right(w, 1) WHEN '\\x01' THEN 1 WHEN '\\x02' THEN 2 WHEN '\\x03' THEN CASE WHEN third THEN 3 ELSE 0 END ELSE 0 END AS edit FROM t),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, w ORDER BY i) AS run FROM k),
+o AS (SELECT doc_id, third, w, edit, min(i) OVER (PARTITION BY doc_id, w, run) + row_number() OVER (PARTITION BY doc_id, w, run ORDER BY (edit <> 1)::INT, i) AS i FROM r),
+p AS (SELECT *, sum((edit NOT IN (1, 2))::INT) OVER w - (edit NOT IN (1, 2))::INT AS place, sum((edit = 0)::INT) OVER w AS island FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, third, island, min(place)::BIGINT AS start, string_agg(w, ' ' ORDER BY i) FILTER (edit = 3) AS one,
+    string_agg(w, ' ' ORDER BY i) AS two, string_agg(CASE WHEN edit = 3 THEN 'qzf' ELSE w END, ' ' ORDER BY i) FILTER (edit <> 2) AS three FROM p WHERE edit > 0 GROUP BY 1, 2, 3)
+SELECT doc_id AS recording_id, start, coalesce(one, '') AS slot_1, coalesce(two, '') AS slot_2, CASE WHEN third THEN coalesce(three, '') END AS slot_3 FROM s""".replace("\\x01", "\x01").replace("\\x02", "\x02").replace("\\x03", "\x03"))
+def transcript_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal neighbours the first ones count as lost, since any of them might be."""
+    found = quality.discrepancy_spans(edited(spark, sf_dir)).select("recording_id", F.explode("spans").alias("s"))
+    said = [F.array_join(F.col("s.variants")[n], " ").alias(f"slot_{n}") for n in (1, 2, 3)]
+    return found.select("recording_id", "s.start", *said)
+
+
+@query(f"""
+WITH {EDITED_SQL}, c AS (SELECT len(regexp_extract_all(text, {WORD_LIST})) AS n, third, (length(text) - length(slots[1])) // 3 AS lost, (length(slots[2]) - length(text)) // 4 AS got,
+    (length(text) - length(replace(text, '{CHANGED[0]}', ''))) // 5 AS changed FROM said)
+SELECT 1 AS slot_no, sum(n)::BIGINT AS ref_words, 0::BIGINT AS substitutions, 0::BIGINT AS insertions, sum(lost)::BIGINT AS deletions FROM c
+UNION ALL SELECT 2, sum(n)::BIGINT, 0, sum(got)::BIGINT, 0 FROM c UNION ALL SELECT 3, sum(n)::BIGINT, sum(changed)::BIGINT, 0, 0 FROM c WHERE third""")
+def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.token_edits(edited(spark, sf_dir), ref="truth")
+    return found.groupBy("slot_no").agg(*[F.sum(c).alias(c) for c in ("ref_words", "substitutions", "insertions", "deletions")])
+
+
 @query("""
 WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type FROM events)
 SELECT user_id::VARCHAR AS recording_id, CASE WHEN user_id % 4 = 0 THEN 'incomplete' ELSE 'complete' END AS status, count(*) AS n_chunks, string_agg(event_type, '' ORDER BY seq) AS content FROM c GROUP BY user_id""")

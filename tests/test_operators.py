@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from speechreport.functions import columns as C
-from speechreport.operators import conversations, inference, prompts, quality, replies, slots, validate
+from speechreport.operators import conversations, inference, network, prompts, quality, replies, slots, validate
 from speechreport.plans import standins
 from speechreport.plans.pipelines import run_pipelines
 from speechreport.sources import recordings, schemas
@@ -215,6 +215,88 @@ def test_vote_and_discrepancies_with_insertions(spark):
     assert diffs == {2: {1: "left", 2: "left", 3: ""}, 4: {1: "lung", 2: "lungs", 3: "lung"}, 7: {1: "", 2: "very", 3: "very"}}
 
 
+def plain_steps(columns, words):
+    """A cheapest path by the full table: a pair before a pass and that before a new column."""
+    cost, came = {(0, 0): 0}, {}
+    for i in range(len(columns) + 1):
+        for j in range(len(words) + 1):
+            ways = []
+            if i and j:
+                ways.append((cost[i - 1, j - 1] + (words[j - 1] not in columns[i - 1]), 0))
+            if i:
+                ways.append((cost[i - 1, j] + ("" not in columns[i - 1]), 1))
+            if j:
+                ways.append((cost[i, j - 1] + 1, 2))
+            if ways:
+                cost[i, j], came[i, j] = min(ways)
+    i, j, steps = len(columns), len(words), []
+    while i or j:
+        way = came[i, j]
+        steps.append((i - 1 if way != 2 else -1, j - 1 if way != 1 else -1))
+        i, j = i - (way != 2), j - (way != 1)
+    return steps[::-1]
+
+
+def test_network_matches_a_plain_program():
+    rnd = random.Random(8)
+    for _ in range(500):
+        said = [[rnd.choice("abcd") for _ in range(rnd.randint(0, 9))] for _ in range(3)]
+        columns = [[w] for w in said[0]]
+        for n, words in enumerate(said[1:], 1):
+            columns = [(columns[i] if i >= 0 else [""] * n) + [words[j] if j >= 0 else ""] for i, j in plain_steps(columns, words)]
+        assert network.network(said) == columns
+        assert [[w for w in (c[k] for c in columns) if w] for k in range(3)] == said
+    assert network.majority(network.network(["a c".split(), "a b x c".split(), "a b c".split()])) == ["a", "b", "c"]
+    assert network.network([]) == [] and network.spans([["a"], ["b"]]) == []
+
+
+def test_majority_words_win_wherever_they_stand():
+    rnd = random.Random(9)
+    for _ in range(60):
+        text = [f"w{rnd.randint(0, 200)}" for _ in range(150)]
+        at = rnd.sample(range(0, 150, 3), 20)  # places of edits, apart from each other, each in one transcript
+        said = []
+        for k in range(3):
+            own = at[k::3]
+            said.append([x for i, w in enumerate(text) for x in ((w,) if i not in own else ((), ("zz",), (w, "zz"))[i % 2 if i % 5 else 2])])
+        assert network.majority(network.network(said)) == text
+
+
+@pytest.mark.parametrize(("direct", "trace"), [(0, 1 << 25), (4096, 400), (0, 400)])
+def test_long_transcripts_are_aligned_in_parts(monkeypatch, direct, trace):
+    monkeypatch.setattr(network, "DIRECT", direct)
+    monkeypatch.setattr(network, "TRACE", trace)
+    rnd = random.Random(10)
+    for size in (1, 5, 300):
+        for _ in range(20):
+            base = [f"w{rnd.randint(0, size)}" for _ in range(80)]
+            said = [[w for w in base if rnd.random() < 0.95] for _ in range(3)]
+            columns = network.network(said)
+            assert [[w for w in (c[k] for c in columns) if w] for k in range(3)] == said
+            assert len(columns) <= 90
+
+
+def test_anchors_are_the_longest_chain():
+    assert network.anchors([[1], [2], [3], [4], [5]], [3, 1, 2, 4, 4]) == [(0, 1), (1, 2)]
+    assert network.anchors([[1, 2], [3, 0]], [2, 1, 3]) in ([(0, 1), (1, 2)], [(0, 0), (1, 2)])
+
+
+def test_spans_of_neighbouring_columns(spark):
+    rows = [("r", 1, "left lung is clear today"), ("r", 2, "left lungs very clear now"), ("r", 4, "lung is very clear today"), ("s", 2, "alone"), ("e", 1, ""), ("n", 1, None), ("n", 2, "new words")]
+    found = {r["recording_id"]: [(s["start"], s["variants"]) for s in r["spans"]] for r in quality.discrepancy_spans(spark.createDataFrame(rows, "recording_id string, slot_no int, text string")).collect()}
+    assert found["s"] == found["e"] == [] and found["n"] == [(0, {1: [], 2: ["new", "words"]})]
+    assert found["r"] == [(0, {1: ["left", "lung", "is"], 2: ["left", "lungs", "very"], 4: ["lung", "is", "very"]}), (4, {1: ["today"], 2: ["now"], 4: ["today"]})]
+
+
+def test_very_long_transcripts(spark):
+    rnd = random.Random(11)
+    base = [f"w{rnd.randint(0, 3000)}" for _ in range(20_000)]
+    said = [[w for w in base if rnd.random() < 0.98] for _ in range(3)]
+    df = spark.createDataFrame([("r", k, " ".join(ws)) for k, ws in enumerate(said, 1)], "recording_id string, slot_no int, text string")
+    assert plain_distance(quality.vote_transcript(df).first()["voted_text"].split()[:1500], base[:1500]) < 10
+    assert len(quality.discrepancy_spans(df).first()["spans"]) > 800
+
+
 def test_last_user_turn_without_user(spark):
     df = spark.createDataFrame([(1, 0, "system", "s"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c")], "conv_id long, turn long, role string, text string")
     found = {r["conv_id"]: (r["turn"], r["text"], r["status"]) for r in conversations.last_user_turn(df).collect()}
