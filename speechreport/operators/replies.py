@@ -37,17 +37,20 @@ def _text(value: object) -> str | None:
 
 
 def _report(piece: str | None) -> dict | None:
+    """The parts of a report, or None for what isn't one: no object, too deep for the parser, or with lone surrogates, which are no text."""
     try:
         found = json.loads(piece or "")
-    except ValueError:
+        if not isinstance(found, dict):
+            return None
+        own = {}
+        for k in REPORT_KEYS:
+            value = found.get(k)
+            own[k] = ([_text(x) for x in value] if isinstance(value, list) else None if value is None else [_text(value)]) if k == "discrepancies_found" else _text(value)
+        told = {"report": own, "present_keys": list(found), "extra": [(k, _text(v)) for k, v in found.items() if k not in REPORT_KEYS]}
+        json.dumps(found, ensure_ascii=False).encode()
+    except (ValueError, RecursionError):
         return None
-    if not isinstance(found, dict):
-        return None
-    own = {}
-    for k in REPORT_KEYS:
-        value = found.get(k)
-        own[k] = ([_text(x) for x in value] if isinstance(value, list) else None if value is None else [_text(value)]) if k == "discrepancies_found" else _text(value)
-    return {"report": own, "present_keys": list(found), "extra": [(k, _text(v)) for k, v in found.items() if k not in REPORT_KEYS]}
+    return told
 
 
 def extract_json(df: DataFrame, reply: str = "reply") -> DataFrame:

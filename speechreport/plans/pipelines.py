@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from speechreport.functions.columns import DEFAULT_LANGUAGE, generation_params,
 from speechreport.operators import inference, prompts, replies, slots
 from speechreport.operators.inference import Engines
 from speechreport.operators.validate import check_audio_format, check_language, split_valid, validate_requests
-from speechreport.sources.scratch import written
+from speechreport.sources.scratch import dropped, written
 
 KEY = "request_id"
 REJECT = (KEY, "recording_id", "pipeline", "status", "error")
@@ -18,14 +20,16 @@ CALL = ("params", "api_key", "base_url")
 
 
 def identified(requests: DataFrame) -> DataFrame:
-    """requests with request_id: their own, or a digest of the request without its keys.
+    """requests with request_id: their own, or a digest of the request, its keys as a digest of their own.
 
-    One recording may have many requests. Equal requests share an id and have equal results.
+    One recording may have many requests. Equal requests share an id and have equal results; requests that differ in their
+    keys alone don't.
     """
     if KEY in requests.columns:
         return requests
     told = [redact_slots(F.col(c)).alias(c) if c == "stt_slots" else F.col(c) for c in sorted(requests.columns) if not c.endswith("api_key")]
-    return requests.withColumn(KEY, F.md5(F.to_json(F.struct(*told))))
+    keys = [F.transform(c, lambda s: s["api_key"]).alias(c) if c == "stt_slots" else F.col(c) for c in sorted(requests.columns) if c == "stt_slots" or c.endswith("api_key")]
+    return requests.withColumn(KEY, F.sha2(F.to_json(F.struct(*told, *([F.sha2(F.to_json(F.struct(*keys)), 256).alias("_keys")] if keys else []))), 256))
 
 
 def with_call(requests: DataFrame) -> DataFrame:
@@ -35,26 +39,33 @@ def with_call(requests: DataFrame) -> DataFrame:
 
 
 def with_audio(df: DataFrame, recordings: DataFrame, audio: str) -> DataFrame:
-    """df's rows with their recording's audio; Spark broadcasts df where it is small."""
-    return recordings.select("recording_id", audio).join(df, "recording_id")
-
-
-def transcripts_of(requests: DataFrame, recordings: DataFrame, engines: Engines, audio: str, on_slot_error: str, check_languages: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(assembled transcripts, rejects) of requests with slots."""
-    fanned = slots.fan_out_slots(requests.select(KEY, "recording_id", "language", "stt_slots"))
-    asked = check_language(fanned, default=DEFAULT_LANGUAGE)
-    # only the local speech service checks languages; its 400 is the slot's 502
-    unknown = F.lit(check_languages) & F.col("status").isNotNull() & (text_route(F.col("model")) == "local")
+    """df's rows with their recording's audio, and its length if the recordings have that; Spark broadcasts df where it is small."""
+    told = [F.col("length").alias("_bytes")] if "length" in recordings.columns else []
+    return recordings.select("recording_id", audio, *told).join(df, "recording_id")
+
+
+def transcripts_of(requests: DataFrame, recordings: DataFrame, engines: Engines, audio: str, on_slot_error: str, check_languages: bool = True, cleanup: list[Callable[[], object]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assembled transcripts, rejects, weights of the language models' calls) of requests with slots."""
+    fanned = slots.fan_out_slots(requests.select(KEY, "recording_id", "llm_model", "language", "stt_slots"))
+    # only the local speech service has a default language and checks languages; its 400 is the slot's 502
+    local = text_route(F.col("model")) == "local"
+    asked = check_language(fanned.withColumn("_told", F.col("language")), default=DEFAULT_LANGUAGE)
+    asked = asked.withColumn("language", F.when(local, F.col("language")).otherwise(F.col("_told"))).drop("_told")
+    unknown = F.lit(check_languages) & F.col("status").isNotNull() & local
     slot = F.struct("slot_no", "model", "language", "api_key", "base_url")
-    calls = asked.filter(~unknown).groupBy(KEY, "recording_id").agg(F.array_distinct(F.array_sort(F.collect_list(slot))).alias("slots"))
-    rows = inference.transcribe(with_audio(calls, recordings, audio), engines, audio, key=KEY)
+    calls = asked.filter(~unknown).groupBy(KEY, "recording_id", "llm_model").agg(F.array_distinct(F.array_sort(F.collect_list(slot))).alias("slots"))
+    heard = with_audio(calls, recordings, audio)
+    rows = inference.transcribe(heard, engines, audio, key=KEY, size="_bytes" if "_bytes" in heard.columns else None, cleanup=cleanup).drop("_bytes")
     if check_languages:
         error = F.concat(F.lit("unknown language: "), F.col("language"))
         refused = asked.filter(unknown).withColumns({"text": F.lit(None).cast("string"), "status": F.lit(502), "error": error})
         rows = rows.unionByName(refused.select(*rows.columns))
     rows = written(rows)
+    if cleanup is not None:
+        cleanup.append(lambda: dropped(rows))
     good, rejects = inference.fail_recordings(rows, KEY, on_slot_error)
-    return slots.assemble_transcripts(good, KEY), rejects
+    weights = rows.groupBy("llm_model", KEY).agg(F.sum(F.length("text")).cast("long").alias("weight")).fillna(0, "weight")
+    return slots.assemble_transcripts(good, KEY), rejects, weights
 
 
 def finish(asked: DataFrame) -> DataFrame:
@@ -70,15 +81,17 @@ def listener_text(pipeline: Column, transcripts: Column) -> Column:
     return F.coalesce(prompts.reference_sections(F.when(pipeline == "hybrid", F.coalesce(transcripts, none)).otherwise(none)), F.lit(""))
 
 
-def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm: Engines, audio: str = "samples", on_slot_error: str = "fail", check_languages: bool = False) -> DataFrame:
+def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm: Engines, audio: str = "samples", on_slot_error: str = "fail", check_languages: bool = True, cleanup: list[Callable[[], object]] | None = None) -> DataFrame:
     """One row for each request: its report, or a status and an error.
 
     requests: recording_id, pipeline, llm_model, language, stt_slots, file_name, and if wanted request_id,
     temperature, llm_api_key, llm_base_url. recordings: recording_id and a column of audio, either a file's
     bytes, which the stages decode, or something that the engines take as it is. A request whose recording
-    is missing gets status 404, one whose audio can't be decoded 400. With ``check_languages`` slots of the
-    local speech service fail with 502 where it does not support their language. Transcripts and replies
-    are written once each, as several branches read them; credentials are never written.
+    is missing gets status 404, one whose audio can't be decoded 400. Slots of the local speech service without a
+    language get its default, and fail with 502 where it does not support their language, unless ``check_languages`` is
+    off; a cloud slot without a language is called without one. Transcripts and replies are written once each, as several
+    branches read them; what deletes them is added to ``cleanup``, which a caller may run once the result is written.
+    Credentials are never written.
     """
     checked = validate_requests(with_call(identified(requests)), list(stt), list(llm))
     valid, rejects = split_valid(checked)
@@ -90,7 +103,7 @@ def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm:
     rejects = rejects.select(*REJECT).unionByName(missing.select(*REJECT)).unionByName(bad_format.select(*REJECT))
 
     with_slots = heard.filter("pipeline = 'separate'").unionByName(direct.filter("pipeline = 'hybrid'").drop("audio_format"))
-    assembled, failed = transcripts_of(with_slots, recordings, stt, audio, on_slot_error, check_languages)
+    assembled, failed, weights = transcripts_of(with_slots, recordings, stt, audio, on_slot_error, check_languages, cleanup)
     rejects = rejects.unionByName(failed.join(valid.select(KEY, "recording_id", "pipeline"), KEY).select(*REJECT))
 
     # with 'skip' a request whose slots all failed has no transcripts, which build_messages rejects
@@ -98,11 +111,14 @@ def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm:
     separate = heard.filter("pipeline = 'separate'").join(failed.select(KEY), KEY, "left_anti").select(*asked)
     ready, unusable = split_valid(prompts.build_messages(slots.attach_references(separate, assembled, KEY)))
     rejects = rejects.unionByName(unusable.select(*REJECT))
-    text = inference.chat(ready.drop("transcripts"), llm, key=KEY)
+    text = inference.chat(ready.drop("transcripts"), llm, key=KEY, cleanup=cleanup, sized=weights)
 
     listening = direct.filter("pipeline = 'multimodal'").unionByName(direct.filter("pipeline = 'hybrid'").join(failed.select(KEY), KEY, "left_anti")).select(*asked)
     listening = slots.attach_references(listening, assembled, KEY)
     user = listener_text(F.col("pipeline"), F.col("transcripts"))
     listening = listening.withColumn("messages", prompts.messages(F.lit(prompts.system_prompt(prompts.LISTEN)), user)).drop("transcripts")
-    sound = inference.chat_audio(with_audio(listening, recordings, audio), llm, audio, key=KEY)
-    return finish(written(text.unionByName(sound))).unionByName(rejects, allowMissingColumns=True)
+    sound = inference.chat_audio(with_audio(listening, recordings, audio).drop("_bytes"), llm, audio, key=KEY, cleanup=cleanup)
+    replied = written(text.unionByName(sound))
+    if cleanup is not None:
+        cleanup.append(lambda: dropped(replied))
+    return finish(replied).unionByName(rejects, allowMissingColumns=True)

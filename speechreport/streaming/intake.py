@@ -12,15 +12,19 @@ from speechreport.plans.pipelines import run_pipelines
 from speechreport.sources.recordings import write_reports
 
 
-def run_stream(stream: DataFrame, requests: Callable[[DataFrame], DataFrame], stt: Engines, llm: Engines, path: str, checkpoint: str) -> StreamingQuery:
+def run_stream(stream: DataFrame, requests: Callable[[DataFrame], DataFrame], stt: Engines, llm: Engines, path: str, checkpoint: str, **options: object) -> StreamingQuery:
     """Starts a query that writes reports below path/batch=N for each micro-batch, and stops when all is read.
 
-    requests: gives the requests for a batch of recordings. A batch that runs again after a failure
-    replaces its own folder.
+    requests: gives the requests for a batch of recordings. options: on_slot_error and check_languages, as run_pipelines()
+    takes them. A batch that runs again after a failure replaces its own folder; what a batch has written in between is
+    deleted when its reports are there.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        reports = run_pipelines(requests(batch.drop("content")), batch.select("recording_id", "content"), stt, llm, audio="content")
+        cleanup: list[Callable[[], object]] = []
+        reports = run_pipelines(requests(batch.drop("content")), batch.select("recording_id", "content"), stt, llm, audio="content", cleanup=cleanup, **options)
         write_reports(reports, f"{path}/batch={number}", "overwrite")
+        for free in cleanup:
+            free()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

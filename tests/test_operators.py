@@ -175,6 +175,66 @@ def plain_distance(a, b):
     return row[-1]
 
 
+class Odd:
+    """Answers that are no texts."""
+
+    def transcribe(self, audio, rate, language, access):
+        return {"five": 5, "none": None, "half": "\ud800", "good": "text"}[audio]
+
+    def chat_all(self, calls):
+        return [{"five": 5, "half": "\ud800"}.get(messages[0]["content"], "text") for messages, *_ in calls]
+
+
+def test_answers_that_are_no_texts_are_rows_with_a_status(spark):
+    df = slot_rows(spark, [(x, x, [("odd", "fa", None, None)]) for x in ("five", "none", "half", "good")])
+    assert {r["recording_id"]: (r["text"], r["status"]) for r in inference.transcribe(df, {"odd": Odd}, audio="said").collect()} == {"five": (None, 502), "none": (None, 502), "half": (None, 502), "good": ("text", None)}
+    asked = spark.createDataFrame([(x, "odd", [("user", x)]) for x in ("five", "half", "good")], "recording_id string, llm_model string, messages array<struct<role:string,content:string>>")
+    assert {r["recording_id"]: (r["reply"], r["status"]) for r in inference.chat(asked, {"odd": Odd}).collect()} == {"five": (None, 502), "half": (None, 502), "good": ("text", None)}
+
+
+def test_an_engine_of_another_factory_is_not_taken(spark):
+    df = slot_rows(spark, [("a", "x y", [("same", "fa", None, None)])])
+    for old, new, want in (("x", "1", "1 y"), ("y", "2", "x 2"), ("x", "1", "1 y")):
+        assert inference.transcribe(df, {"same": lambda old=old, new=new: standins.EchoSpeech(old, new)}, audio="said").first()["text"] == want
+
+
+def test_replies_that_no_table_can_hold(spark):
+    rows = [("half", '{"notes":"\\ud800"}'), ("key", '{"\\udc00":1}'), ("deep", '{"notes":' + "[" * 200_000 + "]" * 200_000 + "}"), ("pair", '{"notes":"\\ud83d\\ude00"}')]
+    found = {r["k"]: (r["status"], r["report"] and r["report"]["notes"]) for r in replies.extract_json(spark.createDataFrame(rows, "k string, reply string")).collect()}
+    assert found == {"half": (502, None), "key": (502, None), "deep": (502, None), "pair": (None, "\U0001f600")}
+
+
+def test_sample_rates_out_of_range_are_errors():
+    for rate, good in ((1, False), (249, False), (250, True), (1_024_000, True), (4_000_000_000, False)):
+        body = wav([1] * 60)
+        audio, error = inference.decode_wav(body[:24] + rate.to_bytes(4, "little") + body[28:])
+        assert (audio is not None, error is None) == (good, good)
+
+
+def test_resampling_by_chunks_gives_the_same_samples(monkeypatch):
+    sound = np.sin(np.arange(5000) / 7)
+    whole = inference.resample(sound, 11_025)
+    monkeypatch.setattr(inference, "CHUNK", 100)
+    assert np.array_equal(inference.resample(sound, 11_025), whole)
+
+
+def test_calls_are_dealt_by_running_sums(spark):
+    """Tasks grow with the work of a model, and each has about the same."""
+    rows = [(f"r{i}", "popular" if i % 4 else "other", 100 + i % 50) for i in range(8000)] + [("null", None, 5)]
+    df = spark.createDataFrame(rows, "recording_id string, llm_model string, bytes long").repartition(3)
+    found = inference.dealt(df, "llm_model", "recording_id", F.col("bytes"), 10_000).withColumn("task", F.spark_partition_id())
+    assert found.drop("task").exceptAll(df).isEmpty() and found.count() == len(rows)
+    by = found.groupBy("task").agg(F.sum("bytes").alias("n"), F.countDistinct("llm_model").alias("models"), F.first("llm_model").alias("model")).collect()
+    popular = [r["n"] for r in by if r["model"] == "popular"]
+    assert len(popular) > 64 and max(r["models"] for r in by) <= 1
+    assert max(popular) < 10_000 * 1.3 and min(popular) > 10_000 * 0.7
+    weights = df.select("llm_model", "recording_id", F.col("bytes").alias("weight"))
+    for sized in (weights, weights.limit(100)):  # rows without a weight are dealt as well
+        assert inference.dealt(df, "llm_model", "recording_id", F.col("bytes"), 10_000, sized=sized).exceptAll(df).isEmpty()
+        assert inference.dealt(df, "llm_model", "recording_id", F.col("bytes"), 10_000, sized=sized).count() == len(rows)
+    assert inference.dealt(df.limit(0), "llm_model", "recording_id", F.col("bytes"), 10_000).count() == 0
+
+
 def test_edit_counts_match_plain_program():
     rnd = random.Random(4)
     for _ in range(400):
@@ -458,6 +518,22 @@ def test_requests_of_one_recording_and_their_credentials(spark):
     assert kept and not {"api_key", "base_url", "stt_slots", "slots", "content"} & {c for columns in kept for c in columns}
 
 
+def test_keys_part_requests_and_cloud_slots_have_no_default_language(spark):
+    class Told:
+        def transcribe(self, audio, rate, language, access):
+            if access["api_key"] == "bad":
+                raise PermissionError("key")
+            return f"{language}"
+
+    slot = "array<struct<model:string,api_key:string,base_url:string,language:string>>"
+    rows = [("r", "separate", "aya-expanse-8b", None, [(m, key, None, lang)]) for m, key, lang in (("openai:told", "good", None), ("openai:told", "bad", None), ("told", None, None), ("openai:told", "good", "de"))]
+    asked = spark.createDataFrame(rows, f"recording_id string, pipeline string, llm_model string, language string, stt_slots {slot}").withColumn("file_name", F.lit("a.wav"))
+    heard = spark.createDataFrame([("r", "x")], "recording_id string, said string")
+    found = run_pipelines(asked, heard, {"openai:told": Told, "told": Told}, standins.LLM, "said").collect()
+    assert sorted((r["status"] or 0, r["raw_transcript"] or "") for r in found) == [(0, "None"), (0, "de"), (0, "fa"), (502, "")], found
+    assert len({r["request_id"] for r in found}) == 4
+
+
 def test_a_recording_is_decoded_once_for_all_its_slots(spark, monkeypatch, tmp_path):
     log = tmp_path / "calls"
 
