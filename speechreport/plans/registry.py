@@ -15,9 +15,9 @@ from speechreport.functions import columns as C
 from speechreport.operators import conversations, inference, prompts, quality, replies, slots, validate
 from speechreport.plans import standins
 from speechreport.plans.pipelines import run_pipelines
-from speechreport.sources import recordings, schemas, scratch
+from speechreport.sources import documents, recordings, schemas, scratch
 from speechreport.streaming.chunks import assemble_batch, assemble_chunks, to_wav
-from speechreport.streaming.intake import run_stream
+from speechreport.streaming.intake import run_request_stream, run_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,6 +160,20 @@ def rtl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("rtl").cast("long")).alias("n_rtl"), F.sum(F.length("line").cast("long")).alias("n_chars"))
 
 
+@query("""
+WITH n AS (SELECT *, coalesce(nullif(source, ''), 'report') || '_gemini-x' AS stem, row_number() OVER (PARTITION BY coalesce(nullif(source, ''), 'report') ORDER BY doc_id) AS k FROM documents),
+l AS (SELECT stem || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.txt' AS name, unnest(string_split(CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'گزارش ' || source ELSE text END, chr(10))) AS line FROM n)
+SELECT name, count(*) AS n_lines, sum(regexp_matches(line, '[\\x{0590}-\\x{08FF}\\x{FB1D}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]')::INT)::BIGINT AS n_rtl, sum(length(line))::BIGINT AS n_chars FROM l GROUP BY 1""")
+def written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under names that many of them share, written as files and read back line by line."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit("\nگزارش "), F.col("source"))).otherwise(F.col("text"))
+    named = table(spark, sf_dir, "documents").select("doc_id", C.output_name(F.col("source"), [F.lit("gemini:x")], ".txt").alias("name"), text.alias("text"))
+    out = scratch.scratch_dir(spark)
+    documents.write_documents(named, out, key="doc_id")
+    lines = recordings.report_lines(documents.read_documents(spark, out))
+    return lines.groupBy("name").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("rtl").cast("long")).alias("n_rtl"), F.sum(F.length("line").cast("long")).alias("n_chars"))
+
+
 @query("""
 WITH u AS (SELECT page_id, url, regexp_extract(url, '([^/]*)$', 1) AS last FROM pages),
 s AS (SELECT page_id, CASE WHEN regexp_matches(last, '^\\.*[^.].*\\.[^.]*$') THEN regexp_replace(last, '\\.[^.]*$', '') ELSE last END AS stem,
@@ -513,3 +527,26 @@ def streamed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     run_stream(spark.readStream.schema(files.schema).parquet(source), asked, standins.STT, standins.LLM, out, state).awaitTermination()
     return spark.read.parquet(out).select("recording_id", "pipeline", "status", F.get_json_object("result", "$.raw_transcript").alias("raw_transcript"))
+
+
+@query("""
+SELECT user_id::VARCHAR AS recording_id, CASE WHEN user_id % 3 = 0 THEN 'hybrid' ELSE 'separate' END AS pipeline, CASE WHEN user_id % 4 = 0 OR user_id % 5 = 0 THEN 404 END AS status,
+  CASE WHEN user_id % 4 <> 0 AND user_id % 5 <> 0 THEN 2 * count(*) || ' samples' END AS raw_transcript FROM events GROUP BY user_id""")
+def streamed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of requests meets a stream of recordings: some are missing (user_id a multiple of 4), some an hour late (of 5)."""
+    said, heard, out, state = (scratch.scratch_dir(spark) for _ in range(4))
+    slot = F.struct(F.lit("seamless").alias("model"), *[F.lit(None).cast("string").alias(k) for k in ("api_key", "base_url", "language")])
+    kind = F.when(F.col("user") % 3 == 0, "hybrid").otherwise("separate")
+    files = event_files(spark, sf_dir).withColumn("user", F.col("recording_id").cast("long"))
+    begin = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    at = begin + F.make_dt_interval(F.lit(0), F.lit(0), F.pmod("user", F.lit(7)).cast("int"))
+    last = spark.range(1).select(F.lit("end").alias("recording_id"), F.lit(None).cast("binary").alias("content"), F.lit(1).cast("long").alias("user"))
+    late = F.when(F.col("user") % 5 == 0, at + F.expr("interval 1 hour")).otherwise(at + F.expr("interval 2 minutes"))
+    day = F.expr("interval 1 day")
+    files.filter("user % 4 <> 0").withColumn("recorded_at", late).unionByName(last.withColumn("recorded_at", begin + day)).drop("user").write.parquet(heard)
+    asked = files.withColumn("requested_at", at).unionByName(last.withColumn("requested_at", begin + day)).withColumns({"pipeline": kind, "llm_model": F.when(kind == "hybrid", "gemma-4-e4b").otherwise("aya-expanse-8b"), "language": F.lit("fa"), "stt_slots": F.array(slot), "file_name": F.lit("audio.wav")})
+    asked.drop("user", "content").write.parquet(said)
+    streams = (spark.readStream.schema(spark.read.parquet(p).schema).parquet(p) for p in (said, heard))
+    run_request_stream(*streams, standins.STT, standins.LLM, out, state).awaitTermination()
+    found = spark.read.option("basePath", out).parquet(f"{out}/batch=*").filter("recording_id <> 'end'")
+    return found.select("recording_id", "pipeline", "status", F.get_json_object("result", "$.raw_transcript").alias("raw_transcript"))

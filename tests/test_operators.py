@@ -16,7 +16,7 @@ from speechreport.functions import columns as C
 from speechreport.operators import conversations, inference, network, prompts, quality, replies, slots, validate
 from speechreport.plans import standins
 from speechreport.plans.pipelines import run_pipelines
-from speechreport.sources import recordings, schemas
+from speechreport.sources import documents, recordings, schemas
 from speechreport.streaming import chunks, intake
 
 
@@ -429,6 +429,49 @@ def test_stream_of_recordings(spark, tmp_path):
     assert rows["b.wav"]["status"] == 400
 
 
+def test_documents_are_written_whole_or_not_at_all(spark, tmp_path):
+    out = str(tmp_path / "documents")
+    rows = [(1, "a.txt", "x"), (2, "a.txt", "y\nz"), (2, "a.txt", "y\nz"), (3, "b", None), (4, "b", "q"), (None, None, "n"), (5, "x/../y?.txt", "s"), (6, "n" * 300 + ".txt", "long"), (7, ".hidden", "h"), (8, ".hidden", "i")]
+    df = spark.createDataFrame(rows, "recording_id long, name string, text string").repartition(3)
+    documents.write_documents(df, out)
+    found = sorted((r["name"], r["text"]) for r in documents.read_documents(spark, out).collect() if len(r["name"]) < 50)
+    assert found == sorted([("a.txt", "x"), ("a_2.txt", "y\nz"), ("a_3.txt", "y\nz"), ("b", ""), ("b_2", "q"), ("report", "n"), ("x-..-y?.txt", "s"), ("report.hidden", "h"), ("report_2.hidden", "i")]), found
+    assert documents.read_documents(spark, out).filter("text = 'long' and name like 'nnn%_.txt'").count() == 1
+    broken = df.withColumn("text", F.when(F.col("recording_id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("text")))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="no"):
+            documents.write_documents(broken, out, mode=mode)
+        assert documents.read_documents(spark, out).count() == len(rows)
+        assert not list((tmp_path / "documents").glob(f"{documents.STAGED}*"))
+    documents.write_documents(df.filter("recording_id = 1"), out, mode="overwrite")
+    assert [tuple(r) for r in documents.read_documents(spark, out).collect()] == [("a.txt", "x")]
+
+
+def test_names_that_many_rows_share_are_numbered_in_ranges(spark):
+    df = spark.range(3000).select(F.col("id").alias("key"), F.when(F.col("id") % 10 > 0, "same.txt").otherwise(F.concat(F.lit("own"), F.col("id"))).alias("name"))
+    names = {r["key"]: r["name"] for r in documents.numbered(df, "name", "key").collect()}
+    shared = [k for k in range(3000) if k % 10]
+    assert [names[k] for k in shared] == ["same.txt"] + [f"same_{n}.txt" for n in range(2, len(shared) + 1)] and names[10] == "own10"
+
+
+def test_stream_of_requests_and_recordings(spark, tmp_path):
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
+    slot = "array<struct<model:string,api_key:string,base_url:string,language:string>>"
+    ask = lambda key, minute, kind="separate": (key, at(minute), kind, "aya-expanse-8b", "fa", [("seamless", None, None, None)], "a.wav")
+    said = [[ask("a", 0), ask("late", 0), ask("none", 0), ask("bad", 0, "other"), ask(None, 0), ask("twice", 0)], [ask("first", 20)], [ask("end", 2000)]]
+    heard = [[("a", at(5), wav([1] * 10)), ("first", at(12), wav([1] * 20)), ("twice", at(1), wav([1] * 30)), ("twice", at(1), wav([1] * 30))], [("late", at(40), wav([1] * 5))], [("end", at(2000), wav([]))]]
+    schemas_ = (f"recording_id string, requested_at timestamp, pipeline string, llm_model string, language string, stt_slots {slot}, file_name string", "recording_id string, recorded_at timestamp, content binary")
+    folders = [str(tmp_path / x) for x in ("said", "heard")]
+    for n in range(3):  # requests and recordings come bit by bit, in several runs of the stream
+        for rows, schema, folder in ((said[n], schemas_[0], folders[0]), (heard[n], schemas_[1], folders[1])):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        streams = [spark.readStream.schema(s).parquet(f) for s, f in zip(schemas_, folders, strict=True)]
+        intake.run_request_stream(*streams, standins.STT, standins.LLM, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    rows = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out/batch=*")).collect()
+    found = sorted((r["recording_id"] or "", r["status"] or 0, json.loads(r["result"]).get("raw_transcript")) for r in rows if r["recording_id"] != "end")
+    assert found == [("", 404, None), ("a", 0, "10 samples"), ("bad", 400, None), ("first", 0, "20 samples"), ("late", 404, None), ("none", 404, None), ("twice", 0, "30 samples")]
+
+
 def test_stream_of_chunks(spark, tmp_path):
     schema = "recording_id string, seq long, ts timestamp, bytes binary, is_last boolean"
     source = str(tmp_path / "chunks")
