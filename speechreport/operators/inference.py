@@ -218,6 +218,11 @@ def _access(x: dict) -> dict:
     return {"api_key": x.get("api_key"), "base_url": x.get("base_url")}
 
 
+def answers(asked: list[tuple[str | None, list]], engines: dict) -> list[tuple[str | None, int | None, str | None]]:
+    """(text, status, error) of each (model, messages), those of one model asked together; engines are ``marked``."""
+    return _results([(m, (said, None, _access({})), None) for m, said in asked], engines, "llm", "chat")
+
+
 def transcribe(df: DataFrame, engines: Engines, audio: str = "samples", rate: int = RATE, key: str = "recording_id", size: str | None = None, cleanup: list[Callable[[], object]] | None = None) -> DataFrame:
     """One row for each of ``slots`` (array of slot_no, model, language, api_key, base_url) of df's rows.
 

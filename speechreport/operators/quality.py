@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -194,6 +196,63 @@ def rank_models(df: DataFrame) -> DataFrame:
     return ranked.withColumn("is_default", F.col("rank") == 1)
 
 
+#: Resampled corpora, the share of them in which a lead must hold, and the hexadecimal digits that draw one weight.
+REPLICATES, LEVEL, DIGITS = 200, 0.95, 4
+
+
+def poisson_limits() -> list[int]:
+    """The draws below 16 ** DIGITS from which a Poisson weight of mean 1 is at least 1, 2, 3 and so on."""
+    found, term, total, k = [], math.exp(-1), 0.0, 0
+    while (limit := round(16**DIGITS * (total := total + term))) < 16**DIGITS:
+        found.append(limit)
+        k += 1
+        term /= k
+    return found
+
+
+def resampled(df: DataFrame, key: str = "recording_id", by: tuple[str, ...] = ("model", "condition"), replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
+    """(by, replicate, edits, ref_words) of a Poisson bootstrap in one pass over rows (key, by, edits, ref_words).
+
+    In each replicate a recording counts as often as a digest of seed, key and replicate draws, so all models are compared on
+    the same resampled recordings, reruns agree, and no row is moved: what is shuffled is ``replicates`` sums for each of by
+    and task. Null keys are drawn as one recording.
+    """
+    each = 32 // DIGITS
+    word = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"))
+    limits = [F.lit(f"{n:0{DIGITS}x}") for n in poisson_limits()]
+    # hexadecimal digits of one length are in the order of the numbers
+    weight = lambda draw: sum(((draw >= n).cast("int") for n in limits), F.lit(0))
+    digests = F.transform(F.sequence(F.lit(0), F.lit(-(-replicates // each) - 1)), lambda i: F.md5(F.concat(word, i.cast("string")).cast("binary")))
+    weights = F.flatten(F.transform(digests, lambda d: F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda i: weight(F.substr(d, i * DIGITS + 1, F.lit(DIGITS))))))
+    drawn = df.select(*by, "edits", "ref_words", F.posexplode(F.slice(weights, 1, replicates)).alias("replicate", "_n")).filter("_n > 0")
+    return drawn.groupBy(*by, "replicate").agg(F.sum(F.col("edits") * F.col("_n")).alias("edits"), F.sum(F.col("ref_words") * F.col("_n")).alias("ref_words"))
+
+
+def rank_with_confidence(df: DataFrame, key: str = "recording_id", replicates: int = REPLICATES, level: float = LEVEL, seed: int = 1) -> DataFrame:
+    """rank_models over rows (key, model, condition, edits, ref_words), with low, high and lead, and a default only if its lead holds.
+
+    low and high are the error rates at the ends of the middle ``level`` of the resampled corpora; lead is the share of them in which
+    the condition's first model has fewer errors than every other model, and null for other models. Ties are no lead; a model
+    without rivals leads. The first is the default if its lead is at least ``level``. Replicates without reference words are
+    left out: models that have none have no interval, and a condition without any has no default.
+    """
+    groups = ("model", "condition")
+    ranked = rank_models(wer_by_model(df, groups))
+    # null models and conditions are groups as well
+    named = lambda x: x.withColumn("_by", F.struct(*groups))
+    drawn = named(wer_by_model(resampled(df, key, groups, replicates, seed), (*groups, "replicate"))).filter("wer is not null")
+    rates = drawn.groupBy("_by").agg(F.array_sort(F.collect_list("wer")).alias("_w"))
+    cut = F.floor(F.size("_w") * F.lit((1 - level) / 2) + F.lit(1e-9)).cast("int")
+    ends = rates.select("_by", F.get("_w", cut).alias("low"), F.get("_w", F.size("_w") - 1 - cut).alias("high"))
+    first = named(ranked).filter("rank = 1").select("_by", F.lit(True).alias("_first"))
+    told = drawn.join(first, "_by", "left")
+    met = told.groupBy("condition", "replicate").agg(F.min(F.when(F.col("_first"), F.col("wer"))).alias("_own"), F.min(F.when(F.col("_first").isNull(), F.col("wer"))).alias("_other"))
+    leads = met.filter("_own is not null").groupBy(F.struct("condition").alias("_c")).agg(F.avg((F.col("_other").isNull() | (F.col("_own") < F.col("_other"))).cast("double")).alias("lead"))
+    found = named(ranked.drop("is_default")).join(ends, "_by", "left").withColumn("_c", F.struct("condition")).join(leads, "_c", "left").drop("_by", "_c")
+    found = found.withColumn("lead", F.when(F.col("rank") == 1, F.col("lead")))
+    return found.withColumn("is_default", F.coalesce((F.col("rank") == 1) & (F.col("lead") >= level), F.lit(False)))
+
+
 def unsupported_tokens(df: DataFrame, output: str = "final_text", sources: tuple[str, ...] = ("transcript_1", "transcript_2", "transcript_3")) -> DataFrame:
     """Adds unsupported (distinct output words, in lower case, that no source has, sorted), n_output and share."""
     words = lambda c: tokens(F.lower(c))

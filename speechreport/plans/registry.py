@@ -303,6 +303,45 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.array_join(said, "\n").alias("history"))
 
 
+#: Conversations are asked turn by turn; those of a model without an engine fail at their first turn.
+CHAT_MODELS = ("recounter", "other", "nope")
+REPLIES_SQL = """
+WITH RECURSIVE u AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations
+  WHERE role = 'user' AND length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))) > 0),
+s AS (SELECT conv_id, count(*) AS n, sum(length(trim(text, ' ' || chr(9) || chr(10) || chr(13)))) AS c FROM conversations
+  WHERE role = 'system' AND length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))) > 0 GROUP BY 1),
+b AS (SELECT DISTINCT conv_id, coalesce(n, 1) AS n, coalesce(c, 9) AS c FROM u LEFT JOIN s USING (conv_id)),
+r AS (SELECT conv_id, 0::BIGINT AS k, 0::BIGINT AS turn, n::BIGINT AS n, c::BIGINT AS c, '' AS reply FROM b
+  UNION ALL SELECT u.conv_id, u.k, u.turn, r.n + 1 + (r.k > 0)::BIGINT, r.c + length(r.reply) + length(u.said),
+    (r.n + 1 + (r.k > 0)::BIGINT) || ' messages, ' || (r.c + length(r.reply) + length(u.said)) || ' letters: ' || left(u.said, 20) FROM r JOIN u ON u.conv_id = r.conv_id AND u.k = r.k + 1)
+SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN n WHEN k = 1 THEN n ELSE 0 END::INT AS n_messages, CASE WHEN conv_id % 3 < 2 THEN reply END AS reply,
+  CASE WHEN conv_id % 3 = 2 THEN CASE WHEN k = 1 THEN 502 ELSE 424 END END AS status FROM r WHERE k > 0"""
+
+
+def modelled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.get(F.array(*[F.lit(m) for m in CHAT_MODELS]), F.pmod("conv_id", F.lit(3)).cast("int"))
+    return table(spark, sf_dir, "conversations").withColumn("model", model)
+
+
+@query(REPLIES_SQL)
+def chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reply becomes part of what the next turn is asked with."""
+    found = conversations.chat_replies(modelled_turns(spark, sf_dir), standins.CHAT, system="Be brief.")
+    return found.select("conv_id", "turn", "n_messages", "reply", "status")
+
+
+@query(REPLIES_SQL)
+def chat_reply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream whose turns come in two batches, some of them twice; what was said waits in keyed state."""
+    turns = modelled_turns(spark, sf_dir)
+    source, out, state = (scratch.scratch_dir(spark) for _ in range(3))
+    for part in (turns.filter("turn < 3"), turns.filter("turn > 1")):
+        part.write.mode("append").parquet(source)
+        stream = conversations.chat_stream(spark.readStream.schema(turns.schema).parquet(source), standins.CHAT, system="Be brief.")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select("conv_id", "turn", "n_messages", "reply", "status")
+
+
 @query("""
 WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
 l AS (SELECT conv_id, max(i) FILTER (role = 'user') AS last FROM m GROUP BY 1),
@@ -426,6 +465,29 @@ def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("slot_no").agg(*[F.sum(c).alias(c) for c in ("ref_words", "substitutions", "insertions", "deletions")])
 
 
+@query(f"""
+WITH {EDITED_SQL}, c AS (SELECT doc_id, len(regexp_extract_all(text, {WORD_LIST})) AS n, third, (length(text) - length(slots[1])) // 3 AS lost, (length(slots[2]) - length(text)) // 4 AS got,
+    (length(text) - length(replace(text, '{CHANGED[0]}', ''))) // 5 AS changed FROM said),
+e AS (SELECT x.*, lang AS condition FROM (SELECT doc_id, 'seamless' AS model, n AS ref_words, lost AS edits FROM c UNION ALL SELECT doc_id, 'whisper', n, got FROM c UNION ALL SELECT doc_id, 'mms-all', n, changed FROM c WHERE third) x JOIN documents USING (doc_id)),
+p AS (SELECT unnest({quality.poisson_limits()}) AS l),
+k AS (SELECT DISTINCT doc_id FROM e),
+g AS (SELECT doc_id, i * 8 + j AS replicate, ('0x' || md5('1:' || doc_id || ':' || i)[j * 4 + 1 : j * 4 + 4])::INT AS draw FROM k, range(25) AS a(i), range(8) AS b(j)),
+w AS (SELECT doc_id, replicate, (SELECT count(*) FROM p WHERE l <= draw) AS n FROM g),
+d AS (SELECT model, condition, replicate, sum(edits * n) / sum(ref_words * n) AS wer FROM e JOIN w USING (doc_id) WHERE n > 0 GROUP BY 1, 2, 3 HAVING sum(ref_words * n) > 0),
+i AS (SELECT model, condition, list_sort(list(wer)) AS ws FROM d GROUP BY 1, 2),
+r AS (SELECT *, edits / ref_words AS wer, row_number() OVER (PARTITION BY condition ORDER BY edits / ref_words, model)::INT AS rank FROM (SELECT model, condition, sum(edits)::BIGINT AS edits, sum(ref_words)::BIGINT AS ref_words FROM e GROUP BY 1, 2)),
+m AS (SELECT d.condition, replicate, min(d.wer) FILTER (rank = 1) AS own, min(d.wer) FILTER (rank > 1) AS other FROM d JOIN r USING (model, condition) GROUP BY 1, 2),
+h AS (SELECT condition, avg((other IS NULL OR own < other)::INT) AS lead FROM m WHERE own IS NOT NULL GROUP BY 1)
+SELECT model, condition, edits, ref_words, wer, rank, ws[floor(len(ws) * 0.025 + 1e-9)::INT + 1] AS low, ws[len(ws) - floor(len(ws) * 0.025 + 1e-9)::INT] AS high,
+  CASE WHEN rank = 1 THEN lead END AS lead, rank = 1 AND lead >= 0.95 AS is_default FROM r JOIN i USING (model, condition) JOIN h USING (condition)""")
+def model_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models on transcripts with insertions and deletions, with intervals of a paired bootstrap over the recordings."""
+    model = F.get(F.array(F.lit("seamless"), F.lit("whisper"), F.lit("mms-all")), F.col("slot_no") - 1)
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.col("lang").alias("condition"))
+    scored = quality.token_edits(edited(spark, sf_dir), ref="truth").select("recording_id", model.alias("model"), "edits", "ref_words").join(langs, "recording_id")
+    return quality.rank_with_confidence(scratch.written(scored))
+
+
 @query("""
 WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type FROM events)
 SELECT user_id::VARCHAR AS recording_id, CASE WHEN user_id % 4 = 0 THEN 'incomplete' ELSE 'complete' END AS status, count(*) AS n_chunks, string_agg(event_type, '' ORDER BY seq) AS content FROM c GROUP BY user_id""")

@@ -33,5 +33,13 @@ class FirstSection:
         return json.dumps({"raw_transcript": heard, "notes": next(m["content"] for m in messages if m["role"] == "user")})
 
 
+class Recounter:
+    """Answers with how much was said so far, its own replies included, and the first letters of the last message."""
+
+    def chat(self, messages: list, params: object, access: dict) -> str:
+        return f"{len(messages)} messages, {sum(len(m['content']) for m in messages)} letters: {messages[-1]['content'][:20]}"
+
+
 STT = {"seamless": EchoSpeech, "whisper": lambda: EchoSpeech(" the ", " zqx "), "mms-all": lambda: EchoSpeech(" of ", " qzf ")}
 LLM = {"aya-expanse-8b": FirstSection, "gemma-4-e4b": FirstSection}
+CHAT = {"recounter": Recounter, "other": Recounter}

@@ -1,7 +1,9 @@
 """Cases of the operators that the given tables don't hold."""
 
+import hashlib
 import io
 import json
+import math
 import random
 import wave
 from datetime import datetime, timedelta
@@ -616,3 +618,87 @@ def test_scratch_tables_can_be_dropped(spark, tmp_path):
     assert spark.read.parquet(own).count() == 3
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
         one.collect()
+
+
+class Parrot:
+    """Says how many messages it got and the last one, and fails at the word 'fail'."""
+
+    def chat(self, messages, params, access):
+        if "fail" in messages[-1]["content"]:
+            raise RuntimeError("no")
+        return f"{'/'.join(m['role'][0] for m in messages)} {messages[-1]['content']}"
+
+
+CHATS = [
+    ("a", 2, "user", " second ", "p"), ("a", 0, "user", "first", "p"), ("a", 1, "assistant", "logged", "p"), ("a", 3, "user", "  ", "p"), ("a", 4, "system", "own", "p"),
+    ("b", 0, "user", "x", "p"), ("b", 1, "user", "fail", "p"), ("b", 2, "user", "y", "p"), ("b", 0, "user", "x", "p"), ("b", 0, "user", "z", "p"),
+    ("c", 0, "user", "x", None), ("d", 0, "system", "alone", "p"), (None, 0, "user", "x", "p"), ("e", None, "user", "x", "p"), ("e", 0, "user", None, "p"), ("f", 0, "user", "long " * 20_000, "p"),
+]
+CHAT_SCHEMA = "conv_id string, turn long, role string, text string, model string"
+
+
+def test_replies_become_part_of_the_next_turn(spark):
+    df = spark.createDataFrame(CHATS, CHAT_SCHEMA).withColumn("reply", F.lit("clash"))
+    got = {(r["conv_id"], r["turn"]): (r["n_messages"], r["reply"], r["status"]) for r in conversations.chat_replies(df, {"p": Parrot}, system="hi").collect()}
+    assert got == {
+        ("a", 0): (2, "s/u first", None), ("a", 2): (4, "s/u/a/u second", None),
+        ("b", 0): (2, "s/u x", None), ("b", 1): (4, None, 502), ("b", 2): (0, None, 424),
+        ("c", 0): (2, None, 502), ("f", 0): (2, "s/u " + ("long " * 20_000).strip(), None),
+    }
+    assert conversations.chat_replies(df.limit(0), {"p": Parrot}).collect() == []
+
+
+def test_stream_of_turns_forgets_what_rests(spark, tmp_path):
+    schema = f"{CHAT_SCHEMA}, ts timestamp"
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
+    batches = [
+        [("a", 0, "user", "one", "p", at(0)), ("b", 0, "user", "fail", "p", at(0)), ("a", 1, "user", "two", "p", at(0)), ("n", 0, "user", "x", "p", None)],
+        [("a", 1, "user", "two", "p", at(1)), ("a", 2, "user", "three", "p", at(1)), ("b", 1, "user", "x", "p", at(1))],
+        [("c", 0, "user", "x", "p", at(200))],
+        [("a", 3, "user", "four", "p", at(201))],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = conversations.chat_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), {"p": Parrot}, time="ts", rest_ms=3_600_000)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["conv_id"], r["turn"], r["n_messages"], r["reply"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [
+        ("a", 0, 1, "u one", None), ("a", 1, 3, "u/a/u two", None), ("a", 2, 5, "u/a/u/a/u three", None), ("a", 3, 1, "u four", None),
+        ("b", 0, 1, None, 502), ("b", 1, 0, None, 424), ("c", 0, 1, "u x", None),
+    ]
+
+
+def test_bootstrap_matches_a_plain_program(spark):
+    draw = random.Random(3)
+    rows = [(i, m, c, draw.randrange(5) + (m == "bad"), draw.randrange(3, 9)) for i in range(60) for c in ("x", None) for m in ("good", "bad", None)]
+    rows += [(1, "alone", "y", 2, 4), (2, "wordless", "z", 1, 0)]
+    schema = "recording_id long, model string, condition string, edits long, ref_words long"
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit(9) for c in ("replicate", "lead", "_by")})
+    limits = [math.floor(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) + 0.5) for k in range(8)]
+    weight = lambda i, r: sum(int(hashlib.md5(f"1:{i}:{r // 8}".encode()).hexdigest()[r % 8 * 4 :][:4], 16) >= n for n in limits)
+    rates, whole = {}, {}
+    for r in range(200):
+        sums = {}
+        for i, m, c, e, n in rows:
+            s = sums.setdefault((m, c), [0, 0])
+            s[0], s[1] = s[0] + e * weight(i, r), s[1] + n * weight(i, r)
+        for k, (e, n) in sums.items():
+            if n:
+                rates.setdefault(k, {})[r] = e / n
+    for i, m, c, e, n in rows:
+        s = whole.setdefault((m, c), [0, 0])
+        s[0], s[1] = s[0] + e, s[1] + n
+    found = {(r["model"], r["condition"]): r for r in quality.rank_with_confidence(df).collect()}
+    assert set(found) == set(whole)
+    for (m, c), r in found.items():
+        assert (r["edits"], r["ref_words"]) == tuple(whole[m, c])
+        ends = sorted(rates.get((m, c), {}).values())
+        cut = int(len(ends) * 0.025 + 1e-9)
+        assert (r["low"], r["high"]) == ((ends[cut], ends[-1 - cut]) if ends else (None, None))
+        others = [rates[k] for k in rates if k[1] == c and k[0] != m]
+        own = rates.get((m, c))
+        lead = sum(all(own[x] < o[x] for o in others if x in o) for x in own) / len(own) if own and r["rank"] == 1 else None
+        assert r["lead"] == pytest.approx(lead) if lead is not None else r["lead"] is None
+        assert r["is_default"] == (lead is not None and lead >= 0.95)
+    assert found["alone", "y"]["is_default"] and not found["wordless", "z"]["is_default"]
+    assert quality.rank_with_confidence(df.limit(0)).collect() == []
