@@ -1,7 +1,7 @@
 """WARC archives: written as text by Spark, read back by verifying chains of record boundaries.
 
-Reading splits archives at the version line wherever it stands, payloads included. Each piece whose
-header tells a length is a candidate record that points at the offset where its successor must begin.
+Reading splits archives at the mark of a version line wherever it stands, payloads included. Each piece that begins with a
+known version and whose header tells a length is a candidate record that points at the offset where its successor must begin.
 Only candidates that pointers reach from the start of the file are records; the version line inside a
 payload is rejected, as nothing that is reached points at it. Pointers are first followed inside
 blocks of the file, then doubled over blocks, then followed inside blocks again from where a chain
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from speechreport.llm.common import materialize, scratch_dir, small
 
-VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
+#: Archives are written in version 1.1; MARK begins a version line, and VERSIONS are those that are read.
+VERSION, MARK, VERSIONS, END = "WARC/1.1\r\n", "WARC/", ("1.0", "1.1"), "\r\n\r\n"
 LEAST_DEDUPED = 100
 #: Records of a file, and bytes of the blocks in which pointers are followed at once.
 RECORDS, BLOCK = 20_000, 1 << 20
@@ -54,24 +55,24 @@ def write(pages: DataFrame, path: str) -> None:
 
 
 def pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(file, split, id, body, n) of what stands between version lines, and (file, id, at, next) of it.
+    """(file, split, id, body, n) of what stands between the marks of version lines, and (file, id, at, next) of it.
 
     ``file`` is a hash of the path, which is shorter to carry along.
-    ``at`` is the offset of the piece's version line. ids ascend along a file's splits. ``next`` is
-    null where no header with a length follows the line.
+    ``at`` is the offset of the piece's mark. ids ascend along a file's splits. ``next`` is
+    null where no version that is read, or no header with a length, follows the mark.
     """
-    raw = spark.read.option("lineSep", VERSION).text(path)
+    raw = spark.read.option("lineSep", MARK).text(path)
     raw = raw.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("body"), F.octet_length("value").cast("long").alias("n"))
     raw = materialize(raw)
     before = Window.partitionBy("file").orderBy("split", "id").rowsBetween(Window.unboundedPreceding, -1)
     order = Window.partitionBy("file").orderBy("split", "id")
     # the first piece stands before the first version line; each later one after a line of its own
-    sums = raw.select("file", "id", (F.sum(F.col("n") + len(VERSION)).over(before) - len(VERSION)).alias("at"), F.row_number().over(order).alias("piece"))
+    sums = raw.select("file", "id", (F.sum(F.col("n") + len(MARK)).over(before) - len(MARK)).alias("at"), F.row_number().over(order).alias("piece"))
     sums = sums.filter(F.col("piece") > 1).select("file", "id", "at")
     head = F.substring_index("body", END, 1)
     length = F.nullif(F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length: *(\d{1,18})(?:\r\n|$)", 1), F.lit("")).cast("long")
-    has_end = F.octet_length(head) < F.octet_length("body")
-    told = raw.select("file", "id", F.when(has_end, len(VERSION) + F.octet_length(head) + len(END) * 2 + length).alias("size"))
+    has_end = (F.octet_length(head) < F.octet_length("body")) & F.substring("body", 1, 5).isin(*[f"{v}\r\n" for v in VERSIONS])
+    told = raw.select("file", "id", F.when(has_end, len(MARK) + F.octet_length(head) + len(END) * 2 + length).alias("size"))
     found = materialize(sums.join(told.hint("merge"), ["file", "id"]).select("file", "id", "at", (F.col("at") + F.col("size")).alias("next")))
     return raw, found
 
@@ -122,10 +123,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     payload_bytes, payload_digest, url, payload (binary, null for revisits), intact.
 
     payload_digest is computed for responses and told by the header for revisits; intact is whether
-    it fits the header's. Files without a record give no rows. A record whose payload holds version
+    it fits the header's. Empty files give no rows; a file that doesn't begin with a record of a version that is read
+    raises ValueError, as its records would be lost silently. A record whose payload holds version
     lines is put together again from its pieces.
     """
     raw, found = pieces(spark, path)
+    unread = raw.select("file").distinct().join(found.filter("at = 0 and next is not null").select("file"), "file", "left_anti").count()
+    if unread:
+        raise ValueError(f"{unread} files below {path} don't begin with a record of WARC version {' or '.join(VERSIONS)}")
     starts = reachable(found.select("file", "at", "next")).withColumn("_reached", F.lit(True))
     order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     owned = found.join(materialize(starts).hint("merge"), ["file", "at"], "left").withColumn("owner", F.last(F.when(F.col("_reached"), F.col("at")), ignorenulls=True).over(order))
@@ -137,7 +142,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     first = materialize(raw.select("file", "id").join(owned.select("file", "id").hint("merge"), ["file", "id"], "left_anti").withColumns({"at": F.lit(None).cast("long"), "owner": F.lit(None).cast("long"), "odd": F.lit(True)}))
     split = raw.select("file", "id", "body").join(small(materialize(odd.unionByName(first)), 96), ["file", "id"], "left")
     whole = split.filter("odd is null").select("body")
-    joined = split.filter("owner is not null").groupBy("file", "owner").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), VERSION).alias("body"))
+    joined = split.filter("owner is not null").groupBy("file", "owner").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), MARK).alias("body"))
     return parse(whole.union(joined.select("body")))
 
 
@@ -146,7 +151,7 @@ def _header(name: str, column: str = "head") -> Column:
 
 
 def parse(bodies: DataFrame) -> DataFrame:
-    """The columns of read() for rows (body): a record without its version line."""
+    """The columns of read() for rows (body): a record without the mark of its version line."""
     rows = bodies.withColumn("head", F.substring_index("body", END, 1))
     rows = rows.withColumn("block", F.substring(F.col("body").cast("binary"), F.octet_length("head") + len(END) + 1, _header("Content-Length").cast("int")))
     rows = rows.withColumn("http", F.substring_index(F.col("block").cast("string"), END, 1))
