@@ -116,15 +116,16 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """One row for each row of df: its key, source (or ``keep``), size, source_size, target, taken.
 
     taken is size times the passes over the document, at most ``passes``. Null and empty texts have
-    size 0 and take 0; null is a source of its own, the last. Equal rows are told apart only by
-    chance, which leaves equal results. Very long texts are counted whole, an empty table gives no rows, other
-    columns of df are not read. The same input gives the same result in every run.
+    size 0 and take 0; null is a source of its own, the last. Documents are chosen in the order of a hash of
+    their ids and texts, so rows without ids or with shared ones are told apart by their texts; rows that share both are told
+    apart only by chance, which leaves equal results. Very long texts are counted whole, an empty table gives no rows, other
+    columns of df are not read. The same input gives the same result in every run, however it is partitioned.
     """
     keep = [c for c in ([key, source] if keep is None else keep) if c not in ("size", "source_size", "target", "taken") and not c.startswith("_")]
     name = F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source), F.lit("")).alias("name"))
-    sized = df.select(*keep, F.size(words(F.col(text))).cast("long").alias("size"), name.alias("_key"))
-    order = F.xxhash64(F.lit(seed), F.col(key).cast("string")) if key in keep else F.xxhash64(F.lit(seed), F.col("size"))
-    sized = materialize(sized.withColumn("_order", order))
+    order = F.xxhash64(F.lit(seed), *([F.col(key).cast("string")] if key in keep else []), F.col(text))
+    sized = df.select(*keep, F.size(words(F.col(text))).cast("long").alias("size"), name.alias("_key"), order.alias("_order"))
+    sized = materialize(sized)
     lengths = materialize(sized.groupBy("_key", "size").agg(F.count(F.lit(1)).alias("docs")))
     sizes = lengths.groupBy("_key").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     sizes = sizes.select(F.when(~F.col("_key.none"), F.col("_key.name")).alias("source"), "source_size")

@@ -104,6 +104,13 @@ def plain_targets(sizes, weights=(5, 2, 1)):
         capped |= over
 
 
+def test_mix_does_not_depend_on_partitions(spark):
+    rows = [(None if i % 3 else i % 6, " ".join([f"w{i}"] * (i % 7 + 1)), "ab"[i % 2]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [sorted(map(repr, budget_mix.mix(df.repartition(n), keep=["doc_id", "text"]).collect())) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) == 120
+
+
 def test_targets(spark):
     rnd = random.Random(3)
     for _ in range(4):
@@ -168,6 +175,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write_and_read(df.limit(0)).collect() == []
 
 
+def archive(version, *payloads):
+    """An archive by hand; its header lines are in an order of their own and each record has one more."""
+    out = b""
+    for i, x in enumerate(payloads):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + x
+        out += f"WARC/{version}\r\nContent-Length: {len(block)}\r\nwarc-type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nX-Else: 1\r\n\r\n".encode() + block + b"\r\n\r\n"
+    return out
+
+
+def test_versions_of_archives(spark, tmp_path):
+    inner = archive("1.0", b"inner")
+    payloads = [b"a", inner, b"WARC/", b"WARC/1.0\r\nWARC/1.1\r\n" + inner, b""]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "old.warc").write_bytes(archive("1.0", *payloads))
+    (tmp_path / "w" / "new.warc").write_bytes(archive("1.1", b"other"))
+    (tmp_path / "w" / "empty.warc").write_bytes(b"")
+    got = sorted((r["page_id"], bytes(r["payload"]), r["record_type"]) for r in warc.read(spark, str(tmp_path / "w")).collect())
+    assert got == sorted([*((i, x, "response") for i, x in enumerate(payloads)), (0, b"other", "response")])
+    for name, bad in {"unknown": archive("0.18", b"x"), "junk": b"junk" + archive("1.0", b"x"), "plain": b"no archive"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.warc").write_bytes(bad)
+        with pytest.raises(ValueError, match="1 files"):
+            warc.read(spark, str(tmp_path / name))
+
+
 def test_chains_across_blocks_and_breaks(spark):
     rows = [("f", i * 10, i * 10 + 10) for i in range(500)] + [("f", 5, 10), ("f", 333, 340), ("g", 0, 7), ("g", 8, 16), ("h", 3, 9), ("h", 9, 12)]
     df = spark.createDataFrame(rows, "file string, at long, next long")
