@@ -2,8 +2,9 @@
 
 All blocks share one frequency table. A block holds whole documents and is coded by itself, with many
 interleaved lanes that numpy steps together; it carries a checksum, and checkpoints from which decoding can
-start in its middle: tasks decode stretches of a long block, which a very long document makes, side by side,
-and the stretches of a document are put together. Blocks are rows of a table that Spark writes, so any store works.
+start in its middle. A long block, which a very long document makes, is cut at checkpoints into stretches, each a row
+with its own words and checksum, so tasks decode them side by side and no word is moved twice; the stretches of a
+document are put together. Blocks are rows of a table that Spark writes, so any store works.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WORD = 16
 BLOCK_TOKENS = 1 << 19
 LANES = 2048
 CHECKPOINT_STEPS = 128
-#: Tokens of the longest block that one task decodes whole, and of the stretches of longer ones, about.
+#: Tokens of the longest block that is kept whole, and of the stretches of longer ones, about.
 LONG, STRETCH = 1 << 21, 1 << 20
 MAGIC = b"SRNS"
 HEAD = struct.Struct("<4sQIIIIQ")  # magic, tokens, lanes, documents, checkpoints, steps between them, words
@@ -86,12 +87,17 @@ def encode_block(docs: list[tuple[int | None, np.ndarray]], table: Table, lanes:
         if t % every == 0 and t:
             marks.append((written, state.copy()))
     words = np.concatenate(chunks[::-1]) if chunks else np.zeros(0, "<u2")
+    # a mark tells how many words were written before it, so the decoder's place is counted from the end
+    return _packed([(i, len(x)) for i, x in docs], n, lanes, every, state, [(len(words) - w, s) for w, s in marks[::-1]], words)
+
+
+def _packed(docs: list[tuple[int | None, int]], n: int, lanes: int, every: int, state: np.ndarray, marks: list[tuple[int, np.ndarray]], words: np.ndarray) -> bytes:
+    """A block of n tokens: documents (id, tokens), states of the lanes, checkpoints (place in the words, states) and words."""
     body = HEAD.pack(MAGIC, n, lanes, len(docs), len(marks), every, len(words))
     known = np.array([i is not None for i, _ in docs], np.uint8)
-    body += known.tobytes() + np.array([i or 0 for i, _ in docs], "<i8").tobytes() + np.array([len(x) for _, x in docs], "<u8").tobytes()
+    body += known.tobytes() + np.array([i or 0 for i, _ in docs], "<i8").tobytes() + np.array([s for _, s in docs], "<u8").tobytes()
     body += state.astype("<i8").tobytes()
-    # a mark tells how many words were written before it, so the decoder's place is counted from the end
-    body += b"".join(struct.pack("<Q", len(words) - w) + s.astype("<i8").tobytes() for w, s in marks[::-1])
+    body += b"".join(struct.pack("<Q", at) + s.astype("<i8").tobytes() for at, s in marks)
     body += words.tobytes()
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -100,6 +106,42 @@ def count_marks(block: bytes) -> int:
     return HEAD.unpack_from(block)[4]
 
 
+def count_docs(block: bytes) -> int:
+    return HEAD.unpack_from(block)[3]
+
+
+def stretches(block: bytes, tokens: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(first token, tokens, tokens of the first document before it, block) of stretches of about ``tokens`` tokens.
+
+    Each begins at a checkpoint of the block, whose states are its own first ones, and is a block by itself of the words up to the
+    next stretch. Its documents are those that it has a part of, each with the tokens of this part.
+    """
+    _, n, lanes, n_docs, n_marks, every, n_words = HEAD.unpack_from(block)
+    at = HEAD.size
+    known = np.frombuffer(block, np.uint8, n_docs, at)
+    names = np.frombuffer(block, "<i8", n_docs, at := at + n_docs)
+    sizes = np.frombuffer(block, "<u8", n_docs, at := at + 8 * n_docs).astype(np.int64)
+    ends = np.cumsum(sizes)
+    state = np.frombuffer(block, "<i8", lanes, at := at + 8 * n_docs)
+    marks = [(0, state)]
+    at += 8 * lanes
+    for _ in range(n_marks):
+        marks.append((struct.unpack_from("<Q", block, at)[0], np.frombuffer(block, "<i8", lanes, at + 8)))
+        at += 8 * (1 + lanes)
+    words = np.frombuffer(block, "<u2", n_words, at)
+    step = max(1, tokens // (every * lanes))
+    for k in range(0, n_marks + 1, step):
+        first, last = k * every * lanes, min(n, (k + step) * every * lanes)
+        place, own = marks[k]
+        end = marks[k + step][0] if k + step <= n_marks else n_words
+        # a document without tokens belongs to the stretch that ends where it stands
+        lo, hi = int(np.searchsorted(ends, first, "right")) if k else 0, int(np.searchsorted(ends, last, "right"))
+        hi += hi < n_docs and ends[hi] - sizes[hi] < last
+        parts = [(int(names[d]) if known[d] else None, int(min(ends[d], last) - max(ends[d] - sizes[d], first))) for d in range(lo, hi)]
+        inner = [(p - place, s) for p, s in marks[k + 1 : min(k + step, n_marks + 1)]]
+        yield first, last - first, first - int(ends[lo] - sizes[lo]), _packed(parts, last - first, lanes, every, own, inner, words[place:end])
+
+
 def decode_block(block: bytes, table: Table, checkpoint: int = 0, until: int | None = None) -> tuple[list[tuple[int | None, int]], np.ndarray, int]:
     """((document id, its tokens) of the block, token ids from a checkpoint on up to another, tokens before them).
 
@@ -155,11 +197,10 @@ def frequencies(coded: DataFrame, width: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                seen = np.bincount(np.frombuffer(x.as_buffer(), width))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-                total[: len(seen)] += seen
+            seen = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width))
+            if len(seen) > len(total):
+                total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
+            total[: len(seen)] += seen
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["symbol", "n"])
 
@@ -174,37 +215,42 @@ def write_files(coded: DataFrame, path: str, width: str, key: str = "doc_id") ->
     """Writes (key, n_tokens, ids) in ascending order of key: ``path``/blocks and ``path``/table.
 
     A block row: shard (ascending ranges of key), block_no, shard_start (tokens of the shard before
-    it), n_docs, n_tokens, marks (its checkpoints), block. Nulls of key come first; ties stand in the order of their ids.
+    it), n_docs, n_tokens, marks (its checkpoints), lead, block. A block of more than LONG tokens is written as its stretches, a row
+    each, of which lead counts the tokens that the first document has before it; other blocks have none. Nulls of key come
+    first; ties stand in the order of their ids.
     """
     spark = coded.sparkSession
     freq = quantize(frequencies(coded, width))
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq) if f], "symbol long, freq long").coalesce(1).write.parquet(f"{path}/table")
-    shared, lanes, every = spark.sparkContext.broadcast(freq), LANES, CHECKPOINT_STEPS
+    shared, lanes, every, longest, stretch = spark.sparkContext.broadcast(freq), LANES, CHECKPOINT_STEPS, LONG, STRETCH
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, shard = Table(shared.value), TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []
         number = start = size = 0
 
-        def close() -> pa.RecordBatch:
+        def close() -> Iterator[pa.RecordBatch]:
             nonlocal held, number, start, size
             block = encode_block(held, table, lanes, every)
-            row = (shard, number, start, len(held), size, count_marks(block))
-            held, number, start, size = [], number + 1, start + size, 0
-            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([block], pa.binary())], names)
+            held = []
+            for first, n, lead, own in stretches(block, stretch) if size > longest else [(0, size, None, block)]:
+                row = (shard, number, start + first, count_docs(own), n, count_marks(own), lead)
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([own], pa.binary())], names)
+                number += 1
+            start, size = start + size, 0
 
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held.append((k, np.frombuffer(x.as_py(), width)))
                 size += len(held[-1][1])
                 if size >= BLOCK_TOKENS:
-                    yield close()
+                    yield from close()
         if held:
-            yield close()
+            yield from close()
 
-    names = ["shard", "block_no", "shard_start", "n_docs", "n_tokens", "marks", "block"]
+    names = ["shard", "block_no", "shard_start", "n_docs", "n_tokens", "marks", "lead", "block"]
     dealt = coded.select(key, "ids").repartitionByRange(key).sortWithinPartitions(key, "ids")
-    dealt.mapInArrow(blocks, "shard long, block_no long, shard_start long, n_docs long, n_tokens long, marks long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(blocks, "shard long, block_no long, shard_start long, n_docs long, n_tokens long, marks long, lead long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_files(spark, path: str, key: str = "doc_id") -> DataFrame:
@@ -218,7 +264,7 @@ def read_files(spark, path: str, key: str = "doc_id") -> DataFrame:
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(totals.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("base")))
-    placed = blocks.join(small(bases), "shard").select((F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "marks", "block")
+    placed = blocks.join(small(bases), "shard").select((F.col("base") + F.col("shard_start")).alias("start"), "lead", "block")
     names = [key, "start", "n_tokens", "ids_crc32", "ids"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,29 +280,24 @@ def read_files(spark, path: str, key: str = "doc_id") -> DataFrame:
                 )
 
     def decode_stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The part of each document that lies in the stretch, and its place (at) in the document."""
+        """The part of each document that lies in the stretch: where the document starts, and the part's place (at) in it."""
         table = Table(shared.value)
         for batch in batches:
-            for start, block, begin, end in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                docs, ids, lead = decode_block(block.as_py(), table, begin, end)
+            for start, lead, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                docs, ids, _ = decode_block(block.as_py(), table)
                 rows, base = [], 0
                 for k, n in docs:
-                    lo, hi = max(base, lead), min(base + n, lead + len(ids))
-                    if lo < hi:
-                        rows.append((k, start + base, n, lo - base, ids[lo - lead : hi - lead].astype("<u4").tobytes()))
-                    base += n
+                    rows.append((k, start + base - lead, n, lead, ids[base : base + n].astype("<u4").tobytes()))
+                    base, lead = base + n, 0
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [key, "start", "n_tokens", "at", "part"])
-
-    whole = placed.filter(F.col("n_tokens") <= LONG).select("start", "block").mapInArrow(decode, f"`{key}` long, start long, n_tokens long, ids_crc32 long, ids binary")
-    # marks stand at equal distances, so a stretch is a number of them
-    step = F.greatest(F.lit(1), F.floor(F.lit(STRETCH) * F.col("marks") / F.col("n_tokens"))).cast("long")
-    long = placed.filter(F.col("n_tokens") > LONG).withColumn("step", step)
-    stretches = long.select("start", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("marks"), F.col("step"))).alias("begin"), "step")
-    stretches = stretches.select("start", "block", "begin", (F.col("begin") + F.col("step")).alias("end"))
-    parts = stretches.repartition("start", "begin").mapInArrow(decode_stretch, f"`{key}` long, start long, n_tokens long, at long, part binary")
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [key, "start", "n", "at", "part"])
+
+    whole = placed.filter("lead is null").select("start", "block").mapInArrow(decode, f"`{key}` long, start long, n_tokens long, ids_crc32 long, ids binary")
+    # a stretch is a row of its own, dealt once to some task
+    cut = placed.filter("lead is not null").repartition("start").select("start", "lead", "block")
+    parts = cut.mapInArrow(decode_stretch, f"`{key}` long, start long, n long, at long, part binary")
     ids = F.expr("listagg(part) within group (order by at)")
-    joined = parts.groupBy(key, "start", "n_tokens").agg(ids.alias("ids")).select(key, "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids")
+    joined = parts.groupBy(key, "start").agg(F.sum("n").alias("n_tokens"), ids.alias("ids")).select(key, "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids")
     return whole.unionByName(joined)
 
 

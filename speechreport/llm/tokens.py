@@ -85,7 +85,8 @@ class Encoder:
             return ids.tobytes()
 
         self.pieces = Pieces(piece)
-        self.wide = re.compile("[^\\x00-\\xff]").search
+        wide = re.compile("[^\\x00-\\xff]").search
+        self.wide = lambda text: not text.isascii() and wide(text)
         self.cut = re.compile(CUTS[kind].format(L=LETTERS, N=NUMBERS, S=BLANKS)).findall
         self.lower = kind == "word"
         self.added = [t.content.lower() if self.lower else t.content for t in library.get_added_tokens_decoder().values()]
