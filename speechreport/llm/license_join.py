@@ -36,10 +36,23 @@ TEMPLATES = {
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
 }
 
+#: Short statements that name a version or terms, of which every word must stand in a block, and their labels.
+STATEMENTS = {
+    "gpl-2.0": "gnu general public license version 2",
+    "gpl-3.0": "gnu general public license version 3",
+    "agpl-3.0": "gnu affero general public license version 3",
+    "lgpl-3.0": "gnu lesser general public license version 3",
+    "apache-2.0": "apache license version 2 0",
+    "mpl-2.0": "mozilla public license version 2 0",
+    "cc-by-sa": "licensed under cc by sa",
+    "cc-by-nc": "licensed under cc by nc",
+    "cc-by-nd": "licensed under cc by nd",
+    "all-rights-reserved": "all rights reserved",
+}
+
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of the smallest blocks; blocks start at every half of their length.
-BLOCK = 64
-STEP = BLOCK // 2
+#: Words of the smallest blocks of templates and of statements; blocks start at every half of their length.
+BLOCK, STATEMENT_BLOCK = 64, 16
 THRESHOLD = 0.8
 
 
@@ -54,9 +67,9 @@ def license_words(text: Column) -> Column:
     return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
 
-def block_of(words: int) -> int:
-    """Words of the blocks in which a template of so many words is sought: BLOCK doubled until it holds twice as many."""
-    size = BLOCK
+def block_of(words: int, smallest: int = BLOCK) -> int:
+    """Words of the blocks in which a template of so many words is sought: ``smallest`` doubled until it holds twice as many."""
+    size = smallest
     while size < 2 * words:
         size *= 2
     return size
@@ -69,7 +82,7 @@ def hits(df: DataFrame, key: str, text: str, vocabulary: list[str]) -> DataFrame
     return cut.select("_id", F.size("_words").cast("long").alias("n_words"), own.alias("hits"))
 
 
-def matches(found: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
+def matches(found: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD, smallest: int = BLOCK) -> DataFrame:
     """(_id, label, block, start, containment) of every block of ``block`` words that meets the threshold, for rows of hits()."""
     spark = found.sparkSession
     tokens_of = {label: sorted(set(text.split())) for label, text in templates.items()}
@@ -80,7 +93,7 @@ def matches(found: DataFrame, templates: dict[str, str], threshold: float = THRE
     rank = {t: i for i, t in enumerate(order)}
     by_block: dict[int, list[str]] = {}
     for label, text in templates.items():
-        by_block.setdefault(block_of(len(text.split())), []).append(label)
+        by_block.setdefault(block_of(len(text.split()), smallest), []).append(label)
     parts = []
     for block, labels in by_block.items():
         rows = []
@@ -111,16 +124,17 @@ def _in_blocks(found: DataFrame, block: int, order: list[str], prefixes: DataFra
     return pairs.groupBy("_id", "label", "start").agg(F.max(F.col("shared") / F.col("size")).alias("containment")).withColumn("block", F.lit(block))
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, statements: dict[str, str] | None = None) -> DataFrame:
     """One row for each row of df: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is 1 where a phrase stands, else the largest containment of a template in a block that
-    meets the threshold, else 0. Null and empty texts have no words, no labels and score 0; very long texts
+    score is 1 where a phrase stands, else the largest containment of a template or statement in a block that
+    meets the threshold, which is 1 for statements, else 0. A statement is found as a set, so its words may stand in any order within
+    a block of STATEMENT_BLOCK words. Null and empty texts have no words, no labels and score 0; very long texts
     are scanned whole. Rows that share a key, null included, share the labels that the method finds in any
     of them; repeated rows give a row each, an empty table none. Other columns of df are not read.
     """
-    phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
-    vocabulary = sorted({w for told in (*phrases, *templates.values()) for w in told.split()})
+    phrases, templates, statements = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates, STATEMENTS if statements is None else statements
+    vocabulary = sorted({w for told in (*phrases, *templates.values(), *statements.values()) for w in told.split()})
     found = materialize(hits(df, key, text, vocabulary))
 
     def places(phrase: str) -> Column:
@@ -133,7 +147,9 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[s
     labelled = F.array_compact(F.array(*[F.when(F.size(n) > 0, F.lit(label)) for n, label in zip(names, phrases.values(), strict=True)]))
     every = F.flatten(F.array(*names))
     base = base.select("_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labelled)).alias("_base"))
-    more = matches(found, templates, threshold).groupBy("_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score"))
+    near = [matches(found, told, least, smallest) for told, least, smallest in ((templates, threshold, BLOCK), (statements, 1.0, STATEMENT_BLOCK)) if told]
+    none = found.sparkSession.createDataFrame([], found.select("_id", F.lit("").alias("label"), F.lit(0.0).alias("containment")).schema)
+    more = functools.reduce(DataFrame.unionByName, [m.select("_id", "label", "containment") for m in near], none).groupBy("_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score"))
     more = materialize(more.withColumnRenamed("_id", "_match"))
     joined = base.join(more, F.col("_id").eqNullSafe(F.col("_match")), "left")
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_score", F.lit(0.0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from speechreport.llm.host_rules import LENIENT, LEAST_PRIOR, LINE_LIMIT, LINE_PRIOR, MIN_WORDS, REPEAT_LIMIT, STRICT, SYMBOL_LIMIT
-from speechreport.llm.license_join import BLOCK, PHRASES, STEP, TEMPLATES, THRESHOLD
+from speechreport.llm.license_join import BLOCK, PHRASES, STATEMENT_BLOCK, STATEMENTS, TEMPLATES, THRESHOLD, block_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -22,18 +22,19 @@ def license_sql() -> str:
         f"SELECT doc_id, i - 1 AS spot, '{label}' AS label FROM spots WHERE " + " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase.split())) for phrase, label in PHRASES.items()
     )
     rows = []
-    for label, text in TEMPLATES.items():
-        tokens = sorted(set(text.split()))
-        rows.append(f"('{label}', [{', '.join(repr(t) for t in tokens)}], {math.ceil(THRESHOLD * len(tokens) - 1e-9)})")
+    for told, threshold, smallest in ((TEMPLATES, THRESHOLD, BLOCK), (STATEMENTS, 1.0, STATEMENT_BLOCK)):
+        for label, text in told.items():
+            tokens = sorted(set(text.split()))
+            rows.append(f"('{label}', [{', '.join(repr(t) for t in tokens)}], {math.ceil(threshold * len(tokens) - 1e-9)}, {block_of(len(text.split()), smallest)})")
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
 base AS ({phrases}),
 b AS (SELECT doc_id, count(*) AS n, min(spot) AS lo, max(spot) AS hi, list(DISTINCT label) AS labels FROM base GROUP BY 1),
-t(label, tokens, need) AS (VALUES {', '.join(rows)}),
-starts AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws), 1), {STEP})) AS i FROM w),
-blocks AS (SELECT doc_id, list_distinct(ws[i + 1 : i + {BLOCK}]) AS ts FROM starts WHERE i = 0 OR i + {BLOCK - STEP} < len(ws)),
-m AS (SELECT doc_id, label, len(list_intersect(ts, tokens)) AS c, len(tokens) AS n, need FROM blocks, t),
+t(label, tokens, need, block) AS (VALUES {', '.join(rows)}),
+starts AS (SELECT doc_id, ws, block, unnest(range(0, greatest(len(ws), 1), block // 2)) AS i FROM w, (SELECT DISTINCT block FROM t)),
+blocks AS (SELECT doc_id, block, list_distinct(ws[i + 1 : i + block]) AS ts FROM starts WHERE i = 0 OR i + block // 2 < len(ws)),
+m AS (SELECT doc_id, label, len(list_intersect(ts, tokens)) AS c, len(tokens) AS n, need FROM blocks JOIN t USING (block)),
 g AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c / n) AS score FROM m WHERE c >= need GROUP BY 1)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
