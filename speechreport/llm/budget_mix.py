@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ WEIGHTS = (5, 2, 1)
 PASSES = 3
 #: Words that the exact program takes back in its first try; sums are bits of one integer of about twice that length.
 PROGRAM = 1 << 16
+#: Choices of all lengths but the commonest that are tried one by one, in 8-byte numbers, where the first try doesn't meet the budget.
+FEW = 1 << 21
 #: High bits of the seeded order that tell its bucket, so 1024 buckets.
 BUCKET_SHIFT = 54
 
@@ -57,7 +60,8 @@ def fill(counts: dict[int, int], budget: int, seed: int, program: int = PROGRAM)
     of the budget by less than the longest length m; documents are then taken back and added. Ordered
     to stay within m of the start, 2m exchanges would repeat a sum, and what lies between could be left
     out: so some best choice takes back at most m * m words. ``program`` words are tried first and more
-    only while the budget isn't met. Lengths count in units of their common divisor.
+    only while the budget isn't met. Lengths count in units of their common divisor. A histogram of a few lengths, of which
+    most budgets can't be met, is searched whole by choices(), in memory that doesn't grow with the lengths.
     """
     total = sum(n * c for n, c in counts.items())
     if budget >= total:
@@ -78,9 +82,33 @@ def fill(counts: dict[int, int], budget: int, seed: int, program: int = PROGRAM)
         changes, left = exchange({n: (n // unit, taken[n], counts[n] - taken[n]) for n in order}, back, rest)
         if left == 0 or back == most:
             return {n: c + changes.get(n, 0) for n, c in taken.items()}
+        if (found := choices(counts, taken, budget)) is not None:
+            return found
         back = min(8 * back, most)
 
 
+def choices(counts: dict[int, int], taken: dict[int, int], budget: int) -> dict[int, int] | None:
+    """A choice of the largest sum up to the budget, of such the one with most nearly ``taken`` of the commonest length.
+
+    Each choice of the other lengths leaves one best number of the commonest. None if there are more than FEW of them.
+    """
+    *others, common = sorted(counts, key=lambda n: (counts[n], n))
+    if math.prod(counts[n] + 1 for n in others) > FEW:
+        return None
+    sums = np.zeros(1, np.int64)
+    for n in others:
+        sums = (sums[:, None] + n * np.arange(counts[n] + 1)).ravel()
+    docs = np.clip((budget - sums) // common, 0, counts[common])
+    sums += docs * common
+    sums[sums > budget] = -1
+    best = np.flatnonzero(sums == sums.max())
+    at = int(best[np.argmin(np.abs(docs[best] - taken[common]))])
+    found = {common: int(docs[at])}
+    for n in reversed(others):
+        at, found[n] = divmod(at, counts[n] + 1)
+    return found
+
+
 def exchange(lengths: dict[int, tuple[int, int, int]], back: int, rest: int) -> tuple[dict[int, int], int]:
     """(changes by key, what is left of rest) of the best choice that takes back at most ``back``.
 
