@@ -77,6 +77,23 @@ def test_license_scan_finds_planted_blocks(spark):
     assert (rows[4]["n_base"], rows[4]["first_word"], rows[4]["last_word"], rows[4]["base_labels"], rows[4]["score"]) == (4, 1, 8, "cc-by,mit", 1.0)
 
 
+def test_license_statements_name_versions(spark):
+    body = "lorem ipsum dolor " * 40
+    texts = {
+        1: body + "Licensed under the Apache License, Version 2.0." + body,
+        2: body + "under version 3 of the GNU General Public License. " + body,
+        3: body + "Licensed under CC BY-NC 4.0" + body,
+        4: "All rights " + body + "reserved",
+        5: body + "(c) ALL RIGHTS RESERVED",
+        6: body + "apache license, version " + "x " * 20 + "2.0",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: (r["base_labels"], r["labels"], r["score"]) for r in license_join.scan(df).collect()}
+    assert rows[1] == ("apache", "apache,apache-2.0", 1.0) and rows[2] == ("gpl", "gpl,gpl-3.0", 1.0) and rows[3] == ("cc-by", "cc-by,cc-by-nc", 1.0)
+    assert rows[4] == ("", "", 0.0) and rows[5] == ("", "all-rights-reserved", 1.0) and rows[6] == ("apache", "apache", 1.0)
+    assert {r["labels"] for r in license_join.scan(df, templates={}, statements={}).collect()} == {"", "apache", "gpl", "cc-by"}
+
+
 def test_license_blocks_hold_long_templates(spark):
     long = " ".join(f"clause{i}" for i in range(120))
     body = ["lorem"] * 500

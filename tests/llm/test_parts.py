@@ -2,6 +2,7 @@
 
 import random
 import struct
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +47,32 @@ def test_blocks_round_trip_from_every_checkpoint(n):
             range_coder.decode_block(bytes(broken), table)
 
 
+@pytest.mark.parametrize("tokens", [1, 20_000, 10**6])
+def test_stretches_of_a_block_decode_by_themselves(tokens):
+    rnd = np.random.default_rng(tokens)
+    ids = np.minimum(rnd.geometric(0.01, 200_000), 40_000).astype("<u2")
+    table = range_coder.Table(range_coder.quantize(np.bincount(ids, minlength=50_001)))
+    ends = np.sort(rnd.choice(200_000, 30))
+    docs = [(None if i % 7 == 0 else i, x) for i, x in enumerate(np.split(ids, [0, *ends[:5], ends[4], *ends[5:]]))]
+    block = range_coder.encode_block(docs, table, lanes=64, every=16)
+    found, said, place = [], [], 0
+    for first, n, lead, own in range_coder.stretches(block, tokens):
+        parts, out, _ = range_coder.decode_block(own, table)
+        assert first == place and n == len(out) == sum(k for _, k in parts)
+        for k in range(1, range_coder.count_marks(own) + 1):
+            _, rest, at = range_coder.decode_block(own, table, k)
+            assert np.array_equal(rest, out[at:])
+        if lead:
+            assert found[-1][0] == parts[0][0] and found[-1][1] == lead
+            found[-1] = (found[-1][0], lead + parts[0][1])
+            parts = parts[1:]
+        found += parts
+        said.append(out)
+        place += n
+    assert np.array_equal(np.concatenate(said), ids) and found == [(k, len(x)) for k, x in docs]
+    assert len(said) == 1 if tokens == 10**6 else len(said) > 9
+
+
 def test_frequencies_sum_and_keep_rare_symbols():
     freq = range_coder.quantize(np.array([10**9, 0, 1, 3]))
     assert freq.sum() == 1 << range_coder.BITS and freq[1] == 0 and freq[2] >= 1
@@ -78,7 +105,9 @@ def test_large_budgets_leave_the_exact_program_little():
     assert sum(n * k for n, k in got.items()) == budget
 
 
-def test_budgets_are_met_exactly():
+@pytest.mark.parametrize("few", [budget_mix.FEW, 0])
+def test_budgets_are_met_exactly(monkeypatch, few):
+    monkeypatch.setattr(budget_mix, "FEW", few)
     assert budget_mix.fill({5000: 3, 4000: 4}, 16_000, seed=1) == {5000: 0, 4000: 4}
     rnd = random.Random(10)
     for longest, docs, lengths, program in ((60, 6, 8, 1 << 16), (60, 6, 8, 4), (50_000, 3, 5, 1 << 16), (40, 30, 3, 0)):
@@ -91,6 +120,17 @@ def test_budgets_are_met_exactly():
                 assert sum(n * k for n, k in got.items()) == best_sum(counts, budget)
 
 
+def test_few_long_lengths_take_little_memory():
+    counts = {200_003: 2000, 200_009: 2000}
+    for budget in (3, 200_008, 123_456_789, 400_012_345, 700_000_001):
+        tracemalloc.start()
+        got = budget_mix.fill(counts, budget, seed=1)
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+        tracemalloc.stop()
+        best = max(a * 200_003 + min(2000, (budget - a * 200_003) // 200_009) * 200_009 for a in range(2001) if a * 200_003 <= budget)
+        assert all(0 <= got[n] <= counts[n] for n in counts) and sum(n * k for n, k in got.items()) == best
+
+
 def plain_targets(sizes, weights=(5, 2, 1)):
     names = sorted([s for s in sizes if s is not None], key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
