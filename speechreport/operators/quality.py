@@ -262,6 +262,66 @@ def unsupported_tokens(df: DataFrame, output: str = "final_text", sources: tuple
     return found.withColumn("share", F.when(F.col("n_output") > 0, F.size("unsupported") / F.col("n_output")).otherwise(0.0))
 
 
+#: Consecutive output words that must stand in a transcript for all of them to be supported.
+PHRASE = 3
+
+
+def loose_runs(said: list, heard: list[list], phrase: int = PHRASE) -> list[tuple[int, int]]:
+    """(start, end) of the longest runs of words of ``said`` of which none is part of a supported phrase.
+
+    A phrase is ``phrase`` consecutive words, or all of a shorter text; it is supported if it stands consecutively in one of the
+    transcripts. In time and memory proportional to the words.
+    """
+    size = min(phrase, len(said))
+    if not size:
+        return []
+    said, *heard = codes(said, *heard)
+    runs = [np.lib.stride_tricks.sliding_window_view(ws, size) for ws in (said, *heard) if len(ws) >= size]
+    # equal phrases get equal numbers, exactly: pair after pair is numbered anew
+    own = np.concatenate(runs)
+    number = own[:, 0]
+    for k in range(1, size):
+        number = np.unique(number * (int(own[:, k].max()) + 1) + own[:, k], return_inverse=True)[1]
+    here = len(runs[0])
+    at = np.flatnonzero(np.isin(number[:here], number[here:]))
+    cover = np.zeros(len(said) + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + size, -1)
+    edges = np.diff(np.concatenate([[0], (np.cumsum(cover)[:-1] == 0).astype(np.int8), [0]]))
+    return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
+
+
+_RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.ArrayType(T.StringType()))])
+
+
+def unsupported_runs(df: DataFrame, output: str = "final_text", sources: tuple[str, ...] = ("transcript_1", "transcript_2", "transcript_3"), phrase: int = PHRASE) -> DataFrame:
+    """Adds runs (array of start and words, in lower case), n_output and n_unsupported: what an output says in an order that no transcript has.
+
+    Words are compared in their order, unlike in unsupported_tokens: known words in a new order are unsupported too. Null
+    texts have no words; an output without words has no runs, and all words of one without any transcript are one run.
+    """
+
+    @F.pandas_udf(T.ArrayType(_RUN))
+    def runs(said: pd.Series, heard: pd.Series) -> pd.Series:
+        rows = []
+        for own, told in zip(said, heard, strict=True):
+            words = own.tolist()
+            rows.append([{"start": a, "words": words[a:b]} for a, b in loose_runs(words, [ws.tolist() for ws in told], phrase)])
+        return pd.Series(rows)
+
+    words = lambda c: tokens(F.lower(c))
+    found = df.withColumn("runs", runs(words(F.col(output)), F.array(*[words(F.col(s)) for s in sources])))
+    count = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.size(r["words"]))
+    return found.withColumns({"n_output": F.size(words(F.col(output))).cast("long"), "n_unsupported": count})
+
+
+def unsupported_by_model(df: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """(by, n_output, n_unsupported, n_runs, longest, rate) of rows of unsupported_runs: the share of all output words, null without any."""
+    longest = F.coalesce(F.array_max(F.transform("runs", lambda r: F.size(r["words"]))), F.lit(0))
+    sums = df.groupBy(*by).agg(F.sum("n_output").alias("n_output"), F.sum("n_unsupported").alias("n_unsupported"), F.sum(F.size("runs")).alias("n_runs"), F.max(longest).cast("long").alias("longest"))
+    return sums.withColumn("rate", F.when(F.col("n_output") > 0, F.col("n_unsupported") / F.col("n_output")))
+
+
 def _present(row: list) -> list[tuple[int, list[str]]]:
     return [(int(t["slot_no"]), [w.decode() for w in split(t["text"])]) for t in row]
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechreport.functions import columns as C
-from speechreport.operators import conversations, inference, prompts, quality, replies, slots, validate
+from speechreport.operators import batches, conversations, inference, prompts, quality, replies, slots, validate
 from speechreport.plans import standins
 from speechreport.plans.pipelines import run_pipelines
 from speechreport.sources import documents, recordings, schemas, scratch
@@ -395,6 +395,55 @@ def unsupported_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_output", F.array_join("unsupported", ",").alias("unsupported"), "share")
 
 
+#: Outputs of models by doc_id: the text itself with changed words, with inserted words, and in another order.
+SAID_SQL = """said AS (SELECT doc_id, ['plain','adds','turns'][doc_id % 3 + 1] AS model, replace(text, ' of ', ' ') AS heard_1, text AS heard_2,
+  [replace(text, ' the ', ' zqx '), replace(text, ' and ', ' and qzf zqx '), replace(text, ' in the ', ' the in ')][doc_id % 3 + 1] || ' ' || source AS final FROM documents)"""
+
+
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, model, final_text, transcript_1, transcript_2)."""
+    text, changed = F.col("text"), lambda old, new: F.replace(F.col("text"), F.lit(old), F.lit(new))
+    said = F.get(F.array(changed(" the ", " zqx "), changed(" and ", " and qzf zqx "), changed(" in the ", " the in ")), (F.col("doc_id") % 3).cast("int"))
+    model = pick("plain", "adds", "turns").alias("model")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), model, F.concat(said, F.lit(" "), "source").alias("final_text"), changed(" of ", " ").alias("transcript_1"), text.alias("transcript_2"))
+
+
+@query(f"""
+WITH {SAID_SQL}, w AS (SELECT doc_id, model, regexp_extract_all(lower(final), '[^ \\t\\n\\x0B\\f\\r]+') AS o, [regexp_extract_all(lower(heard_1), '[^ \\t\\n\\x0B\\f\\r]+'), regexp_extract_all(lower(heard_2), '[^ \\t\\n\\x0B\\f\\r]+')] AS hs FROM said),
+k AS (SELECT doc_id, model, o, len(o) AS n, least(3, len(o)) AS p, hs FROM w),
+h AS (SELECT doc_id, p, unnest(hs) AS ws FROM k),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + p - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - p + 2)) AS i FROM h)),
+i AS (SELECT doc_id, model, n, p, i, o FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM k)),
+s AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, p, i FROM (SELECT doc_id, p, i, array_to_string(o[i:i + p - 1], ' ') AS gram FROM i WHERE i + p - 1 <= n) JOIN g USING (doc_id, gram)), range(3) AS t(j) WHERE j < p),
+u AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM i ANTI JOIN s USING (doc_id, i)),
+r AS (SELECT doc_id, run, count(*) AS n FROM u GROUP BY 1, 2),
+d AS (SELECT doc_id, sum(n) AS n, count(*) AS runs, max(n) AS longest FROM r GROUP BY 1)
+SELECT model, sum(k.n)::BIGINT AS n_output, coalesce(sum(d.n), 0)::BIGINT AS n_unsupported, coalesce(sum(runs), 0)::BIGINT AS n_runs, coalesce(max(longest), 0)::BIGINT AS longest,
+  coalesce(sum(d.n), 0) / sum(k.n) AS rate FROM k LEFT JOIN d USING (doc_id) GROUP BY 1""")
+def unsupported_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that stand in an order that no transcript has, by model."""
+    return quality.unsupported_by_model(quality.unsupported_runs(outputs(spark, sf_dir), sources=("transcript_1", "transcript_2")))
+
+
+@query("""
+SELECT doc_id::VARCHAR AS request_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 THEN source || ': ' || length(text) END AS reply,
+  CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 502 END AS status,
+  CASE WHEN doc_id % 7 = 0 THEN 'no answer' WHEN doc_id % 11 = 0 THEN '2 answers' WHEN doc_id % 13 = 0 THEN 'answer has status 500' END AS error FROM documents""")
+def batch_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a line of a batch file; of the answers to what the files hold some are lost (doc_id a multiple of 7), double (of 11) or failures (of 13)."""
+    path = scratch.scratch_dir(spark)
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("request_id"), prompts.render_request("chat", F.lit("aya-expanse-8b"), F.col("source"), F.col("text"), json_reply=False).alias("body"))
+    batches.write_batches(asked.select(batches.batch_line(F.col("request_id"), F.col("body")).alias("line")), path, 1 << 20)
+    at = lambda p: F.get_json_object("value", p)
+    number = F.col("custom_id").cast("long")
+    said = F.concat(at("$.body.messages[0].content"), F.lit(": "), F.length(at("$.body.messages[1].content")).cast("string"))
+    got = spark.read.text(path).select(at("$.custom_id").alias("custom_id"), said.alias("content"))
+    body = F.struct(F.array(F.struct(F.struct("content").alias("message"))).alias("choices"))
+    response = F.struct(F.when(number % 13 == 0, 500).otherwise(200).alias("status_code"), body.alias("body"))
+    answers = got.filter(number % 7 != 0).select(F.to_json(F.struct("custom_id", response.alias("response"))).alias("value"), F.explode(F.sequence(F.lit(1), F.when(number % 11 == 0, 2).otherwise(1))).alias("copy"))
+    return batches.match_answers(asked.select("request_id"), answers)
+
+
 WORDS_SQL = f"""{SLOTS_SQL}, w AS (SELECT recording_id, slot_no, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM slots),
 t AS (SELECT recording_id, slot_no, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS i FROM w)"""
 

@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from speechreport.functions import columns as C
-from speechreport.operators import conversations, inference, network, prompts, quality, replies, slots, validate
+from speechreport.operators import batches, conversations, inference, network, prompts, quality, replies, slots, validate
 from speechreport.plans import standins
 from speechreport.plans.pipelines import run_pipelines
 from speechreport.sources import documents, recordings, schemas
@@ -702,3 +702,64 @@ def test_bootstrap_matches_a_plain_program(spark):
         assert r["is_default"] == (lead is not None and lead >= 0.95)
     assert found["alone", "y"]["is_default"] and not found["wordless", "z"]["is_default"]
     assert quality.rank_with_confidence(df.limit(0)).collect() == []
+
+
+def plain_loose_runs(said, heard, phrase):
+    size, free = min(phrase, len(said)), [True] * len(said)
+    for i in range(len(said) - size + 1):
+        if any(said[i : i + size] == ws[j : j + size] for ws in heard for j in range(len(ws) - size + 1)):
+            free[i : i + size] = [False] * size
+    runs = []
+    for i, x in enumerate(free):
+        if x and i and free[i - 1]:
+            runs[-1] = (runs[-1][0], i + 1)
+        elif x:
+            runs.append((i, i + 1))
+    return runs
+
+
+def test_unsupported_runs_equal_a_plain_search():
+    rnd = random.Random(5)
+    for _ in range(600):
+        letters = "abcdefgh"[: rnd.randint(1, 8)]
+        said, *heard = ([rnd.choice(letters) for _ in range(rnd.randint(0, 14))] for _ in range(rnd.randint(1, 4)))
+        for phrase in (1, 2, 3, 5):
+            assert quality.loose_runs(said, heard, phrase) == plain_loose_runs(said, heard, phrase)
+    long = [f"w{i % 9973}" for i in range(200_000)]
+    assert quality.loose_runs([*long[:1000], "new", "words", *long[1000:]], [long]) == [(1000, 1002)]
+
+
+def test_unsupported_runs_of_odd_rows(spark):
+    rows = [(1, "m", "The pain is is gone", "the pain is gone", None), (2, "m", None, "a b", ""), (3, None, "x y", None, None), (4, "n", "", "a", "b")]
+    found = quality.unsupported_runs(spark.createDataFrame(rows, "recording_id long, model string, final_text string, transcript_1 string, transcript_2 string"), sources=("transcript_1", "transcript_2"))
+    told = {r["recording_id"]: ([(x["start"], list(x["words"])) for x in r["runs"]], r["n_output"], r["n_unsupported"]) for r in found.collect()}
+    assert told == {1: ([(3, ["is", "gone"])], 5, 2), 2: ([], 0, 0), 3: ([(0, ["x", "y"])], 2, 2), 4: ([], 0, 0)}
+    by = {r["model"]: tuple(r)[1:] for r in quality.unsupported_by_model(found).collect()}
+    assert by == {"m": (5, 2, 1, 2, 0.4), None: (2, 2, 1, 2, 1.0), "n": (0, 0, 0, 0, None)}
+    assert quality.unsupported_by_model(found.limit(0)).collect() == []
+
+
+def test_batch_files_are_bounded_and_whole(spark, tmp_path):
+    bodies = [json.dumps({"n": "é" * (i % 40)}, ensure_ascii=False) for i in range(300)] + [json.dumps({"n": "x" * 5000})]
+    df = spark.createDataFrame(list(enumerate(bodies)), "request_id long, body string").repartition(5)
+    batches.write_batches(df.select(batches.batch_line(F.col("request_id"), F.col("body")).alias("line")), str(tmp_path / "out"), 1000)
+    files = [p for p in tmp_path.glob("out/file_no=*/part-*")]
+    sizes = sorted(p.stat().st_size for p in files)
+    assert len({p.parent for p in files}) == len(files) > 20 and sizes[-2] <= 1000 < sizes[-1]
+    told = [json.loads(x) for p in files for x in p.read_text().splitlines()]
+    assert sorted((int(x["custom_id"]), x["body"]) for x in told) == [(i, json.loads(b)) for i, b in enumerate(bodies)]
+    batches.write_batches(df.limit(0).select(F.col("body").alias("line")), str(tmp_path / "none"))
+    assert not list(tmp_path.glob("none/file_no=*"))
+
+
+def test_answers_are_matched_by_id(spark):
+    answer = lambda key, code=200, text="yes": json.dumps({"custom_id": key, "response": {"status_code": code, "body": {"choices": [{"message": {"content": text}}]}}})
+    lines = [answer("a"), answer("b"), answer("b", text="no"), answer("c", 429), answer("d", text=None), answer("zz"), "not json", "{}", None, '{"custom_id": "e"}', answer("same")]
+    asked = spark.createDataFrame([(k, 1) for k in ("a", "b", "c", "d", "e", "f", "same", "same", None)], "request_id string, status int")
+    found = batches.match_answers(asked, spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert found.columns == ["request_id", "reply", "status", "error"]
+    rows = sorted([tuple(r) for r in found.collect()], key=str)
+    assert rows == sorted([
+        ("a", "yes", None, None), ("b", None, 502, "2 answers"), ("c", None, 502, "answer has status 429"), ("d", None, 502, "answer has no text"), ("e", None, 502, "answer has status none"),
+        ("f", None, 502, "no answer"), ("same", "yes", None, None), ("same", "yes", None, None), (None, None, 502, "no answer"),
+    ], key=str)
