@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import math
 import wave
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,46 +32,70 @@ def to_wav(pcm: bytes, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
+def joined(seen: list[tuple[int, int]], new: Iterable[int]) -> list[tuple[int, int]]:
+    """Ranges (first, last) of whole numbers with others added, in order; neighbouring ranges become one."""
+    found: list[tuple[int, int]] = []
+    for a, b in sorted([*seen, *((x, x) for x in new)]):
+        if found and a <= found[-1][1] + 1:
+            found[-1] = (found[-1][0], max(b, found[-1][1]))
+        else:
+            found.append((a, b))
+    return found
+
+
 class Assembler(StatefulProcessor):
-    """Chunks by seq in a map, of which a new chunk writes only its own entry, and one mark of the recording."""
+    """A recording's chunks in a map, of which a batch writes one entry with its own new chunks, and one mark with the ranges of known seqs.
+
+    Each call of the state is a message to the JVM, so their number grows with recordings and batches, not with chunks.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.chunks = handle.getMapState("chunks", "seq long", "bytes binary")
-        self.mark = handle.getValueState("mark", "n long, last long, timer long, done boolean")
+        self.chunks = handle.getMapState("chunks", "block long", "seqs array<long>, bytes array<binary>")
+        self.mark = handle.getValueState("mark", "n long, last long, timer long, done boolean, seen array<long>")
+
+    def row(self, key: tuple, status: str, known: dict[int, bytes]) -> pd.DataFrame:
+        return pd.DataFrame({"recording_id": [key[0]], "status": [status], "n_chunks": [len(known)], "content": [to_wav(b"".join(known[k] for k in sorted(known)))]})
 
-    def row(self, key: tuple, status: str) -> pd.DataFrame:
-        known = sorted((k[0], bytes(v[0])) for k, v in self.chunks.iterator())
-        return pd.DataFrame({"recording_id": [key[0]], "status": [status], "n_chunks": [len(known)], "content": [to_wav(b"".join(x for _, x in known))]})
+    def held(self) -> dict[int, bytes]:
+        return {seq: bytes(data) for _, (seqs, parts) in self.chunks.iterator() for seq, data in zip(seqs, parts, strict=True)}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        n, last, timer, done = self.mark.get() if self.mark.exists() else (0, -1, -1, False)
+        n, last, timer, done, flat = self.mark.get() if self.mark.exists() else (0, -1, -1, False, [])
+        seen = list(zip(flat[::2], flat[1::2], strict=True))
         newest = timerValues.getCurrentWatermarkInMs()
+        new: dict[int, bytes] = {}
         for part in rows:
             newest = max(newest, int(part["ms"].max()))
-            for seq, data, end in zip(part["seq"], part["bytes"], part["is_last"], strict=True):
-                if done:
-                    continue
-                if not self.chunks.containsKey((int(seq),)):
-                    self.chunks.updateValue((int(seq),), (bytes(data) if data is not None else b"",))
-                    n += 1
-                last = max(last, int(seq)) if end else last
+            if done:
+                continue
+            for seq, data in zip(part["seq"].tolist(), part["bytes"], strict=True):
+                at = bisect_right(seen, (seq, math.inf)) - 1
+                if seq not in new and (at < 0 or seen[at][1] < seq):
+                    new[seq] = bytes(data) if data is not None else b""
+            last = max(last, int(part["seq"].where(part["is_last"], -1).max()))
+        before, n = n, n + len(new)
+        seen = joined(seen, new)
         # the recording is whole once its last chunk and all before it are there; then only the mark is kept, so
         # that chunks that come again don't open it anew
-        if not done and 0 <= last < n and sum(0 <= k[0] <= last for k in self.chunks.keys()) == last + 1:
-            yield self.row(key, "complete")
-            self.chunks.clear()
+        if not done and last >= 0 and any(a <= 0 and b >= last for a, b in seen):
             done = True
+            yield self.row(key, "complete", (self.held() if before else {}) | new)
+            if before:
+                self.chunks.clear()
+            seen = []
+        elif new:
+            self.chunks.updateValue((before,), (list(new), list(new.values())))
         if newest + WAIT_MS > timer:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             timer = newest + WAIT_MS
             self.handle.registerTimer(timer)
-        self.mark.update((n, last, timer, done))
+        self.mark.update((n, last, timer, done, [x for pair in seen for x in pair]))
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         if not self.mark.get()[3]:
-            yield self.row(key, "incomplete")
+            yield self.row(key, "incomplete", self.held())
         self.chunks.clear()
         self.mark.clear()
 

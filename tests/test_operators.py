@@ -813,3 +813,32 @@ def test_runs_are_found_without_arrays_of_words(spark):
     assert got == {1: ([(0, ["new", "words", "here"])], 6, 3), 2: ([], 0, 0), 3: ([], 0, 0), 4: ([(0, ["a", "b"])], 2, 2)}
     # texts go to Python, and what a worker holds as words is one row's
     assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+class CountedState:
+    """State of one key in memory, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "updateValue": lambda k, v: self.map.update({k: v}),
+            "containsKey": lambda k: k in self.map, "keys": lambda: iter(self.map), "iterator": lambda: iter(self.map.items()), "clear": lambda: self.map.clear(),
+        }[name]
+
+
+def test_state_is_called_for_batches_and_not_for_chunks():
+    made = []
+    handle = type("Handle", (), {"getMapState": lambda *_: made.append(CountedState()) or made[-1], "getValueState": lambda *_: made.append(CountedState()) or made[-1], "registerTimer": lambda *_: None, "deleteTimer": lambda *_: None})()
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda _: 0})()
+    batch = lambda seqs, end: chunks.pd.DataFrame({"seq": seqs, "bytes": [b"%d," % s for s in seqs], "ms": 1, "is_last": [s == end for s in seqs]})
+    own = chunks.Assembler()
+    own.init(handle)
+    assert list(own.handleInputRows(("a",), iter([batch([*range(1, 400, 2), 5], 400)]), now)) == []
+    assert list(own.handleInputRows(("a",), iter([batch([*range(2, 401, 2), 3], 400)]), now)) == []
+    (found,) = own.handleInputRows(("a",), iter([batch([0, 0, 7], 400)]), now)
+    assert found["n_chunks"][0] == 401 and found["content"][0][44:] == b"".join(b"%d," % s for s in range(401))
+    assert sum(m.calls for m in made) < 20
+    assert list(own.handleInputRows(("a",), iter([batch([0, 8, 400], 400)]), now)) == []
