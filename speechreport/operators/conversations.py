@@ -125,17 +125,24 @@ class Dialogue(StatefulProcessor):
         self.mark = handle.getValueState("mark", "last long, failed boolean, model string, timer long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["turn", "text", "model"])
-        users, told = new[new["role"] == "user"].drop_duplicates("turn"), new[new["role"] == "system"].drop_duplicates("turn")
-        history = [{"role": r, "content": c} for r, c in self.said.get()] if self.mark.exists() else []
+        # plain tuples, as a conversation has few rows and each call of a frame takes longer than they do
+        new = [x for part in rows for x in zip(*(part[c].tolist() for c in ("turn", "text", "role", "model", "ms")), strict=True)]
+        new = sorted(((*x[:3], x[3] if isinstance(x[3], str) else None, x[4]) for x in new), key=lambda x: (*x[:2], x[3] is None, x[3] or ""))
+        users: dict[int, str] = {}
+        told: dict[int, str] = {}
+        for turn, text, role, *_ in new:
+            if role in ("user", "system"):
+                (users if role == "user" else told).setdefault(turn, text)
+        known = self.mark.get() if self.mark.exists() else None
+        # turns that were all asked before need no history
+        history = [{"role": r, "content": c} for r, c in self.said.get()] if known and max(users, default=NO_TURN) > known[0] else []
         kept, out = len(history), []
-        if self.mark.exists():
-            last, failed, model, timer = self.mark.get()
+        if known:
+            last, failed, model, timer = known
         else:
-            named = new["model"].iloc[0]
-            last, failed, model, timer = NO_TURN, False, named if isinstance(named, str) else None, -1
-            history = [{"role": "system", "content": x} for x in told["text"]] or opening(self.system)
-        for turn, text in zip(users["turn"].tolist(), users["text"], strict=True):
+            last, failed, model, timer = NO_TURN, False, new[0][3], -1
+            history = [{"role": "system", "content": x} for x in told.values()] or opening(self.system)
+        for turn, text in users.items():
             if turn > last:
                 history.append({"role": "user", "content": text})
                 sent, bad = 0 if failed else len(history), [failed]
@@ -144,7 +151,7 @@ class Dialogue(StatefulProcessor):
         if history[kept:]:
             self.said.appendList([(m["role"], m["content"]) for m in history[kept:]])
         if self.rest_ms is not None:
-            until = max(timerValues.getCurrentWatermarkInMs(), int(new["ms"].max())) + self.rest_ms
+            until = max(timerValues.getCurrentWatermarkInMs(), max(x[4] for x in new)) + self.rest_ms
             if until > timer:
                 if timer >= 0:
                     self.handle.deleteTimer(timer)

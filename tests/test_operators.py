@@ -842,3 +842,19 @@ def test_state_is_called_for_batches_and_not_for_chunks():
     assert found["n_chunks"][0] == 401 and found["content"][0][44:] == b"".join(b"%d," % s for s in range(401))
     assert sum(m.calls for m in made) < 20
     assert list(own.handleInputRows(("a",), iter([batch([0, 8, 400], 400)]), now)) == []
+
+
+def test_turns_that_were_asked_need_no_history_from_the_state():
+    from speechreport.operators import conversations
+
+    said, mark = [], CountedState()
+    reads = []
+    listed = type("Listed", (), {"get": lambda _: reads.append(1) or iter(said), "appendList": lambda _, xs: said.extend(xs)})()
+    own = conversations.Dialogue(inference.marked(standins.CHAT), "Be brief.", None)
+    own.init(type("Handle", (), {"getListState": lambda *_: listed, "getValueState": lambda *_: mark})())
+    batch = lambda turns: chunks.pd.DataFrame({"turn": turns, "text": [f"t{t}" for t in turns], "role": "user", "model": "recounter", "ms": 0})
+    (first,) = own.handleInputRows((1,), iter([batch([1]), batch([0, 1])]), None)
+    assert first["turn"].tolist() == [0, 1] and first["n_messages"].tolist() == [2, 4]
+    assert list(own.handleInputRows((1,), iter([batch([1, 0])]), None)) == [] and not reads
+    (second,) = own.handleInputRows((1,), iter([batch([2, 1])]), None)
+    assert second["n_messages"].tolist() == [6] and reads == [1]
