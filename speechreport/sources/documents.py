@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from speechreport.sources.scratch import dropped, small, written
@@ -19,6 +19,13 @@ FORMAT = "speechreport_documents"
 #: Bytes of a file name that is used as it is; longer ones are cut and told apart by a digest.
 NAME_BYTES = 200
 STAGED = "_staged"
+#: Bytes of texts that are read at a time.
+READ_BYTES = 16 << 20
+
+
+def found_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or URI, and the folder there."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 @dataclass
@@ -38,7 +45,7 @@ class DocumentWriter(DataSourceArrowWriter):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def store(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        return found_store(self.path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         store, root = self.store()
@@ -77,6 +84,12 @@ class Documents(DataSource):
     def name(cls) -> str:
         return FORMAT
 
+    def schema(self) -> str:
+        return "name string, text string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return DocumentReader(self.options["path"])
+
     def writer(self, schema: StructType, overwrite: bool) -> DocumentWriter:
         return DocumentWriter(self.options["path"], overwrite)
 
@@ -127,8 +140,49 @@ def write_documents(df: DataFrame, path: str, name: str = "name", text: str = "t
     named.select("name", "text").write.format(FORMAT).mode(mode).option("path", path).save()
 
 
+@dataclass
+class Folder(InputPartition):
+    """One task's folder of files."""
+
+    path: str
+
+
+class DocumentReader(DataSourceReader):
+    """Rows (name, text) of the files below a folder, a task for each folder that a task has written: the driver lists folders only."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[Folder]:
+        store, root = found_store(self.path)
+        there = store.get_file_info(fs.FileSelector(root))
+        return [Folder(x.path) for x in sorted(there, key=lambda x: x.path) if x.type == fs.FileType.Directory and x.base_name.startswith("part-")]
+
+    def read(self, partition: Folder | None) -> Iterator[pa.RecordBatch]:
+        # without any folder Spark asks once for a part that is None
+        if partition is None:
+            return
+        store, _ = found_store(self.path)
+        names: list[str] = []
+        texts: list[bytes] = []
+        size = 0
+        for x in store.get_file_info(fs.FileSelector(partition.path)):
+            with store.open_input_stream(x.path) as f:
+                text = f.read()[:-1]
+            names.append(x.base_name)
+            texts.append(text)
+            size += len(text)
+            if size >= READ_BYTES:
+                yield listed(names, texts)
+                names, texts, size = [], [], 0
+        yield listed(names, texts)
+
+
+def listed(names: list[str], texts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["name", "text"])
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(name, text) of the files that write_documents() has committed."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(f"{path.rstrip('/')}/part-*")
-    text = F.expr("cast(substring(content, 1, length(content) - 1) as string)")
-    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), text.alias("text"))
+    spark.dataSource.register(Documents)
+    return spark.read.format(FORMAT).option("path", path.rstrip("/")).load()

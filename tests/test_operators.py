@@ -858,3 +858,15 @@ def test_turns_that_were_asked_need_no_history_from_the_state():
     assert list(own.handleInputRows((1,), iter([batch([1, 0])]), None)) == [] and not reads
     (second,) = own.handleInputRows((1,), iter([batch([2, 1])]), None)
     assert second["n_messages"].tolist() == [6] and reads == [1]
+
+
+def test_documents_are_read_in_a_task_for_each_folder(spark, tmp_path):
+    rows = spark.range(300).selectExpr("concat('n', id, '.txt') as name", "concat('text ', id) as text", "id as recording_id").coalesce(2)
+    documents.write_documents(rows, str(tmp_path / "out"))
+    folders = len(list((tmp_path / "out").glob("part-*")))
+    found = documents.read_documents(spark, str(tmp_path / "out"))
+    # files are neither listed by the driver nor dealt by a minimum size of each
+    assert found.rdd.getNumPartitions() == folders and not found.inputFiles()
+    assert {(r["name"], r["text"]) for r in found.collect()} == {(f"n{i}.txt", f"text {i}") for i in range(300)}
+    (tmp_path / "none").mkdir()
+    assert documents.read_documents(spark, str(tmp_path / "none")).count() == 0
