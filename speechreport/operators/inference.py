@@ -38,6 +38,8 @@ RATES = 64
 CHUNK = 1 << 16
 #: Work of one task, and shares of it by which rows are dealt.
 TASK_BYTES, TASK_CHARS, SHARES = 64 << 20, 1 << 22, 8
+#: Characters of transcripts that a task regroups, and what a row counts besides its text.
+REGROUP_CHARS, ROW_CHARS = 1 << 25, 128
 #: Engines of one kind that a worker keeps, and rows whose audio it holds at once.
 KEPT, PORTION = 3, 64
 
@@ -124,6 +126,12 @@ def weight(column: str, df: DataFrame) -> Column:
     return F.coalesce(found, F.lit(0)).cast("long")
 
 
+def tasks_for(df: DataFrame, chars: str) -> int:
+    """Tasks of about REGROUP_CHARS for df's rows, whose characters are in a column, so that a task doesn't grow with the input; small inputs go to all cores."""
+    total = df.agg(F.sum(F.col(chars) + ROW_CHARS)).first()[0] or 0
+    return max(1, -(-total // max(1, min(REGROUP_CHARS, total // df.sparkSession.sparkContext.defaultParallelism))))
+
+
 def dealt(df: DataFrame, model: str, key: str, heavy: Column, per_task: int, cleanup: list[Callable[[], object]] | None = None, sized: DataFrame | None = None) -> DataFrame:
     """df's rows, each model's in tasks of about ``per_task`` of the weight ``heavy``, those of like weight together.
 
@@ -254,11 +262,11 @@ def transcribe(df: DataFrame, engines: Engines, audio: str = "samples", rate: in
     return dealt(asked, "_engines", key, heavy, TASK_BYTES, cleanup).mapInArrow(run, schema)
 
 
-def _reply(df: DataFrame, engines: Engines, method: str, audio: str | None, rate: int, model: str, key: str, cleanup: list[Callable[[], object]] | None, sized: DataFrame | None = None) -> DataFrame:
+def _reply(df: DataFrame, engines: Engines, method: str, audio: str | None, rate: int, model: str, key: str, cleanup: list[Callable[[], object]] | None, sized: DataFrame | None = None, size: str | None = None) -> DataFrame:
     """df without messages, audio and credentials, with reply, status and error."""
     known = marked(engines)
     used = [c for c in ("messages", "params", "api_key", "base_url") if c in df.columns] + ([audio] if audio else [])
-    kept = [c for c in df.columns if c not in (*used, "reply", "status", "error")]
+    kept = [c for c in df.columns if c not in (*used, size, "reply", "status", "error")]
     schema = df.select(*kept).withColumns({"reply": F.lit(None).cast("string"), "status": F.lit(None).cast("int"), "error": F.lit(None).cast("string")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +283,8 @@ def _reply(df: DataFrame, engines: Engines, method: str, audio: str | None, rate
                 kinds = (pa.string(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds))], [*kept, "reply", "status", "error"])
 
-    heavy, each = (weight(audio, df), TASK_BYTES) if audio else (weight("messages", df), TASK_CHARS)
-    return dealt(df.select(*kept, *used), model, key, heavy, each, cleanup, sized).mapInArrow(run, schema)
+    heavy, each = (F.coalesce(F.col(size), F.lit(0)).cast("long") if size else weight(audio, df), TASK_BYTES) if audio else (weight("messages", df), TASK_CHARS)
+    return dealt(df.select(*kept, *([size] if size else []), *used), model, key, heavy, each, cleanup, sized).mapInArrow(run, schema)
 
 
 def chat(df: DataFrame, engines: Engines, model: str = "llm_model", key: str = "recording_id", cleanup: list[Callable[[], object]] | None = None, sized: DataFrame | None = None) -> DataFrame:
@@ -287,9 +295,9 @@ def chat(df: DataFrame, engines: Engines, model: str = "llm_model", key: str = "
     return _reply(df, engines, "chat", None, RATE, model, key, cleanup, sized)
 
 
-def chat_audio(df: DataFrame, engines: Engines, audio: str = "samples", model: str = "llm_model", key: str = "recording_id", rate: int = RATE, cleanup: list[Callable[[], object]] | None = None) -> DataFrame:
-    """As chat(), with the recording. Engines without chat_audio are text-only and give an error row."""
-    return _reply(df, engines, "chat_audio", audio, rate, model, key, cleanup)
+def chat_audio(df: DataFrame, engines: Engines, audio: str = "samples", model: str = "llm_model", key: str = "recording_id", rate: int = RATE, size: str | None = None, cleanup: list[Callable[[], object]] | None = None) -> DataFrame:
+    """As chat(), with the recording, and ``size`` as in transcribe(). Engines without chat_audio are text-only and give an error row."""
+    return _reply(df, engines, "chat_audio", audio, rate, model, key, cleanup, size=size)
 
 
 def fail_recordings(df: DataFrame, key: str = "recording_id", on_slot_error: str = "fail") -> tuple[DataFrame, DataFrame]:

@@ -40,11 +40,12 @@ def assemble_transcripts(df: DataFrame, key: str = "recording_id") -> DataFrame:
     Of several texts for one slot, as equal requests give, the largest counts.
     """
     entry = F.struct("slot_no", "text")
-    wide = [F.max(F.when(F.col("slot_no") == n, F.col("text"))).alias(f"transcript_{n}") for n in SLOT_NUMBERS]
-    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_slots"), *wide)
+    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_slots"))
     last = F.filter("_slots", lambda s, i: ~F.coalesce(F.get("_slots", i + 1)["slot_no"] == s["slot_no"], F.lit(False)))
     name = F.transform(last, lambda s: F.struct(F.concat(F.lit("transcript_"), s["slot_no"].cast("string")).alias("key"), s["text"].alias("value")))
-    return grouped.select(key, F.map_from_entries(name).alias("transcripts"), *[f"transcript_{n}" for n in SLOT_NUMBERS])
+    # the texts are regrouped once and told apart afterwards
+    found = grouped.select(key, F.map_from_entries(name).alias("transcripts"))
+    return found.select(key, "transcripts", *[F.try_element_at("transcripts", F.lit(f"transcript_{n}")).alias(f"transcript_{n}") for n in SLOT_NUMBERS])
 
 
 def labelled(transcripts: Column) -> Column:

@@ -39,13 +39,18 @@ def with_call(requests: DataFrame) -> DataFrame:
 
 
 def with_audio(df: DataFrame, recordings: DataFrame, audio: str) -> DataFrame:
-    """df's rows with their recording's audio, and its length if the recordings have that; Spark broadcasts df where it is small."""
-    told = [F.col("length").alias("_bytes")] if "length" in recordings.columns else []
-    return recordings.select("recording_id", audio, *told).join(df, "recording_id")
+    """df's rows with their recording's audio and its bytes, which can be read without it; Spark broadcasts df where it is small."""
+    size = F.col("length") if "length" in recordings.columns else inference.weight(audio, recordings)
+    return recordings.select("recording_id", audio, size.alias("_bytes")).join(df, "recording_id")
 
 
-def transcripts_of(requests: DataFrame, recordings: DataFrame, engines: Engines, audio: str, on_slot_error: str, check_languages: bool = True, cleanup: list[Callable[[], object]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assembled transcripts, rejects, weights of the language models' calls) of requests with slots."""
+def transcripts_of(requests: DataFrame, recordings: DataFrame, engines: Engines, audio: str, on_slot_error: str, check_languages: bool = True, cleanup: list[Callable[[], object]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """(assembled transcripts, keys that have a transcript of slots 1..3, rejects, weights of the language models' calls, tasks) of requests with slots.
+
+    The transcripts are dealt by key to that many tasks, a number that grows with their characters, whatever the session's
+    number of partitions. Requests that meet them should be dealt likewise, so that nothing is joined in fewer tasks, and
+    without rejected ones, whose other slots are still among the transcripts: leaving them out there would move all texts once more.
+    """
     fanned = slots.fan_out_slots(requests.select(KEY, "recording_id", "llm_model", "language", "stt_slots"))
     # only the local speech service has a default language and checks languages; its 400 is the slot's 502
     local = text_route(F.col("model")) == "local"
@@ -55,17 +60,21 @@ def transcripts_of(requests: DataFrame, recordings: DataFrame, engines: Engines,
     slot = F.struct("slot_no", "model", "language", "api_key", "base_url")
     calls = asked.filter(~unknown).groupBy(KEY, "recording_id", "llm_model").agg(F.array_distinct(F.array_sort(F.collect_list(slot))).alias("slots"))
     heard = with_audio(calls, recordings, audio)
-    rows = inference.transcribe(heard, engines, audio, key=KEY, size="_bytes" if "_bytes" in heard.columns else None, cleanup=cleanup).drop("_bytes")
+    rows = inference.transcribe(heard, engines, audio, key=KEY, size="_bytes", cleanup=cleanup).drop("_bytes")
     if check_languages:
         error = F.concat(F.lit("unknown language: "), F.col("language"))
         refused = asked.filter(unknown).withColumns({"text": F.lit(None).cast("string"), "status": F.lit(502), "error": error})
         rows = rows.unionByName(refused.select(*rows.columns))
-    rows = written(rows)
+    # with its length beside it, a text is read only where it is told
+    rows = written(rows.withColumn("_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")))
     if cleanup is not None:
         cleanup.append(lambda: dropped(rows))
-    good, rejects = inference.fail_recordings(rows, KEY, on_slot_error)
-    weights = rows.groupBy("llm_model", KEY).agg(F.sum(F.length("text")).cast("long").alias("weight")).fillna(0, "weight")
-    return slots.assemble_transcripts(good, KEY), rejects, weights
+    tasks = inference.tasks_for(rows, "_chars")
+    _, rejects = inference.fail_recordings(rows, KEY, on_slot_error)
+    good = rows.filter("status is null").select(KEY, "slot_no", "text").repartition(tasks, KEY)
+    usable = rows.filter(F.col("status").isNull() & F.col("slot_no").isin(*slots.SLOT_NUMBERS)).select(KEY).distinct()
+    weights = rows.groupBy("llm_model", KEY).agg(F.sum("_chars").alias("weight"))
+    return slots.assemble_transcripts(good, KEY), usable, rejects, weights, tasks
 
 
 def finish(asked: DataFrame) -> DataFrame:
@@ -103,21 +112,23 @@ def run_pipelines(requests: DataFrame, recordings: DataFrame, stt: Engines, llm:
     rejects = rejects.select(*REJECT).unionByName(missing.select(*REJECT)).unionByName(bad_format.select(*REJECT))
 
     with_slots = heard.filter("pipeline = 'separate'").unionByName(direct.filter("pipeline = 'hybrid'").drop("audio_format"))
-    assembled, failed, weights = transcripts_of(with_slots, recordings, stt, audio, on_slot_error, check_languages, cleanup)
+    assembled, usable, failed, weights, tasks = transcripts_of(with_slots, recordings, stt, audio, on_slot_error, check_languages, cleanup)
     rejects = rejects.unionByName(failed.join(valid.select(KEY, "recording_id", "pipeline"), KEY).select(*REJECT))
 
     # with 'skip' a request whose slots all failed has no transcripts, which build_messages rejects
     asked = (KEY, "recording_id", "pipeline", "llm_model", *CALL)
     separate = heard.filter("pipeline = 'separate'").join(failed.select(KEY), KEY, "left_anti").select(*asked)
-    ready, unusable = split_valid(prompts.build_messages(slots.attach_references(separate, assembled, KEY)))
-    rejects = rejects.unionByName(unusable.select(*REJECT))
+    ready, _ = split_valid(prompts.build_messages(slots.attach_references(separate.repartition(tasks, KEY), assembled, KEY)))
+    # told by keys alone, so that no text is regrouped once more for them
+    without = separate.join(usable, KEY, "left_anti").withColumn("transcripts", F.lit(None).cast("map<string,string>"))
+    rejects = rejects.unionByName(split_valid(prompts.build_messages(without))[1].select(*REJECT))
     text = inference.chat(ready.drop("transcripts"), llm, key=KEY, cleanup=cleanup, sized=weights)
 
     listening = direct.filter("pipeline = 'multimodal'").unionByName(direct.filter("pipeline = 'hybrid'").join(failed.select(KEY), KEY, "left_anti")).select(*asked)
-    listening = slots.attach_references(listening, assembled, KEY)
+    listening = slots.attach_references(listening.repartition(tasks, KEY), assembled, KEY)
     user = listener_text(F.col("pipeline"), F.col("transcripts"))
     listening = listening.withColumn("messages", prompts.messages(F.lit(prompts.system_prompt(prompts.LISTEN)), user)).drop("transcripts")
-    sound = inference.chat_audio(with_audio(listening, recordings, audio).drop("_bytes"), llm, audio, key=KEY, cleanup=cleanup)
+    sound = inference.chat_audio(with_audio(listening, recordings, audio), llm, audio, key=KEY, size="_bytes", cleanup=cleanup)
     replied = written(text.unionByName(sound))
     if cleanup is not None:
         cleanup.append(lambda: dropped(replied))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from speechreport.functions import columns as C
 from speechreport.operators import batches, conversations, inference, network, prompts, quality, replies, slots, validate
 from speechreport.plans import standins
-from speechreport.plans.pipelines import run_pipelines
+from speechreport.plans.pipelines import identified, run_pipelines, transcripts_of
 from speechreport.sources import documents, recordings, schemas
 from speechreport.streaming import chunks, intake
 
@@ -522,6 +522,26 @@ def test_requests_whose_slots_all_failed_keep_a_row(spark):
     assert failed == [(1, 502), (2, 502), (3, 502)]
 
 
+def test_transcripts_are_regrouped_in_tasks_that_grow_with_their_characters(spark, monkeypatch):
+    """A task has a bounded part of the texts, whatever the session's number of partitions, which is 4 here."""
+    monkeypatch.setattr(inference, "REGROUP_CHARS", 20_000, raising=False)
+    requests, _ = asked(spark, [(i, "separate", "fr" if i % 10 == 0 else "fa", ["seamless", "whisper"]) for i in range(400)])
+    heard = spark.range(400).select(F.col("id").alias("recording_id"), F.repeat(F.lit("a the "), 100).alias("said"))
+    assembled = transcripts_of(identified(requests), heard, standins.STT, "said", "fail")[0]
+    chars = [r["n"] for r in assembled.groupBy(F.spark_partition_id()).agg(F.sum(F.length("transcript_1") + F.length("transcript_2")).alias("n")).collect()]
+    assert sum(chars) == 360 * 1200 and max(chars) <= 3 * 20_000, chars
+    found = run_pipelines(requests, heard, standins.STT, standins.LLM, "said").collect()
+    assert {r["recording_id"]: r["status"] for r in found} == {i: 502 if i % 10 == 0 else None for i in range(400)} and len(found) == 400
+    assert all(r["transcript_1"] == "a the " * 100 and r["transcript_2"] == "a zqx " * 100 for r in found if r["status"] is None)
+
+
+def test_requests_with_a_fourth_slot_alone_have_no_usable_transcript(spark):
+    requests, heard = asked(spark, [(1, "separate", "fa", ["seamless"] * 4), (2, "separate", "fa", ["seamless"] * 4)])
+    alone = F.when(F.col("recording_id") == 1, F.transform("stt_slots", lambda s, i: F.when(i == 3, s))).otherwise(F.col("stt_slots"))
+    found = run_pipelines(requests.withColumns({"stt_slots": alone, "run_slots": F.lit(True)}), heard, standins.STT, standins.LLM, "said").collect()
+    assert {r["recording_id"]: (r["status"], r["error"], r["transcript_3"]) for r in found} == {1: (400, "no usable transcript", None), 2: (None, None, "said 2")}
+
+
 def test_local_slots_with_unsupported_languages_fail(spark):
     rows = [(1, "separate", "fr", ["seamless"]), (2, "separate", "en", ["seamless"]), (3, "separate", "", ["seamless"]), (4, "separate", "fr", ["openai:x"]), (5, "hybrid", "de", ["openai:x", "seamless"])]
     requests, heard = asked(spark, rows)
